@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, minhash_dedup, url_filter
+from . import bpe_codec, decontaminate, html_extract, license_scan, minhash_dedup, secret_scan, toxicity, url_filter
 from ._spark import table
 
 
@@ -16,14 +16,41 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_codec.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.scan_secrets(table(spark, sf_dir, "documents")))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = url_filter.entries_table(spark, url_filter.RULES, url_filter.LISTED)
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), entries)
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.fit(pages))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_toxicity": op3_toxicity,
+    "op4_decontamination": op4_decontamination,
+    "op6_bpe": op6_bpe,
+    "op7_secret_scan": op7_secret_scan,
     "op9_url_filter": op9_url_filter,
+    "op10_html_extract": op10_html_extract,
 }
 ORACLE_SQL = {"op1_license_scan": license_scan.oracle(), "op9_url_filter": url_filter.oracle()}
