@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, decontaminate, html_extract, license_scan, minhash_dedup, secret_scan, toxicity, url_filter
+from . import ann_tree, bpe_codec, decontaminate, html_extract, license_scan, minhash_dedup, quality_pu, secret_scan, toxicity, url_filter
 from ._spark import table
 
 
@@ -25,6 +25,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann_tree.nearest(rows, rows.filter("vec_id % 100 = 0"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(table(spark, sf_dir, "documents"))
 
@@ -33,6 +38,11 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_pu.score_quality(docs, quality_pu.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = url_filter.entries_table(spark, url_filter.RULES, url_filter.LISTED)
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), entries)
@@ -48,8 +58,10 @@ QUERIES = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_decontamination": op4_decontamination,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_bpe": op6_bpe,
     "op7_secret_scan": op7_secret_scan,
+    "op8_quality": op8_quality,
     "op9_url_filter": op9_url_filter,
     "op10_html_extract": op10_html_extract,
 }
