@@ -25,8 +25,12 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from .plans import catalog  # noqa: F401  registers every query
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from .plans import catalog  # noqa: F401
+
     return dict(_ORACLE)
