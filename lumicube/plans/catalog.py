@@ -2,3 +2,4 @@
 
 from . import catalog_bands  # noqa: F401
 from . import catalog_noise  # noqa: F401
+from . import catalog_spectral  # noqa: F401
