@@ -4,3 +4,4 @@ from . import catalog_bands  # noqa: F401
 from . import catalog_noise  # noqa: F401
 from . import catalog_spectral  # noqa: F401
 from . import catalog_cluster  # noqa: F401
+from . import catalog_stats  # noqa: F401
