@@ -5,8 +5,9 @@ queue over the tree: the nearest open child is taken next, and a leaf taken is a
 visited is calibrated: for some rows the exact neighbours are found in one pass over all rows, and visits widen
 until the calibration rows' neighbours are found with the wanted recall.
 
-Rows meet the queries that visit their leaf in groups of bounded size: a leaf with many rows, such as one of many
-copies, is dealt in several groups, and so are the queries of a leaf that many visit.
+Rows meet the queries that visit their leaf in groups of bounded size.  Leaves are numbered by subtree, and
+neighbouring leaves share a group, so that a query has one partial answer a group; a leaf with many rows, such as one
+of many copies, is dealt in several groups, and so are the queries of a group that many visit.
 """
 
 from __future__ import annotations
@@ -165,6 +166,23 @@ def calibrate(rows: DataFrame, tree: Tree, k: int, recall: float = RECALL) -> in
     return int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)]) + 1 if len(ranks) else tree.leaves
 
 
+def pack(counts: dict[int, int], size: int) -> tuple[dict[int, int], dict[int, int], int]:
+    """First group and number of groups of each leaf, and the number of groups: neighbouring leaves share a group of
+    about ``size`` rows, a larger leaf has several of its own."""
+    first, parts, group, held = {}, {}, 0, 0
+    for leaf in sorted(counts):
+        n = -(-counts[leaf] // size)
+        if n > 1 or held + counts[leaf] > size:
+            group += held > 0
+            held = 0
+        first[leaf], parts[leaf] = group, n
+        if n > 1:
+            group += n
+        else:
+            held += counts[leaf]
+    return first, parts, group + (held > 0)
+
+
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = RECALL) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of each query, by Euclidean distance in double.
 
@@ -201,31 +219,34 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, pa.list_(pa.int32()))], names=["query_id", "q", "leaves"])
 
     index = base.mapInArrow(to_leaf, "vec_id long, vec array<double>, leaf int")
-    tours = asked.mapInArrow(to_leaves, "query_id long, q array<double>, leaves array<int>").select("query_id", "q", F.explode("leaves").alias("leaf"))
-    # Counts of at most MAX_LEAVES leaves decide into how many groups a leaf is dealt.
-    row_groups = {r["leaf"]: -(-r["count"] // GROUP_ROWS) for r in index.groupBy("leaf").count().collect() if r["count"] > GROUP_ROWS}
-    query_groups = {r["leaf"]: -(-r["count"] // GROUP_QUERIES) for r in tours.groupBy("leaf").count().collect() if r["count"] > GROUP_QUERIES}
-
-    def groups(of: dict[int, int]):
-        if not of:
-            return F.lit(1)
-        pairs = [F.lit(x) for leaf, c in of.items() for x in (leaf, c)]
-        return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("leaf")), F.lit(1))
-
-    part = lambda col, of: F.pmod(F.xxhash64(col), groups(of)).cast("int")
-    every = lambda of: F.explode(F.sequence(F.lit(0), groups(of) - 1))
-    left = index.withColumn("a", part("vec_id", row_groups)).withColumn("b", every(query_groups))
-    right = tours.withColumn("b", part("query_id", query_groups)).withColumn("a", every(row_groups))
+    tours = asked.mapInArrow(to_leaves, "query_id long, q array<double>, leaves array<int>")
+    # Counts of at most MAX_LEAVES leaves decide how leaves, which are numbered by subtree, are packed into groups.
+    counts = {r["leaf"]: r["count"] for r in index.groupBy("leaf").count().collect()}
+    first, parts, total = pack(counts, GROUP_ROWS)
+    at = lambda values, leaf: F.get(F.array(*[F.lit(v) for v in values]), leaf)
+    all_first, all_parts = [first.get(k, 0) for k in range(tree.leaves)], [parts.get(k, 0) for k in range(tree.leaves)]
+    tours = tours.withColumn("leaf", F.explode("leaves"))
+    places = F.transform(F.sequence(F.lit(1), at(all_parts, F.col("leaf"))), lambda k: at(all_first, F.col("leaf")) + k - 1)
+    visits_of = tours.filter(at(all_parts, F.col("leaf")) > 0).select("query_id", "q", "leaf", F.explode(places).alias("grp"))
+    asked_in = visits_of.groupBy("query_id", "grp").agg(F.first("q").alias("q"), F.collect_set("leaf").alias("leaves"))
+    busy = {r["grp"]: -(-r["count"] // GROUP_QUERIES) for r in asked_in.groupBy("grp").count().collect()}
+    deals = [max(1, busy.get(k, 1)) for k in range(total)]
+    left = index.withColumn("grp", at(all_first, F.col("leaf")) + F.pmod(F.xxhash64("vec_id"), F.greatest(at(all_parts, F.col("leaf")), F.lit(1))).cast("int"))
+    left = left.withColumn("deal", F.explode(F.sequence(F.lit(1), at(deals, F.col("grp")))))
+    right = asked_in.withColumn("deal", F.pmod(F.xxhash64("query_id"), at(deals, F.col("grp"))).cast("int") + 1)
 
     def search(own: pa.Table, asked_here: pa.Table) -> pa.Table:
-        ids, x = np.asarray(own.column("vec_id")), _matrix(own.column("vec"), dim)
         out = []
-        if len(ids):
-            for i, q in zip(asked_here.column("query_id").to_pylist(), _matrix(asked_here.column("q"), dim), strict=True):
-                out += [(i, v, d) for v, d in top_k(ids, x, i, q, k)]
+        if own.num_rows:
+            leaf = np.asarray(own.column("leaf"))
+            order = np.argsort(leaf, kind="stable")
+            leaf, ids, x = leaf[order], np.asarray(own.column("vec_id"))[order], _matrix(own.column("vec"), dim)[order]
+            for i, q, wanted in zip(asked_here.column("query_id").to_pylist(), _matrix(asked_here.column("q"), dim), asked_here.column("leaves").to_pylist(), strict=True):
+                some = np.isin(leaf, wanted)
+                out += [(i, v, d) for v, d in top_k(ids[some], x[some], i, q, k)]
         cols = list(zip(*out, strict=True)) or [(), (), ()]
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
 
-    found = left.groupBy("leaf", "a", "b").cogroup(right.groupBy("leaf", "a", "b")).applyInArrow(search, "query_id long, vec_id long, score double")
+    found = left.groupBy("grp", "deal").cogroup(right.groupBy("grp", "deal")).applyInArrow(search, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

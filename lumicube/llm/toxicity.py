@@ -55,9 +55,25 @@ def windows(docs: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.n
     n = np.where(counts > 0, np.maximum(1, -(-(counts - (WINDOW - STRIDE)) // STRIDE)), 0)
     owner = np.repeat(np.arange(n_docs), n)
     k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    at = first[owner] + k * STRIDE + np.arange(WINDOW)[:, None]
+    at = (first[owner] + k * STRIDE).astype(np.int32) + np.arange(WINDOW, dtype=np.int32)[:, None]
     mask = at < (first + counts)[owner]
-    return np.where(mask, at, 0), mask.astype(np.float32), owner
+    at[~mask] = 0
+    return at, mask, owner
+
+
+def _gather(texts: list[str]) -> tuple[Words, list[tuple]]:
+    """Words of all texts, built block by block to keep temporary arrays small; and the keys by which copies are known."""
+    data, offsets = B.column_buffers(pa.array(texts, pa.string()))
+    low = B.lower_ascii(data)
+    parts = []
+    for lo, _, d, o in B.blocks(low, offsets):
+        starts, ends, docs = B.find_words(d, o, B.ALNUM)
+        parts.append((B.hash_spans(d, starts, ends), starts + offsets[lo], ends + offsets[lo], docs + lo))
+    hashes, starts, ends, docs = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
+    distinct, first, place = np.unique(hashes, return_index=True, return_inverse=True)
+    cuts = np.searchsorted(docs, np.arange(len(texts) + 1))
+    keys = [tuple(np.unique(hashes[cuts[k] : cuts[k + 1]])[:4].tolist()) for k in range(len(texts))]
+    return Words(distinct, place, docs, starts[first], ends[first], low), keys
 
 
 @dataclass
@@ -80,7 +96,7 @@ class Model:
         out = np.empty(places.shape[1], np.float32)
         for lo in range(0, places.shape[1], 2048):
             ix = words.place[places[:, lo : lo + 2048]]
-            out[lo : lo + 2048] = self.net.logits(pf[ix], pb[ix], mask[:, lo : lo + 2048])
+            out[lo : lo + 2048] = self.net.logits(pf[ix], pb[ix], mask[:, lo : lo + 2048].astype(np.float32))
         return out
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,15 +121,16 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 5) -> Model:
     Of copies, which share their four smallest word hashes, only the first teaches: one wrong label of a group of
     copies would else weigh as many times as the group has members.
     """
+    if not len(texts):
+        return Model(None, np.zeros(0, np.uint64), 0.0, 0.0)
     first: dict[tuple, int] = {}
-    for k, t in enumerate(texts):
-        own = Words.of(*B.column_buffers(pa.array([t], pa.string()))).hashes
-        first.setdefault((int(toxic[k]), *own[:4].tolist()), k)
+    for k, key in enumerate(_gather(texts)[1]):
+        first.setdefault((int(toxic[k]), *key), k)
     texts, toxic = [texts[k] for k in first.values()], np.asarray(toxic)[list(first.values())]
     y = np.asarray(toxic, dtype=np.float32)
-    if not len(y) or y.min() == y.max():
+    if y.min() == y.max():
         return Model(None, np.zeros(0, np.uint64), 0.0, 0.0)
-    words = Words.of(*B.column_buffers(pa.array(texts, pa.string())))
+    words = _gather(texts)[0]
     n = len(texts)
     r = np.random.default_rng(seed)
     # A word's log-odds between toxic and clean documents pick the vocabulary and the first windows.
@@ -129,7 +146,8 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 5) -> Model:
     places, mask, owner = windows(words.docs, n)
     if not len(owner):
         return Model(None, np.zeros(0, np.uint64), 0.0, 0.0)
-    prior = (np.where(mask > 0, np.maximum(odds * np.minimum(1, (bad + good) / 5), 0)[words.place[places]], 0)).max(axis=0)
+    worth = np.maximum(odds * np.minimum(1, (bad + good) / 5), 0)
+    prior = np.concatenate([np.where(mask[:, a : a + 4096], worth[words.place[places[:, a : a + 4096]]], 0).max(axis=0) for a in range(0, len(owner), 4096)])
     tuning = np.arange(n) % TUNING == 0 if n >= 1000 else np.zeros(n, dtype=bool)
     for epoch in range(EPOCHS):
         rank = prior if epoch == 0 else model.window_logits(words, places, mask)
@@ -154,7 +172,7 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 5) -> Model:
             inner, ix = np.unique(words.place[places[:, w]], return_inverse=True)
             buckets, at = pair_buckets(words.data, words.starts[inner], words.ends[inner])
             yw = y[owner[w]]
-            model.net.step(ids[inner], buckets, at, ix.reshape(WINDOW, -1), mask[:, w], yw, np.where(yw > 0, heavy, 1.0).astype(np.float32), RATE if epoch < EPOCHS - 3 else RATE / 4)
+            model.net.step(ids[inner], buckets, at, ix.reshape(WINDOW, -1), mask[:, w].astype(np.float32), yw, np.where(yw > 0, heavy, 1.0).astype(np.float32), RATE if epoch < EPOCHS - 3 else RATE / 4)
     best = np.full(n, -20.0)
     np.maximum.at(best, owner, model.window_logits(words, places, mask))
     own = np.flatnonzero(tuning) if y[tuning].any() else np.arange(n)
@@ -163,6 +181,7 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 5) -> Model:
     # F-measure with precision weighed more than recall: clean documents are to stay.
     k = int(np.argmax(1.25 * hit / (np.arange(1, len(own) + 1) + 0.25 * y[own].sum())))
     cut = (best[order[k]] + (best[order[k + 1]] if k + 1 < len(own) else best[order[k]] - 2)) / 2
+    model.net.m = {}  # the optimiser's state is not needed any more
     return Model(model.net, model.vocabulary, float(-cut), float(min(0.49, y.mean())) if y.mean() < 0.5 else 0.0)
 
 
@@ -181,8 +200,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, fold: Column
         part = ids.filter(F.col("y") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
         picked = part if picked is None else picked.union(part)
     texts = docs.select("doc_id", "text").filter(F.length("text").between(1, max_chars)).join(F.broadcast(picked), "doc_id")
-    rows = sorted((r["doc_id"], r["text"], r["y"]) for r in texts.toLocalIterator())
-    return [t for _, t, _ in rows], np.array([v for _, _, v in rows], dtype=np.int64)
+    rows = texts.select("doc_id", "text", "y").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    return rows.column("text").to_pylist(), np.asarray(rows.column("y"), dtype=np.int64)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
