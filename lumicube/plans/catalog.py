@@ -5,3 +5,4 @@ from . import catalog_noise  # noqa: F401
 from . import catalog_spectral  # noqa: F401
 from . import catalog_cluster  # noqa: F401
 from . import catalog_stats  # noqa: F401
+from . import catalog_geo  # noqa: F401
