@@ -6,3 +6,5 @@ from . import catalog_spectral  # noqa: F401
 from . import catalog_cluster  # noqa: F401
 from . import catalog_stats  # noqa: F401
 from . import catalog_geo  # noqa: F401
+from . import catalog_atmosphere  # noqa: F401
+from . import catalog_sources  # noqa: F401
