@@ -99,7 +99,7 @@ def with_wgs(rows: DataFrame, v: Vector, names: tuple[str, str, str] = ("lon", "
     rows = rows.withColumn("_phi", F.atan2(WGS84_A * (1.0 - t * t), 2.0 * b * t))
     rows = rows.withColumn("_phi", F.when(F.col("_phi") > math.pi / 2, F.col("_phi") - math.pi).otherwise(F.col("_phi")))
     r, zz, phi = F.col("_r"), F.col("_z"), F.col("_phi")
-    pole = (r == 0) & (zz != 0)
+    pole = (r < 1e-6) & (zz != 0)  # within a millimetre of the axis the solution degenerates
     high = (r - WGS84_A * t) * F.cos(phi) + (zz - b) * F.sin(phi)
     return rows.select(
         *keep,
