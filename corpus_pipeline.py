@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from lumicube.llm import bpe_codec, decontaminate, minhash_dedup, secret_scan, toxicity
-from lumicube.llm._spark import table
+from lumicube.llm._spark import bounded_batches, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,11 +43,13 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the texts; every document stays."""
+    bounded_batches(spark)
     return secret_scan.redacted(docs)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the decoded text."""
+    bounded_batches(spark)
     return bpe_codec.round_trip(docs)
 
 

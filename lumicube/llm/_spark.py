@@ -7,7 +7,19 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of an Arrow batch where the session has Spark's default of 10,000: texts are long, and the batches of
+#: a task's input and output are held in memory on both sides.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -17,6 +29,7 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is the cluster's ``spark.checkpoint.dir``.  Only where none is set, as in tests on one
     machine, a temporary folder is taken.
     """
+    bounded_batches(df.sparkSession)
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         own = df.sparkSession.conf.get("spark.checkpoint.dir", None)

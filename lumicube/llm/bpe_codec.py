@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 _SPACE = r"\t-\r\x20\x85\xA0  -     　"
 _PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 #: A task's table is emptied when it holds so many distinct words.
-MAX_WORDS = 200_000
+MAX_WORDS = 150_000
 
 
 def default_vocabulary() -> str:
