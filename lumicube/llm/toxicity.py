@@ -27,6 +27,8 @@ DOUBTFUL = 0.5
 #: One in so many sampled documents is kept from training and sets the cut.
 TUNING = 5
 CLEAN_WINDOWS, TOXIC_WINDOWS = 6, 2
+#: Small samples get more epochs, about so many steps in all.
+STEPS = 120
 
 
 @dataclass
@@ -111,7 +113,8 @@ class Model:
         np.maximum.at(best, owner, self.window_logits(words, places, mask))
         count = np.bincount(owner, minlength=n)
         some = count > 0
-        score[some] = sigmoid(best[some] + self.shift)
+        # Sums in single precision depend on a text's place in its block; six digits don't.
+        score[some] = np.round(sigmoid(best[some] + self.shift), 6)
         return score, count
 
 
@@ -149,7 +152,8 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 5) -> Model:
     worth = np.maximum(odds * np.minimum(1, (bad + good) / 5), 0)
     prior = np.concatenate([np.where(mask[:, a : a + 4096], worth[words.place[places[:, a : a + 4096]]], 0).max(axis=0) for a in range(0, len(owner), 4096)])
     tuning = np.arange(n) % TUNING == 0 if n >= 1000 else np.zeros(n, dtype=bool)
-    for epoch in range(EPOCHS):
+    epochs = max(EPOCHS, -(-STEPS // max(1, n * CLEAN_WINDOWS // BATCH)))
+    for epoch in range(epochs):
         rank = prior if epoch == 0 else model.window_logits(words, places, mask)
         rank = rank + 1e-6 * r.random(len(rank))
         order = np.lexsort((-rank, owner))
@@ -159,7 +163,7 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 5) -> Model:
         order, nth, some = (v[~tuning[owner[order]]] for v in (order, nth, some))
         use = order[np.where(y[owner[order]] > 0, nth < TOXIC_WINDOWS, (nth < 2) | some)]
         use = use[r.permutation(len(use))]
-        if epoch >= 2:
+        if epoch >= epochs // 4:
             top = np.full(n, -np.inf)
             np.maximum.at(top, owner, rank)
             doubt = (y > 0) & (sigmoid(top) < DOUBTFUL)
@@ -172,7 +176,7 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 5) -> Model:
             inner, ix = np.unique(words.place[places[:, w]], return_inverse=True)
             buckets, at = pair_buckets(words.data, words.starts[inner], words.ends[inner])
             yw = y[owner[w]]
-            model.net.step(ids[inner], buckets, at, ix.reshape(WINDOW, -1), mask[:, w].astype(np.float32), yw, np.where(yw > 0, heavy, 1.0).astype(np.float32), RATE if epoch < EPOCHS - 3 else RATE / 4)
+            model.net.step(ids[inner], buckets, at, ix.reshape(WINDOW, -1), mask[:, w].astype(np.float32), yw, np.where(yw > 0, heavy, 1.0).astype(np.float32), RATE if epoch < epochs - 3 else RATE / 4)
     best = np.full(n, -20.0)
     np.maximum.at(best, owner, model.window_logits(words, places, mask))
     own = np.flatnonzero(tuning) if y[tuning].any() else np.arange(n)
