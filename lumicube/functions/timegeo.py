@@ -41,8 +41,12 @@ def mjd_to_gst(mjd: Column) -> Column:
     return F.pmod(SEC_RAD * (a + (b + (c - d * t) * t) * t + f), F.lit(2 * math.pi))
 
 
-def gps_to_jd(week: Column, seconds: Column, delta_gps: Column) -> Column:
-    return JD_GPS + week * 7 + (seconds - delta_gps) / 86400.0
+#: Fixed value (s): delay of the position telemetry.
+GPS_DELAY = 0.999
+
+
+def gps_to_jd(week: Column, seconds: Column, delta_gps: Column, delay: float = 0.0) -> Column:
+    return JD_GPS + week * 7 + (seconds - delay - delta_gps) / 86400.0
 
 
 def ict_to_jd(value: Column, delta_gps: Column) -> Column:
