@@ -212,26 +212,33 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec
             leaf = shared.value.assign(_matrix(batch.column(1), dim)) if batch.num_rows else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(leaf, pa.int32())], names=["vec_id", "vec", "leaf"])
 
-    def to_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = _matrix(batch.column(1), dim)
-            lists = [shared.value.order(q, visits) for q in x]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, pa.list_(pa.int32()))], names=["query_id", "q", "leaves"])
-
     index = base.mapInArrow(to_leaf, "vec_id long, vec array<double>, leaf int")
-    tours = asked.mapInArrow(to_leaves, "query_id long, q array<double>, leaves array<int>")
     # Counts of at most MAX_LEAVES leaves decide how leaves, which are numbered by subtree, are packed into groups.
     counts = {r["leaf"]: r["count"] for r in index.groupBy("leaf").count().collect()}
     first, parts, total = pack(counts, GROUP_ROWS)
-    at = lambda values, leaf: F.get(F.array(*[F.lit(v) for v in values]), leaf)
-    all_first, all_parts = [first.get(k, 0) for k in range(tree.leaves)], [parts.get(k, 0) for k in range(tree.leaves)]
-    tours = tours.withColumn("leaf", F.explode("leaves"))
-    places = F.transform(F.sequence(F.lit(1), at(all_parts, F.col("leaf"))), lambda k: at(all_first, F.col("leaf")) + k - 1)
-    visits_of = tours.filter(at(all_parts, F.col("leaf")) > 0).select("query_id", "q", "leaf", F.explode(places).alias("grp"))
-    asked_in = visits_of.groupBy("query_id", "grp").agg(F.first("q").alias("q"), F.collect_set("leaf").alias("leaves"))
+
+    def to_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, at, groups, leaves = batch.column(0).to_pylist(), [], [], []
+            for j, q in enumerate(_matrix(batch.column(1), dim)):
+                tour: dict[int, list[int]] = {}
+                for leaf in shared.value.order(q, visits):
+                    for g in range(first.get(leaf, 0), first.get(leaf, 0) + parts.get(leaf, 0)):
+                        tour.setdefault(g, []).append(leaf)
+                at += [j] * len(tour)
+                groups += tour.keys()
+                leaves += tour.values()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([ids[j] for j in at], pa.int64()), batch.column(1).take(pa.array(at, pa.int32())), pa.array(groups, pa.int32()), pa.array(leaves, pa.list_(pa.int32()))],
+                names=["query_id", "q", "grp", "leaves"],
+            )
+
+    asked_in = asked.mapInArrow(to_groups, "query_id long, q array<double>, grp int, leaves array<int>")
     busy = {r["grp"]: -(-r["count"] // GROUP_QUERIES) for r in asked_in.groupBy("grp").count().collect()}
+    at = lambda values, k: F.get(F.array(*[F.lit(v) for v in values]), k)
     deals = [max(1, busy.get(k, 1)) for k in range(total)]
-    left = index.withColumn("grp", at(all_first, F.col("leaf")) + F.pmod(F.xxhash64("vec_id"), F.greatest(at(all_parts, F.col("leaf")), F.lit(1))).cast("int"))
+    dealt = {leaf: max(1, n) for leaf, n in parts.items()}
+    left = index.withColumn("grp", at([first.get(k, 0) for k in range(tree.leaves)], F.col("leaf")) + F.pmod(F.xxhash64("vec_id"), at([dealt.get(k, 1) for k in range(tree.leaves)], F.col("leaf"))).cast("int"))
     left = left.withColumn("deal", F.explode(F.sequence(F.lit(1), at(deals, F.col("grp")))))
     right = asked_in.withColumn("deal", F.pmod(F.xxhash64("query_id"), at(deals, F.col("grp"))).cast("int") + 1)
 
