@@ -165,46 +165,49 @@ def extract_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Scalar functions on the large tables -----------------------------------------------------------------------
 
 
-def _scalar(name: str, source: str, keys: tuple[str, ...], columns: dict[str, tuple[Column, str]], where: str = "TRUE", digits: int = 8) -> None:
-    """Register a query of column functions of one table: name -> (Spark column, DuckDB expression)."""
-    sql = f"SELECT {', '.join(keys)}, {', '.join(f'round({s}, {digits}) AS {n}' for n, (_, s) in columns.items())} FROM {source} WHERE {where}"
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return table(spark, sf_dir, source).filter(where).select(*keys, *[F.round(c, digits).alias(n) for n, (c, _) in columns.items()])
-
-    register(name, sql)(run)
-
-
 def _c(name: str) -> Column:
     return F.col(name).cast("double")
 
 
 _LINE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 _REF, _LPW, _EGL, _SAB = "(l_discount + 0.05e0)", "(l_tax * 10)", "(l_quantity + 100)", "(0.1e0 + l_tax)"
+_INV = f"({_PI} * (l_extendedprice * 1e-3 - {_LPW}) / {_EGL})"
+_AZ = "abs(l_quantity * 7.3e0 - l_extendedprice % 360)"
+_X = "(l_discount * 10 - 0.5e0)"
 
 
-def register_scalars() -> None:
+def _scalar_columns() -> dict[str, dict[str, Column]]:
+    """Column functions of the line items, by query; built when a query runs, as columns need a session."""
     q, p, d, t = _c("l_quantity"), _c("l_extendedprice"), _c("l_discount"), _c("l_tax")
-    a, b = q * 7.3, p % 360.0
-    _scalar("azimuthal_difference", "lineitem", _LINE, {"difference": (r.azimuthal_difference(a, b), "CASE WHEN abs(l_quantity * 7.3e0 - l_extendedprice % 360) > 180 THEN 360 - abs(l_quantity * 7.3e0 - l_extendedprice % 360) ELSE abs(l_quantity * 7.3e0 - l_extendedprice % 360) END")}, digits=6)
     lpw, egl, sab = t * 10, q + 100, t + 0.1
-    inv = f"({_PI} * (l_extendedprice * 1e-3 - {_LPW}) / {_EGL})"
-    _scalar("lambert_inverse", "lineitem", _LINE, {"reflectance": (r.lambert_inverse(p, 1e-3, lpw, egl, sab), f"{inv} / (1 + {inv} * {_SAB})")})
-    _scalar("lambert_forward", "lineitem", _LINE, {"radiance": (r.lambert_forward(d + 0.05, 1e-3, lpw, egl, sab), f"({_LPW} + {_REF} * {_EGL} / ({_PI} * (1 - {_SAB} * {_REF}))) / 1e-3")}, digits=5)
-    _scalar("adjacency_term", "lineitem", _LINE, {"term": (r.adjacency_term(d, t, q / 50), "(l_discount - l_tax) * (l_quantity / 50)")})
-    _scalar("global_flux", "lineitem", _LINE, {"flux": (r.global_flux(q, d, t * 500), "l_quantity * cos(radians(l_tax * 500)) + l_discount")})
-    _scalar("ndvi", "lineitem", _LINE, {"ndvi": (r.ndvi(q, d * 100), "(l_quantity - l_discount * 100) / nullif(l_quantity + l_discount * 100, 0)")})
-    _scalar("pow2_to_pow9", "lineitem", _LINE, {f"pow{n}": (r.int_power(d + 1, n), f"power(l_discount + 1, {n})") for n in range(2, 10)})
-    x = d * 10 - 0.5
-    sx = "(l_discount * 10 - 0.5e0)"
-    forms = ["1.0e0", sx, f"(3 * {sx}**2 - 1) / 2", f"(5 * {sx}**3 - 3 * {sx}) / 2", f"(35 * {sx}**4 - 30 * {sx}**2 + 3) / 8"]
-    _scalar("legendre", "lineitem", _LINE, {f"p{k}": (c, forms[k]) for k, c in enumerate(r.legendre(x, 4))})
-    w = "least(greatest(l_quantity / 12, 0.3e0), 5e0)"
-    log = "ln(greatest(0.3e0, least(5e0, l_quantity / 12)))"
-    _scalar("frac_index_log_and_linear", "lineitem", _LINE, {
-        "linear": (_frac_index(q / 12, _NODES, False), _frac_sql(w, _NODES, False)),
-        "log": (_frac_index(q / 12, _NODES, True), _frac_sql(log, [math.log(v) for v in _NODES], False)),
-    })
+    return {
+        "azimuthal_difference": {"difference": r.azimuthal_difference(q * 7.3, p % 360.0)},
+        "lambert_inverse": {"reflectance": r.lambert_inverse(p, 1e-3, lpw, egl, sab)},
+        "lambert_forward": {"radiance": r.lambert_forward(d + 0.05, 1e-3, lpw, egl, sab)},
+        "adjacency_term": {"term": r.adjacency_term(d, t, q / 50)},
+        "global_flux": {"flux": r.global_flux(q, d, t * 500)},
+        "ndvi": {"ndvi": r.ndvi(q, d * 100)},
+        "pow2_to_pow9": {f"pow{n}": r.int_power(d + 1, n) for n in range(2, 10)},
+        "legendre": {f"p{k}": c for k, c in enumerate(r.legendre(d * 10 - 0.5, 4))},
+        "frac_index_log_and_linear": {"linear": _frac_index(q / 12, _NODES, False), "log": _frac_index(q / 12, _NODES, True)},
+    }
+
+
+def _scalar_sql() -> dict[str, tuple[int, dict[str, str]]]:
+    """Digits and DuckDB expressions of the same."""
+    forms = ["1.0e0", _X, f"(3 * {_X}**2 - 1) / 2", f"(5 * {_X}**3 - 3 * {_X}) / 2", f"(35 * {_X}**4 - 30 * {_X}**2 + 3) / 8"]
+    held = "least(greatest(l_quantity / 12, 0.3e0), 5e0)"
+    return {
+        "azimuthal_difference": (6, {"difference": f"CASE WHEN {_AZ} > 180 THEN 360 - {_AZ} ELSE {_AZ} END"}),
+        "lambert_inverse": (8, {"reflectance": f"{_INV} / (1 + {_INV} * {_SAB})"}),
+        "lambert_forward": (5, {"radiance": f"({_LPW} + {_REF} * {_EGL} / ({_PI} * (1 - {_SAB} * {_REF}))) / 1e-3"}),
+        "adjacency_term": (8, {"term": "(l_discount - l_tax) * (l_quantity / 50)"}),
+        "global_flux": (8, {"flux": "l_quantity * cos(radians(l_tax * 500)) + l_discount"}),
+        "ndvi": (8, {"ndvi": "(l_quantity - l_discount * 100) / nullif(l_quantity + l_discount * 100, 0)"}),
+        "pow2_to_pow9": (8, {f"pow{n}": f"power(l_discount + 1, {n})" for n in range(2, 10)}),
+        "legendre": (8, {f"p{k}": f for k, f in enumerate(forms)}),
+        "frac_index_log_and_linear": (8, {"linear": _frac_sql(held, _NODES), "log": _frac_sql(f"ln({held})", [math.log(v) for v in _NODES])}),
+    }
 
 
 #: Stand-in nodes of the water vapour axis; only their number and ends are known.
@@ -222,12 +225,20 @@ def _frac_index(v: Column, nodes: list[float], logs: bool) -> Column:
     return out
 
 
-def _frac_sql(v: str, at: list[float], _: bool) -> str:
+def _frac_sql(v: str, at: list[float]) -> str:
     cases = " ".join(f"WHEN {v} < {at[i + 1]!r}::DOUBLE THEN {i} + ({v} - ({at[i]!r}::DOUBLE)) / {at[i + 1] - at[i]!r}::DOUBLE" for i in range(len(at) - 2))
     return f"(CASE {cases} ELSE {len(at) - 2} + ({v} - ({at[-2]!r}::DOUBLE)) / {at[-1] - at[-2]!r}::DOUBLE END)"
 
 
-register_scalars()
+def _register_scalar(name: str, digits: int, sqls: dict[str, str]) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return table(spark, sf_dir, "lineitem").select(*_LINE, *[F.round(c, digits).alias(n) for n, c in _scalar_columns()[name].items()])
+
+    register(name, f"SELECT {', '.join(_LINE)}, {', '.join(f'round({e}, {digits}) AS {n}' for n, e in sqls.items())} FROM lineitem")(run)
+
+
+for _name, (_digits, _sqls) in _scalar_sql().items():
+    _register_scalar(_name, _digits, _sqls)
 
 
 @register("tricube_weight", "SELECT i::INTEGER AS i, j::INTEGER AS j, round(power(1 - power(abs(i - j)::DOUBLE / greatest(i, 26 - i), 3), 1.5e0), 9) AS w FROM range(27) a(i), range(27) b(j)")
