@@ -112,9 +112,10 @@ def air_mass(solar_zenith: float, view_zenith: float) -> float:
 
 
 def spectral_angle(product: Column, norm_a: Column, norm_b: Column) -> Column:
-    """Angle from the scalar product and the squared norms of two spectra."""
+    """Angle from the scalar product and the squared norms of two spectra; null where one of them is."""
     c = product / F.sqrt(norm_a) / F.sqrt(norm_b)
-    return F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), c)))
+    # least and greatest pass over nulls, so a null has to be kept apart.
+    return F.when(c.isNotNull(), F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), c))))
 
 
 def legendre(x: Column, degree: int) -> list[Column]:
