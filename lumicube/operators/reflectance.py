@@ -49,21 +49,21 @@ def toa_reflectances(scene: Scene, solar: DataFrame, bands: DataFrame, copy_radi
     return scene.pixels.select(*keep, refl.alias("toa_refl"), "mask", *(["radiance"] if copy_radiance else []))
 
 
-def surface_features(values: str, bands: Sequence[Band]) -> dict[str, Column]:
-    """brightness and whiteness over all, visible and near-infrared absorption-free bands of an array column.
+def with_surface_features(rows: DataFrame, values: str, bands: Sequence[Band]) -> DataFrame:
+    """``rows`` with brightness and whiteness over all, visible and near-infrared absorption-free bands of an array.
 
-    Only the bands of a group enter its expression.
+    Only the bands of a group enter it.  Spectra, then brightness, then whiteness are projections of their own, as
+    each is used many times by the next.
     """
-    out = {}
-    for group, suffix in (("all", ""), ("vis", "_vis"), ("nir", "_nir")):
-        of = categorized(bands)[group]
-        if len(of) < 2:
-            raise ValueError(f"a group needs two bands: {group}")
-        wl = [b.wavelength for b in of]
-        v = F.transform(picked(values, [b.index for b in of]), lambda x: x * REFLECTANCE_SCALE)
-        level = r.brightness(wl, v)
-        out |= {f"brightness{suffix}": level, f"whiteness{suffix}": r.whiteness(wl, v, level)}
-    return out
+    keep, groups = rows.columns, (("all", ""), ("vis", "_vis"), ("nir", "_nir"))
+    of = categorized(bands)
+    wl = {g: [b.wavelength for b in of[g]] for g, _ in groups}
+    if any(len(w) < 2 for w in wl.values()):
+        raise ValueError("a group needs two bands")
+    rows = rows.withColumns({f"_v{s}": F.transform(picked(values, [b.index for b in of[g]]), lambda x: x * REFLECTANCE_SCALE) for g, s in groups})
+    rows = rows.withColumns({f"brightness{s}": r.brightness(wl[g], F.col(f"_v{s}")) for g, s in groups})
+    rows = rows.withColumns({f"whiteness{s}": r.whiteness(wl[g], F.col(f"_v{s}"), F.col(f"brightness{s}")) for g, s in groups})
+    return rows.select(*keep, *[f"{n}{s}" for _, s in groups for n in ("brightness", "whiteness")])
 
 
 def _strict(bands: Sequence[Band], lo: float, hi: float) -> list[Band]:

@@ -125,18 +125,18 @@ def transmittances(spark: SparkSession) -> dict[int, float]:
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cube's eight features beside its reflectances."""
-    cols = ops.surface_features("toa_refl", FEATURE_BANDS) | ops.atmospheric_features("toa_refl", FEATURE_BANDS, transmittances(spark), 35.0, 20.0)
-    return toa(spark, sf_dir).select("product_id", "y", "x", "label", "vec_id", "toa_refl", "mask", *[c.alias(n) for n, c in cols.items()])
+    paths = ops.atmospheric_features("toa_refl", FEATURE_BANDS, transmittances(spark), 35.0, 20.0)
+    return ops.with_surface_features(toa(spark, sf_dir), "toa_refl", FEATURE_BANDS).withColumns(paths)
 
 
 @register("brightness", f"WITH {_TOA_SQL}, {_group_sql('all')} SELECT x, y, round(brightness, 9) AS brightness FROM f_all")
 def brightness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toa(spark, sf_dir).select("x", "y", F.round(ops.surface_features("toa_refl", FEATURE_BANDS)["brightness"], 9).alias("brightness"))
+    return ops.with_surface_features(toa(spark, sf_dir), "toa_refl", FEATURE_BANDS).select("x", "y", F.round("brightness", 9).alias("brightness"))
 
 
 @register("whiteness", f"WITH {_TOA_SQL}, {_group_sql('vis')} SELECT x, y, round(whiteness, 9) AS whiteness FROM f_vis")
 def whiteness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toa(spark, sf_dir).select("x", "y", F.round(ops.surface_features("toa_refl", FEATURE_BANDS)["whiteness_vis"], 9).alias("whiteness"))
+    return ops.with_surface_features(toa(spark, sf_dir), "toa_refl", FEATURE_BANDS).select("x", "y", F.round("whiteness_vis", 9).alias("whiteness"))
 
 
 @register("band_interpolation", f"WITH {_TOA_SQL}, refls AS (SELECT x, y, list(refl ORDER BY band) AS refls FROM toa GROUP BY x, y) SELECT x, y, round({_interp_sql(_WV)}, 6) AS wv, round({_interp_sql(_O2)}, 6) AS o2 FROM refls")
