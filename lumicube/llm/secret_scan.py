@@ -1,10 +1,11 @@
 """Secret scan: fixed base patterns, and sliding-window Shannon entropy over candidate strings.
 
-A candidate is a maximal run of key characters.  A window slides over it one character at a time; the counts of
-the window's characters, and with them its entropy, are updated for the character that enters and the one that
-leaves.  Each character class has a window length and a threshold of its own.  Overlapping windows above the
-threshold give one span.  Allow-listed shapes (placeholders, repeated or ordered alphabets, identifiers without
-digits, plain numbers) suppress a candidate.
+A candidate is a maximal run of key characters.  Each character class has a window length and a threshold of its own,
+and its window slides over every maximal run of the class inside the candidate, so that a key name or a path joined to
+a secret doesn't put it into a wider class.  The window moves one character at a time; the counts of its characters,
+and with them its entropy, are updated for the character that enters and the one that leaves.  Overlapping windows
+above the threshold give one span.  Allow-listed shapes (placeholders, repeated or ordered alphabets) cut a candidate
+in pieces; spans without digits or without letters are no secrets.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -36,26 +37,70 @@ class CharClass:
     alphabet: frozenset[str]
     window: int
     bits: float  # least entropy of a window, in bits a character
+    changes: int = 0  # least changes between upper case, lower case and digits in a window
 
+    def runs(self, s: str) -> Iterator[tuple[int, int]]:
+        """Maximal runs of the class that hold a window."""
+        start = 0
+        for k in range(len(s) + 1):
+            if k == len(s) or s[k] not in self.alphabet:
+                if k - start >= self.window:
+                    yield start, k
+                start = k + 1
 
-#: Classes from narrow to wide; a candidate belongs to the first that holds all its characters.
+
+_BASE64 = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
+#: Classes from narrow to wide.  A window of 20 random base64 characters often has less than 3.9 bits, like a path or a
+#: name; what tells it from them is how often upper case, lower case and digits alternate.
 CLASSES = (
     CharClass("hex", frozenset("0123456789abcdefABCDEF"), 20, 2.9),
     CharClass("base32", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 20, 3.5),
-    CharClass("base64", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"), 20, 3.9),
+    CharClass("base64", _BASE64, 20, 3.9),
+    CharClass("mixed", _BASE64, 20, 3.6, 5),
+)
+
+
+def _ordered(s: str, least: int) -> str:
+    """Pattern of the beginnings of ``s`` of at least ``least`` characters."""
+    return s[:least] + "".join(f"(?:{c}" for c in s[least:]) + ")?" * (len(s) - least)
+
+
+_ALLOWED = re.compile(
+    r"(?i:x{4,}|example|placeholder|your[_-]|dummy|changeme|(?<![0-9a-z])[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}(?![0-9a-z])|0123456789|"
+    + _ordered("abcdefghijklmnopqrstuvwxyz", 10)
+    + ")"
 )
-_ALLOWED = re.compile(r"(?i)x{4,}|example|placeholder|your[_-]|dummy|changeme|^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$|0123456789|abcdefghij")
 
 
 def allowed(s: str) -> bool:
-    """Shapes that are no secrets however even their characters are."""
+    """Spans that are no secrets however even their characters are."""
     if not any("0" <= c <= "9" for c in s) or not any(c.isalpha() for c in s):
         return True
-    return len(set(s)) <= 4 or _ALLOWED.search(s) is not None
+    return len(set(s)) <= 4
+
 
+def pieces(s: str) -> Iterator[tuple[int, int]]:
+    """What allow-listed shapes leave of a candidate."""
+    at = 0
+    for m in _ALLOWED.finditer(s):
+        yield at, m.start()
+        at = m.end()
+    yield at, len(s)
 
-def entropy_spans(s: str, window: int, bits: float) -> Iterator[tuple[int, int]]:
-    """Merged spans of the windows of ``s`` with at least ``bits`` of entropy a character."""
+
+def _changes(s: str) -> list[int]:
+    """By position, the changes between upper case, lower case and digits up to there; other characters are skipped."""
+    out, before, n = [], "", 0
+    for c in s:
+        kind = "d" if "0" <= c <= "9" else "u" if "A" <= c <= "Z" else "l" if "a" <= c <= "z" else before
+        n += bool(before) and kind != before
+        before = kind
+        out.append(n)
+    return out
+
+
+def entropy_spans(s: str, window: int, bits: float, fits: Callable[[int, int], bool] | None = None) -> Iterator[tuple[int, int]]:
+    """Merged spans of the windows of ``s`` with at least ``bits`` of entropy a character that ``fits`` (if given) takes."""
     n = min(window, len(s))
     if not n:
         return
@@ -75,7 +120,7 @@ def entropy_spans(s: str, window: int, bits: float) -> Iterator[tuple[int, int]]
             k = counts.get(s[end - 1], 0)
             counts[s[end - 1]] = k + 1
             total += term[k + 1] - term[k]
-        if math.log2(n) - total / n >= bits - 1e-9:
+        if math.log2(n) - total / n >= bits - 1e-9 and (fits is None or fits(end - n, end)):
             if first is None:
                 first = end - n
             elif end - n > last:
@@ -86,6 +131,25 @@ def entropy_spans(s: str, window: int, bits: float) -> Iterator[tuple[int, int]]
         yield first, last
 
 
+def candidate_spans(s: str) -> list[tuple[int, int]]:
+    """Merged spans of the secrets of a candidate, of all classes."""
+    found: list[tuple[int, int]] = []
+    for lo, hi in pieces(s):
+        for of in CLASSES if hi - lo >= min(c.window for c in CLASSES) else ():
+            for a, b in of.runs(s[lo:hi]):
+                run = s[lo + a : lo + b]
+                n = _changes(run) if of.changes else []
+                fits = (lambda i, j, n=n, of=of: n[j - 1] - n[i] >= of.changes) if of.changes else None
+                found += [(lo + a + i, lo + a + j) for i, j in entropy_spans(run, of.window, of.bits, fits) if not allowed(run[i:j])]
+    merged: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if merged and a < merged[-1][1]:
+            merged[-1] = merged[-1][0], max(merged[-1][1], b)
+        else:
+            merged.append((a, b))
+    return merged
+
+
 def find_secrets(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by start, then kind as listed."""
     spans: list[tuple[str, int, int]] = []
@@ -96,12 +160,7 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
         spans += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 18]
     spans += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     for m in CANDIDATE.finditer(text):
-        s = m[0]
-        if allowed(s):
-            continue
-        chars = set(s)
-        of = next(c for c in CLASSES if chars <= c.alphabet)
-        spans += [("entropy", m.start() + a, m.start() + b) for a, b in entropy_spans(s, of.window, of.bits)]
+        spans += [("entropy", m.start() + a, m.start() + b) for a, b in candidate_spans(m[0])]
     spans.sort(key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
     return spans
 
