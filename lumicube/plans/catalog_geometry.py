@@ -43,9 +43,10 @@ def lines() -> ops.Lines:
     return ops.line_geometry(gps(), CENTRES, INFO)
 
 
-def _pixels(spark: SparkSession, step: int = 31) -> DataFrame:
-    grid = spark.range(144)
-    return grid.select((F.col("id") % 12 * step).cast("int").alias("x"), (F.floor(F.col("id") / 12) * step).cast("int").alias("y"))
+def _pixels(spark: SparkSession) -> DataFrame:
+    """Every pixel of a scene of the mode."""
+    m, k = mode_of(MODE), F.col("id")
+    return spark.range(m.rows * m.columns).select((k % m.columns).cast("int").alias("x"), F.floor(k / m.columns).cast("int").alias("y"))
 
 
 @register("perform_geometric_correction")
