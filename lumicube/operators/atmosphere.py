@@ -127,6 +127,15 @@ def _window(bands: Sequence[Band], lo: float, hi: float) -> np.ndarray:
     return np.array([k for k, b in enumerate(bands) if lo <= b.wavelength <= hi], dtype=int)
 
 
+def between_nodes(nodes: Sequence[Rtc], cwv: Sequence[float], w: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
+    """Tables of each pixel's water vapour (pixels, bands ``at``), linear in its logarithm between the nodes."""
+    log, x = np.log(np.asarray(cwv)), np.log(np.clip(w, cwv[0], cwv[-1]))
+    i = np.clip(np.searchsorted(log, x, side="right") - 1, 0, len(log) - 2)
+    f = np.clip((x - log[i]) / (log[i + 1] - log[i]), 0, 1)[:, None]
+    stacked = {n: np.stack([getattr(t, n)[at] for t in nodes]) for n in ("lpw", "egl", "sab")}
+    return {n: (1 - f) * v[i] + f * v[i + 1] for n, v in stacked.items()}
+
+
 def retrieve_water_vapour(radiance: np.ndarray, scale: float, bands: Sequence[Band], nodes: Sequence[Rtc], cwv: Sequence[float], initial: float) -> np.ndarray:
     """Water vapour of each pixel (pixels, bands): the value at which simulated and measured radiances of the line's
     bands have the same sum; the reflectance there continues a line fitted beside it.  Held within the nodes."""
@@ -135,16 +144,7 @@ def retrieve_water_vapour(radiance: np.ndarray, scale: float, bands: Sequence[Ba
     line = used[wl[used] > WV_FIT[1]]
     if len(fit) < 2 or not len(line):
         raise ValueError("no bands at or beside the water vapour line")
-    stacked = {n: np.stack([getattr(t, n) for t in nodes]) for n in ("lpw", "egl", "sab")}
-    log = np.log(np.asarray(cwv))
-
-    def table(w: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
-        x = np.log(np.clip(w, cwv[0], cwv[-1]))
-        i = np.clip(np.searchsorted(log, x, side="right") - 1, 0, len(log) - 2)
-        f = np.clip((x - log[i]) / (log[i + 1] - log[i]), 0, 1)[:, None]
-        return {n: (1 - f) * v[i][:, at] + f * v[i + 1][:, at] for n, v in stacked.items()}
-
-    t = table(np.full(len(radiance), initial), fit)
+    t = between_nodes(nodes, cwv, np.full(len(radiance), initial), fit)
     a = np.pi * (radiance[:, fit] * scale - t["lpw"]) / t["egl"]
     rho = a / (1 + a * t["sab"])
     x = wl[fit] - wl[fit].mean()
@@ -153,7 +153,7 @@ def retrieve_water_vapour(radiance: np.ndarray, scale: float, bands: Sequence[Ba
     measured = (radiance[:, line] * scale).sum(axis=1)
 
     def difference(w: np.ndarray) -> np.ndarray:
-        c = table(w, line)
+        c = between_nodes(nodes, cwv, w, line)
         return measured - (c["lpw"] + surface * c["egl"] / (np.pi * (1 - c["sab"] * surface))).sum(axis=1)
 
     return roots(difference, np.full(len(radiance), cwv[0]), np.full(len(radiance), cwv[-1]))
@@ -174,16 +174,17 @@ def with_water_vapour(pixels: DataFrame, scale: float, bands: Sequence[Band], lu
     return pixels.select(*keys, "radiance").mapInArrow(run, schema)
 
 
-def smile_shift(mean: np.ndarray, scale: float, bands: Sequence[Band], lut: Lut, aot: float, cwv: float, solar_zenith: float, most: float = 10.0) -> float:
+def smile_shift(mean: np.ndarray, scale: float, bands: Sequence[Band], lut: Lut, aot: float, cwv: float, solar_zenith: float, most: float = 10.0, correction: np.ndarray | None = None) -> float:
     """Wavelength shift of one detector column under which its mean reflectance about the oxygen line is smoothest."""
     at = _window(bands, *SMILE_WINDOW)
     near = np.arange(max(0, at[0] - 4), min(len(bands), at[-1] + 5))
     use = [bands[k] for k in near]
     table = lut.at(aot, cwv, solar_zenith)
+    less = np.asarray(correction)[near] if correction is not None else 0.0
 
     def roughness(shift: float) -> float:
         t = table.resampled(resampling_weights(lut.wavelengths, use, shift))
-        a = np.pi * (mean[near] * scale - t.lpw) / t.egl
+        a = np.pi * (mean[near] * scale - t.lpw + less) / t.egl
         rho = a / (1 + a * t.sab)
         smooth = lowess(rho, 0, min(9, len(rho)), 2)
         inner = np.isin(near, at)
@@ -192,12 +193,12 @@ def smile_shift(mean: np.ndarray, scale: float, bands: Sequence[Band], lut: Lut,
     return minimum(roughness, -most, 0.0, most)
 
 
-def smile_shifts(column_means: DataFrame, scale: float, bands: Sequence[Band], lut: Lut, aot: float, cwv: float, solar_zenith: float) -> DataFrame:
+def smile_shifts(column_means: DataFrame, scale: float, bands: Sequence[Band], lut: Lut, aot: float, cwv: float, solar_zenith: float, correction: np.ndarray | None = None) -> DataFrame:
     """product_id, x, shift of the columns' mean spectra (product_id, x, spectrum); the scene's shift is their median."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [smile_shift(np.asarray(v.as_py(), dtype=np.float64), scale, bands, lut, aot, cwv, solar_zenith) for v in batch.column(2)]
+            out = [smile_shift(np.asarray(v.as_py(), dtype=np.float64), scale, bands, lut, aot, cwv, solar_zenith, correction=correction) for v in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["product_id", "x", "shift"])
 
     return column_means.select("product_id", "x", "spectrum").mapInArrow(run, "product_id string, x int, shift double")

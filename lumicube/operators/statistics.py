@@ -75,16 +75,26 @@ def angular_velocity(rows: DataFrame, keys: Sequence[str], time: str, x: str, y:
     return out.withColumn("velocity", F.try_divide(angle, gap)).drop("_x", "_y", "_z", "_t")
 
 
-def max_aot(dark: DataFrame, path_radiance, start: float, step: float, most: float, count: int, keys: Sequence[str] = ("product_id",)) -> DataFrame:
+def max_aot(dark: DataFrame, path_radiance, start: float, step: float, most: float, count: int, keys: Sequence[str] = ("product_id",), fine: float | None = None) -> DataFrame:
     """Per key the largest grid value start + i step (at most ``most``) before ``count`` dark columns fall below the
-    path radiance in some band.
+    path radiance in some band; with ``fine``, the search goes on from there in steps of ``fine``.
 
     ``dark`` has keys, rank, band, value; ``path_radiance(aot, band)`` is a column.  The grid is exploded against
     the few dark pixels (count times bands).
     """
-    n = int((most - start) / step + 1e-9)
-    grid = dark.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("aot", start + F.col("i") * step)
+    found = _aot_pass(dark.withColumn("_from", F.lit(start)), path_radiance, step, most, count, keys, None)
+    if fine is None:
+        return found
+    again = dark.join(F.broadcast(found.withColumnRenamed("aot", "_from")), list(keys))  # a row a scene
+    return _aot_pass(again, path_radiance, fine, most, count, keys, int(step / fine + 1e-9))
+
+
+def _aot_pass(dark: DataFrame, path_radiance, step: float, most: float, count: int, keys: Sequence[str], steps: int | None) -> DataFrame:
+    """One pass from the column _from; ``steps`` bounds it where the value after so many is known to be too large."""
+    n = F.floor((most - F.col("_from")) / step + 1e-9).cast("int")
+    n = n if steps is None else F.least(n, F.lit(steps))
+    grid = dark.withColumn("n", n).filter("n > 0").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n")))).withColumn("aot", F.col("_from") + F.col("i") * step)
     hit = grid.filter(F.col("value") < path_radiance(F.col("aot"), F.col("band"))).groupBy(*keys, "i").agg(F.countDistinct("rank").alias("hits"))
     stop = hit.filter(F.col("hits") >= count).groupBy(*keys).agg(F.min("i").alias("stop"))
-    every = dark.select(*keys).distinct()
-    return every.join(stop, list(keys), "left").select(*keys, (start + (F.coalesce("stop", F.lit(n + 1)) - 1) * step).alias("aot"))
+    every = dark.select(*keys, "_from", n.alias("n")).distinct()
+    return every.join(stop, list(keys), "left").select(*keys, (F.col("_from") + (F.coalesce("stop", F.col("n") + 1) - 1) * step).alias("aot"))

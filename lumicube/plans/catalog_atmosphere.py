@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import numerics
-from ..operators import atmosphere as ops
+from ..operators import atmosphere as ops, correction
 from ..operators.bands import nearest_index
+from ..params import AtmosphereParams
 from ..registry import register
 from ..sources.testdata import BANDS, CUBE_SQL, LONG_SQL, cube, cube_long
 
@@ -120,6 +121,26 @@ def spectral_polishing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy((F.col("pos") + 1).alias("band")).agg(F.round(F.avg("v"), 8).alias("mean"))
 
 
+@register("correct_atmosphere")
+def correct_atmosphere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole correction of the cube: optical thickness, smile, water vapour, inversion, adjacency, polishing.
+
+    SQL can't express its solvers; compute_surface_reflectances is the inversion alone.
+    """
+    params = AtmosphereParams(adjacency=True, polishing=True, water_vapour_map=True)
+    out = correction.surface_reflectances(cube(spark, sf_dir), SCALE, ops.stand_in_lut(), params, _endmembers(), _irradiances(spark)).pixels
+    return out.select("x", "y", F.round("water_vapour", 6).alias("water_vapour"), F.transform("reflectance", lambda v: F.round(v, 8)).alias("reflectance"))
+
+
+def _irradiances(spark: SparkSession) -> tuple[float, float]:
+    from ..operators.reflectance import solar_stand_in
+
+    solar = np.array([(r["x"], r["y"]) for r in solar_stand_in(spark).orderBy("x").collect()])
+    used = [BANDS[nearest_index(BANDS, w) - 1] for w in (688.0, 780.0)]
+    red, nir = ops.resampling_weights(solar[:, 0], used) @ solar[:, 1]
+    return float(red), float(nir)
+
+
 @register("fclsu_unmixing")
 def fclsu_unmixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cube(spark, sf_dir).pixels.select("product_id", "y", "x", ops.invert("radiance", SCALE, _T).alias("rho"))
