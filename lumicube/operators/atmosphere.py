@@ -216,8 +216,8 @@ def polishing_gains(spectra: np.ndarray, endmembers: np.ndarray, wavelengths: Se
     gains = 1.0 / slope
     wl = np.asarray(wavelengths)
     edge = (wl >= RED_EDGE[0]) & (wl <= RED_EDGE[1])
-    if edge.any() and len(gains) >= 5:
-        gains = np.where(edge, 1.0 + gains - lowess(gains, 0, 5, 0), gains)
+    if edge.sum() >= 5:
+        gains[edge] = 1.0 + gains[edge] - lowess(gains[edge], 0, 5, 0)  # of the red edge alone
     return gains
 
 

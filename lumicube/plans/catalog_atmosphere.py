@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import numerics
 from ..operators import atmosphere as ops, correction
-from ..operators.bands import nearest_index
+from ..operators.bands import nearest_index, valid_pixels
 from ..params import AtmosphereParams
 from ..registry import register
 from ..sources.testdata import BANDS, CUBE_SQL, LONG_SQL, cube, cube_long
@@ -113,11 +113,10 @@ def smile_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("spectral_polishing")
 def spectral_polishing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gains from fifty reference pixels (a bounded sample by definition), applied to all pixels."""
-    rows = cube(spark, sf_dir).pixels.select("vec_id", "x", "y", ops.invert("radiance", SCALE, _T).alias("rho"))
-    reference = np.array([r["rho"] for r in rows.orderBy("vec_id").limit(50).collect()])
-    gains = ops.polishing_gains(reference, _endmembers(), [b.wavelength for b in BANDS])
-    out = rows.select(F.posexplode(ops.polished("rho", gains)).alias("pos", "v"))
+    """Gains from the 25 lowest and 25 highest vegetation indices of all valid pixels, applied to all pixels."""
+    rows = cube(spark, sf_dir).pixels.select(*correction.KEYS, valid_pixels().alias("valid"), ops.invert("radiance", SCALE, _T).alias("reflectance"))
+    gains = correction.scene_gains(rows.filter("valid"), BANDS, _endmembers())
+    out = rows.select(F.posexplode(ops.polished("reflectance", gains)).alias("pos", "v"))
     return out.groupBy((F.col("pos") + 1).alias("band")).agg(F.round(F.avg("v"), 8).alias("mean"))
 
 

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lumicube import registry
 from lumicube.model import Scene
@@ -80,6 +81,32 @@ def test_adjacency_and_polishing_follow_the_inversion(scene):
     assert np.allclose(last, near * polished.gains, atol=1e-9)
 
 
+def test_references_are_the_ends_of_all_pixels(spark):
+    red, nir = next(k for k, w in enumerate(WL) if w >= 670), next(k for k, w in enumerate(WL) if w >= 785)
+    rows = []
+    for k in range(400):
+        s = np.full(len(BANDS), 0.1)
+        s[nir], s[red], s[0] = 0.4, 0.3 - 0.0005 * k, k
+        if k % 10 == 0:
+            s[nir] = 0.8  # too bright
+        rows.append(("p", k // 20, k % 20, s.tolist()))
+    df = spark.createDataFrame(rows, "product_id string, y int, x int, reflectance array<double>")
+    kept = [k for k in range(400) if k % 10 and (0.4 - 0.3 + 0.0005 * k) / (0.7 - 0.0005 * k) > 0.1]
+    assert sorted(correction.reference_spectra(df, BANDS)[:, 0]) == kept[:25] + kept[-25:]
+    assert len(correction.reference_spectra(df.filter(F.col("y") < 2), BANDS)) == 0
+
+
+def test_red_edge_gains_are_smoothed_alone():
+    spectra = np.random.default_rng(6).random((50, len(BANDS))) + 0.5
+    edge = (WL >= a.RED_EDGE[0]) & (WL <= a.RED_EDGE[1])
+    first = a.polishing_gains(spectra, _endmembers(), WL)
+    c = np.linalg.lstsq(_endmembers(), spectra.T, rcond=None)[0]
+    smooth = (_endmembers() @ c).T
+    raw = (smooth * smooth).sum(axis=0) / (spectra * smooth).sum(axis=0)
+    assert np.allclose(first[~edge], raw[~edge])
+    assert np.allclose(first[edge], 1 + raw[edge] - a.lowess(raw[edge], 0, 5, 0))
+
+
 def test_registered_query_gives_every_pixel_and_band(spark, data):
     rows = registry.queries()["correct_atmosphere"](spark, data).collect()
     assert len(rows) == spark.read.parquet(f"{data}/embeddings.parquet").count()
