@@ -211,7 +211,9 @@ def line_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 def row_flip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.testdata import cube
 
-    return cube(spark, sf_dir).pixels.filter("y < 20").select("x", (19 - F.col("y")).alias("y"), "label")
+    pixels = cube(spark, sf_dir).pixels
+    last = pixels.agg(F.max("y").alias("last"))  # one row
+    return pixels.crossJoin(F.broadcast(last)).select("x", (F.col("last") - F.col("y")).alias("y"), "label")
 
 
 # Nearest and spline lookups ---------------------------------------------------------------------------------

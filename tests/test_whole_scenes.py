@@ -40,3 +40,10 @@ def test_last_pixel_has_the_angles_of_its_line_and_column(spark, data):
     assert len(got) == 1
     assert abs(got[0]["pitch"] - (lines.pitch[y] + t @ lines.pitch_fit)) < 2e-9
     assert abs(got[0]["roll"] - (lines.roll[y] + geometry.column_offsets(catalog_geometry.MODE)[x] + t @ lines.roll_fit)) < 2e-9
+
+
+def test_every_row_is_flipped_at_the_height_of_the_scene(spark, tmp_path):
+    df = spark.range(2000).select(F.col("id").alias("vec_id"), F.array_repeat(F.lit(0.5).cast("float"), 64).alias("embedding"), F.col("id").cast("int").alias("label"))
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {(r["x"], r["y"], r["label"]) for r in QUERIES["row_flip"](spark, str(tmp_path)).collect()}
+    assert got == {(k % 25, 79 - k // 25, k) for k in range(2000)}
