@@ -183,6 +183,11 @@ def copy_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube(spark, sf_dir).pixels.select("x", "y", F.slice("radiance", 1, 10).alias("radiance"), F.slice("mask", 1, 10).alias("mask"))
 
 
+@register("copy_product_whole")
+def copy_product_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cube(spark, sf_dir).pixels.select("x", "y", "radiance", "mask")
+
+
 @register("sink_band_into_product", f"WITH {CUBE_SQL} SELECT x, y, round(radiance[1] / 20000.0, 6) AS cloud_product FROM cube")
 def sink_band_into_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     scene = cube(spark, sf_dir).pixels.withColumn("cloud_product", F.lit(None).cast("double"))

@@ -105,6 +105,12 @@ def lag_across_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.across_track(corrected(spark, sf_dir)).select("x", "y", F.round(F.element_at("left", 7), 6).alias("left_value"))
 
 
+@register("lag_across_track_whole")
+def lag_across_track_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The left neighbour's spectrum, all bands; null in the first column."""
+    return ops.across_track(corrected(spark, sf_dir)).select("x", "y", F.transform("left", lambda v: F.round(v, 6)).alias("left_spectrum"))
+
+
 @register("spectral_norms", f"WITH {_SAD_SQL} SELECT x, y, round(norm / 1e6, 4) AS norm, round(product / 1e6, 4) AS product FROM sad")
 def spectral_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ops.spectral_norms(ops.across_track(corrected(spark, sf_dir)))

@@ -81,7 +81,13 @@ def _resampled(spark: SparkSession) -> DataFrame:
 
 @register("resample_weight", f"WITH {_RESAMPLE_SQL} SELECT band, x, round(w, 9) AS weight FROM normed WHERE band % 16 = 1")
 def resample_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _resampled(spark).filter("band % 16 = 1").select("band", "x", F.round("w", 9).alias("weight"))
+    return resample_weight_whole(spark, sf_dir).filter("band % 16 = 1")
+
+
+@register("resample_weight_whole")
+def resample_weight_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All bands; resample_weight has those that its SQL takes."""
+    return _resampled(spark).select("band", "x", F.round("w", 9).alias("weight"))
 
 
 @register("join_resample", f"WITH {_RESAMPLE_SQL} SELECT band, count(*) AS n, round(sum(w * y), 6) AS value FROM normed GROUP BY band")

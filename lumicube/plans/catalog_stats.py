@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.finite import linear_regression, statistics
 from ..operators import statistics as ops
+from ..operators.correction import kernel_of
 from ..registry import register
-from ..sources.testdata import CUBE_SQL, LARGE_SQL, LONG_SQL, TELEMETRY_SQL, cube, cube_long, large_raster, table, telemetry
+from ..sources.testdata import ATTRS, CUBE_SQL, LARGE_SQL, LONG_SQL, TELEMETRY_SQL, cube, cube_long, large_raster, table, telemetry
 
 _ODD_SQL = "odd AS (SELECT event_type, CASE WHEN event_id % 7 = 0 THEN 'nan'::DOUBLE WHEN event_id % 11 = 0 THEN 'inf'::DOUBLE ELSE value END AS v FROM events), ok AS (SELECT * FROM odd WHERE isfinite(v))"
 
@@ -56,8 +57,17 @@ def distinct_consecutive(spark: SparkSession, sf_dir: str) -> DataFrame:
 _VALUE = "CASE WHEN mask <> 0 THEN 0 ELSE value - 9000 END"
 
 
+def _masked_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cube_long(spark, sf_dir).withColumn("value", F.when(F.col("mask") != 0, 0).otherwise(F.col("value") - 9000))
+
+
 def _masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cube_long(spark, sf_dir).withColumn("value", F.when(F.col("mask") != 0, 0).otherwise(F.col("value") - 9000)).filter("band <= 4")
+    """The four bands that the SQL takes; the queries named _whole take all."""
+    return _masked_whole(spark, sf_dir).filter("band <= 4")
+
+
+#: Kernel of the cube's mode.
+KERNEL = kernel_of(ATTRS["mode"])
 
 
 _BOX_SQL = f"""WITH {LONG_SQL}, v AS (SELECT x, y, band, {_VALUE} AS value FROM long WHERE band <= 4),
@@ -66,22 +76,50 @@ box AS (SELECT a.x, a.y, a.band, any_value(a.value) AS own, sum(b.value) AS s, c
 
 @register("box_mean", f"{_BOX_SQL} SELECT x, y, band, CASE WHEN own = 0 OR n = 0 THEN 0 ELSE trunc(s::DOUBLE / n)::INTEGER END AS mean FROM box")
 def box_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.box_mean(_masked(spark, sf_dir), "value", 7).select("x", "y", "band", F.col("box_mean").alias("mean"))
+    return _box_mean(_masked(spark, sf_dir), 7)
+
+
+@register("box_mean_whole")
+def box_mean_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _box_mean(_masked_whole(spark, sf_dir), KERNEL)
+
+
+def _box_mean(rows: DataFrame, kernel: int) -> DataFrame:
+    return ops.box_mean(rows, "value", kernel).select("x", "y", "band", F.col("box_mean").alias("mean"))
 
 
 @register("box_window", f"{_BOX_SQL} SELECT band, sum(n)::BIGINT AS reads FROM box GROUP BY band")
 def box_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    row = Window.partitionBy("band", "y").orderBy("x").rangeBetween(-3, 2)
-    column = Window.partitionBy("band", "x").orderBy("y").rangeBetween(-3, 2)
-    rows = _masked(spark, sf_dir).withColumn("n", F.count_if(F.col("value") != 0).over(row)).withColumn("n", F.sum("n").over(column))
+    return _box_window(_masked(spark, sf_dir), 7)
+
+
+@register("box_window_whole")
+def box_window_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _box_window(_masked_whole(spark, sf_dir), KERNEL)
+
+
+def _box_window(rows: DataFrame, kernel: int) -> DataFrame:
+    half = kernel // 2
+    row = Window.partitionBy("band", "y").orderBy("x").rangeBetween(-half, half - 1)
+    column = Window.partitionBy("band", "x").orderBy("y").rangeBetween(-half, half - 1)
+    rows = rows.withColumn("n", F.count_if(F.col("value") != 0).over(row)).withColumn("n", F.sum("n").over(column))
     return rows.groupBy("band").agg(F.sum("n").alias("reads"))
 
 
 @register("adjacency_correction", f"{_BOX_SQL} SELECT x, y, band, round(own * 1e-4 + (own * 1e-4 - (CASE WHEN own = 0 OR n = 0 THEN 0 ELSE trunc(s::DOUBLE / n) END) * 1e-4) * (0.1e0 + 0.01e0 * band), 8) AS reflectance FROM box")
 def adjacency_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _adjacency(_masked(spark, sf_dir), 7)
+
+
+@register("adjacency_correction_whole")
+def adjacency_correction_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _adjacency(_masked_whole(spark, sf_dir), KERNEL)
+
+
+def _adjacency(rows: DataFrame, kernel: int) -> DataFrame:
     from ..functions.radiometry import adjacency_term
 
-    rows = ops.box_mean(_masked(spark, sf_dir), "value", 7)
+    rows = ops.box_mean(rows, "value", kernel)
     rho, mean = F.col("value") * 1e-4, F.col("box_mean") * 1e-4
     return rows.select("x", "y", "band", F.round(rho + adjacency_term(rho, mean, 0.1 + 0.01 * F.col("band")), 8).alias("reflectance"))
 

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from lumicube import registry
 from lumicube.model import mode_of
-from lumicube.operators import geometry
+from lumicube.operators import geometry, statistics
 from lumicube.plans import catalog_geometry
+from lumicube.sources.testdata import cube
 
 QUERIES = registry.queries()
 
@@ -47,3 +48,53 @@ def test_every_row_is_flipped_at_the_height_of_the_scene(spark, tmp_path):
     df.write.parquet(str(tmp_path / "embeddings.parquet"))
     got = {(r["x"], r["y"], r["label"]) for r in QUERIES["row_flip"](spark, str(tmp_path)).collect()}
     assert got == {(k % 25, 79 - k // 25, k) for k in range(2000)}
+
+
+def box(values, kernel):
+    """(sum, count of non-zero values) of the clipped windows of (y, x, band)."""
+    half = kernel // 2
+    s, n = np.zeros_like(values), np.zeros_like(values)
+    for y in range(values.shape[0]):
+        for x in range(values.shape[1]):
+            w = values[max(0, y - half) : y + half, max(0, x - half) : x + half]
+            s[y, x], n[y, x] = w.sum(axis=(0, 1)), (w != 0).sum(axis=(0, 1))
+    return s, n
+
+
+@pytest.fixture(scope="module")
+def masked(spark, data):
+    rows = cube(spark, data).pixels.orderBy("vec_id").collect()
+    return np.array([np.where(np.array(r["mask"]) != 0, 0, np.array(r["radiance"]) - 9000) for r in rows]).reshape(-1, 25, 64)
+
+
+def test_boxes_take_all_bands_and_the_whole_kernel(spark, data, masked):
+    s, n = box(masked, 27)
+    mean = np.where((masked != 0) & (n > 0), np.trunc(s / np.maximum(n, 1)), 0)
+    got = {(r["y"], r["x"], r["band"]): r["mean"] for r in QUERIES["box_mean_whole"](spark, data).collect()}
+    assert got == {(y, x, b + 1): mean[y, x, b] for y, x, b in np.ndindex(masked.shape)}
+    reads = {r["band"]: r["reads"] for r in QUERIES["box_window_whole"](spark, data).collect()}
+    assert reads == {b + 1: n[:, :, b].sum() for b in range(64)}
+    rho = masked * 1e-4
+    want = rho + (rho - mean * 1e-4) * (0.1 + 0.01 * np.arange(1, 65))
+    rows = QUERIES["adjacency_correction_whole"](spark, data).collect()
+    assert len(rows) == masked.size and all(abs(r["reflectance"] - want[r["y"], r["x"], r["band"] - 1]) < 2e-8 for r in rows)
+
+
+def test_kernel_of_the_other_modes(spark):
+    v = np.random.default_rng(7).integers(0, 50, (64, 62, 1))
+    rows = spark.createDataFrame([("p", y, x, 1, int(v[y, x, 0])) for y in range(64) for x in range(62)], "product_id string, y int, x int, band int, value int")
+    s, n = box(v, 59)
+    got = {(r["y"], r["x"]): r["box_mean"] for r in statistics.box_mean(rows, "value", 59).collect()}
+    assert got == {(y, x): s[y, x, 0] // n[y, x, 0] if v[y, x, 0] else 0 for y in range(64) for x in range(62)}
+
+
+def test_other_queries_keep_all_bands(spark, data):
+    pixels = {(r["x"], r["y"]): (r["radiance"], r["mask"]) for r in cube(spark, data).pixels.collect()}
+    assert {(r["x"], r["y"]): (r["radiance"], r["mask"]) for r in QUERIES["copy_product_whole"](spark, data).collect()} == pixels
+    weights = QUERIES["resample_weight_whole"](spark, data).groupBy("band").agg(F.sum("weight").alias("w")).collect()
+    assert {r["band"] for r in weights} == set(range(1, 65)) and all(abs(r["w"] - 1) < 1e-6 for r in weights)
+    left = {(r["x"], r["y"]): r["left_spectrum"] for r in QUERIES["lag_across_track_whole"](spark, data).collect()}
+    one = {(r["x"], r["y"]): r["left_value"] for r in QUERIES["lag_across_track"](spark, data).collect()}
+    assert left.keys() == one.keys() == pixels.keys()
+    for k, v in left.items():
+        assert one[k] == (v[6] if v else None) and (v is None or len(v) == 64)
