@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from . import _bytes as B
 
 #: Masks of weight eight; no shift of one covers another.
 MASKS = ("1110110010111", "1101010110011", "11100100100111")
-#: Shorter items are hashed whole, but for one word at a time: at a third and at two thirds.
+#: Shorter items may miss one word (up to nine words) or two: each word is left out in turn, or two of four groups are.
 _LONGEST = max(map(len, MASKS))
 MISMATCH = 3
 #: An overlap counts from so many matching words, for shorter items from this share of their words.
@@ -39,7 +40,10 @@ def _masks_for(length: int) -> list[np.ndarray]:
         return [np.flatnonzero(np.frombuffer(m.encode(), np.uint8) == 0x31) for m in MASKS]
     if length < 5:
         return [np.arange(length)]
-    return [np.delete(np.arange(length), cut) for cut in (length // 3, 2 * length // 3)]
+    if length - needed(length) < 2:
+        return [np.delete(np.arange(length), cut) for cut in range(length)]
+    groups = np.array_split(np.arange(length), 4)  # two missing words leave two groups whole
+    return [np.concatenate(kept) for kept in combinations(groups, 2)]
 
 
 def _seed_hashes(words: np.ndarray, offsets: np.ndarray, span: int, kind: int) -> np.ndarray:
@@ -80,11 +84,13 @@ def build_index(ids: list[int], texts: list[str]) -> Index:
     spans = sorted({min(int(c), _LONGEST) for c in counts if c})
     for span in spans:
         for kind, mask in enumerate(_masks_for(span)):
-            width = int(mask[-1]) + 1 if span == _LONGEST else span
+            lead = int(mask[0])  # a seed begins at its first word, which need not be the item's
+            mask = mask - lead
+            width = int(mask[-1]) + 1
             h = _seed_hashes(words, mask, width, kind)
             at = np.arange(len(h))
             whole = owner[at] == owner[at + width - 1]
-            right = counts[owner[at]] >= _LONGEST if span == _LONGEST else counts[owner[at]] == span
+            right = counts[owner[at]] >= _LONGEST if span == _LONGEST else (counts[owner[at]] == span) & (at - first[owner[at]] == lead)
             keep = np.flatnonzero(whole & right)
             order = keep[np.argsort(h[keep], kind="stable")]
             seeds.append((width, kind, mask, h[order], owner[order], order - first[owner[order]]))

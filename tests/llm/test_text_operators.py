@@ -195,6 +195,28 @@ def test_decontamination(spark):
     assert decontaminate.overlaps(docs(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_short_items_are_found_whichever_words_are_missing():
+    for length in range(5, 14):
+        item = [f"v{k}" for k in range(length)]
+        cut = [item[1:], item[:-1], item[2:], item[:-2], item[1:-1]]
+        for k in range(length):
+            once = item[:k] + ["changed"] + item[k + 1 :]
+            cut += [once, once[1:], once[:-1], *[once[:j] + ["else"] + once[j + 1 :] for j in range(length)]]
+        texts = [(k, " ".join(v)) for k, v in enumerate(cut)] + [(k + len(cut), " ".join(["a", *v, "z"])) for k, v in enumerate(cut)]
+        index = decontaminate.build_index([7], [" ".join(item)])
+        words, owner = decontaminate.words_of(*B.column_buffers(pa.array([t for _, t in texts])))
+        got = {x[0] for x in decontaminate.find_overlaps(index, words, owner, len(texts))}
+        want = set()  # every alignment, without seeds
+        for d, text in texts:
+            w = text.split()
+            for shift in range(1 - length, len(w)):
+                same = np.array([w[shift + k] == item[k] for k in range(length) if 0 <= shift + k < len(w)])
+                start, end = decontaminate._best_run(same)
+                if same[start:end].sum() >= decontaminate.needed(length):
+                    want.add(d)
+        assert got == want and len(want) > 2 * length
+
+
 def test_verbatim_items_are_always_found(spark, data):
     rows = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
     items = spark.read.parquet(f"{data}/benchmark.parquet").collect()
