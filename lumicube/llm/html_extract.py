@@ -1,9 +1,11 @@
 """Main-text extraction by the maximum-scoring contiguous subsequence of a page's words and tags.
 
 A page becomes a sequence of blocks of words, which score above zero, and tags, which score below zero.  Elements
-that are no article text by their tag or by the words of their class, id or role are left out beforehand.  Weights
-are log-odds of standing inside the article, estimated on labelled pages: those with one `article` element, which
-label their own words and tags.  A linear scan finds the best contiguous region, and its blocks are the text.
+that hold no article text by their tag or role are left out beforehand.  An element whose class and id words score
+below zero together is one negative item of the scan: the best region may run over it, but its text isn't taken.
+Weights of words (by element), tags and class words are log-odds of standing inside the article, estimated on
+labelled pages: those with one `article` element, which label their own words and tags.  A linear scan finds the best
+contiguous region, and its blocks with a score above zero are the text.
 """
 
 from __future__ import annotations
@@ -23,38 +25,51 @@ TOKEN = re.compile(
     r"|<(?P<close>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|</?[a-z][^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
-_ATTR = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_ATTR = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
-#: Elements that hold no article text.
+#: Elements that hold no article text, and roles that say the same.
 SKIP = frozenset("head title nav aside footer form menu dialog select button fieldset audio video canvas datalist".split())
+SKIP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 #: Left out unless they stand inside an article.
 SKIP_OUTSIDE = frozenset(["header"])
-#: Words of class, id and role values that mark menus, headers, footers, sidebars, notices, adverts and comments.
-SKIP_WORDS = frozenset(
+#: Before any page is seen, words of class and id values that mark menus, headers, footers, sidebars, notices, adverts
+#: and comments score MARK, and words that mark an article score its opposite.
+MARK = -3.0
+MARKS = frozenset(
     """ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu
     breadcrumb breadcrumbs sidebar aside footer masthead banner cookie cookies consent gdpr notice notices notification
     alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended
     recommendations comment comments commentlist disqus respond reply replies pagination pager widget toolbar search
-    contentinfo complementary copyright skip disclaimer paywall""".split()
+    contentinfo complementary copyright skip disclaimer paywall header topbar""".split()
 )
-SKIP_WORDS_OUTSIDE = frozenset(["header", "topbar"])
+CONTENT_MARKS = frozenset("article post entry content main body story text".split())
 INLINE = frozenset(
     """a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp
     small span strike strong sub sup time tt u var wbr""".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CONTENT = frozenset(["article", "main"])
-#: Elements that usually structure running text; where no labelled page shows them they cost as little as a tag can.
-TEXTUAL = frozenset("p br h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table thead tbody tr td th figure figcaption hr".split())
+#: Elements that structure running text; where no labelled page shows them they cost as little as a tag can.
+TEXTUAL = frozenset(
+    "p br h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table thead tbody tr td th figure figcaption hr div section article main".split()
+)
+#: Where a skipped element that is never closed ends, and before which an open paragraph ends.
+_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 article main section div header footer table blockquote pre figure body html".split())
+_ENDS_P = _BLOCKS | frozenset("ul ol dl form aside nav hr".split())
+#: Least share of a page's words that its articles must hold for the words outside them to score below zero.
+ARTICLE_SHARE = 0.3
+#: Bounds of what one block outside the articles, or one of links alone, costs.
+OUTSIDE, OUTSIDE_MOST = -0.5, -2.0
 
 
 @dataclass
 class Weights:
-    """Score of a word by its innermost block element, and of a tag by its name."""
+    """Score of a word by its innermost block element, of a tag by its name, and of a class word."""
 
     words: dict[str, float] = field(default_factory=dict)
     tags: dict[str, float] = field(default_factory=dict)
+    classes: dict[str, float] = field(default_factory=dict)
     word: float = 1.0
     tag: float = -2.0
     textual: float = -0.05
@@ -62,78 +77,188 @@ class Weights:
     def of_tag(self, name: str) -> float:
         return self.tags.get(name, self.textual if name in TEXTUAL else self.tag)
 
+    def of_attrs(self, attrs: str) -> float:
+        """Sum of the scores of the distinct words of class, id and label values."""
+        if not attrs:
+            return 0.0
+        parts = {p.lower() for m in _ATTR.finditer(attrs) if m[1].lower() != "role" for p in _NAME_PART.findall(m[2] or m[3] or m[4] or "")}
+        return sum(self.classes.get(p, MARK if p in MARKS else -MARK if p in CONTENT_MARKS else 0.0) for p in parts)
+
 
 #: A (score, text) item; tags have no text.
 Item = tuple[float, str]
 
 
-def _marked(attrs: str, outside: bool) -> bool:
-    for m in _ATTR.finditer(attrs):
-        for part in _NAME_PART.findall(m[1] or m[2] or m[3] or ""):
-            w = part.lower()
-            if w in SKIP_WORDS or outside and w in SKIP_WORDS_OUTSIDE:
-                return True
-    return False
-
+@dataclass
+class Token:
+    """A run of text (no name), a start tag with the number of the token that ends it, or an end tag."""
+
+    name: str
+    text: str = ""
+    attrs: str = ""
+    closing: bool = False
+    end: int = 0  # of a start tag: first token behind the element's content
+    closed: bool = True
+    article: bool = False  # within an article
+
+
+def parse(page: str) -> list[Token]:
+    """The page's tokens with elements matched; ends that are missing are implied by the element around."""
+    out: list[Token] = []
+    stack: list[int] = []
+    opened: dict[str, int] = {}
+    at = articles = 0
+
+    def pop(k: int, closed: bool) -> None:
+        nonlocal articles
+        token = out[stack.pop()]
+        token.end, token.closed = k, closed
+        opened[token.name] -= 1
+        articles -= token.name in _CONTENT
 
-def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
-    """(tag name or "", text, within an article element) in page order, without what is left out."""
-    at, skip, depth, articles = 0, "", 0, 0
     for m in TOKEN.finditer(page):
-        if m.start() > at and not skip:
-            yield "", page[at : m.start()], articles > 0
+        if m.start() > at:
+            out.append(Token("", page[at : m.start()], article=articles > 0))
         at = m.end()
         name = (m["name"] or "").lower()
         if not name:
             continue
-        closing = bool(m["close"])
-        if skip:
-            if name == skip:
-                depth += -1 if closing else (not m["attrs"].endswith("/"))
-            elif name in _CONTENT and not articles and not closing or closing and name in ("body", "html", *_CONTENT):
-                depth = 0  # an element that was never closed ends here
-            if depth:
-                continue
-            if name == skip:
-                skip = ""
-                yield name, "", articles > 0
-                continue
-            skip = ""
-        if name in _CONTENT and closing:
-            articles = max(0, articles - 1)
-        inside = articles > 0
-        if not closing and name not in VOID and not m["attrs"].endswith("/"):
-            if name in SKIP or not inside and name in SKIP_OUTSIDE or name not in ("body", "html", *_CONTENT) and m["attrs"] and _marked(m["attrs"], not inside):
-                skip, depth = name, 1
-                yield name, "", inside
-                continue
-        yield name, "", inside
-        if name in _CONTENT and not closing:
-            articles += 1
-    if at < len(page) and not skip:
-        yield "", page[at:], articles > 0
+        if m["close"]:
+            if opened.get(name):
+                while out[stack[-1]].name != name:
+                    pop(len(out), False)
+                pop(len(out), True)
+            out.append(Token(name, closing=True, article=articles > 0))
+            continue
+        if name in _ENDS_P and stack and out[stack[-1]].name == "p" or name == "li" and stack and out[stack[-1]].name == "li":
+            pop(len(out), True)
+        token = Token(name, attrs=m["attrs"], end=len(out) + 1, article=articles > 0)
+        out.append(token)
+        if name not in VOID and not m["attrs"].endswith("/"):
+            stack.append(len(out) - 1)
+            opened[name] = opened.get(name, 0) + 1
+            articles += name in _CONTENT
+    if at < len(page):
+        out.append(Token("", page[at:], article=articles > 0))
+    while stack:
+        pop(len(out), False)
+    return out
+
+
+def _skipped(token: Token) -> bool:
+    if token.name in SKIP or token.name in SKIP_OUTSIDE and not token.article:
+        return True
+    if not token.attrs or token.name in ("body", "html", *_CONTENT):
+        return False
+    return any(m[1].lower() == "role" and (m[2] or m[3] or m[4] or "").strip().lower() in SKIP_ROLES for m in _ATTR.finditer(token.attrs))
+
+
+def visible(page: str) -> list[Token]:
+    """The tokens without the elements that are left out by tag or role."""
+    tokens = parse(page)
+    out: list[Token] = []
+    place = [0] * (len(tokens) + 1)  # where each token stands in what is left
+    k = 0
+    while k < len(tokens):
+        token = tokens[k]
+        place[k] = len(out)
+        out.append(token)
+        nxt = k + 1
+        if token.name and not token.closing and token.end > k + 1 and _skipped(token):
+            nxt = token.end
+            if not token.closed:
+                # Never closed: only what stands before the next block belongs to it, unless that is the rest of a head.
+                nxt = next((j for j in range(k + 1, token.end) if tokens[j].name in _BLOCKS), token.end)
+        for j in range(k + 1, nxt):
+            place[j] = len(out)
+        k = nxt
+    place[len(tokens)] = len(out)
+    for token in out:
+        if token.name and not token.closing:
+            token.end = place[token.end]
+    return out
+
 
+def _marked(tokens: list[Token], weights: Weights) -> dict[int, float]:
+    """Scores of the elements whose class words sum below zero, by start tag.
 
-def items(page: str, weights: Weights) -> list[Item]:
+    An element that holds an article, a main element or a first-level heading is layout and has no score; neither has
+    an article, unless another article without such words stands on the page.
+    """
+    if not any(t.attrs for t in tokens):
+        return {}
+    heads = [0]
+    for t in tokens:
+        heads.append(heads[-1] + (not t.closing and (t.name in _CONTENT or t.name == "h1")))
+    found: dict[int, float] = {}
+    plain = False
+    for k, t in enumerate(tokens):
+        if t.closing or not t.name or t.name in ("body", "html", "main") or t.end <= k + 1:
+            continue
+        score = weights.of_attrs(t.attrs)
+        if t.name == "article":
+            plain |= score >= 0
+            if score < 0:
+                found[k] = score
+        elif score < 0 and heads[t.end] == heads[k + 1]:
+            found[k] = score
+    return found if plain else {k: v for k, v in found.items() if tokens[k].name != "article"}
+
+
+def items(page: str, weights: Weights, marks: bool = True) -> list[Item]:
     """The page as scored blocks of text and scored tags."""
+    tokens = visible(page)
+    marked = _marked(tokens, weights) if marks else {}
+    size = [0, 0]
+    k = 0
+    while k < len(tokens):
+        if k in marked:
+            k = tokens[k].end
+            continue
+        if not tokens[k].name:
+            size[tokens[k].article] += tokens[k].text.count(" ") + 1
+        k += 1
+    outside = OUTSIDE if size[1] and size[1] >= ARTICLE_SHARE * sum(size) else 0.0
     out: list[Item] = []
     run: list[str] = []
-    element = ""
+    element, links, linked, plain, within, content = "", 0, 0, 0, False, 0
 
     def flush() -> None:
+        nonlocal linked, plain
         if run:
             words = html.unescape("".join(run)).split()
             run.clear()
             if words:
-                out.append((len(words) * weights.words.get(element, weights.word), " ".join(words)))
-
-    for name, text, _ in tokens(page):
-        if not name:
-            run.append(text)
-        elif name not in INLINE:
+                score = len(words) * weights.words.get(element, weights.word)
+                if not within and (outside or linked > 2 * plain):
+                    score = max(OUTSIDE_MOST, len(words) * OUTSIDE)
+                out.append((score, " ".join(words)))
+        linked = plain = 0
+
+    k = 0
+    while k < len(tokens):
+        t = tokens[k]
+        if k in marked:
+            flush()
+            # Within an article, or an element that its class words say is one, the text goes on behind it.
+            out.append((max(marked[k], OUTSIDE) if t.article or k < content else marked[k], ""))
+            k = t.end
+            continue
+        k += 1
+        if marks and t.attrs and t.end > content and weights.of_attrs(t.attrs) > 0:
+            content = t.end
+        if not t.name:
+            run.append(t.text)
+            within = t.article
+            n = len(t.text.split())
+            linked, plain = (linked + n, plain) if links else (linked, plain + n)
+        elif t.name == "a":
+            links = max(0, links + (-1 if t.closing else 1))
+        elif t.name not in INLINE:
             flush()
-            out.append((weights.of_tag(name), ""))
-            element = name
+            cost = weights.of_tag(t.name)
+            out.append((max(cost, weights.textual) if t.article else cost, ""))
+            element = t.name
     flush()
     return out
 
@@ -151,44 +276,70 @@ def best_region(scored: list[Item]) -> tuple[int, int]:
 
 
 def main_text(page: str | None, weights: Weights) -> str:
-    """The page's main text; empty for a null or empty page and for one without words."""
-    scored = items(page or "", weights)
-    a, b = best_region(scored)
-    return " ".join(text for _, text in scored[a:b] if text)
+    """The page's main text; empty for a null or empty page and for one without words.
+
+    Where class words leave nothing, the page is scanned without them.
+    """
+    for marks in (True, False):
+        scored = items(page or "", weights, marks)
+        a, b = best_region(scored)
+        if a < b:
+            return " ".join(text for score, text in scored[a:b] if text and score > 0)
+    return ""
 
 
-def learn_weights(pages: Iterable[str], least: float = 0.05, most: float = 6.0) -> Weights:
+def learn_weights(pages: Iterable[str], least: float = 0.05, most: float = 6.0, deepest: float = 2.0) -> Weights:
     """Weights from labelled pages; those without exactly one article element are passed over.
 
-    Word weights are held between ``least`` and ``most`` and tag weights between their negatives, so that words
-    stay above zero and tags below; what no page shows keeps the default.
+    Word weights are held between ``least`` and ``most``, tag weights between the negatives of ``least`` and
+    ``deepest``, so that words stay above zero and tags below, and class words within ``most``; what no page shows
+    keeps the default.
     """
     word: dict[str, list[float]] = {}
     tag: dict[str, list[float]] = {}
+    of_class: dict[str, list[float]] = {}
+    plain = Weights()
     for page in pages:
         if len(re.findall(r"<article\b", page, re.I)) != 1:
             continue
-        element = ""
-        for name, text, inside in tokens(page):
-            if not name:
-                word.setdefault(element, [0.0, 0.0])[not inside] += len(text.split())
-            elif name not in INLINE:
-                tag.setdefault(name, [0.0, 0.0])[not inside or name in _CONTENT] += 1
-                element = name
+        tokens, element = visible(page), ""
+        marked = _marked(tokens, plain)
+        hidden = 0
+        for k, t in enumerate(tokens):
+            if t.attrs and not t.closing and t.end > k + 1 and t.name not in ("body", "html", *_CONTENT):
+                n = sum(len(x.text.split()) for x in tokens[k + 1 : t.end])
+                if not any(x.name in _CONTENT for x in tokens[k + 1 : t.end]):
+                    for m in _ATTR.finditer(t.attrs):
+                        for p in {p.lower() for p in _NAME_PART.findall(m[2] or m[3] or m[4] or "")} if m[1].lower() != "role" else ():
+                            # What a mark names is no article text where it stands inside the article either.
+                            if not t.article or p not in MARKS:
+                                of_class.setdefault(p, [0.0, 0.0])[not t.article] += n
+            if k in marked:
+                hidden = max(hidden, t.end)
+            if k < hidden:
+                continue
+            if not t.name:
+                word.setdefault(element, [0.0, 0.0])[not t.article] += len(t.text.split())
+            elif t.name not in INLINE:
+                tag.setdefault(t.name, [0.0, 0.0])[not t.article] += 1
+                element = t.name
     odds = lambda c: math.log((c[0] + 0.5) / (c[1] + 0.5))
+    bound = lambda x: min(most, max(-most, x))
     return Weights(
         {k: min(most, max(least, odds(c))) for k, c in word.items()},
-        {k: -min(most, max(least, -odds(c))) for k, c in tag.items()},
+        {k: -min(deepest, max(least, -odds(c))) for k, c in tag.items() if k not in TEXTUAL},
+        {k: bound(odds(c)) for k, c in of_class.items() if sum(c)},
     )
 
 
-#: Labelled pages that the weights are estimated on at most.
-MAX_LABELLED = 400
+#: Labelled pages that the weights are estimated on at most, and the characters of the longest of them: longer pages
+#: are extracted, but not learned from.
+MAX_LABELLED, MAX_LABELLED_CHARS = 400, 200_000
 
 
 def fit(pages: DataFrame, html_col: str = "html", sample: int = MAX_LABELLED) -> Weights:
     """Weights from ``sample`` labelled pages at most, those whose hash is smallest."""
-    labelled = pages.filter(F.col(html_col).rlike(r"(?i)<article\b") & (F.length(html_col) < 200_000))
+    labelled = pages.filter(F.col(html_col).rlike(r"(?i)<article\b") & (F.length(html_col) < MAX_LABELLED_CHARS))
     rows = labelled.select(F.col(html_col).alias("page"), F.xxhash64(html_col).alias("h")).orderBy("h", "page").limit(sample)
     return learn_weights(r["page"] for r in rows.toLocalIterator())
 
