@@ -13,6 +13,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ._spark import hot_keys, salted_join
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -71,8 +73,11 @@ def _mask(key: Column) -> Column:
 
 
 def entries_table(spark: SparkSession, rules: Sequence[Rule], listed: Sequence[tuple[str, str]]) -> DataFrame:
+    """host, path, verdict, is_rule of rules and listed URLs; made of literals, so that no Python worker reads it."""
     rows = [(r.host, r.path, r.verdict, 1) for r in rules] + [(h, p, "block", 0) for h, p in listed]
-    return spark.createDataFrame(rows, "host string, path string, verdict string, is_rule int")
+    names = ("host", "path", "verdict", "is_rule")
+    items = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row, strict=True)]) for row in rows]
+    return spark.range(1, numPartitions=1).select(F.inline(F.array(*items)))
 
 
 def filter_urls(pages: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -96,22 +101,26 @@ def filter_urls(pages: DataFrame, entries: DataFrame, id_col: str = "page_id", u
     bloom = exact.groupBy(_block(F.col("key"), n_blocks).alias("block")).agg(F.bit_or(_mask(F.col("key"))).alias("word"))
 
     host, path = host_and_path(F.col(url_col))
-    # The number of a row tells repeated rows apart; it depends on the scan alone, which a lost executor repeats alike.
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).withColumn("row", F.monotonically_increasing_id())
-    rows = rows.select("row", "page_id", host.alias("host"), path.alias("path"))
+    rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
+    # A verdict depends on host and path alone: each pair is judged once and joined back.
+    pairs = rows.groupBy("host", "path").agg(F.count("*").alias("pages"))
     labels = F.split("host", r"\.", -1)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.array_compact(F.array(*[F.when(F.length("path") >= k, F.substring("path", 1, k)) for k in lengths])) if lengths else F.array().cast("array<string>")
     cand = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, F.lit("\x01"), p))))
-    tried = rows.filter("host <> ''").select("row", F.explode(F.array_distinct(cand)).alias("key"))
-    tried = tried.withColumns({"block": _block(F.col("key"), n_blocks), "mask": _mask(F.col("key"))})
-    words = F.broadcast(bloom) if n_blocks <= MAX_BROADCAST_BLOCKS else bloom
-    possible = tried.join(words, "block").filter(F.col("word").bitwiseAND(F.col("mask")) == F.col("mask")).select("row", "key")
-    listed = exact.withColumnsRenamed({"host": "r_host", "path": "r_path"})
-    hits = possible.join(F.broadcast(listed) if n <= MAX_BROADCAST_ENTRIES else listed, "key")
+    tried = pairs.filter("host <> ''").select("host", "path", F.explode(F.array_distinct(cand)).alias("key"))
     order = F.struct("is_rule", (F.length("r_host") + F.length("r_path")).alias("len"), "r_host", "r_path", "verdict")
-    best = hits.groupBy("row").agg(F.max(order).alias("best"))
-    out = rows.join(best, "row", "left")
+    listed = exact.withColumnsRenamed({"host": "r_host", "path": "r_path"}).groupBy("key").agg(F.max(order).alias("best"))
+    small = n_blocks <= MAX_BROADCAST_BLOCKS and n <= MAX_BROADCAST_ENTRIES
+    # Large lists: each distinct candidate is held against filter and list once, whatever the number of its pages.
+    asked = tried if small else tried.groupBy("key").agg(F.count("*").alias("times"))
+    possible = asked.withColumns({"block": _block(F.col("key"), n_blocks), "mask": _mask(F.col("key"))}).join(F.broadcast(bloom) if small else bloom, "block")
+    possible = possible.filter(F.col("word").bitwiseAND(F.col("mask")) == F.col("mask")).drop("block", "mask", "word")
+    hits = possible.join(F.broadcast(listed) if small else listed, "key")
+    if not small:
+        hits = salted_join(tried, hits.drop("times"), ["key"], hot_keys(hits, ["key"], "times"), ["host", "path"])
+    best = hits.groupBy("host", "path").agg(F.max("best").alias("best"))
+    out = salted_join(rows, best, ["host", "path"], hot_keys(pairs, ["host", "path"], "pages"), ["page_id"], "left")
     name = F.concat("best.r_host", "best.r_path")
     return out.select(
         "page_id",
