@@ -1,13 +1,13 @@
 """Approximate nearest neighbours: a hierarchical k-means tree searched best bin first.
 
-The tree is fitted on a bounded sample and every row is sent down to a leaf.  A query's leaves come from a priority
-queue over the tree: the nearest open child is taken next, and a leaf taken is a leaf visited.  How many leaves are
-visited is calibrated: for some rows the exact neighbours are found in one pass over all rows, and visits widen
-until the calibration rows' neighbours are found with the wanted recall.
-
-Rows meet the queries that visit their leaf in groups of bounded size.  Leaves are numbered by subtree, and
-neighbouring leaves share a group, so that a query has one partial answer a group; a leaf with many rows, such as one
-of many copies, is dealt in several groups, and so are the queries of a group that many visit.
+The tree is fitted on a bounded sample, down to leaves of a few sample rows, and every row is sent down to a leaf.  A
+query's leaves come from a priority queue over the tree: the nearest open child is taken next, and a leaf taken is a
+leaf visited.  How many leaves are visited is calibrated: for some rows the exact neighbours are found in one pass over
+all rows, and visits widen until the calibration rows' neighbours are found with the wanted recall.
+
+Queries meet rows by an equality join on groups of neighbouring leaves (leaves are numbered by subtree): a query goes
+to the groups of its leaves alone and is compared with the rows of its leaves alone.  A leaf with many rows, such as
+one of many copies, is dealt over several groups.  What the driver holds is one number a leaf, of MAX_LEAVES at most.
 """
 
 from __future__ import annotations
@@ -15,17 +15,21 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from . import _bytes as B
+
 #: Rows that the tree is fitted on at most (about), rows that recall is calibrated on, and the recall to reach.
-SAMPLE, CALIBRATION, RECALL = 10_000, 64, 0.97
-BRANCHES, LEAF_ROWS, MAX_LEAVES, ROUNDS = 8, 100, 4096, 8
-#: Rows and queries of one group at most, on average.
-GROUP_ROWS, GROUP_QUERIES = 4000, 1000
+SAMPLE, CALIBRATION, RECALL = 50_000, 64, 0.95
+#: Leaves hold some LEAF_ROWS rows of the sample; MAX_LEAVES at most.
+BRANCHES, LEAF_ROWS, MAX_LEAVES, ROUNDS = 8, 10, 20_000, 6
+#: Rows of one group, and queries that a group meets at a time, on average.
+GROUP_ROWS, GROUP_QUERIES = 1000, 20_000
 
 
 @dataclass
@@ -54,20 +58,18 @@ class Tree:
             todo += [(child, rows[near == k]) for k, child in enumerate(node.children) if (near == k).any()]
         return out
 
-    def order(self, q: np.ndarray, most: int) -> list[int]:
-        """The first ``most`` leaves of the best-bin-first traversal."""
-        found: list[int] = []
+    def visit(self, q: np.ndarray) -> Iterator[int]:
+        """Leaves by the best-bin-first traversal."""
         heap: list[tuple[float, int, Node]] = [(0.0, 0, self.root)]
         tick = 1
-        while heap and len(found) < most:
-            _, _, node = heapq.heappop(heap)
+        while heap:
+            node = heapq.heappop(heap)[2]
             if node.leaf >= 0:
-                found.append(node.leaf)
+                yield node.leaf
                 continue
-            for d, child in zip(((node.centers - q) ** 2).sum(axis=1), node.children, strict=True):
-                heapq.heappush(heap, (float(d), tick, child))
+            for d, child in zip(((node.centers - q) ** 2).sum(axis=1).tolist(), node.children, strict=True):
+                heapq.heappush(heap, (d, tick, child))
                 tick += 1
-        return found
 
 
 def _nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
@@ -153,36 +155,72 @@ def _exact(rows: DataFrame, ids: np.ndarray, q: np.ndarray, tree: Tree, k: int)
     return [(r["j"], r["leaf"], r["d"]) for r in first.toLocalIterator()]
 
 
-def calibrate(rows: DataFrame, tree: Tree, k: int, recall: float = RECALL) -> int:
+def calibrate(rows: DataFrame, n: int, tree: Tree, k: int, recall: float = RECALL) -> int:
     """Leaves to visit, so that the calibration rows' exact neighbours are found with the wanted recall."""
-    n = rows.count()
     part = max(1, n // CALIBRATION)
     chosen = rows.filter(F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(part)) == 0).orderBy("vec_id").limit(CALIBRATION).toArrow()
     if not chosen.num_rows:
         return tree.leaves
     ids, q = np.asarray(chosen.column("vec_id")), _matrix(chosen.column("vec"), tree.dim)
-    at = [{leaf: p for p, leaf in enumerate(tree.order(v, tree.leaves))} for v in q]
-    ranks = np.sort([at[j][leaf] for j, leaf, _ in _exact(rows, ids, q, tree, k)])
-    return int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)]) + 1 if len(ranks) else tree.leaves
-
-
-def pack(counts: dict[int, int], size: int) -> tuple[dict[int, int], dict[int, int], int]:
-    """First group and number of groups of each leaf, and the number of groups: neighbouring leaves share a group of
-    about ``size`` rows, a larger leaf has several of its own."""
-    first, parts, group, held = {}, {}, 0, 0
-    for leaf in sorted(counts):
-        n = -(-counts[leaf] // size)
-        if n > 1 or held + counts[leaf] > size:
+    wanted: dict[int, list[int]] = {}
+    for j, leaf, _ in _exact(rows, ids, q, tree, k):
+        wanted.setdefault(j, []).append(leaf)
+    ranks: list[int] = []
+    for j, leaves in wanted.items():
+        left = set(leaves)
+        for place, leaf in enumerate(tree.visit(q[j])):
+            if leaf in left:
+                ranks += [place] * leaves.count(leaf)
+                left.discard(leaf)
+                if not left:
+                    break
+    ranks.sort()
+    return ranks[min(len(ranks), int(np.ceil(recall * len(ranks)))) - 1] + 1 if ranks else tree.leaves
+
+
+def pack(counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """First group and number of groups of each leaf by its rows, and the number of groups: neighbouring leaves share
+    a group of about ``size`` rows, a larger leaf has several of its own."""
+    first, parts, group, held = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64), 0, 0
+    for leaf in np.flatnonzero(counts).tolist():
+        own = int(counts[leaf])
+        n = -(-own // size)
+        if n > 1 or held + own > size:
             group += held > 0
             held = 0
         first[leaf], parts[leaf] = group, n
         if n > 1:
             group += n
         else:
-            held += counts[leaf]
+            held += own
     return first, parts, group + (held > 0)
 
 
+def partial_top_k(own: pa.Table, asked: pa.Table, dim: int, k: int) -> pa.Table:
+    """The k nearest rows of a group for each query, among the rows of the query's leaves."""
+    found: list[tuple[int, int, float]] = []
+    if own.num_rows and asked.num_rows:
+        leaf = np.asarray(own.column("leaf"))
+        order = np.argsort(leaf, kind="stable")
+        leaf, ids, x = leaf[order], np.asarray(own.column("vec_id"))[order], _matrix(own.column("vec"), dim)[order]
+        for i, q, wanted in zip(asked.column("query_id").to_pylist(), _matrix(asked.column("q"), dim), asked.column("leaves").to_pylist(), strict=True):
+            lo, hi = np.searchsorted(leaf, wanted, "left"), np.searchsorted(leaf, wanted, "right")
+            n = hi - lo
+            some = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+            found += [(i, v, d) for v, d in top_k(ids[some], x[some], i, q, k)]
+    cols = list(zip(*found, strict=True)) or [(), (), ()]
+    return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
+
+
+def fitted(base: DataFrame, n: int, dim: int, k: int, recall: float) -> tuple[Tree, int]:
+    """The tree of the rows, and the leaves that a query visits."""
+    keep = min(1.0, SAMPLE / n)
+    sample = base.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(keep * 1_000_000)).toArrow()
+    own = _matrix(sample.column("vec"), dim)[np.argsort(np.asarray(sample.column("vec_id")), kind="stable")]
+    tree = fit_tree(own, n)
+    return tree, calibrate(base, n, tree, k, recall)
+
+
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = RECALL) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of each query, by Euclidean distance in double.
 
@@ -200,60 +238,55 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec
         return spark.createDataFrame([], schema)
     dim, n = sizes["dim"], sizes["n"]
     base, asked = base.filter(F.size("vec") == dim), asked.filter(F.size("vec") == dim).groupBy("vec_id").agg(F.min("vec").alias("vec"))
-    keep = min(1.0, SAMPLE / n)
-    sample = base.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(keep * 1_000_000)).select("vec_id", "vec").toArrow()
-    own = _matrix(sample.column("vec"), dim)[np.argsort(np.asarray(sample.column("vec_id")), kind="stable")]
-    tree = fit_tree(own, n)
-    visits = calibrate(base, tree, k, recall)
+    tree, visits = fitted(base, n, dim, k, recall)
     shared = spark.sparkContext.broadcast(tree)  # at most MAX_LEAVES leaves
 
+    def leaf_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(tree_leaves, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                total += np.bincount(shared.value.assign(_matrix(batch.column(0), dim)), minlength=tree_leaves)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["leaf", "n"])
+
+    tree_leaves = tree.leaves
+    counted = base.select("vec").mapInArrow(leaf_counts, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(tree_leaves, np.int64)
+    counts[np.asarray(counted.column("leaf"))] = np.asarray(counted.column("n"))
+    first, parts, groups = pack(counts, GROUP_ROWS)
+    seen = min(1.0, visits / max(1, np.count_nonzero(counts)))
+    deals = max(1, -(-int(seen * asked.count()) // GROUP_QUERIES))
+    places = spark.sparkContext.broadcast((first, parts))  # two numbers a leaf
+
     def to_leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, parts = places.value
         for batch in batches:
             leaf = shared.value.assign(_matrix(batch.column(1), dim)) if batch.num_rows else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(leaf, pa.int32())], names=["vec_id", "vec", "leaf"])
-
-    index = base.mapInArrow(to_leaf, "vec_id long, vec array<double>, leaf int")
-    # Counts of at most MAX_LEAVES leaves decide how leaves, which are numbered by subtree, are packed into groups.
-    counts = {r["leaf"]: r["count"] for r in index.groupBy("leaf").count().collect()}
-    first, parts, total = pack(counts, GROUP_ROWS)
+            ids = np.asarray(batch.column(0)).astype(np.uint64)
+            grp = first[leaf] + (B.mix(ids) % np.maximum(parts[leaf], 1).astype(np.uint64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(leaf, pa.int32()), pa.array(grp)], names=["vec_id", "vec", "leaf", "grp"])
 
     def to_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, parts = places.value
         for batch in batches:
-            ids, at, groups, leaves = batch.column(0).to_pylist(), [], [], []
+            ids, at, grp, leaves = batch.column(0).to_pylist(), [], [], []
             for j, q in enumerate(_matrix(batch.column(1), dim)):
                 tour: dict[int, list[int]] = {}
-                for leaf in shared.value.order(q, visits):
-                    for g in range(first.get(leaf, 0), first.get(leaf, 0) + parts.get(leaf, 0)):
+                for leaf in islice(shared.value.visit(q), visits):
+                    for g in range(first[leaf], first[leaf] + parts[leaf]):
                         tour.setdefault(g, []).append(leaf)
                 at += [j] * len(tour)
-                groups += tour.keys()
+                grp += tour.keys()
                 leaves += tour.values()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[j] for j in at], pa.int64()), batch.column(1).take(pa.array(at, pa.int32())), pa.array(groups, pa.int32()), pa.array(leaves, pa.list_(pa.int32()))],
+                [pa.array([ids[j] for j in at], pa.int64()), batch.column(1).take(pa.array(at, pa.int32())), pa.array(grp, pa.int64()), pa.array(leaves, pa.list_(pa.int32()))],
                 names=["query_id", "q", "grp", "leaves"],
             )
 
-    asked_in = asked.mapInArrow(to_groups, "query_id long, q array<double>, grp int, leaves array<int>")
-    busy = {r["grp"]: -(-r["count"] // GROUP_QUERIES) for r in asked_in.groupBy("grp").count().collect()}
-    at = lambda values, k: F.get(F.array(*[F.lit(v) for v in values]), k)
-    deals = [max(1, busy.get(k, 1)) for k in range(total)]
-    dealt = {leaf: max(1, n) for leaf, n in parts.items()}
-    left = index.withColumn("grp", at([first.get(k, 0) for k in range(tree.leaves)], F.col("leaf")) + F.pmod(F.xxhash64("vec_id"), at([dealt.get(k, 1) for k in range(tree.leaves)], F.col("leaf"))).cast("int"))
-    left = left.withColumn("deal", F.explode(F.sequence(F.lit(1), at(deals, F.col("grp")))))
-    right = asked_in.withColumn("deal", F.pmod(F.xxhash64("query_id"), at(deals, F.col("grp"))).cast("int") + 1)
-
-    def search(own: pa.Table, asked_here: pa.Table) -> pa.Table:
-        out = []
-        if own.num_rows:
-            leaf = np.asarray(own.column("leaf"))
-            order = np.argsort(leaf, kind="stable")
-            leaf, ids, x = leaf[order], np.asarray(own.column("vec_id"))[order], _matrix(own.column("vec"), dim)[order]
-            for i, q, wanted in zip(asked_here.column("query_id").to_pylist(), _matrix(asked_here.column("q"), dim), asked_here.column("leaves").to_pylist(), strict=True):
-                some = np.isin(leaf, wanted)
-                out += [(i, v, d) for v, d in top_k(ids[some], x[some], i, q, k)]
-        cols = list(zip(*out, strict=True)) or [(), (), ()]
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
-
-    found = left.groupBy("grp", "deal").cogroup(right.groupBy("grp", "deal")).applyInArrow(search, "query_id long, vec_id long, score double")
+    left = base.mapInArrow(to_leaf, "vec_id long, vec array<double>, leaf int, grp long").withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
+    # Few bytes, but much to compute for each: adaptive execution would put all queries into one task.
+    spread = asked.repartition(spark.sparkContext.defaultParallelism, "vec_id")
+    right = spread.mapInArrow(to_groups, "query_id long, q array<double>, grp long, leaves array<int>").withColumn("deal", F.pmod(F.xxhash64("query_id"), F.lit(deals)).cast("int"))
+    found = left.groupBy("grp", "deal").cogroup(right.groupBy("grp", "deal")).applyInArrow(lambda own, here: partial_top_k(own, here, dim, k), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
