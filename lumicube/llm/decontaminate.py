@@ -98,15 +98,43 @@ def build_index(ids: list[int], texts: list[str]) -> Index:
     return Index(np.asarray(ids, dtype=np.int64), first, words, seeds, bits)
 
 
+def _best_runs(same: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) by row of the run with the largest score of matches less substitutions; the first of equals.
+    Places that are not ``inside`` the document score nothing."""
+    score = np.where(inside, np.where(same, 1, -MISMATCH), 0)
+    up = np.zeros((len(score), score.shape[1] + 1), np.int64)
+    np.cumsum(score, axis=1, out=up[:, 1:])
+    low = np.minimum.accumulate(up, axis=1)
+    end = np.argmax(up - low, axis=1)
+    rows = np.arange(len(up))
+    start = np.argmax(up == low[rows, end][:, None], axis=1)
+    return np.maximum(start, np.argmax(inside, axis=1)), end
+
+
 def _best_run(same: np.ndarray) -> tuple[int, int]:
-    """(start, end) of the run with the largest score of matches less substitutions; the first of equals."""
-    score = np.where(same, 1, -MISMATCH)
-    up = np.concatenate(([0], np.cumsum(score)))
-    low = np.minimum.accumulate(up)
-    gain = up - low
-    end = int(np.argmax(gain))
-    start = int(np.argmin(up[: end + 1]))
-    return start, end
+    """The same for one alignment that lies within its document."""
+    if not len(same):
+        return 0, 0
+    start, end = _best_runs(same[None], np.ones((1, len(same)), bool))
+    return int(start[0]), int(end[0])
+
+
+#: Words that are aligned at a time.
+ALIGNED = 1 << 21
+
+
+def _distinct_hits(docs: np.ndarray, items: np.ndarray, shifts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each (document, item, shift) once, by item."""
+    pairs, pair = np.unique(items * np.int64(docs.max() + 1) + docs, return_inverse=True)
+    low, span = shifts.min(), shifts.max() - shifts.min() + 1
+    if len(pairs) * span <= 1 << 26:
+        flags = np.zeros(len(pairs) * span, dtype=bool)
+        flags[pair * span + shifts - low] = True
+        key = np.flatnonzero(flags)
+    else:
+        key = np.unique(pair * span + shifts - low)
+    both = pairs[key // span]
+    return both % (docs.max() + 1), both // (docs.max() + 1), key % span + low
 
 
 def needed(item_words: int) -> int:
@@ -127,19 +155,37 @@ def find_overlaps(index: Index, words: np.ndarray, docs: np.ndarray, n_docs: int
         if n.sum():
             at = np.repeat(maybe, n)
             k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-            found.append(np.stack((docs[at], items[k], at - first[docs[at]] - places[k])))
+            hit = np.stack((docs[at], items[k], at - first[docs[at]] - places[k]))
+            found.append(np.stack(_distinct_hits(*hit)))
     if not found:
         return []
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for d, i, shift in np.unique(np.concatenate(found, axis=1), axis=1).T:
-        item = index.words[index.first[i] : index.first[i + 1]]
-        a, b = max(0, shift), min(first[d + 1] - first[d], shift + len(item))
-        same = words[first[d] + a : first[d] + b] == item[a - shift : b - shift]
-        start, end = _best_run(same)
-        match = int(same[start:end].sum())
-        if match >= needed(len(item)) and match > best.get((d, i), (0,))[0]:
-            best[d, i] = (match, int(a + start), int(a + end))
-    return [(int(d), int(i), *best[d, i], int(index.first[i + 1] - index.first[i])) for d, i in sorted(best)]
+    d, i, shift = _distinct_hits(*np.concatenate(found, axis=1))
+    counts = np.diff(np.append(first, len(words)))
+    parts = []
+    edges = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+    for lo, hi in zip(edges, np.append(edges[1:], len(i)), strict=True):
+        item = index.words[index.first[i[lo]] : index.first[i[lo] + 1]]
+        step = max(1, ALIGNED // len(item))
+        for at in range(lo, hi, step):
+            own, by = d[at : min(at + step, hi)], shift[at : min(at + step, hi)]
+            place = by[:, None] + np.arange(len(item))
+            inside = (place >= 0) & (place < counts[own][:, None])
+            same = inside & (words[np.where(inside, first[own][:, None] + place, 0)] == item)
+            start, end = _best_runs(same, inside)
+            sums = np.zeros((len(own), len(item) + 1), np.int64)
+            np.cumsum(same, axis=1, out=sums[:, 1:])
+            rows = np.arange(len(own))
+            match = sums[rows, end] - sums[rows, start]
+            good = np.flatnonzero(match >= needed(len(item)))
+            parts.append(np.stack((own[good], i[at : at + len(own)][good], match[good], by[good] + start[good], by[good] + end[good], np.full(len(good), len(item)))))
+    if not parts:
+        return []
+    # The best alignment of each document and item; the first place of equals.
+    all_of = np.concatenate(parts, axis=1)
+    all_of = all_of[:, np.lexsort((all_of[3], -all_of[2], all_of[1], all_of[0]))]
+    new = np.ones(all_of.shape[1], dtype=bool)
+    new[1:] = (all_of[0, 1:] != all_of[0, :-1]) | (all_of[1, 1:] != all_of[1, :-1])
+    return [tuple(x) for x in all_of[:, new].T.tolist()]
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list[int], list[str]]]:
@@ -196,7 +242,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text overlaps with no item, by one narrow pass a block; columns stay as they are."""
+    """The rows of ``docs`` whose text overlaps with no item, by one narrow pass a block; columns stay as they are.
+
+    Null, empty and wordless texts stay; ids are not looked at; repeated rows share their fate; texts of any length are
+    read whole; null and empty items overlap with nothing, and without items every row stays; an empty table gives no
+    rows.  An item of fewer than five words counts only where all of it stands.
+    """
     spark, schema = docs.sparkSession, docs.schema
     at = docs.columns.index("text")
     for ids, texts in _blocks(benchmark, "item_id", "text"):
