@@ -66,7 +66,7 @@ class Codec:
         self.max_words = max_words
         self.merge = self._ranked(spec["model"])
         self.table: dict[str, tuple[int, ...]] = {}
-        self.joined: dict[str, tuple[str, bytes]] = {}  # a word's ids as text, and the bytes of their pieces
+        self.joined: dict[str, str] = {}  # a word's ids as text
 
     def _ranked(self, model: dict):
         """A rank-based merger of one word's bytes, if the file's ids from 256 on are its merges in order, as they
@@ -79,12 +79,12 @@ class Codec:
         ranks = {self.pieces[i]: i for i in range(256 + len(pairs))}
         if len(ranks) != 256 + len(pairs):
             return None
-        return tiktoken.Encoding("words", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        return tiktoken.Encoding("words", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def _ids(self, words: list[str]) -> list[list[int]]:
         if self.merge is None:
             return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        return [[self.added[w]] if w in self.added else self.merge(w.encode()) for w in words]
+        return [[self.added[w]] if w in self.added else self.merge(w) for w in words]
 
     def split(self, text: str) -> list[str]:
         """The words of a text; a special token's string is a word of its own."""
@@ -107,7 +107,7 @@ class Codec:
             new = [w for w in words if w not in self.table]
         for w, ids in zip(new, self._ids(new), strict=True):
             self.table[w] = tuple(ids)
-            self.joined[w] = (",".join(map(str, ids)), b"".join([self.pieces[i] for i in ids]))
+            self.joined[w] = ",".join(map(str, ids))
 
     def encode(self, words: list[str]) -> list[int]:
         """Ids of a split text, joined to its words by position."""
@@ -116,8 +116,7 @@ class Codec:
 
     def decode(self, ids: list[int]) -> bytes:
         """The text's bytes; like the library, decoding replaces what is no UTF-8."""
-        pieces = self.pieces
-        raw = b"".join([pieces[i] for i in ids])
+        raw = b"".join(map(self.pieces.__getitem__, ids))
         try:
             raw.decode()
             return raw
@@ -192,8 +191,8 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
 def round_trip(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256, lossless.
 
-    Both joins are by word: a distinct word's ids and their pieces are looked up once and placed where it stands,
-    which gives the same bytes as joining every id, as pieces are whole bytes.  The ids are joined and hashed beside the decoded text, so that neither has to be written between the two.
+    A document's ids are joined to its words by position, and every id of them to its piece's bytes; the decoded text
+    comes from the ids alone.  Both are hashed in the same pass, so that neither has to be written between the two.
     Edge cases as in ``encode``.
     """
     path = vocabulary or default_vocabulary()
@@ -207,11 +206,10 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None, id_col: str = "do
             for block in own.blocks(texts):
                 n, ids_sha, text_sha, same = [], [], [], []
                 for k, words in enumerate(block):
-                    places = [joined[w] for w in words]
-                    ids = ",".join([p[0] for p in places])
-                    raw = b"".join([p[1] for p in places])
-                    n.append(ids.count(",") + 1 if ids else 0)
-                    ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
+                    ids = own.encode(words)
+                    raw = own.decode(ids)
+                    n.append(len(ids))
+                    ids_sha.append(hashlib.sha256(",".join([joined[w] for w in words]).encode()).hexdigest())
                     text_sha.append(hashlib.sha256(raw).hexdigest())
                     same.append(raw == texts[at + k].encode())
                 yield pa.RecordBatch.from_arrays(
