@@ -56,7 +56,7 @@ CLASSES = (
     CharClass("hex", frozenset("0123456789abcdefABCDEF"), 20, 2.9),
     CharClass("base32", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 20, 3.5),
     CharClass("base64", _BASE64, 20, 3.9),
-    CharClass("mixed", _BASE64, 20, 3.6, 5),
+    CharClass("mixed", _BASE64, 20, 3.6, 8),
 )
 
 
