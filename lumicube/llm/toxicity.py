@@ -24,8 +24,9 @@ MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1500, 2500, 20_000
 VOCABULARY, EPOCHS, BATCH, RATE = 300, 8, 256, 0.01
 #: After the first epochs, a toxic document whose best window stays below this probability counts as mislabelled.
 DOUBTFUL = 0.5
-#: One in so many sampled documents is kept from training and sets the cut.
-TUNING = 5
+#: One in so many sampled documents is kept from training and sets the cut, if the sample has TUNING_LEAST texts at
+#: least; a smaller one sets the cut on the training texts themselves.
+TUNING, TUNING_LEAST = 5, 1000
 CLEAN_WINDOWS, TOXIC_WINDOWS = 6, 2
 #: Small samples get more epochs, about so many steps in all.
 STEPS = 120
@@ -151,7 +152,7 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 5) -> Model:
         return Model(None, np.zeros(0, np.uint64), 0.0, 0.0)
     worth = np.maximum(odds * np.minimum(1, (bad + good) / 5), 0)
     prior = np.concatenate([np.where(mask[:, a : a + 4096], worth[words.place[places[:, a : a + 4096]]], 0).max(axis=0) for a in range(0, len(owner), 4096)])
-    tuning = np.arange(n) % TUNING == 0 if n >= 1000 else np.zeros(n, dtype=bool)
+    tuning = np.arange(n) % TUNING == 0 if n >= TUNING_LEAST else np.zeros(n, dtype=bool)
     epochs = max(EPOCHS, -(-STEPS // max(1, n * CLEAN_WINDOWS // BATCH)))
     for epoch in range(epochs):
         rank = prior if epoch == 0 else model.window_logits(words, places, mask)
@@ -209,6 +210,11 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, fold: Column
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """The model of the labelled documents outside the held-out fold, a bounded sample of them.
+
+    Rows with a null id, label or text, an empty text or more than MAX_CHARS characters teach nothing; an id with both
+    labels counts as clean; rows that share an id each teach with their text; without both labels every text scores 0.
+    """
     return train(*training_sample(docs, labels, "toxic", held_out(F.col("doc_id"), 5, 0), {1: MAX_TOXIC, 0: MAX_CLEAN}))
 
 
@@ -232,7 +238,11 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that the model doesn't reject; columns stay as they are."""
+    """The rows of ``docs`` that the model doesn't reject (score below 0.5); columns stay as they are.
+
+    Null, empty and wordless texts stay, and so does a null id with its text; repeated rows share their fate; texts of
+    any length are read whole; an empty table gives no rows.
+    """
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
