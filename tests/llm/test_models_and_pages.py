@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from lumicube.llm import _bigru, ann_tree, html_extract, quality_pu, toxicity, url_filter
+from lumicube.llm import _bigru, _spark, ann_tree, html_extract, quality_pu, toxicity, url_filter
 from lumicube.llm._spark import table
 
 
@@ -103,6 +103,41 @@ def test_quality_learns_from_positives_and_unlabelled(spark):
     assert quality_pu.score_quality(rows.limit(0), model).count() == 0
 
 
+def test_quality_scores_do_not_depend_on_the_block(spark):
+    model = quality_pu.train([t for t, y in messy(200, 1) if y], [t for t, _ in messy(300, 3)])
+    long = "The house stands near water. " * 20_000
+    texts = [t for t, _ in messy(60, 4)] + [long, "x", "\x00", "é" * 3000]
+    schema = "doc_id long, text string, held_out string, predicted string"
+    data = [(k % len(texts), t, "a", "b") for k, t in enumerate(texts * 3)]
+    seen: dict = {}
+    for parts in (1, 7):
+        for x in quality_pu.score_quality(spark.createDataFrame(data, schema).repartition(parts), model).collect():
+            seen.setdefault(x["doc_id"], set()).add(x["score"])
+    assert len(seen) == len(texts) and all(len(v) == 1 for v in seen.values())
+
+
+def _auc(score, y):
+    rank = np.argsort(np.argsort(score))
+    pos = y == 1
+    return (rank[pos].sum() - pos.sum() * (pos.sum() - 1) / 2) / (pos.sum() * (~pos).sum())
+
+
+# About one toxic label in eight stands on a text that has none of the words that mark the others.
+@pytest.mark.parametrize("name,label,least", [("op3_toxicity", "toxic", 0.85), ("op8_quality", "quality", 0.95)])
+def test_registered_classifiers_on_held_out_labels(spark, name, label, least):
+    import os
+
+    from lumicube.llm import queries
+
+    data = "/root/testdata/sf0.01"
+    if not os.path.isdir(data):
+        pytest.skip("the test tables are not here")
+    got = queries.QUERIES[name](spark, data).join(table(spark, data, "labels"), "doc_id").filter("held_out").select("score", label).toPandas()
+    y = got[label].to_numpy()
+    assert len(y) > 30 and 0 < y.sum() < len(y)
+    assert _auc(got["score"].to_numpy(), y) >= least, _auc(got["score"].to_numpy(), y)
+
+
 # op5 --------------------------------------------------------------------------------------------------------
 
 
@@ -144,12 +179,39 @@ def test_nearest_neighbours_of_few(spark):
 
 
 def test_packing():
-    first, parts, total = ann_tree.pack({0: 10, 1: 95, 2: 350, 3: 5, 7: 5}, 100)
+    counts = np.zeros(8, np.int64)
+    counts[[0, 1, 2, 3, 7]] = [10, 95, 350, 5, 5]
+    first, parts, total = ann_tree.pack(counts, 100)
     assert (parts[2], first[2] + 4 <= total, first[3] == first[7]) == (4, True, True)
     spans = [set(range(first[k], first[k] + parts[k])) for k in (1, 2, 3)]
     assert not spans[0] & spans[1] and not spans[1] & spans[2] and max(max(s) for s in spans) == total - 1
 
 
+def test_registered_query_reads_few_rows_with_enough_recall(spark):
+    import os
+
+    from lumicube.llm import queries
+
+    data = "/root/testdata/sf0.1"
+    if not os.path.isdir(data):
+        pytest.skip("the test tables are not here")
+    rows = table(spark, data, "embeddings")
+    base = ann_tree.usable(rows, "vec_id", "embedding")
+    got = base.toArrow()
+    ids, x = np.asarray(got.column("vec_id")), ann_tree._matrix(got.column("vec"), 64)
+    tree, visits = ann_tree.fitted(base, len(ids), 64, 10, ann_tree.RECALL)
+    leaf = tree.assign(x)
+    size = np.bincount(leaf, minlength=tree.leaves)
+    asked = np.flatnonzero(ids % 100 == 0)
+    share = np.mean([sum(size[y] for y in list(tree.visit(x[j]))[:visits]) for j in asked]) / len(ids)
+    assert share < 0.5, share
+    found = {}
+    for y in queries.QUERIES["op5_nearest_neighbours"](spark, data).collect():
+        found.setdefault(y["query_id"], set()).add(y["vec_id"])
+    hits = sum(len(found[int(ids[j])] & {v for v, _ in ann_tree.top_k(ids, x, int(ids[j]), x[j], 10)}) for j in asked)
+    assert hits >= 0.9 * 10 * len(asked), hits
+
+
 # op9 --------------------------------------------------------------------------------------------------------
 
 URLS = [None, "", "no scheme", "http://", "http://EXAMPLE.com/en/x", "http://www.example.com/en/", "http://a.www.example.com/en/?q", "http://notexample.com/en/", "http://x.net/es/1#a", "http://x.net/fr", "http://x.net/fr/", "http://spam-farm.example.org/a", "http://com/", "http://a.com", "http://a.com/", "http://malware.example.org?x", "a://b://c.net/es/", "http://x.com:80/", "http://www.example.com/EN/", "http://a.com\n/b"]
@@ -169,7 +231,7 @@ def brute_url(url):
     return host, path, None, "block" if any(fits(*e) for e in url_filter.LISTED) else "allow"
 
 
-def test_urls(spark):
+def test_urls(spark, monkeypatch):
     r = random.Random(3)
     urls = URLS + ["http://" + ".".join(r.choices(["www", "example", "com", "net", "org", "spam-farm", "a"], k=r.randint(1, 4))) + "/" + "/".join(r.choices(["en", "es", "fr", "x"], k=r.randint(0, 3))) for _ in range(300)]
     urls += urls[:30]
@@ -181,6 +243,9 @@ def test_urls(spark):
         u = URLS[4] if x["page_id"] is None else urls[x["page_id"]]
         assert (x["host"], x["path"], x["rule"], x["verdict"]) == brute_url(u), u
     assert url_filter.filter_urls(pages.limit(0), entries).count() == 0
+    monkeypatch.setattr(url_filter, "MAX_BROADCAST_ENTRIES", 0)
+    monkeypatch.setattr(_spark, "MIN_HOT", 5)
+    assert sorted(map(str, url_filter.filter_urls(pages, entries).collect())) == sorted(map(str, got))
     assert {x["verdict"] for x in url_filter.filter_urls(pages, entries.limit(0)).collect()} == {"allow"}
 
 
@@ -228,6 +293,32 @@ def test_cut_pages_are_read_to_their_end():
             assert TEXT.startswith(html_extract.main_text(PAGE[:k], weights)[:20])
 
 
+#: Pages of other shapes, and their main texts.
+SHAPES = [
+    ('<div class="layout sidebar-right"><h1>T</h1><p>one two three</p></div>', "T one two three"),
+    ('<div class="post ad-hoc"><p>one two</p></div>', "one two"),
+    ('<div class="comments"><p>all there is</p></div>', "all there is"),  # class words alone empty no page
+    ("<article><p>a b c</p><aside>see <p>more text here</p></article><footer>f</footer>", "a b c more text here"),
+    ("<article><p>first words of it</p><div><div><div><p>last</p></div></div></div></article>", "first words of it last"),
+    ("<body><article><p>a b c d e f</p></article><article><p>g h</p></article></body>", "a b c d e f g h"),
+    ("<nav><ul><li><a>x</a></ul><h1>T</h1><p>body text", "T body text"),
+    ('<div class="ad">buy</div><div class=content><p>this is <a>the</a> text</p><div class="newsletter-signup">sign up now please</div><p>end</p></div><ul><li><a href=1>other link</a></ul>', "this is the text end"),
+    ('<div role="navigation">m</div><p>text &amp; more</p>', "text & more"),
+    ('<header class="page"><h1>Site</h1></header><article class=post><header><h1>Real</h1></header><p>x y</p></article><article class="comment"><p>bad bad bad bad bad</p></article>', "Real x y"),
+    ("<ul><li>one<li>two</ul><p>un<b>closed<p>next", "one two unclosed next"),
+    ("<p>" * 30_000 + "deep", "deep"),
+]
+
+
+@pytest.mark.parametrize("learned", [False, True])
+def test_pages_of_other_shapes(data, learned):
+    import pyarrow.parquet as pq
+
+    weights = html_extract.learn_weights(pq.read_table(f"{data}/pages.parquet", columns=["html"])["html"].to_pylist()) if learned else html_extract.Weights()
+    for page, text in SHAPES:
+        assert html_extract.main_text(page, weights) == text, page[:80]
+
+
 def test_labelled_pages_give_their_articles(spark, data):
     import html
     import re
@@ -284,3 +375,19 @@ def test_stages_take_odd_tables(spark, data, stage):
     if name != "bpe":
         assert out.columns == odd.columns
     assert run(spark, odd.limit(0), data).count() == 0
+
+
+def test_near_dedup_judges_rows_by_their_texts(spark, data):
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    one, two, three, four = ("".join(f"{w}{k} " for k in range(40)) for w in "abcd")
+    rows = [(1, one), (2, one), (2, two), (8, three), (8, four), (8, four), (8, four.upper()), (9, four + "more"), (None, one), (3, None), (3, ""), (10, "x " * 60_000)]
+    schema = "doc_id long, text string, h1 long, node string, key int, _id0 int, n_chars long"  # clashing extra columns
+    docs = spark.createDataFrame([(i, t, 1, "n", 2, 3, len(t or "")) for i, t in rows], schema)
+    got = [(x["doc_id"], x["text"]) for x in stage(spark, docs, data).collect()]
+    eight = [t for i, t in got if i == 8]
+    assert sorted(t.lower() for t in eight) == [three, four]
+    rest = [(i, t) for i, t in got if i != 8]
+    assert sorted(rest, key=str) == sorted([(1, one), (2, two), (None, one), (3, None), (3, ""), (10, "x " * 60_000)], key=str)
+    assert stage(spark, docs, data).columns == docs.columns

@@ -47,25 +47,41 @@ def test_hashes_do_not_depend_on_the_place():
 
 def brute_licenses(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOW))
-    places, labels = [], set()
-    for n in license_scan.NOTICES:
-        key = n.key.split()
-        at = [i for i in range(len(w)) if w[i : i + len(key)] == key]
-        if at:
-            labels.add((n.label, n.base))
-        places += at if n.base else []
-    return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(a for a, b in labels if b)), ",".join(sorted(a for a, _ in labels))
+    places, labels, score, count = [], set(), 0.0, 0
+    for e in license_scan.build_index():
+        looked = [r for r in e.rare if r in w][: len(e.rare) if e.notice.base else license_scan.LOOKUP]
+        for s in range(-len(e.words), len(w)):
+            same = [0 <= s + j < len(w) and w[s + j] == x for j, x in enumerate(e.words)]
+            if not all(all(same[at : at + len(key)]) for at, key in e.keys):
+                continue
+            if not e.notice.base and sum(ok and x in looked for ok, x in zip(same, e.words, strict=True)) < 2:
+                continue
+            cover = sum(y for ok, y in zip(same, e.weights, strict=True) if ok) / sum(e.weights)
+            score = max(score, cover)
+            if e.notice.base or cover >= license_scan.MIN_COVER:
+                labels.add((e.notice.label, e.notice.base))
+                count += 1
+            if e.notice.base:
+                places.append(s + e.keys[0][0])
+    out = len(w), len(places), min(places, default=None), max(places, default=None)
+    return *out, ",".join(sorted(a for a, b in labels if b)), ",".join(sorted(a for a, _ in labels)), round(score, 6), count
 
 
 def test_licenses(spark, edge):
     r = random.Random(2)
     bits = ["MIT License", "the Apache", "license", "General Public License", "GNU", "version 3", "Released under the MIT License.", "Licensed under CC BY-NC 4.0", "mit", "licenſe", "Kit", "Licensed under the Apache License, Version 2.0"]
-    texts = edge + [(100 + k, " ".join(r.choices(bits, k=r.randint(0, 9)))) for k in range(200)]
+    whole = [n.text.title() for n in license_scan.NOTICES]
+    cut = [" ".join(x for x in t.split() if r.random() < 0.97) for t in whole * 3]
+    texts = edge + [(100 + k, " ".join(r.choices(bits + whole + cut, k=r.randint(0, 9)))) for k in range(200)] + [(400 + k, t) for k, t in enumerate(whole)]
     got = license_scan.scan_licenses(docs(spark, texts)).collect()
     assert len(got) == len(texts)
     for (i, t), x in zip(texts, got, strict=True):
-        assert (x["doc_id"], *[x[c] for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels")]) == (i, *brute_licenses(t))
-        assert 0 <= x["score"] <= 1 and (x["score"] > 0) == (x["labels"] != "")
+        assert (x["doc_id"], *[x[c] for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "n_notices")]) == (i, *brute_licenses(t))
+        assert 0 <= x["score"] <= 1 and (x["score"] > 0 or x["labels"] == "")
+    by_id = {x["doc_id"]: x for x in got}
+    assert all(by_id[400 + k]["score"] == 1 and n.label in by_id[400 + k]["labels"].split(",") for k, n in enumerate(license_scan.NOTICES))
+    mention = license_scan.scan_licenses(docs(spark, [(1, "MIT License")])).first()["score"]
+    assert 0 < mention < 0.7
     assert license_scan.scan_licenses(docs(spark, [])).count() == 0
 
 
@@ -117,6 +133,21 @@ def test_near_duplicates(spark, width):
     assert got == brute_components(texts, width)
 
 
+def test_near_duplicates_with_hot_keys(spark, monkeypatch):
+    from lumicube.llm import _graph, _spark
+
+    monkeypatch.setattr(_spark, "MIN_HOT", 4)
+    monkeypatch.setattr(_graph, "MIN_DEALT", 1)
+    test_near_duplicates(spark, 2)
+
+
+def test_ids_that_stand_on_several_texts(spark):
+    one, two = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    px = spark.createDataFrame([(8, one, 1, 2), (8, two, 1, 2), (9, two + " x", 1, 2), (7, one + " y", 1, 2)], "doc_id long, text string, node int, key int")
+    got = [(x["doc_id"], x["component_id"], x["kept"]) for x in minhash_dedup.near_duplicates(px, shingle_words=2).collect()]
+    assert sorted(got) == [(7, 7, True), (8, 7, False), (8, 8, True), (9, 8, False)]
+
+
 def test_near_duplicates_edges(spark, edge):
     got = minhash_dedup.near_duplicates(docs(spark, edge), shingle_words=2).collect()
     assert len(got) == len(edge)
@@ -217,6 +248,29 @@ def test_short_items_are_found_whichever_words_are_missing():
         assert got == want and len(want) > 2 * length
 
 
+def test_decontamination_edges(spark):
+    item = " ".join(f"v{k}" for k in range(20))
+    long = "w " * 60_000 + item
+    rows = [(1, long), (2, item), (2, item), (None, item), (4, "v1 v2"), (5, None)]
+    px = spark.createDataFrame([(i, t, 7, "x") for i, t in rows], "doc_id long, text string, item_id int, n_match string")
+    bench = spark.createDataFrame([(7, item, 1), (7, item, 1), (8, "", 1), (9, "solo", 1)], "item_id long, text string, doc_id int")
+    got = sorted((tuple(x)[:3] for x in decontaminate.overlaps(px, bench).collect()), key=str)
+    assert got == sorted([(i, 7, 20) for i in (1, 2, 2, None) for _ in range(2)], key=str)
+    assert [x["start_word"] for x in decontaminate.overlaps(px, bench).filter("doc_id = 1").collect()] == [60_000] * 2
+    assert sorted(x["doc_id"] for x in decontaminate.clean_documents(px, bench).collect()) == [4, 5]
+
+
+def test_repeated_words_are_merged_before_they_are_aligned():
+    import time
+
+    index = decontaminate.build_index([1], ["word " * 40])
+    words, owner = decontaminate.words_of(*B.column_buffers(pa.array(["word " * 80_000])))
+    decontaminate.find_overlaps(index, words[:1000], owner[:1000], 1)
+    began = time.perf_counter()
+    assert decontaminate.find_overlaps(index, words, owner, 1) == [(0, 0, 40, 0, 40, 40)]
+    assert time.perf_counter() - began < 5
+
+
 def test_verbatim_items_are_always_found(spark, data):
     rows = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
     items = spark.read.parquet(f"{data}/benchmark.parquet").collect()
@@ -331,7 +385,7 @@ def test_joined_secrets_are_found(before, alphabet):
 
 def test_names_and_allowed_shapes_are_not_found():
     for t in (
-        "src/main/java/org/esa/beam/chris/operators/ComputeSurfaceReflectancesOp2",
+        "src/main/java/org/some/package/operators/ComputeRunningAveragesOp2",
         "how-to-bake-sourdough-bread-at-home-in-2021",
         "id=550e8400-e29b-41d4-a716-446655440000",
         "https//www.some-host.org/archive/2023/10/12/entry-4711",
@@ -340,6 +394,14 @@ def test_names_and_allowed_shapes_are_not_found():
         assert [s for s in secret_scan.find_secrets(t) if s[0] == "entropy"] == [], t
 
 
+def test_allowed_fragments_suppress_their_windows_alone():
+    key, other = "Zk3v9QpL2mXr8TnB5wYc7Jh4Dg6Fs", "Qw7eRt2yUi9oPa4sDf6gHj1kLz8xC"
+    text = f"{key}/xxxx/{other} https/cdn/example/path/{key}"
+    found = [(a, b) for _, a, b in secret_scan.find_secrets(text)]
+    for at in (text.index(key), text.index(other), text.rindex(key)):
+        assert any(a <= at + 4 and b >= at + 25 for a, b in found), found
+
+
 def test_functions_are_native(spark):
     plan = license_scan.scan_licenses(docs(spark, [(1, "MIT License")]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
