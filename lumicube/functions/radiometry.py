@@ -76,14 +76,23 @@ def slit_temperature(temperature: float, gain: tuple[float, float], shift: tuple
     return gain[0] * temperature + gain[1], shift[0] * temperature + shift[1]
 
 
+def _constants(values: Sequence[float]) -> Column:
+    return F.array(*[F.lit(float(v)) for v in values])
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda total, v: total + v)
+
+
 def trapezoid(wavelengths: Sequence[float], values: Column) -> Column:
-    """Integral of an array over fixed abscissae; weights are folded when the plan is built."""
+    """Integral of an array over fixed abscissae; weights are folded when the plan is built.
+
+    One array function, whatever the number of bands: unrolled by band, the expression takes longer to plan and to
+    compile than to run.
+    """
     n = len(wavelengths)
     weights = [0.5 * (wavelengths[min(i + 1, n - 1)] - wavelengths[max(i - 1, 0)]) for i in range(n)]
-    out = F.lit(0.0)
-    for i, w in enumerate(weights):
-        out = out + F.element_at(values, i + 1) * w
-    return out
+    return _total(F.zip_with(values, _constants(weights), lambda v, w: v * w))
 
 
 def brightness(wavelengths: Sequence[float], values: Column) -> Column:
@@ -92,14 +101,17 @@ def brightness(wavelengths: Sequence[float], values: Column) -> Column:
 
 def whiteness(wavelengths: Sequence[float], values: Column, level: Column) -> Column:
     """Mean absolute deviation from ``level`` by trapezoids that are split where the curve crosses it."""
-    out = F.lit(0.0)
-    for i in range(1, len(wavelengths)):
-        dx = wavelengths[i] - wavelengths[i - 1]
-        a, b = F.element_at(values, i) - level, F.element_at(values, i + 1) - level
+    n = len(wavelengths)
+    off = F.transform(values, lambda v: v - level)
+    steps = _constants([wavelengths[i] - wavelengths[i - 1] for i in range(1, n)])
+
+    def area(a: Column, b: Column) -> Column:
         # Two triangles about the crossing have the area (a^2 + b^2) / (2 |a - b|) dx.
         split = (a * a + b * b) / F.nullif(F.abs(a - b), F.lit(0.0))
-        out = out + 0.5 * dx * F.when(a * b >= 0, F.abs(a) + F.abs(b)).otherwise(split)
-    return out / (wavelengths[-1] - wavelengths[0])
+        return F.when(a * b >= 0, F.abs(a) + F.abs(b)).otherwise(split)
+
+    areas = F.zip_with(F.slice(off, 1, n - 1), F.slice(off, 2, n - 1), area)
+    return 0.5 * _total(F.zip_with(steps, areas, lambda dx, v: dx * v)) / (wavelengths[-1] - wavelengths[0])
 
 
 def optical_path(inner: Column, interpolated: Column, mu: float, transmittance: float) -> Column:

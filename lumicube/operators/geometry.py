@@ -160,13 +160,13 @@ def _followed(orbit: Orbit, setup: float, jd: np.ndarray, place: np.ndarray, mid
 
 
 def _angles(satellite: np.ndarray, target: np.ndarray, pitch_axis: np.ndarray, yaw_axis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pitch and roll that point from the satellite at the target."""
-    p = unit(target - satellite)
-    sp = np.cross(p, pitch_axis)
-    sl = np.cross(pitch_axis, sp)
-    sm = np.cross(sl, p)
-    sign = np.sign((sm / sp).sum(axis=-1))
-    return np.pi / 2 - angle(sp, yaw_axis), sign * angle(sl, p)
+    """Pitch and roll that point from the satellite at the target.
+
+    Pitch turns about the pitch axis, from straight down towards the roll axis; roll then tilts towards the pitch axis.
+    """
+    line = target - satellite
+    across, along, up = ((line * axis).sum(axis=-1) for axis in (pitch_axis, np.cross(pitch_axis, yaw_axis), yaw_axis))
+    return np.arctan2(along, -up), np.arctan2(across, np.hypot(along, up))
 
 
 def column_offsets(mode_name: str) -> np.ndarray:

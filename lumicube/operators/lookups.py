@@ -1,4 +1,9 @@
-"""As-of, interpolating and nearest lookups in small tables, as range joins with broadcast validity intervals."""
+"""As-of, interpolating and nearest lookups in ordered tables, as equality joins on buckets of the key.
+
+A table's span is cut into as many buckets as it has rows; each interval between two rows is listed under the buckets
+that it touches, some two a row in all, and a looked-up value meets the few intervals of its bucket.  Tables of up to
+MAX_TABLE_ROWS rows are broadcast; larger ones, which are counted first, are joined by a shuffle on the bucket.
+"""
 
 from __future__ import annotations
 
@@ -7,28 +12,41 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Tables of more rows are joined by time bucket instead of being broadcast.
+#: Tables of more rows are joined by bucket through a shuffle instead of being broadcast.
 MAX_TABLE_ROWS = 10_000
 
 
 def intervals(table: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
-    """Each row's key and values with the next row's (null at the end)."""
+    """Each row's key and values with the next row's (null at the end).  The window takes the whole table in one task:
+    tables are time tables or knots, and only their rows, not those that look up, pass through it."""
     w = Window.orderBy(key)
     return table.select(F.col(key).alias("lo"), F.lead(key).over(w).alias("hi"), *values, *[F.lead(v).over(w).alias(f"next_{v}") for v in values])
 
 
+def _met(rows: DataFrame, at: Column, t: DataFrame, inside: Column) -> DataFrame:
+    """``rows`` with ``_at`` and the columns of the interval of ``t`` (lo, hi, ...) for which ``inside`` holds."""
+    span = t.agg(F.count("*").alias("n"), F.min("lo").alias("low"), F.max("lo").alias("high")).first()
+    n = max(1, span["n"])
+    low, width = span["low"] or 0.0, ((span["high"] or 0.0) - (span["low"] or 0.0)) / n or 1.0
+
+    def bucket(v: Column) -> Column:
+        return F.least(F.floor((v - F.lit(float(low))) / F.lit(float(width))), F.lit(n - 1)).cast("long")
+
+    listed = t.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("lo")), F.coalesce(bucket(F.col("hi")), F.lit(n - 1).cast("long")))))
+    keyed = rows.withColumn("_at", at).withColumn("_bucket", bucket(F.col("_at")))
+    return keyed.join(F.broadcast(listed) if n <= MAX_TABLE_ROWS else listed, "_bucket").filter(inside).drop("_bucket")
+
+
 def as_of(rows: DataFrame, at: Column, table: DataFrame, key: str, value: str) -> DataFrame:
     """``rows`` with the value of the last table row at or before ``at``; rows before the table are dropped."""
-    t = intervals(table, key, [value])
-    joined = rows.withColumn("_at", at).join(F.broadcast(t), (F.col("_at") >= F.col("lo")) & (F.col("hi").isNull() | (F.col("_at") < F.col("hi"))))
-    return joined.drop("_at", "lo", "hi", f"next_{value}")
+    inside = (F.col("_at") >= F.col("lo")) & (F.col("hi").isNull() | (F.col("_at") < F.col("hi")))
+    return _met(rows, at, intervals(table, key, [value]), inside).drop("_at", "lo", "hi", f"next_{value}")
 
 
 def interpolated(rows: DataFrame, at: Column, table: DataFrame, key: str, value: str) -> DataFrame:
     """``rows`` with the value interpolated linearly between the table rows around ``at``; rows off the table are dropped."""
-    t = intervals(table, key, [value])
     inside = (F.col("_at") >= F.col("lo")) & F.when(F.col("hi").isNull(), F.col("_at") == F.col("lo")).otherwise(F.col("_at") < F.col("hi"))
-    joined = rows.withColumn("_at", at).join(F.broadcast(t), inside)
+    joined = _met(rows, at, intervals(table, key, [value]), inside)
     f = F.when(F.col("hi").isNotNull(), (F.col("_at") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
     out = F.col(value) + f * (F.coalesce(f"next_{value}", value) - F.col(value))
     return joined.withColumn(value, out).drop("_at", "lo", "hi", f"next_{value}")
@@ -53,11 +71,11 @@ def natural_spline(x: Sequence[float], y: Sequence[float]) -> list[tuple[float,
 
 def spline_values(rows: DataFrame, at: Column, segments: DataFrame, last: float, out: str) -> DataFrame:
     """``rows`` with the spline's value at ``at``; rows off the knots are dropped."""
-    t = segments.withColumn("hi", F.coalesce(F.lead("knot").over(Window.orderBy("knot")), F.lit(last)))
-    inside = (F.col("_at") >= F.col("knot")) & ((F.col("_at") < F.col("hi")) | ((F.col("_at") == F.lit(last)) & (F.col("hi") == last)))
-    joined = rows.withColumn("_at", at).join(F.broadcast(t), inside)
-    h = F.col("_at") - F.col("knot")
-    return joined.withColumn(out, F.col("a") + h * (F.col("b") + h * (F.col("c") + h * F.col("d")))).drop("_at", "knot", "hi", "a", "b", "c", "d")
+    t = segments.withColumnRenamed("knot", "lo").withColumn("hi", F.coalesce(F.lead("lo").over(Window.orderBy("lo")), F.lit(last)))
+    inside = (F.col("_at") >= F.col("lo")) & ((F.col("_at") < F.col("hi")) | ((F.col("_at") == F.lit(last)) & (F.col("hi") == last)))
+    joined = _met(rows, at, t, inside)
+    h = F.col("_at") - F.col("lo")
+    return joined.withColumn(out, F.col("a") + h * (F.col("b") + h * (F.col("c") + h * F.col("d")))).drop("_at", "lo", "hi", "a", "b", "c", "d")
 
 
 def bracket(value: Column, nodes: Sequence[float], log: bool = False) -> tuple[Column, Column]:
