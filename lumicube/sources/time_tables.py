@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Julian date from which TAI - UTC has the given seconds.
 LEAP_SECONDS = (
@@ -58,3 +58,26 @@ def read_leap_seconds(spark: SparkSession, path: str) -> DataFrame:
 
 def read_ut1(spark: SparkSession, path: str) -> DataFrame:
     return parse_ut1(spark.read.text(path))
+
+
+#: Days after which a user's copy of a time table counts as outdated.
+OUTDATED_DAYS = 7.0
+
+
+def chosen_tables(files: DataFrame, now: Column) -> DataFrame:
+    """name, path, outdated of time tables (name, origin, path, modified): a user's copy comes before the bundled table.
+
+    Of several copies of one origin the newest is taken, then the smaller path.  A table is outdated if there is no
+    user's copy, or if that was modified more than OUTDATED_DAYS before ``now``.
+    """
+    newest = F.max_by(F.struct("path", "modified", "origin"), F.struct((F.col("origin") == "user").cast("int"), "modified"))
+    least = files.groupBy("name", "origin", "modified").agg(F.min("path").alias("path"))
+    age = (F.unix_micros(now) - F.unix_micros(F.col("t.modified"))) / 8.64e10
+    fresh = (F.col("t.origin") == "user") & (age <= OUTDATED_DAYS)
+    return least.groupBy("name").agg(newest.alias("t")).select("name", F.col("t.path").alias("path"), (~fresh).alias("outdated"))
+
+
+def updated(table: DataFrame, newer: DataFrame, key: str, value: str) -> DataFrame:
+    """A time table with newer rows: they replace those with the same key and are added otherwise."""
+    fresh = newer.groupBy(key).agg(F.max(value).alias("_new"))
+    return table.join(fresh, key, "full_outer").select(key, F.coalesce("_new", value).alias(value))
