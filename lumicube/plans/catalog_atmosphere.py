@@ -25,8 +25,18 @@ def _table() -> ops.Rtc:
 
 
 _T = _table()
-_LIST = {n: "[" + ", ".join(f"{v!r}::DOUBLE" for v in map(float, getattr(_T, n))) + "]" for n in ("lpw", "egl", "sab", "rat")}
-_COEF_SQL = f"coef AS (SELECT {', '.join(f'{v} AS {n}' for n, v in _LIST.items())})"
+#: The stand-in tables at AOT, CWV (linear in its logarithm between the nodes 1 and 1.5) and SZA, resampled to the bands,
+#: from their formulas: nothing here comes from the plan's own numbers.
+_COEF_SQL = f"""wl AS (SELECT 390.0e0 + i AS wl FROM range(661) t(i)),
+gas AS (SELECT wl, exp(-power((wl - 940) / 25, 2)) AS line, 1 - 0.5e0 * exp(-power((wl - 760.5e0) / 3, 2)) AS oxygen, ln({CWV}e0) / ln(1.5e0) AS f FROM wl),
+trans AS (SELECT wl, ((1 - f) * exp(-0.25e0 * 1.0e0 * line) + f * exp(-0.25e0 * 1.5e0 * line)) * oxygen AS t FROM gas),
+rtc AS (SELECT wl, (0.3e0 + 1.2e0 * {AOT}e0) * power(wl / 500, -2.5e0) AS lpw,
+  t * (120.0e0 * power(wl / 500, -1.2e0) * exp(-0.8e0 * {AOT}e0) * cos(radians({SZA}e0)) + 25.0e0 * power(wl / 500, -2.0e0) * (0.4e0 + {AOT}e0)) AS egl,
+  (0.05e0 + 0.1e0 * {AOT}e0) * power(wl / 500, -1.0e0) AS sab, 0.1e0 + 0.5e0 * {AOT}e0 * power(wl / 500, -0.5e0) AS rat FROM trans),
+bell AS (SELECT b::INTEGER AS band, 400.0e0 + 10 * (b - 1) AS centre, 6.0e0 - 4.0e0 * (b - 1) / 63 AS e FROM range(1, 65) t(b)),
+weights AS (SELECT band, wl, exp(-power(abs(centre - wl) / (10 * power(1 / (power(2.0e0, e) * ln(2.0e0)), 1 / e)), e)) AS w FROM bell, wl WHERE abs(centre - wl) <= 20),
+by_band AS (SELECT band, {', '.join(f'sum(w * {n}) / sum(w) AS {n}' for n in ('lpw', 'egl', 'sab', 'rat'))} FROM weights JOIN rtc USING (wl) GROUP BY band),
+coef AS (SELECT {', '.join(f'list({n} ORDER BY band) AS {n}' for n in ('lpw', 'egl', 'sab', 'rat'))} FROM by_band)"""
 _RHO_SQL = f"{LONG_SQL}, {_COEF_SQL}, a AS (SELECT x, y, band, value, {_PI} * (value * 1e-3 - lpw[band]) / egl[band] AS a, sab[band] AS sab FROM long, coef), rho AS (SELECT x, y, band, value, a / (1 + a * sab) AS rho FROM a)"
 
 
@@ -51,9 +61,9 @@ def forward_inverse_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy((F.col("pos") + 1).alias("band")).agg(F.sum(F.round("v").cast("long")).alias("total"))
 
 
-@register("calculator_factory", "SELECT * FROM (VALUES " + ", ".join(f"({k + 1}, {round(float(_T.lpw[k]), 8)!r}::DOUBLE, {round(float(_T.egl[k]), 6)!r}::DOUBLE)" for k in range(64)) + ") v(band, lpw, egl)")
+@register("calculator_factory", f"WITH {_COEF_SQL} SELECT band, round(lpw, 8) AS lpw, round(egl, 6) AS egl FROM by_band")
 def calculator_factory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The resampled table itself, as a frame; the oracle are the numbers of the plan."""
+    """The resampled table itself, as a frame."""
     rows = [(k + 1, float(a), float(b)) for k, (a, b) in enumerate(zip(_T.lpw, _T.egl, strict=True))]
     return spark.createDataFrame(rows, "band int, lpw double, egl double").select("band", F.round("lpw", 8).alias("lpw"), F.round("egl", 6).alias("egl"))
 
@@ -170,6 +180,28 @@ def minimisers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "name string, ok double")
 
 
+@register("minima_by_event", "SELECT event_id, round(abs(value) % 7, 4) AS minimum, round(abs(value) % 5, 3) AS x, round(abs(value) % 3, 3) AS y FROM events")
+def minima_by_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minima, bracketed from afar, of a parabola and by Powell's method of a tilted bowl, whose places are the event's."""
+    from ..sources.testdata import table
+
+    def solve(batches):
+        for rows in batches:
+            v = np.abs(rows["value"].to_numpy())
+            at, x, y = [], [], []
+            for one, a, b in zip(v % 7, v % 5, v % 3, strict=True):
+                f = lambda t, one=one: (t - one) ** 2 + 0.25
+                at.append(numerics.minimum(f, *numerics.bracket_minimum(f, 20.0, 21.0)))
+                bowl = lambda p, a=a, b=b: float((p[0] - a) ** 2 + 2 * (p[1] - b) ** 2 + (p[0] - a) * (p[1] - b))
+                p = numerics.minimum_powell(bowl, np.array([-4.0, 9.0]))
+                x.append(p[0])
+                y.append(p[1])
+            yield pd.DataFrame({"event_id": rows["event_id"], "minimum": at, "x": x, "y": y})
+
+    made = table(spark, sf_dir, "events").select("event_id", "value").mapInPandas(solve, "event_id long, minimum double, x double, y double")
+    return made.select("event_id", F.round("minimum", 4).alias("minimum"), *[F.round(n, 3).alias(n) for n in ("x", "y")])
+
+
 @register("numeric_constants", "SELECT 2.220446049250313e-16::DOUBLE AS epsilon, 1.4901161193847656e-08::DOUBLE AS sqrt_epsilon")
 def numeric_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1).select(F.lit(numerics.MACHINE_EPSILON).alias("epsilon"), F.lit(numerics.SQRT_EPSILON).alias("sqrt_epsilon"))
