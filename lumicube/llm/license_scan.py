@@ -220,7 +220,8 @@ def oracle() -> str:
         if not e.notice.base:
             tests.append(f"len(list_filter(range({len(e.words)}), lambda j: {here} AND list_contains(r{k}, {quoted(e.words)}[j + 1]))) >= 2")
         cover = f"list_sum(list_transform(range({len(e.words)}), lambda j: CASE WHEN {here} THEN {list(e.weights)}[j + 1] ELSE 0 END)) / {float(sum(e.weights))!r}::DOUBLE"
-        found.append(f"list_transform(list_filter(range(len(w)), lambda x: {' AND '.join(tests)}), lambda x: {{'s': x, 'c': {cover}}}) AS f{k}")
+        places = f"list_transform(list_filter(range(len(w)), lambda x: {' AND '.join(tests)}), lambda x: {{'s': x, 'c': {cover}}})"
+        found.append(f"CASE WHEN list_has_all(w, {quoted(e.keys[0][1])}) THEN {places} ELSE [] END AS f{k}")
     kept = [f"f{k} AS g{k}" if e.notice.base else f"list_filter(f{k}, lambda y: y.c >= {MIN_COVER}) AS g{k}" for k, e in enumerate(index)]
     base = [k for k, e in enumerate(index) if e.notice.base]
 
