@@ -198,7 +198,9 @@ def minima_by_event(spark: SparkSession, sf_dir: str) -> DataFrame:
                 y.append(p[1])
             yield pd.DataFrame({"event_id": rows["event_id"], "minimum": at, "x": x, "y": y})
 
-    made = table(spark, sf_dir, "events").select("event_id", "value").mapInPandas(solve, "event_id long, minimum double, x double, y double")
+    # Few bytes, but much to compute for each.
+    spread = table(spark, sf_dir, "events").select("event_id", "value").repartition(spark.sparkContext.defaultParallelism)
+    made = spread.mapInPandas(solve, "event_id long, minimum double, x double, y double")
     return made.select("event_id", F.round("minimum", 4).alias("minimum"), *[F.round(n, 3).alias(n) for n in ("x", "y")])
 
 
