@@ -64,9 +64,14 @@ class Gps:
 
 @dataclass(frozen=True)
 class Lines:
-    """By line: time, satellite, axes and centre angles; and the quadratic corrections of pitch and roll."""
+    """By line: time, satellite, axes and centre angles; and the quadratic corrections of pitch and roll.
 
-    jd: np.ndarray
+    Times are days since ``zero``, the Julian date of the first record: a Julian date resolves 40 microseconds, in which
+    the satellite moves 0.3 m, and azimuths at small zenith angles show that.
+    """
+
+    zero: float
+    days: np.ndarray
     satellite: np.ndarray
     pitch_axis: np.ndarray
     roll_axis: np.ndarray
@@ -118,7 +123,10 @@ def _spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 class Orbit:
-    """Splines through the records' inertial positions and velocities, but for the last two records."""
+    """Splines through the records' inertial positions and velocities, but for the last two records.
+
+    Its times are days since the first record.
+    """
 
     def __init__(self, gps: Gps):
         gst = sidereal(gps.jd)
@@ -131,32 +139,35 @@ class Orbit:
         gap = np.concatenate((np.diff(gps.seconds), [gps.seconds[-1] - gps.seconds[0]]))
         self.rate = lowess((angle(pos, nxt) / gap)[:n], 0, 5, 0)
 
-    def at(self, jd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        s = np.stack([_spline(self.t, c, jd - self.zero) for c in self.state.T], axis=1)
+    def at(self, days: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        s = np.stack([_spline(self.t, c, days) for c in self.state.T], axis=1)
         return s[:, :3], s[:, 3:]
 
-    def angular_rate(self, jd: float) -> float:
-        return float(_spline(self.t, self.rate, np.array([jd - self.zero]))[0])
+    def angular_rate(self, days: float) -> float:
+        return float(_spline(self.t, self.rate, np.array([days]))[0])
+
+    def sidereal(self, days: np.ndarray) -> np.ndarray:
+        return sidereal(self.zero + np.asarray(days))
 
 
 def line_times(mode: Mode, centre: float) -> np.ndarray:
-    """Julian dates of the lines of an image about its centre."""
+    """Times of the lines of an image about its centre, in days as ``centre``."""
     start = centre - mode.rows * mode.time_per_line / 2 / DAY
     return start + (np.arange(mode.rows) * mode.time_per_line + mode.integration_time / 2) / DAY
 
 
-def _plane(orbit: Orbit, setup: float, jd: np.ndarray) -> np.ndarray:
+def _plane(orbit: Orbit, setup: float, days: np.ndarray) -> np.ndarray:
     """Normal of the orbital plane, fixed to the Earth at setup time."""
     r, v = orbit.at(np.array([setup]))
-    fixed = turned(unit(np.cross(r, v)), -sidereal(np.array([setup])))
-    return turned(np.broadcast_to(fixed, (len(jd), 3)), sidereal(jd))
+    fixed = turned(unit(np.cross(r, v)), -orbit.sidereal(np.array([setup])))
+    return turned(np.broadcast_to(fixed, (len(days), 3)), orbit.sidereal(days))
 
 
-def _followed(orbit: Orbit, setup: float, jd: np.ndarray, place: np.ndarray, middle: float, image: int) -> np.ndarray:
+def _followed(orbit: Orbit, setup: float, days: np.ndarray, place: np.ndarray, middle: float, image: int) -> np.ndarray:
     """Inertial positions of a place as the slowed scan follows it, right at time ``middle``."""
-    target = turned(np.broadcast_to(place, (len(jd), 3)), sidereal(jd))
-    a = orbit.angular_rate(setup) / SLOW_DOWN * (jd - middle) * DAY
-    return rotated(_plane(orbit, setup, jd), a if image % 2 == 0 else -a, target)
+    target = turned(np.broadcast_to(place, (len(days), 3)), orbit.sidereal(days))
+    a = orbit.angular_rate(setup) / SLOW_DOWN * (days - middle) * DAY
+    return rotated(_plane(orbit, setup, days), a if image % 2 == 0 else -a, target)
 
 
 def _angles(satellite: np.ndarray, target: np.ndarray, pitch_axis: np.ndarray, yaw_axis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,26 +198,26 @@ def nearest_gcp(gcps: Sequence[Gcp], x: float, y: float) -> int:
 def line_geometry(gps: Gps, centres: Sequence[float], info: Acquisition, gcps: Sequence[Gcp] = ()) -> Lines:
     """Everything that depends on the line.  ``centres`` are the five images' centre times (Julian dates, UT1)."""
     m, orbit = info.constants, Orbit(gps)
-    setup = centres[0] - SETUP_SECONDS / DAY
-    jd = line_times(m, centres[info.image])
+    setup, middle = centres[0] - orbit.zero - SETUP_SECONDS / DAY, centres[info.image] - orbit.zero
+    days = line_times(m, middle)
     best = nearest_gcp(gcps, m.rows / 2, m.rows / 2)
     ifov = math.radians(m.instantaneous_field_of_view)
     if best < 0:
-        target = _followed(orbit, setup, jd, earth_fixed(info.lon, info.lat, info.alt), centres[info.image], info.image)
+        target = _followed(orbit, setup, days, earth_fixed(info.lon, info.lat, info.alt), middle, info.image)
         extra = 0.0
     else:
         # The time of closest approach to the control point shifts all times.
         c = gcps[best]
         place = earth_fixed(c.lon, c.lat, c.alt)
-        nominal = _followed(orbit, setup, jd, earth_fixed(info.lon, info.lat, info.alt), centres[info.image], info.image)
-        near = int(np.argmin(np.linalg.norm(turned(nominal, -sidereal(jd)) - place, axis=1)))
-        middle = jd[near]
+        nominal = _followed(orbit, setup, days, earth_fixed(info.lon, info.lat, info.alt), middle, info.image)
+        near = int(np.argmin(np.linalg.norm(turned(nominal, -orbit.sidereal(days)) - place, axis=1)))
+        middle = days[near]
         line = (near + 1) % m.rows
         shift = (line - (m.rows - c.y + 0.5 if info.backward else c.y + 0.5)) * m.time_per_line / DAY
-        jd, setup = jd + shift, setup + shift
-        target = _followed(orbit, setup, jd, place, middle, info.image)
+        days, setup = days + shift, setup + shift
+        target = _followed(orbit, setup, days, place, middle, info.image)
         extra = ((m.columns // 2 if info.mode != "5" else m.columns - 1) - c.x) * ifov
-    satellite, velocity = orbit.at(jd)
+    satellite, velocity = orbit.at(days)
     pitch_axis, yaw_axis = unit(np.cross(satellite, velocity)), unit(satellite)
     pitch, roll = _angles(satellite, target, pitch_axis, yaw_axis)
     roll = roll + extra
@@ -214,18 +225,18 @@ def line_geometry(gps: Gps, centres: Sequence[float], info: Acquisition, gcps: S
     if len(gcps) > 2:
         row = np.array([int(c.y) for c in gcps])
         column = np.array([int(c.x) for c in gcps])
-        seen = np.stack([turned(earth_fixed(c.lon, c.lat, c.alt), sidereal(jd[r])) for c, r in zip(gcps, row, strict=True)])
+        seen = np.stack([turned(earth_fixed(c.lon, c.lat, c.alt), orbit.sidereal(days[r])) for c, r in zip(gcps, row, strict=True)])
         p, r = _angles(satellite[row], seen, pitch_axis[row], yaw_axis[row])
         terms = np.stack(quadratic_terms(np.array([c.x for c in gcps]), np.array([c.y for c in gcps])), axis=1)
         wrong = np.stack((p - pitch[row], r - roll[row] - column_offsets(info.mode)[column]), axis=1)
         fits = np.linalg.lstsq(terms, wrong, rcond=None)[0].T
-    return Lines(jd, satellite, pitch_axis, np.cross(pitch_axis, yaw_axis), yaw_axis, pitch, roll, fits[0], fits[1])
+    return Lines(orbit.zero, days, satellite, pitch_axis, np.cross(pitch_axis, yaw_axis), yaw_axis, pitch, roll, fits[0], fits[1])
 
 
 def lines_frame(spark: SparkSession, lines: Lines) -> DataFrame:
     names = [f"{n}{k}" for n in ("s", "p", "r", "w") for k in range(3)]
     values = np.concatenate((lines.satellite, lines.pitch_axis, lines.roll_axis, lines.yaw_axis), axis=1)
-    rows = [(k, float(sidereal(lines.jd[k])), float(lines.pitch[k]), float(lines.roll[k]), *map(float, values[k])) for k in range(len(lines.jd))]
+    rows = [(k, float(sidereal(lines.zero + lines.days[k])), float(lines.pitch[k]), float(lines.roll[k]), *map(float, values[k])) for k in range(len(lines.days))]
     return spark.createDataFrame(rows, "y int, gst double, pitch0 double, roll0 double, " + ", ".join(f"{n} double" for n in names))
 
 

@@ -94,15 +94,15 @@ def orbital_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("target_scan_rotation")
 def target_scan_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orbit, setup = ops.Orbit(gps()), CENTRES[0] - ops.SETUP_SECONDS / ops.DAY
-    jd = ops.line_times(_M, CENTRES[2])
-    place = ops._followed(orbit, setup, jd, ops.earth_fixed(INFO.lon, INFO.lat, INFO.alt), CENTRES[2], INFO.image)
+    orbit = ops.Orbit(gps())
+    setup, middle = CENTRES[0] - orbit.zero - ops.SETUP_SECONDS / ops.DAY, CENTRES[2] - orbit.zero
+    place = ops._followed(orbit, setup, ops.line_times(_M, middle), ops.earth_fixed(INFO.lon, INFO.lat, INFO.alt), middle, INFO.image)
     return _by_line({f"t{k}": place[:, k] for k in range(3)})(spark, sf_dir)
 
 
 @register("gcp_time_shift")
 def gcp_time_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shift = (ops.line_geometry(gps(), CENTRES, INFO, GCPS[:1]).jd - lines().jd) * ops.DAY
+    shift = (ops.line_geometry(gps(), CENTRES, INFO, GCPS[:1]).days - lines().days) * ops.DAY
     return _by_line({"shift_seconds": shift})(spark, sf_dir)
 
 
