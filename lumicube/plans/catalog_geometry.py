@@ -1,7 +1,8 @@
 """Queries: the geometric correction, step by step, for a synthetic orbit over a synthetic target.
 
-The oracle of the per-line steps is the numpy geometry itself where SQL can't express splines; the closed forms have
-SQL of their own.
+The orbit is a circle, so the SQL of the per-line steps is its closed form and needs no splines.  The other queries are
+held against closed forms in the tests: telemetry times are Julian dates, whose 40 microseconds move the splines by
+decimetres, which no common rounding hides.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions import timegeo as g
 from ..model import mode_of
 from ..operators import geometry as ops
 from ..registry import register
@@ -86,24 +88,61 @@ def pitch_roll_center(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_line({"pitch": made.pitch, "roll": made.roll})(spark, sf_dir)
 
 
-@register("orbital_plane")
+def _sidereal_sql(days: str) -> str:
+    """Sidereal time (radians, whole turns not taken off) at days since the first record."""
+    mjd = f"(({_EPOCH + 0.5!r}::DOUBLE + {days}) - {g.MJD_OFFSET}e0)"
+    t = f"(({mjd} - 51544.5e0) / 36525)"
+    return f"({g.SEC_RAD!r}::DOUBLE * ({g.GST[0]}e0 + ({g.GST[1]}e0 + ({g.GST[2]}e0 - {g.GST[3]} * {t}) * {t}) * {t} + 86400 * ({mjd} - floor({mjd}))))"
+
+
+def _since_first_sql(seconds: float) -> str:
+    """Days since the first record of a time that is given as a Julian date."""
+    return f"(({_EPOCH + 0.5!r}::DOUBLE + {seconds}e0 / 86400) - {_EPOCH + 0.5!r}::DOUBLE)"
+
+
+def _place_sql(lon: str, lat: str, alt: str) -> str:
+    n = f"({g.WGS84_A}e0 / sqrt(1 - {g.WGS84_E2!r}::DOUBLE * power(sin(radians({lat})), 2)))"
+    return f"""({n} + {alt}) * cos(radians({lat})) * cos(radians({lon})) AS px, ({n} + {alt}) * cos(radians({lat})) * sin(radians({lon})) AS py,
+  ((1 - {g.WGS84_E2!r}::DOUBLE) * {n} + {alt}) * sin(radians({lat})) AS pz"""
+
+
+#: The circular orbit's node, and for every line its time, the normal of the plane that the Earth carries along since the
+#: setup, and the target as the slowed scan turns it about that normal.
+_LINES_SQL = f"""times AS (SELECT {_since_first_sql(604.0)} - {ops.SETUP_SECONDS}e0 / 86400 AS setup, {_since_first_sql(700.0)} AS middle, {_sidereal_sql(_since_first_sql(700.0))} + radians(11.0e0) AS node),
+ats AS (SELECT k::INTEGER AS line, setup, node, middle, (middle - {_M.rows} * {_M.time_per_line!r}::DOUBLE / 2 / 86400) + (k * {_M.time_per_line!r}::DOUBLE + {_M.integration_time!r}::DOUBLE / 2) / 86400 AS days FROM times, range({_M.rows}) t(k)),
+turn AS (SELECT line, node, {_sidereal_sql("days")} AS gst, node - {_sidereal_sql("setup")} + {_sidereal_sql("days")} AS carried, 2 * pi() / 5800 / {ops.SLOW_DOWN}e0 * (days - middle) * 86400 AS a FROM ats),
+place AS (SELECT {_place_sql(f"{INFO.lon}e0", f"{INFO.lat}e0", f"{INFO.alt}e0")}),
+still AS (SELECT line, gst, a, sin(carried) AS n0, -cos(carried) AS n1, cos(gst) * px - sin(gst) * py AS v0, sin(gst) * px + cos(gst) * py AS v1, pz AS v2 FROM turn, place),
+followed AS (SELECT line, gst, v0 * cos(a) + n1 * v2 * sin(a) + n0 * (n0 * v0 + n1 * v1) * (1 - cos(a)) AS t0,
+  v1 * cos(a) - n0 * v2 * sin(a) + n1 * (n0 * v0 + n1 * v1) * (1 - cos(a)) AS t1, v2 * cos(a) + (n0 * v1 - n1 * v0) * sin(a) AS t2 FROM still)"""
+
+
+def _rounded(df: DataFrame, digits: int) -> DataFrame:
+    return df.select("line", *[(F.round(c, digits) + 0.0).alias(c) for c in df.columns[1:]])
+
+
+@register("orbital_plane", f"WITH {_LINES_SQL} SELECT line, round(sin(node), 9) AS n0, round(-cos(node), 9) AS n1, 0.0::DOUBLE AS n2 FROM turn")
 def orbital_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = lines()
-    return _by_line({f"n{k}": made.pitch_axis[:, k] for k in range(3)})(spark, sf_dir)
+    return _rounded(_by_line({f"n{k}": made.pitch_axis[:, k] for k in range(3)})(spark, sf_dir), 9)
 
 
-@register("target_scan_rotation")
+@register("target_scan_rotation", f"WITH {_LINES_SQL} SELECT line, round(t0, 6) AS t0, round(t1, 6) AS t1, round(t2, 6) AS t2 FROM followed")
 def target_scan_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     orbit = ops.Orbit(gps())
     setup, middle = CENTRES[0] - orbit.zero - ops.SETUP_SECONDS / ops.DAY, CENTRES[2] - orbit.zero
     place = ops._followed(orbit, setup, ops.line_times(_M, middle), ops.earth_fixed(INFO.lon, INFO.lat, INFO.alt), middle, INFO.image)
-    return _by_line({f"t{k}": place[:, k] for k in range(3)})(spark, sf_dir)
+    return _rounded(_by_line({f"t{k}": place[:, k] for k in range(3)})(spark, sf_dir), 6)
+
+
+_NEAREST_SQL = f"""{_LINES_SQL}, mark AS (SELECT {_place_sql(f"{GCPS[0].lon!r}::DOUBLE", f"{GCPS[0].lat!r}::DOUBLE", f"{GCPS[0].alt}e0")}),
+near AS (SELECT arg_min(line, power(cos(gst) * t0 + sin(gst) * t1 - px, 2) + power(cos(gst) * t1 - sin(gst) * t0 - py, 2) + power(t2 - pz, 2)) AS line FROM followed, mark)"""
 
 
-@register("gcp_time_shift")
+@register("gcp_time_shift", f"WITH {_NEAREST_SQL} SELECT t.line, round(((near.line + 1) % {_M.rows} - {GCPS[0].y + 0.5!r}::DOUBLE) * {_M.time_per_line!r}::DOUBLE, 9) AS shift_seconds FROM turn t, near")
 def gcp_time_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     shift = (ops.line_geometry(gps(), CENTRES, INFO, GCPS[:1]).days - lines().days) * ops.DAY
-    return _by_line({"shift_seconds": shift})(spark, sf_dir)
+    return _rounded(_by_line({"shift_seconds": shift})(spark, sf_dir), 9)
 
 
 @register("gcp_quadratic_fit")
