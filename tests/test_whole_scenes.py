@@ -98,3 +98,86 @@ def test_other_queries_keep_all_bands(spark, data):
     assert left.keys() == one.keys() == pixels.keys()
     for k, v in left.items():
         assert one[k] == (v[6] if v else None) and (v is None or len(v) == 64)
+
+
+def circle(seconds):
+    """Positions of the synthetic orbit in the inertial frame, from its formula."""
+    rate = 2 * np.pi / 5800
+    phase = np.radians(45) + rate * (np.asarray(seconds) - 700)
+    node = geometry.sidereal(np.array([2453001.0 + 700 / 86400]))[0] + np.radians(11)
+    e1, e2 = np.array([np.cos(node), np.sin(node), 0]), np.array([0, 0, 1.0])
+    return 6978 * (np.cos(phase)[..., None] * e1 + np.sin(phase)[..., None] * e2), np.cross(e1, e2)
+
+
+def pointing(seconds, place):
+    """(pitch, roll) of the line of sight from the satellite to inertial positions."""
+    satellite, normal = circle(seconds)
+    sight = place - satellite
+    sight = sight / np.linalg.norm(sight, axis=-1, keepdims=True)
+    up = satellite / 6978
+    roll = np.arcsin(sight @ normal)
+    pitch = np.arcsin((sight * np.cross(normal, up)).sum(axis=-1) / np.cos(roll))
+    return pitch, roll
+
+
+def line_seconds():
+    m = mode_of("1")
+    return 700 + (np.arange(m.rows) - m.rows / 2) * m.time_per_line + m.integration_time / 2
+
+
+def test_centre_angles_point_at_the_followed_target(spark, data):
+    place = np.array([[r[f"t{k}"] for k in range(3)] for r in QUERIES["target_scan_rotation"](spark, data).orderBy("line").collect()])
+    pitch, roll = pointing(line_seconds(), place)
+    rows = QUERIES["pitch_roll_center"](spark, data).orderBy("line").collect()
+    # Telemetry times resolve 40 microseconds: 0.3 m of the orbit.
+    assert np.abs(pitch - [r["pitch"] for r in rows]).max() < 1e-6 and np.abs(roll - [r["roll"] for r in rows]).max() < 1e-6
+    assert np.ptp(pitch) > 1e-3
+
+
+def test_every_pixel_lies_where_its_angles_point(spark, data):
+    """From longitude and latitude back to pitch, roll and view angles, by other formulas than the query's."""
+    m = mode_of("1")
+    rows = QUERIES["pixel_position"](spark, data).toPandas()
+    centre = {r["line"]: (r["pitch"], r["roll"]) for r in QUERIES["pitch_roll_center"](spark, data).collect()}
+    lon, lat = np.radians(rows["lon"].to_numpy()), np.radians(rows["lat"].to_numpy())
+    f = 1 / 298.257223563
+    n = 6378.137 / np.sqrt(1 - f * (2 - f) * np.sin(lat) ** 2)
+    seconds = line_seconds()[rows["y"]]
+    theta = lon + geometry.sidereal(2453001.0 + seconds / 86400)
+    up = np.stack((np.cos(lat) * np.cos(theta), np.cos(lat) * np.sin(theta), np.sin(lat)), axis=1)
+    place = n[:, None] * up * [1, 1, (1 - f) ** 2] + catalog_geometry.INFO.alt * up
+    pitch, roll = pointing(seconds, place)
+    want = np.array([centre[y] for y in rows["y"]])
+    fov = np.radians(m.field_of_view)
+    want[:, 1] += (rows["x"] + 0.5) * fov / m.columns - fov / 2
+    assert np.abs(pitch - want[:, 0]).max() < 2e-6 and np.abs(roll - want[:, 1]).max() < 2e-6
+    back = circle(seconds)[0] - place
+    back /= np.linalg.norm(back, axis=1, keepdims=True)
+    zenith = np.degrees(np.arccos((back * up).sum(axis=1)))
+    assert np.abs(zenith - rows["vza"]).max() < 2e-4
+    east = np.stack((-np.sin(theta), np.cos(theta), 0 * theta), axis=1)
+    azimuth = np.degrees(np.arctan2((back * east).sum(axis=1), (back * np.cross(up, east)).sum(axis=1)))
+    sure = zenith > 1
+    turn = np.abs((azimuth - rows["vaa"] + 180) % 360 - 180)
+    assert sure.any() and turn[sure].max() < 5e-3
+
+
+def test_control_point_fit_solves_its_normal_equations(spark, data):
+    """Residuals at the control points, by the closed form of the orbit, are orthogonal to all six terms."""
+    gcps, m = catalog_geometry.GCPS, mode_of("1")
+    made = geometry.line_geometry(catalog_geometry.gps(), catalog_geometry.CENTRES, catalog_geometry.INFO, gcps)
+    terms = np.array([geometry.quadratic_terms(c.x, c.y) for c in gcps])
+    seconds = made.days * 86400
+    left = []
+    for c, t in zip(gcps, terms, strict=True):
+        line = int(c.y)
+        theta = np.radians(c.lon) + geometry.sidereal(2453001.0 + made.days[line : line + 1])[0]
+        place = geometry.earth_fixed(np.degrees(theta), c.lat, c.alt)
+        pitch, roll = pointing(seconds[line : line + 1], place[None])
+        fov = np.radians(m.field_of_view)
+        column = (int(c.x) + 0.5) * fov / m.columns - fov / 2
+        left.append((pitch[0] - made.pitch[line] - t @ made.pitch_fit, roll[0] - made.roll[line] - column - t @ made.roll_fit))
+    fit = QUERIES["gcp_quadratic_fit"](spark, data).orderBy("line").collect()
+    assert [r["pitch"] for r in fit] == list(made.pitch_fit) and [r["roll"] for r in fit] == list(made.roll_fit)
+    scaled = terms / np.linalg.norm(terms, axis=0)
+    assert np.abs(scaled.T @ np.array(left)).max() < 3e-6
