@@ -123,31 +123,51 @@ def minimum_powell(f: Callable[[np.ndarray], float], x: np.ndarray, scale: float
     return x
 
 
-def nonnegative_least_squares(a: np.ndarray, b: np.ndarray, most: int = 0) -> np.ndarray:
-    """min |a x - b| with x >= 0, by active sets."""
+def _solved_on(a: np.ndarray, b: np.ndarray, passive: np.ndarray) -> np.ndarray:
+    """Least squares of each row of ``b`` in the columns its row of ``passive`` marks, 0 elsewhere; equal sets at once."""
+    z = np.zeros(passive.shape)
+    sets, which = np.unique(passive, axis=0, return_inverse=True)
+    for k, columns in enumerate(sets):
+        if columns.any():
+            rows = np.flatnonzero(which.ravel() == k)
+            z[np.ix_(rows, columns)] = np.linalg.lstsq(a[:, columns], b[rows].T, rcond=None)[0].T
+    return z
+
+
+def nonnegative_least_squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """min |a x - b| with x >= 0 for each row of ``b``, by active sets, all rows together.
+
+    A row with a value that isn't finite gives NaN.
+    """
     n = a.shape[1]
-    x, passive = np.zeros(n), np.zeros(n, dtype=bool)
+    out = np.full((len(b), n), np.nan)
+    sound = np.flatnonzero(np.isfinite(b).all(axis=1))
+    b = b[sound]
+    x, passive = np.zeros((len(b), n)), np.zeros((len(b), n), dtype=bool)
     tol = 10 * MACHINE_EPSILON * np.abs(a).sum(axis=0).max() * max(a.shape)
-    for _ in range(most or 10 * n):
-        w = a.T @ (b - a @ x)
-        if passive.all() or w[~passive].max() <= tol:
+    live = np.arange(len(b))
+    for _ in range(10 * n):
+        w = np.where(passive[live], -np.inf, (b[live] - x[live] @ a.T) @ a)
+        gain = w.max(axis=1, initial=-np.inf)
+        live, w = live[gain > tol], w[gain > tol]
+        if not len(live):
             break
-        passive[np.argmax(np.where(passive, -np.inf, w))] = True
-        while True:
-            z = np.zeros(n)
-            z[passive] = np.linalg.lstsq(a[:, passive], b, rcond=None)[0]
-            if z[passive].min() > 0:
-                break
-            low = passive & (z <= 0)
+        passive[live, w.argmax(axis=1)] = True
+        todo = live
+        while len(todo):
+            z = _solved_on(a, b[todo], passive[todo])
+            low = passive[todo] & (z <= 0)
             with np.errstate(divide="ignore", invalid="ignore"):
-                step = np.where(low, x / (x - z), np.inf).min()
-            x = x + step * (z - x)
-            passive &= x > tol
-            x[~passive] = 0
-            if not passive.any():
-                break
-        x = z
-    return x
+                step = np.where(low, x[todo] / (x[todo] - z), np.inf).min(axis=1)
+            bad = low.any(axis=1)
+            x[todo[~bad]] = z[~bad]
+            todo, z, step = todo[bad], z[bad], step[bad, None]
+            # A variable that leaves the set is the one that stops the step, whatever rounding leaves of it.
+            moved = x[todo] + step * (z - x[todo])
+            passive[todo] &= (moved > tol) & ~(low[bad] & (x[todo] <= step * (x[todo] - z)))
+            x[todo] = np.where(passive[todo], moved, 0.0)
+    out[sound] = x
+    return out
 
 
 def unmix(spectra: np.ndarray, endmembers: np.ndarray, weight: float = 1e3) -> np.ndarray:
@@ -155,4 +175,4 @@ def unmix(spectra: np.ndarray, endmembers: np.ndarray, weight: float = 1e3) -> n
     ``endmembers`` (bands, endmembers); the sum is one more, heavily weighted equation."""
     scale = weight * max(1.0, float(np.abs(endmembers).max()))
     a = np.vstack((endmembers, np.full((1, endmembers.shape[1]), scale)))
-    return np.stack([nonnegative_least_squares(a, np.append(s, scale)) for s in spectra]) if len(spectra) else np.zeros((0, endmembers.shape[1]))
+    return nonnegative_least_squares(a, np.hstack((spectra, np.full((len(spectra), 1), scale))))

@@ -12,6 +12,7 @@ from ..operators.bands import nearest_index, valid_pixels
 from ..params import AtmosphereParams
 from ..registry import register
 from ..sources.testdata import BANDS, CUBE_SQL, LONG_SQL, cube, cube_long
+from .sql import det
 
 #: Radiances of the cube (some 10000) times this are like those of the stand-in tables.
 SCALE = 1.0e-3
@@ -150,7 +151,33 @@ def _irradiances(spark: SparkSession) -> tuple[float, float]:
     return float(red), float(nir)
 
 
-@register("fclsu_unmixing")
+def _support_sql(members: tuple[int, ...], weight: float) -> str:
+    """The unmixing in these endmembers alone (1 to 3), by Cramer's rule: their sum, and all but the first, are unknown."""
+    one = members[0]
+    columns = [{one: 1}] + [{m: 1, one: -1} for m in members[1:]]
+    gram = [[" + ".join(f"{u * v} * g{min(p, q)}{max(p, q)}" for p, u in c.items() for q, v in d.items()) for d in columns] for c in columns]
+    side = [" + ".join(f"{u} * d{p}" for p, u in c.items()) for c in columns]
+    n = range(len(members))
+    cells = ", ".join([f"{gram[i][j]} AS m{i}{j}" for i in n for j in n] + [f"{side[i]} AS r{i}" for i in n])
+    full = [[f"(m{i}{j}{f' + {weight}' if i == j == 0 else ''})" for j in n] for i in n]
+    right = [f"(r{i}{f' + {weight}' if i == 0 else ''})" for i in n]
+    solved = ", ".join(f"{det([[right[i] if j == k else full[i][j] for j in n] for i in n])} / {det(full)} AS z{k}" for k in n)
+    cost = " + ".join([f"z{i} * z{j} * m{i}{j}" for i in n for j in n] + [f"-2 * r{i} * z{i}" for i in n] + [f"{weight} * power(z0 - 1, 2)"])
+    share = {m: f"z{k}" for k, m in enumerate(members) if k} | {one: " - ".join(f"z{k}" for k in n)}
+    shares = ", ".join(f"{share.get(m, '0.0e0')} AS a{m}" for m in (1, 2, 3))
+    return f"SELECT x, y, {shares}, {cost} AS cost FROM (SELECT *, {solved} FROM (SELECT x, y, {cells} FROM pixels, gram))"
+
+
+_SUPPORTS = ((1,), (2,), (3,), (1, 2), (1, 3), (2, 3), (1, 2, 3))
+#: All seven supports of three endmembers are solved; the cheapest without a negative share wins.
+_UNMIX_SQL = f"""{_RHO_SQL}, ends AS (SELECT b::INTEGER AS band, 1.0e0 AS e1, 0.05e0 + 0.4e0 / (1 + exp(-(10 * (b - 1) - 315) / 15.0e0)) AS e2, 0.05e0 + 0.35e0 * 10 * (b - 1) / 630 AS e3 FROM range(1, 65) t(b)),
+gram AS (SELECT {', '.join(f'sum(e{i} * e{j}) AS g{i}{j}' for i in (1, 2, 3) for j in range(i, 4))} FROM ends),
+pixels AS (SELECT x, y, {', '.join(f'sum(rho * e{i}) AS d{i}' for i in (1, 2, 3))} FROM rho JOIN ends USING (band) GROUP BY x, y),
+tried AS ({' UNION ALL '.join(_support_sql(m, 1e6) for m in _SUPPORTS)}),
+best AS (SELECT x, y, arg_min({{'a1': a1, 'a2': a2, 'a3': a3}}, cost) AS a FROM tried WHERE a1 >= 0 AND a2 >= 0 AND a3 >= 0 GROUP BY x, y)"""
+
+
+@register("fclsu_unmixing", f"WITH {_UNMIX_SQL} SELECT x, y, round(a.a1, 6) AS constant, round(a.a2, 6) AS vegetation, round(a.a3, 6) AS soil FROM best")
 def fclsu_unmixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cube(spark, sf_dir).pixels.select("product_id", "y", "x", ops.invert("radiance", SCALE, _T).alias("rho"))
     out = ops.abundances(rows, ("product_id", "y", "x"), "rho", _endmembers())

@@ -10,6 +10,13 @@ def _det3(m: list[list[str]]) -> str:
     )
 
 
+def det(m: list[list[str]]) -> str:
+    """The determinant of one to three rows of expressions."""
+    if len(m) == 3:
+        return _det3(m)
+    return f"({m[0][0]})" if len(m) == 1 else f"({m[0][0]}*{m[1][1]} - {m[0][1]}*{m[1][0]})"
+
+
 def _solved(degree: int, x: str) -> str:
     if degree == 0:
         return "t0/s0"

@@ -140,6 +140,27 @@ def test_unmixing_is_constrained():
     assert np.abs(got - want).max() < 1e-4 and (got >= 0).all() and np.abs(got.sum(axis=1) - 1).max() < 1e-5
 
 
+def test_nonnegative_least_squares_is_the_best_of_all_supports():
+    from itertools import combinations
+
+    r = np.random.default_rng(3)
+    a, b = r.normal(size=(9, 4)), r.normal(size=(300, 9))
+    b[7], b[8, 2] = 0.0, np.nan
+    a[:, 3] = a[:, 0] + 1e-3 * r.normal(size=9)  # two columns nearly alike
+    best = (b**2).sum(axis=1)
+    for k in range(1, 5):
+        for some in map(list, combinations(range(4), k)):
+            x = np.linalg.lstsq(a[:, some], b[np.isfinite(b).all(axis=1)].T, rcond=None)[0]
+            cost = ((b[np.isfinite(b).all(axis=1)].T - a[:, some] @ x) ** 2).sum(axis=0)
+            rows = np.flatnonzero(np.isfinite(b).all(axis=1))
+            best[rows] = np.where((x >= 0).all(axis=0), np.minimum(best[rows], cost), best[rows])
+    got = numerics.nonnegative_least_squares(a, b)
+    assert np.isnan(got[8]).all() and (got[7] == 0).all()
+    sound = np.arange(300) != 8
+    assert (got[sound] >= 0).all() and np.abs(((b - got @ a.T) ** 2).sum(axis=1) - best)[sound].max() < 1e-9
+    assert numerics.unmix(np.zeros((0, 9)), a).shape == (0, 4)
+
+
 def test_water_vapour_is_found_again():
     lut = atmosphere.stand_in_lut()
     w = atmosphere.resampling_weights(lut.wavelengths, BANDS)

@@ -15,7 +15,7 @@ find_clusters classify cloud_product extract_endmembers compute_surface_reflecta
 spiky_pixels dark_pixels_topk statistics simple_linear_regression lowess join_asof_tai join_interp_ut1 ecef_to_wgs
 viewing_geometry line_ellipsoid_intersection scan_gps scan_ict scan_gcps find_telemetry annotations valid_pixel_mask
 wide_long_round_trip calculator_factory o2_interpolation minima_by_event delta_gps delta_ut1 join_spline_segment trajectory_interpolation brightness whiteness
-compute_destriping_factors orbital_plane target_scan_rotation gcp_time_shift""".split()
+compute_destriping_factors orbital_plane target_scan_rotation gcp_time_shift fclsu_unmixing""".split()
 if os.environ.get("LUMICUBE_ALL"):
     WHOLE = sorted(ORACLE)
 
@@ -25,7 +25,7 @@ def test_oracle(spark, data, same_as_oracle, name):
     same_as_oracle(QUERIES[name](spark, data), ORACLE[name])
 
 
-@pytest.mark.parametrize("name", ["perform_geometric_correction", "wv_retrieval", "smile_shift", "spectral_polishing", "fclsu_unmixing"])
+@pytest.mark.parametrize("name", ["perform_geometric_correction", "wv_retrieval", "smile_shift", "spectral_polishing"])
 def test_rows(spark, data, name):
     assert QUERIES[name](spark, data).count() > 0
 
