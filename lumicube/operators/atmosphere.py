@@ -226,13 +226,19 @@ def polished(reflectance: str, gains: Sequence[float]) -> Column:
 
 
 def abundances(rows: DataFrame, keys: Sequence[str], spectrum: str, endmembers: np.ndarray) -> DataFrame:
-    """keys, abundance (array): fully constrained unmixing of each row's spectrum."""
+    """keys, abundance (array): fully constrained unmixing of each row's spectrum.
+
+    A null spectrum has a null abundance, one with a null or another value that isn't finite has NaN.
+    """
     schema = ", ".join(f"{n} {t}" for n, t in rows.select(*keys).dtypes) + ", abundance array<double>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = np.asarray(batch.column(len(keys)).flatten(), dtype=np.float64).reshape(-1, len(endmembers))
-            found = unmix(flat, endmembers)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(list(found), pa.list_(pa.float64()))], names=[*keys, "abundance"])
+            there = np.flatnonzero(np.asarray(batch.column(len(keys)).is_valid()))
+            flat = batch.column(len(keys)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            found = np.full(batch.num_rows, None, dtype=object)
+            for row, shares in zip(there, unmix(flat.reshape(-1, len(endmembers)), endmembers), strict=True):
+                found[row] = shares
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(found, pa.list_(pa.float64()))], names=[*keys, "abundance"])
 
     return rows.select(*keys, spectrum).mapInArrow(run, schema)

@@ -140,6 +140,15 @@ def test_unmixing_is_constrained():
     assert np.abs(got - want).max() < 1e-4 and (got >= 0).all() and np.abs(got.sum(axis=1) - 1).max() < 1e-5
 
 
+def test_unmixing_takes_missing_spectra(spark):
+    ends = np.array([[1.0, 0.0], [0.0, 1.0], [0.5, 0.5]])
+    rows = spark.createDataFrame([(1, [0.25, 0.75, 0.5]), (2, None), (3, [0.25, None, 0.5]), (4, [1.0, 0.0, 0.5])], "k int, s array<double>").coalesce(1)
+    got = {r["k"]: r["abundance"] for r in atmosphere.abundances(rows, ["k"], "s", ends).collect()}
+    assert got[2] is None and np.isnan(got[3]).all()
+    assert np.abs(np.array([got[1], got[4]]) - [[0.25, 0.75], [1, 0]]).max() < 1e-6
+    assert atmosphere.abundances(rows.limit(0), ["k"], "s", ends).count() == 0
+
+
 def test_nonnegative_least_squares_is_the_best_of_all_supports():
     from itertools import combinations
 
