@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_tree, bpe_codec, decontaminate, html_extract, license_scan, minhash_dedup, quality_pu, secret_scan, toxicity, url_filter
+from . import ann_tree, bpe_codec, conversation_repair, decontaminate, html_extract, license_scan, minhash_dedup, quality_pu, secret_scan, toxicity, url_filter
 from ._spark import table
 
 
@@ -53,6 +53,10 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(pages, html_extract.fit(pages))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.digests(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -64,5 +68,10 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_url_filter": op9_url_filter,
     "op10_html_extract": op10_html_extract,
+    "op11_conversation_repair": op11_conversation_repair,
+}
+ORACLE_SQL = {
+    "op1_license_scan": license_scan.oracle(),
+    "op9_url_filter": url_filter.oracle(),
+    "op11_conversation_repair": conversation_repair.oracle(),
 }
-ORACLE_SQL = {"op1_license_scan": license_scan.oracle(), "op9_url_filter": url_filter.oracle()}
