@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_tree, bpe_codec, conversation_repair, decontaminate, html_extract, license_scan, minhash_dedup, quality_pu, secret_scan, toxicity, url_filter
+from . import ann_tree, bpe_codec, conversation_repair, decontaminate, html_extract, license_scan, minhash_dedup, quality_pu, secret_scan, source_divergence, toxicity, url_filter
 from ._spark import table
 
 
@@ -57,6 +57,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.digests(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -69,9 +73,11 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_html_extract": op10_html_extract,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_source_divergence": op12_source_divergence,
 }
 ORACLE_SQL = {
     "op1_license_scan": license_scan.oracle(),
     "op9_url_filter": url_filter.oracle(),
     "op11_conversation_repair": conversation_repair.oracle(),
+    "op12_source_divergence": source_divergence.oracle(),
 }
