@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_tree, bpe_codec, conversation_repair, decontaminate, html_extract, license_scan, minhash_dedup, quality_pu, secret_scan, source_divergence, toxicity, url_filter
+from . import ann_tree, bpe_codec, conversation_repair, decontaminate, html_extract, license_scan, metric_topk, minhash_dedup, quality_pu, secret_scan, source_divergence, toxicity, url_filter
 from ._spark import table
 
 
@@ -61,6 +61,11 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.divergence(table(spark, sf_dir, "documents"))
 
 
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return metric_topk.top_products(rows, rows.filter("vec_id % 50 = 0"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -74,10 +79,12 @@ QUERIES = {
     "op10_html_extract": op10_html_extract,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_source_divergence": op12_source_divergence,
+    "op13_exact_topk": op13_exact_topk,
 }
 ORACLE_SQL = {
     "op1_license_scan": license_scan.oracle(),
     "op9_url_filter": url_filter.oracle(),
     "op11_conversation_repair": conversation_repair.oracle(),
     "op12_source_divergence": source_divergence.oracle(),
+    "op13_exact_topk": metric_topk.oracle(),
 }
