@@ -32,7 +32,7 @@ DEPTH, CELLS_A_DOC, MIN_CELLS, MAX_CELLS = 2, 16, 1 << 16, 1 << 24
 #: Cells of one row of the table that sketches are merged in.
 SLICE = 1 << 16
 #: Rows of partial counts that a task holds at most before it hands them on.
-HELD_ROWS = 300_000
+HELD_ROWS = 1_000_000
 #: Low bits of a hash that make room for a document's number in its block.
 DOC_BITS = 20
 _SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
@@ -43,7 +43,7 @@ def _words(texts: pa.Array, langs: pa.Array) -> Iterator[tuple[int, np.ndarray,
     44-bit hash of language and term."""
     data, offsets = B.column_buffers(texts)
     tongue = B.hash_spans(*_spans(langs))
-    for first, end, raw, own in B.blocks(data, offsets, 1 << 21):
+    for first, end, raw, own in B.blocks(data, offsets, 1 << 20):
         low = B.lower_ascii(raw)
         starts, ends, doc = B.find_words(low, own, TERM)
         h = B.mix(B.hash_spans(low, starts, ends) ^ (tongue[first:end] * np.uint64(_SEEDS[3]))[doc]) >> np.uint64(DOC_BITS)
@@ -125,8 +125,19 @@ def _strings(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
 KEYS = ["lang", "source", "term"]
 
 
+def _counted(words: pa.Array, group: np.ndarray, doc: np.ndarray) -> pa.Table:
+    """(group, term, n, docs) of terms that stand in documents of groups; strings are hashed once, to their numbers."""
+    coded = words.dictionary_encode()
+    size, code = len(coded.dictionary), np.asarray(coded.indices).astype(np.int64)
+    once, n = np.unique(doc * size + code, return_counts=True)
+    own, place = np.unique(group[once // size] * size + once % size, return_inverse=True)
+    total = np.bincount(place, weights=n, minlength=len(own)).astype(np.int64)
+    term = coded.dictionary.take(pa.array(own % size))
+    return pa.table({"group": pa.array(own // size), "term": term, "n": pa.array(total), "docs": pa.array(np.bincount(place, minlength=len(own)))})
+
+
 def _sum(tables: list[pa.Table]) -> pa.Table:
-    return pa.concat_tables(tables).group_by(KEYS).aggregate([("n", "sum"), ("docs", "sum")]).rename_columns([*KEYS, "n", "docs"])
+    return pa.concat_tables(tables).group_by(["group", "term"]).aggregate([("n", "sum"), ("docs", "sum")]).rename_columns(["group", "term", "n", "docs"])
 
 
 def term_counts(docs: DataFrame, sketch: np.ndarray, least: int) -> DataFrame:
@@ -135,30 +146,31 @@ def term_counts(docs: DataFrame, sketch: np.ndarray, least: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
+        groups: dict[tuple[str, str], int] = {}
         for batch in batches:
-            lang, source = batch.column(0).cast(pa.large_string()), batch.column(1).cast(pa.large_string())
-            for first, low, starts, ends, doc, h in _words(batch.column(2), lang):
+            pairs = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            group = np.array([groups.setdefault(x, len(groups)) for x in pairs], np.int64)
+            for first, low, starts, ends, doc, h in _words(batch.column(2), batch.column(0)):
                 some = np.flatnonzero(estimate(shared.value, h) >= min(least, 255))
-                if not len(some):
-                    continue
-                each = pa.table({"doc": pa.array(doc[some] + first), "term": _strings(low, starts[some], ends[some])})
-                once = each.group_by(["doc", "term"]).aggregate([([], "count_all")])
-                at = once.column("doc").combine_chunks()
-                table = pa.table({"lang": lang.take(at), "source": source.take(at), "term": once.column("term"), "n": once.column("count_all"), "docs": pa.array(np.ones(len(at), np.int64))})
-                held.append(_sum([table]))
-            if sum(t.num_rows for t in held) > HELD_ROWS:
-                held = [_sum(held)]
-                if held[0].num_rows > HELD_ROWS // 2:
-                    yield from _out(held.pop())
+                if len(some):
+                    held.append(_counted(_strings(low, starts[some], ends[some]), group[first:], doc[some]))
+            if sum(t.num_rows for t in held) > HELD_ROWS or len(groups) > HELD_ROWS:
+                held = [_sum(held)] if held else []
+                if sum(t.num_rows for t in held) > HELD_ROWS // 2 or len(groups) > HELD_ROWS:
+                    yield from _out(held, groups)
+                    held, groups = [], {}
         if held:
-            yield from _out(_sum(held))
+            yield from _out([_sum(held)], groups)
 
     return docs.select("lang", "source", "text").mapInArrow(count, "lang string, source string, term string, n long, docs long")
 
 
-def _out(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    kinds = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
-    yield from table.cast(kinds).to_batches(max_chunksize=10_000)
+def _out(tables: list[pa.Table], groups: dict[tuple[str, str], int]) -> Iterator[pa.RecordBatch]:
+    lang, source = (pa.array([g[k] for g in groups], pa.string()) for k in (0, 1))
+    for table in tables:
+        for batch in table.to_batches(max_chunksize=10_000):
+            at = batch.column("group")
+            yield pa.RecordBatch.from_arrays([lang.take(at), source.take(at), batch.column("term").cast(pa.string()), batch.column("n"), batch.column("docs")], names=[*KEYS, "n", "docs"])
 
 
 def _share(n: str, whole: str) -> str:
