@@ -11,6 +11,8 @@ SQRT_EPSILON = 1.4901161193847656e-08
 _GOLDEN = 1.0 / 0.381966 - 1.0
 
 Function = Callable[[np.ndarray], np.ndarray]
+#: Many functions: values at points, one for each of the numbered functions.
+Lines = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 def is_bracket(f: Function, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -123,6 +125,105 @@ def minimum_powell(f: Callable[[np.ndarray], float], x: np.ndarray, scale: float
     return x
 
 
+def brackets(f: Lines, a: np.ndarray, b: np.ndarray, most: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``bracket_minimum`` of many functions at once: f(t, rows) gives the values of the functions ``rows`` at ``t``."""
+    every = np.arange(len(a))
+    a, b = np.array(a, dtype=np.float64), np.array(b, dtype=np.float64)
+    fa, fb = f(a, every), f(b, every)
+    up = fb > fa
+    a, b, fb = np.where(up, b, a), np.where(up, a, b), np.where(up, fa, fb)
+    c = b + _GOLDEN * (b - a)
+    fc = f(c, every)
+    live = np.flatnonzero(fc < fb)
+    for _ in range(most):
+        if not len(live):
+            break
+        a[live], b[live], fb[live] = b[live], c[live], fc[live]
+        c[live] = b[live] + _GOLDEN * (b[live] - a[live])
+        fc[live] = f(c[live], live)
+        live = live[fc[live] < fb[live]]
+    return np.minimum(a, c), b, np.maximum(a, c)
+
+
+def minima(f: Lines, low: np.ndarray, inner: np.ndarray, high: np.ndarray, tolerance: float = 1e-10, relative: float = SQRT_EPSILON, most: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """``minimum`` of many functions at once: the places, and the values there."""
+    ratio = 0.3819660112501051
+    low, high, x = (np.array(v, dtype=np.float64) for v in (low, high, inner))
+    w, v = x.copy(), x.copy()
+    fx = f(x, np.arange(len(x)))
+    fw, fv = fx.copy(), fx.copy()
+    step, last = np.zeros(len(x)), np.zeros(len(x))
+    live = np.arange(len(x))
+    for _ in range(most):
+        mid, tol = (low[live] + high[live]) / 2, relative * np.abs(x[live]) + tolerance
+        on = np.abs(x[live] - mid) > 2 * tol - (high[live] - low[live]) / 2
+        live, mid, tol = live[on], mid[on], tol[on]
+        if not len(live):
+            break
+        xs, ws, vs = x[live], w[live], v[live]
+        r, q = (xs - ws) * (fx[live] - fv[live]), (xs - vs) * (fx[live] - fw[live])
+        p, q = (xs - vs) * q - (xs - ws) * r, 2 * (q - r)
+        p, q = np.where(q > 0, -p, p), np.abs(q)
+        fits = (np.abs(last[live]) > tol) & (np.abs(p) < np.abs(q * last[live] / 2)) & (p > q * (low[live] - xs)) & (p < q * (high[live] - xs))
+        wide = np.where(xs < mid, high[live], low[live]) - xs
+        with np.errstate(divide="ignore", invalid="ignore"):
+            parabolic = p / q
+        last[live], step[live] = np.where(fits, step[live], wide), np.where(fits, parabolic, ratio * wide)
+        s = step[live]
+        u = xs + np.where(np.abs(s) >= tol, s, np.where(s > 0, tol, -tol))
+        fu = f(u, live)
+        better, right = fu <= fx[live], u >= xs
+        low[live] = np.where(better, np.where(right, xs, low[live]), np.where(right, low[live], u))
+        high[live] = np.where(better, np.where(right, high[live], xs), np.where(right, u, high[live]))
+        second = ~better & ((fu <= fw[live]) | (ws == xs))
+        third = ~better & ~second & ((fu <= fv[live]) | (vs == xs) | (vs == ws))
+        v[live], fv[live] = np.where(better | second, ws, np.where(third, u, vs)), np.where(better | second, fw[live], np.where(third, fu, fv[live]))
+        w[live], fw[live] = np.where(better, xs, np.where(second, u, ws)), np.where(better, fx[live], np.where(second, fu, fw[live]))
+        x[live], fx[live] = np.where(better, u, xs), np.where(better, fu, fx[live])
+    return x, fx
+
+
+def minima_powell(f: Lines, x: np.ndarray, accuracy: float = 1e-10, most: int = 200, line: float = 1e-8) -> tuple[np.ndarray, np.ndarray]:
+    """Minima of many functions of several variables at once, and the values there; a row of ``x`` is a function's start.
+
+    f(points, rows) gives the values of the functions ``rows``, one point each.  All functions search along their own
+    directions in step; a function that has converged is left out of further rounds.
+    """
+    x = np.array(x, dtype=np.float64)
+    rows, size = x.shape
+    ways = np.broadcast_to(np.eye(size), (rows, size, size)).copy()
+    fx = f(x, np.arange(rows))
+    live = np.arange(rows)
+    for _ in range(most):
+        start, f0 = x[live].copy(), fx[live].copy()
+        drop, which = np.zeros(len(live)), np.zeros(len(live), dtype=int)
+        for i in range(size):
+            d, at, before = ways[live, i], x[live], fx[live]
+            along = lambda t, k, at=at, d=d: f(at[k] + t[:, None] * d[k], live[k])
+            t, ft = minima(along, *brackets(along, np.zeros(len(live)), np.ones(len(live))), tolerance=line, relative=line)
+            better = ft < before
+            x[live], fx[live] = np.where(better[:, None], at + t[:, None] * d, at), np.where(better, ft, before)
+            fell = before - fx[live]
+            which, drop = np.where(fell > drop, i, which), np.maximum(drop, fell)
+        going = 2 * (f0 - fx[live]) > accuracy * (np.abs(f0) + np.abs(fx[live])) + 1e-300
+        live, start, f0, drop, which = live[going], start[going], f0[going], drop[going], which[going]
+        if not len(live):
+            break
+        new = x[live] - start
+        beyond = f(x[live] + new, live)
+        curved = 2 * (f0 - 2 * fx[live] + beyond) * (f0 - fx[live] - drop) ** 2 < drop * (f0 - beyond) ** 2
+        use = np.flatnonzero((beyond < f0) & curved)  # else the new direction would come to depend on the others
+        if len(use):
+            rows_, d, at = live[use], new[use], x[live[use]]
+            along = lambda t, k, at=at, d=d, rows_=rows_: f(at[k] + t[:, None] * d[k], rows_[k])
+            t, ft = minima(along, *brackets(along, np.zeros(len(use)), np.ones(len(use))), tolerance=line, relative=line)
+            better = ft < fx[rows_]
+            x[rows_], fx[rows_] = np.where(better[:, None], at + t[:, None] * d, at), np.where(better, ft, fx[rows_])
+            ways[rows_, which[use]] = ways[rows_, -1]
+            ways[rows_, -1] = d
+    return x, fx
+
+
 def _solved_on(a: np.ndarray, b: np.ndarray, passive: np.ndarray) -> np.ndarray:
     """Least squares of each row of ``b`` in the columns its row of ``passive`` marks, 0 elsewhere; equal sets at once."""
     z = np.zeros(passive.shape)

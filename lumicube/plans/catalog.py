@@ -10,3 +10,4 @@ from . import catalog_atmosphere  # noqa: F401
 from . import catalog_sources  # noqa: F401
 from . import catalog_geometry  # noqa: F401
 from . import catalog_tables  # noqa: F401
+from . import catalog_aerosol  # noqa: F401

@@ -69,22 +69,6 @@ def calculator_factory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "band int, lpw double, egl double").select("band", F.round("lpw", 8).alias("lpw"), F.round("egl", 6).alias("egl"))
 
 
-_NODE_SQL = "(SELECT i, a, lead(a) OVER (ORDER BY i) AS b FROM (SELECT unnest(range(7)) AS i, unnest([0.05, 0.1, 0.2, 0.4, 0.6, 0.8, 1.0])::DOUBLE AS a))"
-
-
-@register("lut_interpolation", f"WITH at AS (SELECT event_id, 0.05e0 + abs(value) % 0.9e0 AS v FROM events) SELECT event_id, round(0.3e0 + 1.2e0 * (a + (v - a) / (b - a) * (b - a)), 8) AS lpw FROM at JOIN {_NODE_SQL} ON v >= a AND v < b".replace("at AS", "q AS").replace("FROM at", "FROM q"))
-def lut_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Path radiance at 500 nm for every event's optical thickness, by bracketing in the table's axis."""
-    from ..operators.lookups import bracket
-    from ..sources.testdata import table
-
-    lut = ops.stand_in_lut()
-    at_500 = lut.lpw[:, int(500 - lut.wavelengths[0])]
-    i, f = bracket(0.05 + F.abs("value") % 0.9, lut.aot)
-    values = F.array(*[F.lit(float(v)) for v in at_500])
-    return table(spark, sf_dir, "events").select("event_id", F.round(F.get(values, i) * (1 - f) + F.get(values, i + 1) * f, 8).alias("lpw"))
-
-
 @register("lpw_correction", "SELECT band, greatest(0, 10.0e0 - band - 2.5e0)::DOUBLE AS correction FROM range(1, 11) t(band)")
 def lpw_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ops.path_radiance_correction(0.05, 0.05, 55.0, [10.0 - b for b in range(1, 11)], [2.5] * 10)

@@ -60,6 +60,39 @@ class RtcTable:
         a, b = (multilinear(self.blocks[k], [self.axes[n] for n in names], [point[n] for n in names]) for k, names in BLOCK_AXES.items())
         return Rtc(a[:, 0], b[:, 0] * np.cos(np.radians(sza)) + b[:, 1], b[:, 2], b[:, 3])
 
+    def many(self, points: dict[str, np.ndarray]) -> Rtc:
+        """``at`` for many points at once; arrays are (points, wavelengths).  Points are held to the axes; NaN gives NaN."""
+        places = {n: _between(self.axes[n], np.asarray(v, dtype=np.float64)) for n, v in points.items()}
+        a, b = (_corners(self.blocks[k], [places[n] for n in names]) for k, names in BLOCK_AXES.items())
+        sun = np.cos(np.radians(np.asarray(points["sza"], dtype=np.float64)))[:, None]
+        return Rtc(a[..., 0], b[..., 0] * sun + b[..., 1], b[..., 2], b[..., 3])
+
+    def in_bands(self, weights: np.ndarray) -> RtcTable:
+        """The table with its wavelengths averaged to bands, by the rows of ``weights``."""
+        blocks = {k: np.einsum("bw,...wv->...bv", weights, v) for k, v in self.blocks.items()}
+        return RtcTable(self.axes | {"wavelength": np.arange(1.0, len(weights) + 1)}, blocks)
+
+
+def _between(nodes: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower node and fraction of each value; an axis of one node has fraction 0."""
+    if len(nodes) == 1:
+        return np.zeros(len(v), dtype=int), v * 0.0
+    i = np.clip(np.searchsorted(nodes, v, side="right") - 1, 0, len(nodes) - 2)
+    return i, np.clip((v - nodes[i]) / (nodes[i + 1] - nodes[i]), 0.0, 1.0)
+
+
+def _corners(block: np.ndarray, places: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Multilinear values at many places: the weighted sum of each place's corner cells."""
+    out: np.ndarray | float = 0.0
+    for corner in range(1 << len(places)):
+        weight, cell = np.ones(len(places[0][0])), []
+        for k, (i, f) in enumerate(places):
+            up = corner >> k & 1
+            weight = weight * (f if up else 1 - f)
+            cell.append(np.minimum(i + up, block.shape[k] - 1))
+        out = out + weight[:, None, None] * block[tuple(cell)]
+    return out
+
 
 def decode_rtc(data: bytes) -> RtcTable:
     """Little-endian: each axis as a 16-bit count and floats, the blocks' numbers of values, then the blocks' floats."""
