@@ -11,3 +11,4 @@ from . import catalog_sources  # noqa: F401
 from . import catalog_geometry  # noqa: F401
 from . import catalog_tables  # noqa: F401
 from . import catalog_aerosol  # noqa: F401
+from . import catalog_products  # noqa: F401

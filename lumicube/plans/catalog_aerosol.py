@@ -122,20 +122,20 @@ def aot_water_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # The table in all axes --------------------------------------------------------------------------------------
 
-#: Place of each event in the table's axes: lowest value, span, and the divisor that makes the axes differ.
+#: Place of each vector in the table's axes: lowest value, span, and the divisor that makes the axes differ.
 _PLACES = {"vza": (0.0, 60.0, 1.0), "sza": (0.0, 60.0, 3.0), "ada": (0.0, 180.0, 5.0), "alt": (0.0, 2.0, 7.0), "aot": (0.05, 0.95, 11.0), "cwv": (0.3, 4.7, 13.0)}
 _AT_NM = (500.0, 940.0)
 
 
 def _lookup_sql() -> str:
-    """Every event meets the corners of its cell, two nodes an axis, and adds the formula's values by weight."""
+    """Every vector meets the corners of its cell, two nodes an axis, and adds the formula's values by weight."""
     names = list(_PLACES)
     axes = ", ".join(
         f"{n}_axis AS (SELECT lo, hi FROM (SELECT v AS lo, lead(v) OVER (ORDER BY v) AS hi FROM (SELECT unnest({list(radiative.STAND_IN[n])})::DOUBLE AS v)) WHERE hi IS NOT NULL)" for n in names
     )
     places = ", ".join(f"{a}e0 + (abs(value) / {d}e0) % 1 * {s}e0 AS {n}" for n, (a, s, d) in _PLACES.items())
     corners = " ".join(
-        f"JOIN (SELECT event_id, unnest([lo, hi]) AS {n}, unnest([1 - f, f]) AS w_{n} FROM (SELECT event_id, lo, hi, (p.{n} - lo) / (hi - lo) AS f FROM p JOIN {n}_axis ON p.{n} >= lo AND (p.{n} < hi OR hi = {radiative.STAND_IN[n][-1]}))) c_{n} USING (event_id)"
+        f"JOIN (SELECT vec_id, unnest([lo, hi]) AS {n}, unnest([1 - f, f]) AS w_{n} FROM (SELECT vec_id, lo, hi, (p.{n} - lo) / (hi - lo) AS f FROM p JOIN {n}_axis ON p.{n} >= lo AND (p.{n} < hi OR hi = {radiative.STAND_IN[n][-1]}))) c_{n} USING (vec_id)"
         for n in names
     )
     air, fall = "exp(-alt / 8)", "(wl / 500)"
@@ -150,18 +150,18 @@ def _lookup_sql() -> str:
     }
     sums = ", ".join(f"sum({weight} * ({v})) AS {n}" for n, v in values.items())
     return f"""
-WITH p AS (SELECT event_id, {places} FROM events), {axes},
-cells AS (SELECT event_id, wl, {sums} FROM (SELECT p.event_id FROM p) {corners}, (SELECT unnest({list(_AT_NM)})::DOUBLE AS wl) GROUP BY event_id, wl)
-SELECT event_id, wl, round(lpw, 7) AS lpw, round(direct * cos(radians(sza)) + diffuse, 5) AS egl, round(sab, 8) AS sab, round(rat, 8) AS rat FROM cells JOIN p USING (event_id)"""
+WITH q AS (SELECT vec_id, 1000 * embedding[1]::DOUBLE + vec_id % 89 AS value FROM embeddings), p AS (SELECT vec_id, {places} FROM q), {axes},
+cells AS (SELECT vec_id, wl, {sums} FROM (SELECT p.vec_id FROM p) {corners}, (SELECT unnest({list(_AT_NM)})::DOUBLE AS wl) GROUP BY vec_id, wl)
+SELECT vec_id, wl, round(lpw, 7) AS lpw, round(direct * cos(radians(sza)) + diffuse, 5) AS egl, round(sab, 8) AS sab, round(rat, 8) AS rat FROM cells JOIN p USING (vec_id)"""
 
 
 @register("lut_interpolation", _lookup_sql())
 def lut_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Path radiance, flux, albedo and ratio at two wavelengths for every event's own angles, altitude and atmosphere."""
+    """Path radiance, flux, albedo and ratio at two wavelengths for every vector's own angles, altitude and atmosphere."""
     t = radiative.stand_in_table()
     two = np.array([[float(w == nm) for w in t.axes["wavelength"]] for nm in _AT_NM])
     at = {n: lo + (F.abs("value") / d) % 1 * span for n, (lo, span, d) in _PLACES.items()}
-    found = radiative.with_table(table(spark, sf_dir, "events").select("event_id", "value"), t.in_bands(two), at)
-    each = found.select("event_id", F.explode(F.arrays_zip(doubles(_AT_NM).alias("wl"), "lpw", "egl", "sab", "rat")).alias("c"))
+    found = radiative.with_table(table(spark, sf_dir, "embeddings").select("vec_id", (1000 * F.get("embedding", F.lit(0)).cast("double") + F.col("vec_id") % 89).alias("value")), t.in_bands(two), at)
+    each = found.select("vec_id", F.explode(F.arrays_zip(doubles(_AT_NM).alias("wl"), "lpw", "egl", "sab", "rat")).alias("c"))
     digits = {"lpw": 7, "egl": 5, "sab": 8, "rat": 8}
-    return each.select("event_id", "c.wl", *[F.round(f"c.{n}", d).alias(n) for n, d in digits.items()])
+    return each.select("vec_id", "c.wl", *[F.round(f"c.{n}", d).alias(n) for n, d in digits.items()])

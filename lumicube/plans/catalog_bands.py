@@ -176,20 +176,3 @@ def column_pruning_by_feature_selection(spark: SparkSession, sf_dir: str) -> Dat
 def rgb_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = {"red": 650.0, "green": 550.0, "blue": 450.0}
     return cube(spark, sf_dir).pixels.select("x", "y", *[F.element_at("radiance", ops.nearest_index(BANDS, w)).alias(n) for n, w in at.items()])
-
-
-@register("copy_product", f"WITH {CUBE_SQL} SELECT x, y, radiance[1:10]::INTEGER[] AS radiance, mask[1:10]::SMALLINT[] AS mask FROM cube")
-def copy_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cube(spark, sf_dir).pixels.select("x", "y", F.slice("radiance", 1, 10).alias("radiance"), F.slice("mask", 1, 10).alias("mask"))
-
-
-@register("copy_product_whole")
-def copy_product_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cube(spark, sf_dir).pixels.select("x", "y", "radiance", "mask")
-
-
-@register("sink_band_into_product", f"WITH {CUBE_SQL} SELECT x, y, round(radiance[1] / 20000.0, 6) AS cloud_product FROM cube")
-def sink_band_into_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scene = cube(spark, sf_dir).pixels.withColumn("cloud_product", F.lit(None).cast("double"))
-    return scene.withColumn("cloud_product", F.round(F.element_at("radiance", 1) / 20000.0, 6)).select("x", "y", "cloud_product")
-
