@@ -20,33 +20,57 @@ def is_bracket(f: Function, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return f(a) * f(b) <= 0
 
 
+def brent_roots(f: Function, a: np.ndarray, b: np.ndarray, most: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """Roots in the brackets [a, b] by Brent's method, all functions in step, and the steps that each took.
+
+    Per function: ``best`` is the best estimate so far, ``last`` the one before, ``other`` the end with the other sign.
+    A step is inverse quadratic through the three (a secant where only two differ), and a bisection where that would
+    leave the bracket's near three quarters, or not halve the step before the last.  A function is done when half the
+    bracket is within rounding of its root.  Brackets must hold a change of sign, or a root at an end.
+    """
+    last, best = np.array(a, dtype=np.float64), np.array(b, dtype=np.float64)
+    f_last, f_best = f(last), f(best)
+    other, f_other = last.copy(), f_last.copy()
+    move = before = best - last
+    steps = np.zeros(len(best), dtype=int)
+    for _ in range(most):
+        same = np.sign(f_best) == np.sign(f_other)  # the other end must have the other sign
+        other, f_other = np.where(same, last, other), np.where(same, f_last, f_other)
+        move, before = np.where(same, best - last, move), np.where(same, best - last, before)
+        swap = np.abs(f_other) < np.abs(f_best)
+        last, best, other = np.where(swap, best, last), np.where(swap, other, best), np.where(swap, best, other)
+        f_last, f_best, f_other = np.where(swap, f_best, f_last), np.where(swap, f_other, f_best), np.where(swap, f_best, f_other)
+        tolerance = 0.5 * MACHINE_EPSILON * np.abs(best)
+        half = (other - best) / 2
+        live = (f_best != 0) & (np.abs(half) > tolerance)
+        if not live.any():
+            break
+        with np.errstate(divide="ignore", invalid="ignore"):
+            s, q, r = f_best / f_last, f_last / f_other, f_best / f_other
+            two = last == other
+            p = np.where(two, 2 * half * s, s * (2 * half * q * (q - r) - (best - last) * (r - 1)))
+            d = np.where(two, 1 - s, (q - 1) * (r - 1) * (s - 1))
+            d, p = np.where(p > 0, -d, d), np.abs(p)
+            fits = (np.abs(before) >= tolerance) & (np.abs(f_last) > np.abs(f_best)) & (2 * p < np.minimum(3 * half * d - np.abs(tolerance * d), np.abs(before * d)))
+            before, move = np.where(fits, move, half), np.where(fits, p / d, half)
+        step = np.where(np.abs(move) > tolerance, move, np.where(half > 0, tolerance, -tolerance))
+        last, f_last = np.where(live, best, last), np.where(live, f_best, f_last)
+        best = np.where(live, best + step, best)
+        f_best = np.where(live, f(best), f_best)
+        steps += live
+    return best, steps
+
+
 def roots(f: Function, a: np.ndarray, b: np.ndarray, most: int = 200) -> np.ndarray:
-    """Roots in the brackets [a, b], by inverse interpolation guarded by bisection.
+    """Roots in the brackets [a, b] by ``brent_roots``.
 
     An end that is a root is returned; without a change of sign, the end with the smaller absolute value is.
     """
     a, b = np.array(a, dtype=np.float64), np.array(b, dtype=np.float64)
     fa, fb = f(a), f(b)
     bad = np.sign(fa) * np.sign(fb) > 0
-    best = np.where(np.abs(fa) <= np.abs(fb), a, b)
-    lo, hi, flo, fhi = a.copy(), b.copy(), fa.copy(), fb.copy()
-    for k in range(most):
-        width = hi - lo
-        mid = lo + width / 2
-        with np.errstate(divide="ignore", invalid="ignore"):
-            secant = hi - fhi * width / (fhi - flo)
-        inside = np.isfinite(secant) & (np.minimum(lo, hi) < secant) & (secant < np.maximum(lo, hi))
-        x = np.where(inside & (k % 3 != 2), secant, mid)
-        fx = f(x)
-        low = np.sign(fx) == np.sign(flo)
-        lo, flo = np.where(low, x, lo), np.where(low, fx, flo)
-        hi, fhi = np.where(low, hi, x), np.where(low, fhi, fx)
-        zero = fx == 0
-        lo, hi = np.where(zero, x, lo), np.where(zero, x, hi)
-        if np.all(bad | (np.abs(hi - lo) <= 2 * MACHINE_EPSILON * np.maximum(np.abs(hi), np.abs(lo)))):
-            break
-    out = np.where(np.abs(flo) <= np.abs(fhi), lo, hi)
-    return np.where(fa == 0, a, np.where(fb == 0, b, np.where(bad, best, out)))
+    found, _ = brent_roots(f, a, b, most)
+    return np.where(fa == 0, a, np.where(fb == 0, b, np.where(bad, np.where(np.abs(fa) <= np.abs(fb), a, b), found)))
 
 
 def bracket_minimum(f: Callable[[float], float], a: float, b: float, most: int = 100) -> tuple[float, float, float]:

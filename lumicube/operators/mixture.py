@@ -114,6 +114,10 @@ def em(rows: DataFrame, features: Sequence[str], mixture: Sequence[Gaussian], it
 
 
 def find_mixture(rows: DataFrame, features: Sequence[str], keys: Sequence[str], clusters: int, kmeans_steps: int, em_steps: int) -> list[Gaussian]:
-    """The mixture of the scaled features of ``rows``, which hold them normalised."""
-    centres = kmeans(rows, features, first_centres(rows, features, keys, clusters), kmeans_steps)
-    return em(rows, features, start(rows, features, centres), em_steps)
+    """The mixture of the scaled features of ``rows``, which hold them normalised; computed once and held for all rounds."""
+    kept = rows.select(*dict.fromkeys([*keys, *features])).persist()
+    try:
+        centres = kmeans(kept, features, first_centres(kept, features, keys, clusters), kmeans_steps)
+        return em(kept, features, start(kept, features, centres), em_steps)
+    finally:
+        kept.unpersist()

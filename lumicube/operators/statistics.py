@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 
@@ -14,13 +17,19 @@ def smallest(rows: DataFrame, keys: Sequence[str], value: str, n: int, ties: Seq
 
 
 def extremes(rows: DataFrame, value: str, n: int, ties: Sequence[str], keys: Sequence[str] = ("product_id",)) -> DataFrame:
-    """The ``n`` lowest and highest rows of each key that has more than 2 n, with the column end."""
+    """The ``n`` lowest and highest rows of each key that has more than 2 n, with the column end.
+
+    Both ends are cut to ``n`` rows a key and task before they are shuffled, and the count is a partial aggregate, so no
+    task sees all rows of a key.
+    """
     w = Window.partitionBy(*keys)
-    marked = rows.withColumns(
-        {"low": F.row_number().over(w.orderBy(value, *ties)), "high": F.row_number().over(w.orderBy(F.desc(value), *[F.desc(t) for t in ties])), "total": F.count("*").over(w)}
-    )
-    kept = marked.filter((F.col("total") > 2 * n) & ((F.col("low") <= n) | (F.col("high") <= n)))
-    return kept.withColumn("end", F.when(F.col("low") <= n, "low").otherwise("high")).drop("low", "high", "total")
+
+    def end(name: str, order: list) -> DataFrame:
+        return rows.withColumn("_rank", F.row_number().over(w.orderBy(*order))).filter(F.col("_rank") <= n).drop("_rank").withColumn("end", F.lit(name))
+
+    both = end("low", [F.asc(value), *map(F.asc, ties)]).unionByName(end("high", [F.desc(value), *map(F.desc, ties)]))
+    many = rows.groupBy(*keys).agg(F.count("*").alias("_total")).filter(F.col("_total") > 2 * n).drop("_total")
+    return both.join(many, list(keys), "left_semi")
 
 
 def box_mean(rows: DataFrame, value: str, kernel: int, keys: Sequence[str] = ("product_id", "band")) -> DataFrame:
@@ -39,12 +48,83 @@ def box_mean(rows: DataFrame, value: str, kernel: int, keys: Sequence[str] = ("p
     return out.withColumn("box_mean", mean).drop("_s", "_n")
 
 
-def two_predictor_regression(rows: DataFrame, keys: Sequence[str], x1: str, x2: str, y: str) -> DataFrame:
-    """Least squares of y on two predictors without intercept, from one aggregate of products."""
-    a, b, c = F.col(x1), F.col(x2), F.col(y)
-    s = rows.groupBy(*keys).agg(F.sum(a * a).alias("aa"), F.sum(a * b).alias("ab"), F.sum(b * b).alias("bb"), F.sum(a * c).alias("ac"), F.sum(b * c).alias("bc"))
-    det = F.nullif(F.col("aa") * F.col("bb") - F.col("ab") * F.col("ab"), F.lit(0.0))
-    return s.select(*keys, ((F.col("ac") * F.col("bb") - F.col("bc") * F.col("ab")) / det).alias("c1"), ((F.col("bc") * F.col("aa") - F.col("ac") * F.col("ab")) / det).alias("c2"))
+#: Keys whose factors a task holds at most before it hands them on, and parts that the factors of a key are first met in.
+HELD_KEYS, PARTS = 10_000, 64
+
+
+def _factor(rows: np.ndarray) -> np.ndarray:
+    """The triangular factor of rows (predictors, then the response), with as many rows as columns at most."""
+    return np.linalg.qr(rows, mode="r") if len(rows) > rows.shape[1] else rows
+
+
+def multi_regression(rows: DataFrame, keys: Sequence[str], predictors: Sequence[str], response: str) -> DataFrame:
+    """keys, n, rank, coefficients, singular_values, residual: least squares of the response on any number of predictors
+    without intercept, for each key.
+
+    Every task reduces its rows to a triangular factor a key, factors of a key meet in PARTS parts and then in one row, so
+    that a key of any size is never gathered.  Singular values of the last factor up to rounding are cut off, as far as
+    the decomposition of all rows would: where predictors depend on each other, the coefficients are the smallest that
+    fit.  ``residual`` is the sum of squares that is left.  Rows with a null or another value that isn't finite are left
+    out, and keys without other rows; null keys are a key; an empty table gives no rows.
+    """
+    names, width = [*predictors, response], len(predictors) + 1
+    finite = [F.coalesce(F.abs(F.col(c).cast("double")) < float("inf"), F.lit(False)) for c in names]
+    used = rows.select(*keys, F.array(*[F.col(c).cast("double") for c in names]).alias("_row")).filter(functools.reduce(lambda p, q: p & q, finite))
+    kinds = ", ".join(f"`{n}` {t}" for n, t in used.select(*keys).dtypes)
+    at = len(keys)
+
+    def packed(held: dict[tuple, tuple[int, np.ndarray]], key_types: list[pa.DataType]) -> pa.RecordBatch:
+        own = list(held)
+        cols = [pa.array([k[i] for k in own], t) for i, t in enumerate(key_types)]
+        return pa.RecordBatch.from_arrays(
+            [*cols, pa.array([held[k][0] for k in own], pa.int64()), pa.array([held[k][1].ravel().tolist() for k in own], pa.list_(pa.float64()))], names=[*keys, "_n", "_r"]
+        )
+
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[int, np.ndarray]] = {}
+        key_types: list[pa.DataType] = []
+        for batch in batches:
+            key_types = [batch.column(i).type for i in range(at)]
+            if not batch.num_rows:
+                continue
+            many = batch.num_columns > at + 1  # factors, not rows
+            own = list(zip(*(batch.column(i).to_pylist() for i in range(at)), strict=True)) if keys else [()] * batch.num_rows
+            place: dict[tuple, list[int]] = {}
+            for r, k in enumerate(own):
+                place.setdefault(k, []).append(r)
+            values = batch.column(at + 1 if many else at)
+            flat, ends = np.asarray(values.flatten()), np.asarray(values.value_lengths()).cumsum()
+            counts = np.asarray(batch.column(at)) if many else np.ones(batch.num_rows, np.int64)
+            for k, rs in place.items():
+                x = np.concatenate([flat[(ends[r - 1] if r else 0) : ends[r]] for r in rs]).reshape(-1, width)
+                n, before = held.get(k, (0, np.zeros((0, width))))
+                held[k] = n + int(counts[rs].sum()), _factor(np.concatenate((before, x)))
+            if len(held) > HELD_KEYS:
+                yield packed(held, key_types)
+                held = {}
+        if held:
+            yield packed(held, key_types)
+
+    schema = f"{kinds}{', ' if keys else ''}_n long, _r array<double>"
+    parts = used.mapInArrow(reduced, schema).withColumn("_part", F.pmod(F.xxhash64("_r"), F.lit(PARTS)))
+    met = parts.repartition(*keys, "_part").drop("_part").mapInArrow(reduced, schema)
+    last = (met.repartition(*keys) if keys else met.coalesce(1)).mapInArrow(reduced, schema)
+    whole = last.groupBy(*keys).agg(F.sum("_n").alias("n"), F.flatten(F.collect_list("_r")).alias("_r"))  # HELD_KEYS aside, one factor a key
+
+    def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, list[float], list[float], float]] = []
+            for n, raw in zip(batch.column(at).to_pylist(), batch.column(at + 1), strict=True):
+                r = np.asarray(raw.values).reshape(-1, width)
+                a, y = r[:, :-1], r[:, -1]
+                u, s, vt = np.linalg.svd(a, full_matrices=False)
+                rank = int((s > max(n, width - 1) * s.max(initial=0.0) * np.finfo(float).eps).sum())
+                c = vt[:rank].T @ ((u[:, :rank].T @ y) / s[:rank])
+                out.append((rank, c.tolist(), s.tolist(), float(((y - a @ c) ** 2).sum())))
+            cols = [pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: at + 1], *cols], names=[*keys, "n", "rank", "coefficients", "singular_values", "residual"])
+
+    return whole.filter("n IS NOT NULL").mapInArrow(solved, f"{kinds}{', ' if keys else ''}n long, rank int, coefficients array<double>, singular_values array<double>, residual double")
 
 
 def slope_through_origin(rows: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:

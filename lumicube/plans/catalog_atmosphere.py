@@ -181,33 +181,56 @@ def roots_brent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.round(root(F.abs("value") + 1), 8).alias("root"))
 
 
-@register("min_brack_min_brent_powell", "SELECT 'min_brack' AS name, 1.0::DOUBLE AS ok UNION ALL SELECT 'min_brent', 1.0 UNION ALL SELECT 'multimin_powell', 1.0")
+@register(
+    "min_brack_min_brent_powell",
+    "SELECT event_type, true AS bracketed, round(avg(value), 4) AS minimum, round(regr_slope(value, event_id % 100), 4) AS slope, round(regr_intercept(value, event_id % 100), 3) AS intercept FROM events GROUP BY event_type",
+)
 def minimisers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = lambda x: (x - 1.5) ** 2 + 0.25
-    lo, mid, hi = numerics.bracket_minimum(f, 0.0, 1.0)
-    at = numerics.minimum(f, lo, mid, hi)
-    p = numerics.minimum_powell(lambda v: float((1 - v[0]) ** 2 + 100 * (v[1] - v[0] ** 2) ** 2), np.array([-1.2, 1.0]))
-    rows = [("min_brack", float(f(mid) <= min(f(lo), f(hi)))), ("min_brent", float(abs(at - 1.5) < 1e-6)), ("multimin_powell", float(np.abs(p - 1).max() < 1e-3))]
-    return spark.createDataFrame(rows, "name string, ok double")
+    """Least squares of each event type's values by search: a bracket, its minimum, and a line by Powell's method.
+
+    The sums of squares come from moments, so that a type of any size is a few numbers.
+    """
+    from ..sources.testdata import table
+
+    names = ("n", "t", "v", "tt", "tv", "vv")
+    e = table(spark, sf_dir, "events").select("event_type", F.lit(1.0).alias("n"), (F.col("event_id") % 100).cast("double").alias("t"), F.col("value").alias("v"))
+    sums = e.groupBy("event_type").agg(*[F.sum(F.col(n[0]) * F.col(n[-1]) if len(n) > 1 else F.col(n)).alias(n) for n in names])
+
+    def solve(batches):
+        for rows in batches:
+            n, t, v, tt, tv, vv = (rows[c].to_numpy() for c in names)
+            flat = lambda x, k: vv[k] - 2 * x * v[k] + n[k] * x * x
+            low, inner, high = numerics.brackets(flat, np.zeros(len(n)), np.ones(len(n)))
+            inside = (flat(inner, slice(None)) <= flat(low, slice(None))) & (flat(inner, slice(None)) <= flat(high, slice(None)))
+            at, _ = numerics.minima(flat, low, inner, high)
+
+            def line(p, k):
+                b, a = p[:, 0], p[:, 1]
+                return vv[k] - 2 * b * tv[k] - 2 * a * v[k] + b * b * tt[k] + 2 * a * b * t[k] + a * a * n[k]
+
+            p, _ = numerics.minima_powell(line, np.zeros((len(n), 2)), accuracy=1e-15)
+            yield pd.DataFrame({"event_type": rows["event_type"], "bracketed": inside, "minimum": at, "slope": p[:, 0], "intercept": p[:, 1]})
+
+    found = sums.mapInPandas(solve, "event_type string, bracketed boolean, minimum double, slope double, intercept double")
+    digits = {"minimum": 4, "slope": 4, "intercept": 3}
+    return found.select("event_type", "bracketed", *[F.round(c, d).alias(c) for c, d in digits.items()])
 
 
 @register("minima_by_event", "SELECT event_id, round(abs(value) % 7, 4) AS minimum, round(abs(value) % 5, 3) AS x, round(abs(value) % 3, 3) AS y FROM events")
 def minima_by_event(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Minima, bracketed from afar, of a parabola and by Powell's method of a tilted bowl, whose places are the event's."""
+    """Minima, bracketed from afar, of a parabola and by Powell's method of a tilted bowl, whose places are the event's;
+    all events of an Arrow batch are searched together."""
     from ..sources.testdata import table
 
     def solve(batches):
         for rows in batches:
             v = np.abs(rows["value"].to_numpy())
-            at, x, y = [], [], []
-            for one, a, b in zip(v % 7, v % 5, v % 3, strict=True):
-                f = lambda t, one=one: (t - one) ** 2 + 0.25
-                at.append(numerics.minimum(f, *numerics.bracket_minimum(f, 20.0, 21.0)))
-                bowl = lambda p, a=a, b=b: float((p[0] - a) ** 2 + 2 * (p[1] - b) ** 2 + (p[0] - a) * (p[1] - b))
-                p = numerics.minimum_powell(bowl, np.array([-4.0, 9.0]))
-                x.append(p[0])
-                y.append(p[1])
-            yield pd.DataFrame({"event_id": rows["event_id"], "minimum": at, "x": x, "y": y})
+            one, a, b = v % 7, v % 5, v % 3
+            f = lambda t, k: (t - one[k]) ** 2 + 0.25
+            at, _ = numerics.minima(f, *numerics.brackets(f, np.full(len(v), 20.0), np.full(len(v), 21.0)))
+            bowl = lambda p, k: (p[:, 0] - a[k]) ** 2 + 2 * (p[:, 1] - b[k]) ** 2 + (p[:, 0] - a[k]) * (p[:, 1] - b[k])
+            p, _ = numerics.minima_powell(bowl, np.tile((-4.0, 9.0), (len(v), 1)), accuracy=1e-14)
+            yield pd.DataFrame({"event_id": rows["event_id"], "minimum": at, "x": p[:, 0], "y": p[:, 1]})
 
     # Few bytes, but much to compute for each.
     spread = table(spark, sf_dir, "events").select("event_id", "value").repartition(spark.sparkContext.defaultParallelism)

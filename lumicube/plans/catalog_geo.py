@@ -207,7 +207,7 @@ def line_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(m.rows).select(F.col("id").cast("int").alias("line"), F.round(start + F.col("id") * m.time_per_line + m.integration_time / 2, 9).alias("t"))
 
 
-@register("row_flip", "SELECT (vec_id % 25)::INTEGER AS x, 19 - (vec_id // 25)::INTEGER AS y, label FROM embeddings WHERE vec_id < 500")
+@register("row_flip", "SELECT (vec_id % 25)::INTEGER AS x, (max(vec_id // 25) OVER () - vec_id // 25)::INTEGER AS y, label FROM embeddings")
 def row_flip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.testdata import cube
 

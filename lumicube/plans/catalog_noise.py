@@ -100,13 +100,8 @@ def panorama_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.panorama(heights(spark, sf_dir)).select("product_id", "offset")
 
 
-@register("lag_across_track", f"WITH {_LAG_SQL} SELECT x, y, round(lv, 6) AS left_value FROM lagged WHERE band = 7")
+@register("lag_across_track", f"WITH {_LAG_SQL} SELECT x, y, CASE WHEN count(lv) > 0 THEN list(round(lv, 6) ORDER BY band) END AS left_spectrum FROM lagged GROUP BY x, y")
 def lag_across_track(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.across_track(corrected(spark, sf_dir)).select("x", "y", F.round(F.element_at("left", 7), 6).alias("left_value"))
-
-
-@register("lag_across_track_whole")
-def lag_across_track_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The left neighbour's spectrum, all bands; null in the first column."""
     return ops.across_track(corrected(spark, sf_dir)).select("x", "y", F.transform("left", lambda v: F.round(v, 6)).alias("left_spectrum"))
 
@@ -264,22 +259,28 @@ register("correct_dropouts_n8", _dropout_sql("N8", 5))(_dropouts("N8"))
 
 @register(
     "join_neighbours",
-    f"WITH {LONG_SQL}, {_OFFSETS_SQL['N8']} SELECT a.x, a.y, count(*) AS n, sum(b.value)::BIGINT AS total FROM long a, offsets JOIN long b ON b.x = a.x + dx AND b.y = a.y + dy AND b.band = a.band WHERE a.band = 1 GROUP BY a.x, a.y",
+    f"WITH {LONG_SQL}, {_OFFSETS_SQL['N8']} SELECT a.x, a.y, a.band, count(*) AS n, sum(b.value)::BIGINT AS total FROM long a, offsets JOIN long b ON b.x = a.x + dx AND b.y = a.y + dy AND b.band = a.band GROUP BY a.x, a.y, a.band",
 )
 def join_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = cube(spark, sf_dir).pixels.select("x", "y", F.element_at("radiance", 1).alias("v"))
-    moved = one.select("x", "y", F.explode(ops.neighbour_offsets("N8")).alias("o")).select("x", "y", (F.col("x") + F.col("o.dx")).alias("nx"), (F.col("y") + F.col("o.dy")).alias("ny"))
-    return moved.join(one.toDF("nx", "ny", "v"), ["nx", "ny"]).groupBy("x", "y").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+    """Number and sum of the eight neighbours of every pixel and band, by running frames along both axes."""
+    row, column = (Window.partitionBy("product_id", "band", a).orderBy(b).rangeBetween(-1, 1) for a, b in (("y", "x"), ("x", "y")))
+    v = F.col("value").cast("long")
+    rows = cube_long(spark, sf_dir).withColumns({"s": F.sum(v).over(row), "n": F.count("*").over(row)})
+    rows = rows.withColumns({"s": F.sum("s").over(column) - v, "n": F.sum("n").over(column) - 1})
+    return rows.filter("n > 0").select("x", "y", "band", "n", F.col("s").alias("total"))
 
 
 @register(
     "neighbour_window_3x3",
-    f"WITH {LONG_SQL} SELECT x, y, lag(value) OVER (PARTITION BY y ORDER BY x) AS w, lead(value) OVER (PARTITION BY y ORDER BY x) AS e, lag(value) OVER (PARTITION BY x ORDER BY y) AS n, lead(value) OVER (PARTITION BY x ORDER BY y) AS s FROM long WHERE band = 2",
+    f"WITH {LONG_SQL} SELECT x, y, band, lag(value) OVER (PARTITION BY band, y ORDER BY x) AS w, lead(value) OVER (PARTITION BY band, y ORDER BY x) AS e, lag(value) OVER (PARTITION BY band, x ORDER BY y) AS n, lead(value) OVER (PARTITION BY band, x ORDER BY y) AS s FROM long",
 )
 def neighbour_window_3x3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    row, column = Window.partitionBy("y").orderBy("x"), Window.partitionBy("x").orderBy("y")
-    one = cube(spark, sf_dir).pixels.select("x", "y", F.element_at("radiance", 2).alias("v"))
-    return one.select("x", "y", F.lag("v").over(row).alias("w"), F.lead("v").over(row).alias("e"), F.lag("v").over(column).alias("n"), F.lead("v").over(column).alias("s"))
+    """The four next pixels of every pixel and band; whole spectra pass through the windows."""
+    row, column = Window.partitionBy("product_id", "y").orderBy("x"), Window.partitionBy("product_id", "x").orderBy("y")
+    ways = {"w": F.lag("radiance").over(row), "e": F.lead("radiance").over(row), "n": F.lag("radiance").over(column), "s": F.lead("radiance").over(column)}
+    pixels = cube(spark, sf_dir).pixels.select("product_id", "x", "y", "radiance").withColumns(ways)
+    each = pixels.select("x", "y", *ways, F.posexplode("radiance").alias("at", "v"))
+    return each.select("x", "y", (F.col("at") + 1).alias("band"), *[F.get(k, F.col("at")).alias(k) for k in ways])
 
 
 @register("spectral_neighbours", f"WITH {CUBE_SQL} SELECT x, y, list_sum(radiance[5:15])::BIGINT AS around_10, list_sum(radiance[1:7])::BIGINT AS around_2 FROM cube")

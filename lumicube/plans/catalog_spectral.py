@@ -79,14 +79,8 @@ def _resampled(spark: SparkSession) -> DataFrame:
     return near.withColumn("w", F.col("raw") / F.sum("raw").over(Window.partitionBy("band")))
 
 
-@register("resample_weight", f"WITH {_RESAMPLE_SQL} SELECT band, x, round(w, 9) AS weight FROM normed WHERE band % 16 = 1")
+@register("resample_weight", f"WITH {_RESAMPLE_SQL} SELECT band, x, round(w, 9) AS weight FROM normed")
 def resample_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample_weight_whole(spark, sf_dir).filter("band % 16 = 1")
-
-
-@register("resample_weight_whole")
-def resample_weight_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All bands; resample_weight has those that its SQL takes."""
     return _resampled(spark).select("band", "x", F.round("w", 9).alias("weight"))
 
 

@@ -9,6 +9,7 @@ from ..operators import statistics as ops
 from ..operators.correction import kernel_of
 from ..registry import register
 from ..sources.testdata import ATTRS, CUBE_SQL, LARGE_SQL, LONG_SQL, TELEMETRY_SQL, cube, cube_long, large_raster, table, telemetry
+from .sql import det
 
 _ODD_SQL = "odd AS (SELECT event_type, CASE WHEN event_id % 7 = 0 THEN 'nan'::DOUBLE WHEN event_id % 11 = 0 THEN 'inf'::DOUBLE ELSE value END AS v FROM events), ok AS (SELECT * FROM odd WHERE isfinite(v))"
 
@@ -39,8 +40,30 @@ def simple_linear_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     "WITH s AS (SELECT l_returnflag, sum(l_quantity * l_quantity) AS aa, sum(l_quantity * l_discount) AS ab, sum(l_discount * l_discount) AS bb, sum(l_quantity * l_extendedprice) AS ac, sum(l_discount * l_extendedprice) AS bc FROM lineitem GROUP BY l_returnflag) SELECT l_returnflag, round((ac * bb - bc * ab) / (aa * bb - ab * ab), 5) AS c1, round((bc * aa - ac * ab) / (aa * bb - ab * ab), 3) AS c2 FROM s",
 )
 def multi_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = ops.two_predictor_regression(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity", "l_discount", "l_extendedprice")
-    return out.select("l_returnflag", F.round("c1", 5).alias("c1"), F.round("c2", 3).alias("c2"))
+    out = ops.multi_regression(table(spark, sf_dir, "lineitem"), ["l_returnflag"], ["l_quantity", "l_discount"], "l_extendedprice")
+    return out.select("l_returnflag", *[F.round(F.get("coefficients", F.lit(k)), d).alias(n) for k, (n, d) in enumerate((("c1", 5), ("c2", 3)))])
+
+
+_THREE = ("l_quantity", "l_discount", "l_tax")
+_NORMAL_SQL = ", ".join([f"sum({a} * {b}) AS g{i}{j}" for i, a in enumerate(_THREE) for j, b in enumerate(_THREE)] + [f"sum({a} * l_extendedprice) AS r{i}" for i, a in enumerate(_THREE)])
+
+
+def _cramer(k: int) -> str:
+    g = [[f"g{i}{j}" for j in range(3)] for i in range(3)]
+    return f"{det([[f'r{i}' if j == k else g[i][j] for j in range(3)] for i in range(3)])} / {det(g)}"
+
+
+@register(
+    "multi_regression_dependent",
+    f"WITH s AS (SELECT l_linestatus, count(*) AS n, {_NORMAL_SQL} FROM lineitem GROUP BY l_linestatus), c AS (SELECT l_linestatus, n, {', '.join(f'{_cramer(k)} AS c{k}' for k in range(3))} FROM s) "
+    "SELECT l_linestatus, n, 3 AS rank, round(c0 / 5, 4) AS quantity, round(c1, 2) AS discount, round(c2, 2) AS tax, round(2 * c0 / 5, 4) AS doubled FROM c",
+)
+def multi_regression_dependent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four predictors, of which one is twice another: the rank is three, and both share the coefficient."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("doubled", F.col("l_quantity") * 2)
+    out = ops.multi_regression(rows, ["l_linestatus"], [*_THREE, "doubled"], "l_extendedprice")
+    names = {"quantity": 4, "discount": 2, "tax": 2, "doubled": 4}
+    return out.select("l_linestatus", "n", "rank", *[F.round(F.get("coefficients", F.lit(k)), d).alias(n) for k, (n, d) in enumerate(names.items())])
 
 
 @register("calibration_slope", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity * l_extendedprice) / sum(l_quantity * l_quantity), 6) AS slope FROM lineitem GROUP BY ALL")
@@ -57,49 +80,26 @@ def distinct_consecutive(spark: SparkSession, sf_dir: str) -> DataFrame:
 _VALUE = "CASE WHEN mask <> 0 THEN 0 ELSE value - 9000 END"
 
 
-def _masked_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cube_long(spark, sf_dir).withColumn("value", F.when(F.col("mask") != 0, 0).otherwise(F.col("value") - 9000))
-
-
 def _masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The four bands that the SQL takes; the queries named _whole take all."""
-    return _masked_whole(spark, sf_dir).filter("band <= 4")
+    return cube_long(spark, sf_dir).withColumn("value", F.when(F.col("mask") != 0, 0).otherwise(F.col("value") - 9000))
 
 
 #: Kernel of the cube's mode.
 KERNEL = kernel_of(ATTRS["mode"])
 
 
-_BOX_SQL = f"""WITH {LONG_SQL}, v AS (SELECT x, y, band, {_VALUE} AS value FROM long WHERE band <= 4),
-box AS (SELECT a.x, a.y, a.band, any_value(a.value) AS own, sum(b.value) AS s, count(*) FILTER (WHERE b.value <> 0) AS n FROM v a JOIN v b ON b.band = a.band AND b.x BETWEEN a.x - 3 AND a.x + 2 AND b.y BETWEEN a.y - 3 AND a.y + 2 GROUP BY a.x, a.y, a.band)"""
+_BOX_SQL = f"""WITH {LONG_SQL}, v AS (SELECT x, y, band, {_VALUE} AS value FROM long),
+box AS (SELECT a.x, a.y, a.band, any_value(a.value) AS own, sum(b.value) AS s, count(*) FILTER (WHERE b.value <> 0) AS n FROM v a JOIN v b ON b.band = a.band AND b.x BETWEEN a.x - {KERNEL // 2} AND a.x + {KERNEL // 2 - 1} AND b.y BETWEEN a.y - {KERNEL // 2} AND a.y + {KERNEL // 2 - 1} GROUP BY a.x, a.y, a.band)"""
 
 
 @register("box_mean", f"{_BOX_SQL} SELECT x, y, band, CASE WHEN own = 0 OR n = 0 THEN 0 ELSE trunc(s::DOUBLE / n)::INTEGER END AS mean FROM box")
 def box_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _box_mean(_masked(spark, sf_dir), 7)
-
-
-@register("box_mean_whole")
-def box_mean_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _box_mean(_masked_whole(spark, sf_dir), KERNEL)
-
-
-def _box_mean(rows: DataFrame, kernel: int) -> DataFrame:
-    return ops.box_mean(rows, "value", kernel).select("x", "y", "band", F.col("box_mean").alias("mean"))
+    return ops.box_mean(_masked(spark, sf_dir), "value", KERNEL).select("x", "y", "band", F.col("box_mean").alias("mean"))
 
 
 @register("box_window", f"{_BOX_SQL} SELECT band, sum(n)::BIGINT AS reads FROM box GROUP BY band")
 def box_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _box_window(_masked(spark, sf_dir), 7)
-
-
-@register("box_window_whole")
-def box_window_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _box_window(_masked_whole(spark, sf_dir), KERNEL)
-
-
-def _box_window(rows: DataFrame, kernel: int) -> DataFrame:
-    half = kernel // 2
+    rows, half = _masked(spark, sf_dir), KERNEL // 2
     row = Window.partitionBy("band", "y").orderBy("x").rangeBetween(-half, half - 1)
     column = Window.partitionBy("band", "x").orderBy("y").rangeBetween(-half, half - 1)
     rows = rows.withColumn("n", F.count_if(F.col("value") != 0).over(row)).withColumn("n", F.sum("n").over(column))
@@ -108,18 +108,9 @@ def _box_window(rows: DataFrame, kernel: int) -> DataFrame:
 
 @register("adjacency_correction", f"{_BOX_SQL} SELECT x, y, band, round(own * 1e-4 + (own * 1e-4 - (CASE WHEN own = 0 OR n = 0 THEN 0 ELSE trunc(s::DOUBLE / n) END) * 1e-4) * (0.1e0 + 0.01e0 * band), 8) AS reflectance FROM box")
 def adjacency_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _adjacency(_masked(spark, sf_dir), 7)
-
-
-@register("adjacency_correction_whole")
-def adjacency_correction_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _adjacency(_masked_whole(spark, sf_dir), KERNEL)
-
-
-def _adjacency(rows: DataFrame, kernel: int) -> DataFrame:
     from ..functions.radiometry import adjacency_term
 
-    rows = ops.box_mean(rows, "value", kernel)
+    rows = ops.box_mean(_masked(spark, sf_dir), "value", KERNEL)
     rho, mean = F.col("value") * 1e-4, F.col("box_mean") * 1e-4
     return rows.select("x", "y", "band", F.round(rho + adjacency_term(rho, mean, 0.1 + 0.01 * F.col("band")), 8).alias("reflectance"))
 
