@@ -90,6 +90,46 @@ def find_clusters_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frame(spark, ops.find_clusters(rows, FEATURES, ops.initial_clusters(rows, FEATURES, "vec_id", params), params.iterations))
 
 
+#: Pixels of a scene of the query on many scenes, which runs with the default parameters.
+SCENE = 250
+_DEFAULTS = ClusterParams()
+
+
+def _scenes_sql(params: ClusterParams, scene: int) -> str:
+    """All steps for all scenes, each a few tables; the means drawn by the generator's own arithmetic."""
+    step = "(state * 25214903917 + 11) % 281474976710656"
+    drawn = "CASE WHEN n & (n - 1) = 0 THEN (n::HUGEINT * (state >> 17)) >> 31 ELSE (state >> 17) % n END"
+    ctes = [
+        _POINTS_SQL,
+        f"pts AS MATERIALIZED (SELECT vec_id // {scene} AS scene, vec_id % {scene} AS at, vec_id, f0, f1, f2 FROM points)",
+        "sizes AS MATERIALIZED (SELECT scene, count(*) AS n FROM pts GROUP BY scene)",
+        f"draws AS (SELECT 0 AS k, ((xor({params.seed}, 25214903917))::HUGEINT * 25214903917 + 11) % 281474976710656 AS state UNION ALL SELECT k + 1, {step} FROM draws WHERE k < {params.clusters - 1})",
+        f"c0 AS MATERIALIZED (SELECT scene, k, f0 AS m0, f1 AS m1, f2 AS m2, 1.0e0 AS v0, 1.0e0 AS v1, 1.0e0 AS v2, 1.0e0 / {params.clusters} AS prior FROM sizes CROSS JOIN draws JOIN pts USING (scene) WHERE pts.at = {drawn})",
+    ]
+    dist = " + ".join(f"(f{j} - m{j}) * (f{j} - m{j}) / v{j}" for j in range(3))
+    for i in range(1, params.iterations + 1):
+        log = f"ln(prior) - 0.5e0 * (3 * ln(2 * {math.pi!r}::DOUBLE) + ln(v0 * v1 * v2)) - 0.5e0 * ({dist})"
+        ctes.append(f"e{i} AS MATERIALIZED (SELECT scene, vec_id, k, exp(l - max(l) OVER w) AS e FROM (SELECT scene, vec_id, k, {log} AS l FROM pts JOIN c{i - 1} USING (scene)) WINDOW w AS (PARTITION BY vec_id))")
+        ctes.append(f"p{i} AS MATERIALIZED (SELECT scene, vec_id, k, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM e{i})")
+        ctes.append(f"g{i} AS MATERIALIZED (SELECT scene, k, sum(p) AS g, {', '.join(f'sum(p * f{j}) / sum(p) AS m{j}' for j in range(3))} FROM p{i} JOIN pts USING (scene, vec_id) GROUP BY scene, k)")
+        spread = ", ".join(f"sum(p * (f{j} - m{j}) * (f{j} - m{j})) / any_value(g) AS v{j}" for j in range(3))
+        ctes.append(f"c{i} AS MATERIALIZED (SELECT scene, k, {', '.join(f'any_value(m{j}) AS m{j}' for j in range(3))}, {spread}, any_value(g) / any_value(n) AS prior FROM p{i} JOIN pts USING (scene, vec_id) JOIN g{i} USING (scene, k) JOIN sizes USING (scene) GROUP BY scene, k)")
+    values = ", ".join(f"round({c}, 5) AS {c}" for c in ("m0", "m1", "m2", "v0", "v1", "v2", "prior"))
+    return f"WITH RECURSIVE {', '.join(ctes)} SELECT scene::VARCHAR AS scene, (row_number() OVER (PARTITION BY scene ORDER BY prior DESC, k) - 1)::INTEGER AS k, {values} FROM c{params.iterations}"
+
+
+@register("find_clusters_scenes", _scenes_sql(_DEFAULTS, SCENE))
+def find_clusters_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fourteen clusters of every scene by thirty steps, all scenes together."""
+    from ..operators import scene_clusters as many
+
+    i = F.col("vec_id")
+    pixels = points(spark, sf_dir).select(F.floor(i / SCENE).cast("string").alias("scene"), (i % SCENE).alias("index"), *FEATURES)
+    found = many.find_clusters(pixels, FEATURES, many.initial_states(pixels, FEATURES, _DEFAULTS), _DEFAULTS.iterations)
+    values = [F.round(F.get(c, F.lit(j)), 5).alias(f"{c[0]}{j}") for c in ("mean", "variance") for j in range(3)]
+    return found.select("scene", "k", *values, F.round("prior", 5).alias("prior"))
+
+
 _POSTERIOR_SQL = f"WITH {_POINTS_SQL}, clusters AS {_params_sql(CLUSTERS)}, {_posterior_sql('post', 'clusters')}"
 _LABELLED_SQL = f"WITH {_POINTS_SQL}, clusters AS {_params_sql(CLUSTERS)}, {_posterior_sql('post', 'clusters', IGNORED)}"
 
