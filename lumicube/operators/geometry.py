@@ -233,6 +233,13 @@ def line_geometry(gps: Gps, centres: Sequence[float], info: Acquisition, gcps: S
     return Lines(orbit.zero, days, satellite, pitch_axis, np.cross(pitch_axis, yaw_axis), yaw_axis, pitch, roll, fits[0], fits[1])
 
 
+def scene_target(gps: Gps, centres: Sequence[float], info: Acquisition) -> np.ndarray:
+    """Inertial positions (lines, 3) of the target as the slowed scan of an image follows it, without control points."""
+    orbit = Orbit(gps)
+    setup, middle = centres[0] - orbit.zero - SETUP_SECONDS / DAY, centres[info.image] - orbit.zero
+    return _followed(orbit, setup, line_times(info.constants, middle), earth_fixed(info.lon, info.lat, info.alt), middle, info.image)
+
+
 def lines_frame(spark: SparkSession, lines: Lines) -> DataFrame:
     names = [f"{n}{k}" for n in ("s", "p", "r", "w") for k in range(3)]
     values = np.concatenate((lines.satellite, lines.pitch_axis, lines.roll_axis, lines.yaw_axis), axis=1)
@@ -254,7 +261,7 @@ def pixel_angles(pixels: DataFrame, lines: Lines, mode_name: str) -> DataFrame:
     return rows.withColumns({"pitch": F.col("pitch0") + quadratic(lines.pitch_fit), "roll": F.col("roll0") + offset + quadratic(lines.roll_fit)})
 
 
-def pixel_positions(angles: DataFrame, altitude: float) -> DataFrame:
+def pixel_positions(angles: DataFrame, altitude: float | Column) -> DataFrame:
     """lon, lat, vaa, vza (degrees) beside pitch and roll."""
     v = lambda n: tuple(F.col(f"{n}{k}") for k in range(3))
     keep = [c for c in angles.columns if c not in {"gst", "pitch0", "roll0", *(f"{n}{k}" for n in "sprw" for k in range(3))}]
