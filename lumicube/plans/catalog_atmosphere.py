@@ -62,17 +62,29 @@ def forward_inverse_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy((F.col("pos") + 1).alias("band")).agg(F.sum(F.round("v").cast("long")).alias("total"))
 
 
-@register("calculator_factory", f"WITH {_COEF_SQL} SELECT band, round(lpw, 8) AS lpw, round(egl, 6) AS egl FROM by_band")
+@register("calculator_factory", f"WITH {LONG_SQL}, {_COEF_SQL} SELECT band, round(lpw, 8) AS lpw, round(egl, 6) AS egl, count(*) AS n, round(avg(value * {SCALE}e0 - lpw) / any_value(egl), 9) AS excess FROM by_band JOIN long USING (band) GROUP BY band, lpw, egl")
 def calculator_factory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The resampled table itself, as a frame."""
+    """The resampled table, and by how much the scene's mean radiance exceeds the path radiance, in parts of the flux."""
     rows = [(k + 1, float(a), float(b)) for k, (a, b) in enumerate(zip(_T.lpw, _T.egl, strict=True))]
-    return spark.createDataFrame(rows, "band int, lpw double, egl double").select("band", F.round("lpw", 8).alias("lpw"), F.round("egl", 6).alias("egl"))
+    coefficients = spark.createDataFrame(rows, "band int, lpw double, egl double")  # a row a band
+    met = cube_long(spark, sf_dir).join(F.broadcast(coefficients), "band").groupBy("band", "lpw", "egl").agg(F.count("*").alias("n"), F.avg(F.col("value") * SCALE - F.col("lpw")).alias("e"))
+    return met.select("band", F.round("lpw", 8).alias("lpw"), F.round("egl", 6).alias("egl"), "n", F.round(F.col("e") / F.col("egl"), 9).alias("excess"))
 
 
-@register("lpw_correction", "SELECT band, greatest(0, 10.0e0 - band - 2.5e0)::DOUBLE AS correction FROM range(1, 11) t(band)")
+@register(
+    "lpw_correction",
+    f"WITH {LONG_SQL}, {_COEF_SQL}, dark AS (SELECT band, value, row_number() OVER (PARTITION BY band ORDER BY value, y, x) AS rank FROM long WHERE value > 0) "
+    f"SELECT band, round(greatest(0, any_value(lpw) * 9 - avg(value) * {SCALE}e0), 8) AS correction FROM dark JOIN by_band USING (band) WHERE rank <= {correction.DARK} GROUP BY band",
+)
 def lpw_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = ops.path_radiance_correction(0.05, 0.05, 55.0, [10.0 - b for b in range(1, 11)], [2.5] * 10)
-    return spark.createDataFrame([(b, c) for b, c in enumerate(out, 1)], "band long, correction double")
+    """What to take off a path radiance that is nine times too large, by the scene's dark pixels, in an oblique view."""
+    from ..operators.statistics import smallest
+
+    dark = smallest(cube_long(spark, sf_dir), ["band"], "value", correction.DARK, ["y", "x"]).groupBy("band").agg((F.avg("value") * SCALE).alias("mean"))
+    means = {r["band"]: r["mean"] for r in dark.collect()}  # a number a band
+    bands = sorted(means)
+    out = ops.path_radiance_correction(0.05, 0.05, 55.0, [9 * float(_T.lpw[b - 1]) for b in bands], [means[b] for b in bands])
+    return spark.createDataFrame(list(zip(bands, out, strict=True)), "band int, correction double").withColumn("correction", F.round("correction", 8))
 
 
 def _endmembers() -> np.ndarray:
@@ -238,9 +250,15 @@ def minima_by_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("event_id", F.round("minimum", 4).alias("minimum"), *[F.round(n, 3).alias(n) for n in ("x", "y")])
 
 
-@register("numeric_constants", "SELECT 2.220446049250313e-16::DOUBLE AS epsilon, 1.4901161193847656e-08::DOUBLE AS sqrt_epsilon")
+@register("numeric_constants", "SELECT event_type, count(*) AS n, count(*) FILTER (WHERE value + value * 2.220446049250313e-16 > value) AS seen, count(*) FILTER (WHERE value + value * 1.4901161193847656e-08 * 1.4901161193847656e-08 / 4 > value) AS unseen FROM events GROUP BY event_type")
 def numeric_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1).select(F.lit(numerics.MACHINE_EPSILON).alias("epsilon"), F.lit(numerics.SQRT_EPSILON).alias("sqrt_epsilon"))
+    """Of how many values a relative step of the machine's epsilon is seen, and of how many a quarter of it."""
+    from ..sources.testdata import table
+
+    v = F.col("value")
+    grown = lambda step: F.count_if(v + v * step > v)
+    e = table(spark, sf_dir, "events").groupBy("event_type")
+    return e.agg(F.count("*").alias("n"), grown(numerics.MACHINE_EPSILON).alias("seen"), F.count_if(v + v * numerics.SQRT_EPSILON * numerics.SQRT_EPSILON / 4 > v).alias("unseen"))
 
 
 @register("wide_long_round_trip", f"WITH {CUBE_SQL} SELECT x, y, list_sum(radiance)::BIGINT AS total, list_sum(mask)::BIGINT AS faults FROM cube")

@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.finite import is_finite
 from ..operators import bands as ops
 from ..registry import register
-from ..sources.testdata import BANDS, BANDS_SQL, CUBE_SQL, LONG_SQL, cube, cube_long, table
+from ..sources.testdata import BANDS, CUBE_SQL, LONG_SQL, PRODUCT_BANDS_SQL as BANDS_SQL, cube, cube_long, product_bands, table
 
 
 @register("find_bands_by_prefix", f"WITH {BANDS_SQL} SELECT band, name, (row_number() OVER (ORDER BY band) - 1)::INTEGER AS place FROM bands WHERE starts_with(name, 'radiance_1')")
 def find_bands_by_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.by_prefix(ops.bands_frame(spark, BANDS), "radiance_1").select("band", "name", "place")
+    return ops.by_prefix(product_bands(spark, sf_dir), "radiance_1").select("band", "name", "place")
 
 
 _TARGETS = (442.0, 444.9, 445.0, 555.0, 688.0, 780.0, 1200.0)
@@ -28,12 +28,12 @@ def _nearest_sql(found: str) -> str:
 @register("find_band_nearest_wavelength", _nearest_sql("CASE WHEN b.gap > 6 THEN -1 ELSE b.band END"))
 def find_band_nearest_wavelength(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = spark.createDataFrame([(t,) for t in _TARGETS], "target double")
-    return ops.nearest_band(ops.bands_frame(spark, BANDS), targets, 6.0)
+    return ops.nearest_band(product_bands(spark, sf_dir), targets, 6.0)
 
 
 def _bands(condition):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return ops.bands_frame(spark, BANDS).filter(condition).select("band", "wavelength")
+        return product_bands(spark, sf_dir).filter(condition).select("band", "wavelength")
 
     return run
 
@@ -51,18 +51,18 @@ def band_sort_by_wavelength(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.orderBy(F.desc("wavelength"), "band")
-    return ops.bands_frame(spark, BANDS).select("name", "wavelength", F.row_number().over(w).alias("place"))
+    return product_bands(spark, sf_dir).select("name", "wavelength", F.row_number().over(w).alias("place"))
 
 
 @register("categorize_bands", f"WITH {BANDS_SQL} SELECT band, CASE WHEN wl > 400 AND wl < 700 THEN 'vis' ELSE 'nir' END AS category FROM bands WHERE NOT ({_ANY})")
 def categorize_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.categorize(ops.bands_frame(spark, BANDS)).select("band", "category")
+    return ops.categorize(product_bands(spark, sf_dir)).select("band", "category")
 
 
-@register("min_max_bands", f"WITH {BANDS_SQL} SELECT min(band) FILTER (WHERE wl >= 773) AS first_band, max(band) FILTER (WHERE wl <= 891) AS last_band FROM bands")
+@register("min_max_bands", f"WITH {BANDS_SQL} SELECT (band // 1000)::INTEGER AS product, min(band) FILTER (WHERE wl >= 773) AS first_band, max(band) FILTER (WHERE wl <= 891) AS last_band FROM bands GROUP BY 1")
 def min_max_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = ops.bands_frame(spark, BANDS)
-    return b.agg(F.min(F.when(F.col("wavelength") >= 773, F.col("band"))).alias("first_band"), F.max(F.when(F.col("wavelength") <= 891, F.col("band"))).alias("last_band"))
+    b = product_bands(spark, sf_dir)
+    return b.groupBy(F.floor(F.col("band") / 1000).cast("int").alias("product")).agg(F.min(F.when(F.col("wavelength") >= 773, F.col("band"))).alias("first_band"), F.max(F.when(F.col("wavelength") <= 891, F.col("band"))).alias("last_band"))
 
 
 # Cluster sets: labels of the embeddings stand for cluster numbers.
@@ -123,16 +123,19 @@ def zero_mask_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube(spark, sf_dir).pixels.select("x", "y", F.lit(0).alias("zero"))
 
 
-_TYPES = ("CHRIS_M1", "CHRIS_M30_NR", "CHRIS_M3A", "CHRIS_M0", "CHRIS_M2_NR_TOA_REFL", "CHRIS_M5_NR_AC", "MER_FR", "CHRIS_M4_NR")
+_TYPE_SQL = "'CHRIS_M' || (o_orderkey % 7)::VARCHAR || ['', '_NR', '_NR_TOA_REFL', '_NR_AC', 'A', '0_NR'][o_orderkey % 6 + 1]"
 
 
 @register(
     "product_type_filter",
-    "SELECT t AS product_type, " + ", ".join(f"regexp_matches(t, '{p}') AS {k}" for k, p in ops.PRODUCT_TYPES.items()) + f" FROM (VALUES {', '.join(f"('{t}')" for t in _TYPES)}) v(t)",
+    "SELECT t AS product_type, count(*) AS n, " + ", ".join(f"regexp_matches(t, '{p}') AS {k}" for k, p in ops.PRODUCT_TYPES.items()) + f" FROM (SELECT {_TYPE_SQL} AS t FROM orders) GROUP BY t",
 )
 def product_type_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(t,) for t in _TYPES], "product_type string")
-    return rows.select("product_type", *[F.col("product_type").rlike(p).alias(k) for k, p in ops.PRODUCT_TYPES.items()])
+    """Which stages accept the products that the orders stand for, by type."""
+    k = F.col("o_orderkey")
+    end = F.get(F.array(*[F.lit(x) for x in ("", "_NR", "_NR_TOA_REFL", "_NR_AC", "A", "0_NR")]), (k % 6).cast("int"))
+    rows = table(spark, sf_dir, "orders").select(F.concat(F.lit("CHRIS_M"), (k % 7).cast("string"), end).alias("product_type")).groupBy("product_type").agg(F.count("*").alias("n"))
+    return rows.select("product_type", "n", *[F.col("product_type").rlike(p).alias(k) for k, p in ops.PRODUCT_TYPES.items()])
 
 
 _ODD = "CASE WHEN event_id % 7 = 0 THEN 'nan'::DOUBLE WHEN event_id % 11 = 0 THEN 'inf'::DOUBLE ELSE value END"
@@ -156,7 +159,7 @@ def band_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("rename_bands", f"WITH {BANDS_SQL} SELECT replace(name, 'radiance', 'toa_refl') AS toa, replace(name, 'radiance', 'reflectance') AS boa, replace(name, 'radiance', 'vs_corr') AS factor FROM bands")
 def rename_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     to = lambda new: F.replace("name", F.lit("radiance"), F.lit(new))
-    return ops.bands_frame(spark, BANDS).select(to("toa_refl").alias("toa"), to("reflectance").alias("boa"), to("vs_corr").alias("factor"))
+    return product_bands(spark, sf_dir).select(to("toa_refl").alias("toa"), to("reflectance").alias("boa"), to("vs_corr").alias("factor"))
 
 
 @register("scale_unscale", f"WITH {LONG_SQL} SELECT band, sum(trunc(value * 1e-4 / 2e-4 + 0.5e0))::BIGINT AS raw, round(sum(value * 1e-4), 6) AS physical FROM long GROUP BY band")

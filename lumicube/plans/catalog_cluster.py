@@ -231,16 +231,24 @@ def extract_endmembers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cloud.unionByName(land).select("name", F.round(total, 4).alias("total"))
 
 
-@register("sort_clusters", "SELECT k::INTEGER AS k, row_number() OVER (ORDER BY prior DESC)::INTEGER AS by_prior, row_number() OVER (ORDER BY m0 DESC)::INTEGER AS by_brightness FROM " + _params_sql(CLUSTERS))
+@register("sort_clusters", f"{_em_sql(1, _INITIAL_SQL)} SELECT k, row_number() OVER (ORDER BY prior DESC)::INTEGER AS by_prior, row_number() OVER (ORDER BY m0 DESC)::INTEGER AS by_brightness FROM c1")
 def sort_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prior = sorted(range(len(CLUSTERS)), key=lambda k: -CLUSTERS[k].prior)
-    bright = sorted(range(len(CLUSTERS)), key=lambda k: -CLUSTERS[k].mean[0])
-    return spark.createDataFrame([(k, prior.index(k) + 1, bright.index(k) + 1) for k in range(len(CLUSTERS))], "k int, by_prior int, by_brightness int")
+    """Places of the clusters of one step, by prior and by brightness."""
+    rows = points(spark, sf_dir)
+    found = ops.em_step(rows, FEATURES, _initial(rows))
+    prior, bright = (sorted(range(len(found)), key=lambda k, f=f: f(found[k])) for f in (ops.by_prior, lambda c: -c.mean[0]))
+    return spark.createDataFrame([(k, prior.index(k) + 1, bright.index(k) + 1) for k in range(len(found))], "k int, by_prior int, by_brightness int")
 
 
-@register("labeling_state", "SELECT * FROM (VALUES (0, false, false), (1, true, false), (2, false, true), (3, true, false)) v(k, cloud, ignored)")
+@register(
+    "labeling_state",
+    f"{_POSTERIOR_SQL}, class AS (SELECT vec_id, arg_max(k, p) AS k FROM post GROUP BY vec_id) SELECT k::INTEGER AS k, k IN (1, 3) AS cloud, k = 2 AS ignored, count(*) AS n, round(avg(radiance[1] / 1e4), 7) AS brightness FROM class JOIN points USING (vec_id) GROUP BY k",
+)
 def labeling_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(label(len(CLUSTERS), CLOUD, IGNORED), "k int, cloud boolean, ignored boolean")
+    """The flags of each class that has pixels, with their number and mean brightness."""
+    flags = spark.createDataFrame(label(len(CLUSTERS), CLOUD, IGNORED), "k int, cloud boolean, ignored boolean")
+    classes = marked(spark, sf_dir).select(ops.class_index().alias("k"), (F.element_at("radiance", 1) / 1e4).alias("b"))
+    return classes.groupBy("k").agg(F.count("*").alias("n"), F.round(F.avg("b"), 7).alias("brightness")).join(F.broadcast(flags), "k").select("k", "cloud", "ignored", "n", "brightness")
 
 
 def label(clusters: int, cloud: tuple[int, ...], ignored: tuple[int, ...], probabilistic: bool = False) -> list[tuple[int, bool, bool]]:

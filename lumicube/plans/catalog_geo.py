@@ -192,19 +192,25 @@ def viewing_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(rows, {"azimuth": azimuth, "zenith": zenith}, 6)
 
 
-@register("acquisition_info", "SELECT n::INTEGER AS number, [2, 1, 3, 0, 4][n]::INTEGER AS chronological, [2, 1, 3, 0, 4][n] % 2 = 1 AS backward FROM range(1, 6) t(n)")
+@register("acquisition_info", "SELECT o_orderkey, (o_orderkey % 5 + 1)::INTEGER AS number, [2, 1, 3, 0, 4][o_orderkey % 5 + 1]::INTEGER AS chronological, [2, 1, 3, 0, 4][o_orderkey % 5 + 1] % 2 = 1 AS backward FROM orders")
 def acquisition_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = g.chronological_image(F.col("number"))
-    return spark.range(1, 6).select(F.col("id").cast("int").alias("number")).select("number", c.alias("chronological"), (c % 2 == 1).alias("backward"))
+    from ..sources.testdata import table
 
+    number = (F.col("o_orderkey") % 5 + 1).cast("int")
+    c = g.chronological_image(number)
+    return table(spark, sf_dir, "orders").select("o_orderkey", number.alias("number"), c.alias("chronological"), (c % 2 == 1).alias("backward"))
 
-@register("line_times", "SELECT i::INTEGER AS line, round(100 - 374 * 0.0253995e0 / 2 + i * 0.0253995e0 + 0.0241899e0 / 2, 9) AS t FROM range(374) r(i)")
+
+@register("line_times", "SELECT user_id, i::INTEGER AS line, round(centre - 374 * 0.0253995e0 / 2 + i * 0.0253995e0 + 0.0241899e0 / 2, 6) AS t FROM (SELECT user_id, avg(event_id % 1000)::DOUBLE AS centre FROM events GROUP BY user_id), range(374) r(i)")
 def line_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times of the lines of an image about the middle of each user's events."""
     from ..model import mode_of
+    from ..sources.testdata import table
 
     m = mode_of("1")
-    start = 100.0 - m.rows * m.time_per_line / 2
-    return spark.range(m.rows).select(F.col("id").cast("int").alias("line"), F.round(start + F.col("id") * m.time_per_line + m.integration_time / 2, 9).alias("t"))
+    centres = table(spark, sf_dir, "events").groupBy("user_id").agg(F.avg(F.col("event_id") % 1000).alias("centre"))
+    each = centres.withColumn("line", F.explode(F.sequence(F.lit(0), F.lit(m.rows - 1))))
+    return each.select("user_id", "line", F.round(F.col("centre") - m.rows * m.time_per_line / 2 + F.col("line") * m.time_per_line + m.integration_time / 2, 6).alias("t"))
 
 
 @register("row_flip", "SELECT (vec_id % 25)::INTEGER AS x, (max(vec_id // 25) OVER () - vec_id // 25)::INTEGER AS y, label FROM embeddings")
@@ -258,24 +264,49 @@ def join_nearest_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("name").agg(F.min_by("line", F.struct(d, "line")).alias("line"))
 
 
-_KNOTS = [(float(k * k), math.sin(k) * 10 + k) for k in range(12)]
-_SEGMENTS = lookups.natural_spline([x for x, _ in _KNOTS], [y for _, y in _KNOTS])
-_SPLINE_SQL = "seg AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(f"{v!r}::DOUBLE" for v in s) + ")" for s in _SEGMENTS) + ") v(knot, a, b, c, d))"
+#: The spline through the events' mean values of each 20th of the identifiers: knots, second derivatives by elimination down
+#: (c, d) and substitution up (m), and the segments.
+_SPLINE_SQL = """knots AS (SELECT event_id % 20 AS k, (event_id % 20) * 6.0e0 AS x, avg(value) AS y FROM events GROUP BY 1, 2),
+rows AS (SELECT k, x, y, lead(y) OVER w AS y1, lag(y) OVER w AS y0 FROM knots WINDOW w AS (ORDER BY k)),
+down AS (SELECT 1::BIGINT AS k, 0.25e0 AS c, (6 * (y1 - 2 * y + y0) / 36) / 4 AS d FROM rows WHERE k = 1
+  UNION ALL SELECT r.k, 1 / (4 - s.c), (6 * (r.y1 - 2 * r.y + r.y0) / 36 - s.d) / (4 - s.c) FROM down s JOIN rows r ON r.k = s.k + 1 WHERE r.k < 19),
+up AS (SELECT 18::BIGINT AS k, d AS m FROM down WHERE k = 18 UNION ALL SELECT s.k, s.d - s.c * u.m FROM up u JOIN down s ON s.k = u.k - 1),
+bent AS (SELECT k, x, y, coalesce(m, 0) AS m FROM knots LEFT JOIN up USING (k)),
+seg AS (SELECT x AS knot, y AS a, (y1 - y) / 6 - 6 * (2 * m + m1) / 6 AS b, m / 2 AS c, (m1 - m) / 36 AS d FROM (SELECT *, lead(y) OVER (ORDER BY k) AS y1, lead(m) OVER (ORDER BY k) AS m1 FROM bent) WHERE y1 IS NOT NULL)"""
+_LAST_KNOT = 114.0
+
+
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.testdata import table
+
+    means = table(spark, sf_dir, "events").groupBy((F.col("event_id") % 20).alias("k")).agg(F.avg("value").alias("y")).orderBy("k").collect()  # twenty rows
+    made = lookups.natural_spline([6.0 * r["k"] for r in means], [r["y"] for r in means])
+    return spark.createDataFrame(made, "knot double, a double, b double, c double, d double")
 
 
-@register("natural_spline", f"WITH {_SPLINE_SQL} SELECT knot, round(a, 9) AS a, round(b, 9) AS b, round(c, 9) AS c, round(d, 9) AS d FROM seg")
+@register("natural_spline", f"WITH RECURSIVE {_SPLINE_SQL} SELECT knot, round(a, 7) AS a, round(b, 7) AS b, round(c, 7) AS c, round(d, 7) AS d FROM seg")
 def natural_spline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(_SEGMENTS, "knot double, a double, b double, c double, d double").select("knot", *[F.round(n, 9).alias(n) for n in "abcd"])
+    return _segments(spark, sf_dir).select("knot", *[F.round(n, 7).alias(n) for n in "abcd"])
+
+
+_AT_SPLINE = f"WITH RECURSIVE {TELEMETRY_SQL}, {_SPLINE_SQL}, at AS (SELECT event_id, signal, s.*, q - knot AS h FROM (SELECT event_id, signal, signal % 120 AS q FROM telemetry) ASOF JOIN seg s ON q >= knot WHERE q <= {_LAST_KNOT!r})"
+
 
+@register("join_spline_segment", f"{_AT_SPLINE} SELECT event_id, knot, round(h, 9) AS h FROM at".replace(" at AS", " met AS").replace("FROM at", "FROM met"))
+def join_spline_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segment that each event's signal falls into, and its distance from the knot."""
+    segments = _segments(spark, sf_dir).select("knot")
+    rows = telemetry(spark, sf_dir).withColumn("q", F.pmod(F.col("signal"), F.lit(120.0))).filter(F.col("q") <= _LAST_KNOT)
+    met = lookups.as_of(rows, F.col("q"), segments.withColumn("own", F.col("knot")), "knot", "own").filter(F.col("own") < _LAST_KNOT)
+    return met.select("event_id", F.col("own").alias("knot"), F.round(F.col("q") - F.col("own"), 9).alias("h"))
 
-def _spline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seg = spark.createDataFrame(_SEGMENTS, "knot double, a double, b double, c double, d double")
-    return lookups.spline_values(telemetry(spark, sf_dir), F.pmod(F.col("signal"), F.lit(120.0)), seg, _KNOTS[-1][0], "v")
 
+@register("trajectory_interpolation", f"{_AT_SPLINE} SELECT event_id, round(a + h * (b + h * (c + h * d)), 6) AS v FROM at".replace(" at AS", " met AS").replace("FROM at", "FROM met"))
+def trajectory_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = telemetry(spark, sf_dir)
+    out = lookups.spline_values(rows, F.pmod(F.col("signal"), F.lit(120.0)), _segments(spark, sf_dir), _LAST_KNOT, "v")
+    return out.select("event_id", F.round("v", 6).alias("v"))
 
-_AT_SPLINE = f"WITH {TELEMETRY_SQL}, {_SPLINE_SQL} SELECT event_id, round(a + h * (b + h * (c + h * d)), 7) AS v FROM (SELECT event_id, s.*, q - knot AS h FROM (SELECT event_id, signal % 120 AS q FROM telemetry) ASOF JOIN seg s ON q >= knot) WHERE h + knot <= {_KNOTS[-1][0]!r}"
-register("join_spline_segment", _AT_SPLINE)(lambda s, d: _spline(s, d).select("event_id", F.round("v", 7).alias("v")))
-register("trajectory_interpolation", _AT_SPLINE)(lambda s, d: _spline(s, d).select("event_id", F.round("v", 7).alias("v")))
 
 _NODES = [0.3, 0.5, 1.0, 1.5, 2.0, 3.0, 5.0]
 

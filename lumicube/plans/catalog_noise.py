@@ -9,7 +9,7 @@ from ..operators import noise as ops
 from ..operators.smoothing import with_lowess
 from ..params import DestripingParams, DropoutParams
 from ..registry import register
-from ..sources.testdata import CUBE_SQL, LARGE_SQL, LONG_SQL, WIDTH, cube, cube_long, large_raster
+from ..sources.testdata import CUBE_SQL, LARGE_SQL, LONG_SQL, WIDTH, cube, cube_long, large_raster, table
 from .sql import lowess
 
 MODE, TEMPERATURE, ORDER = "1", 5.0, 11
@@ -72,22 +72,31 @@ series AS (SELECT band, x AS i, c AS v FROM integrated),
 factors AS (SELECT band, i AS x, exp(-((v - z) - avg(v - z) OVER (PARTITION BY band))) / slit AS factor FROM smooth JOIN slit ON slit.x = i)"""
 
 
-@register("slit_temperature_model", f"SELECT {_GAIN!r}::DOUBLE AS scale, {_SHIFT!r}::DOUBLE AS shift")
+@register("slit_temperature_model", f"SELECT event_id, round(value * {ops.SLIT_GAIN[0]!r}::DOUBLE + {ops.SLIT_GAIN[1]!r}::DOUBLE, 9) AS scale, round(value * {ops.SLIT_SHIFT[0]!r}::DOUBLE + {ops.SLIT_SHIFT[1]!r}::DOUBLE, 9) AS shift FROM events")
 def slit_temperature_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.lit(TEMPERATURE)
-    model = lambda c: (t * c[0] + c[1])
-    return spark.range(1).select(model(ops.SLIT_GAIN).alias("scale"), model(ops.SLIT_SHIFT).alias("shift"))
+    """Scale and shift of the slit at the temperature of every event."""
+    scale, shift = slit_temperature(F.col("value"), ops.SLIT_GAIN, ops.SLIT_SHIFT)
+    return table(spark, sf_dir, "events").select("event_id", F.round(scale, 9).alias("scale"), F.round(shift, 9).alias("shift"))
 
 
-@register("rebin_mean", f"WITH {SLIT_SQL} SELECT x, round(slit, 9) AS slit FROM slit")
+#: A profile measured many times: every vector is a measurement at one of 400 places.
+_MEASURED_SQL = SLIT_SQL.replace("SELECT i * 0.25e0 AS position, 1 + 0.01e0 * sin(i * 0.25e0) AS factor FROM range(400) t(i)", "SELECT vec_id % 400 * 0.25e0 AS position, 1 + 0.01e0 * embedding[1]::DOUBLE AS factor FROM embeddings")
+
+
+def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(((F.col("vec_id") % 400) * 0.25).alias("position"), (1 + 0.01 * F.get("embedding", F.lit(0)).cast("double")).alias("factor"))
+
+
+@register("rebin_mean", f"WITH {_MEASURED_SQL} SELECT x, round(slit, 9) AS slit FROM slit")
 def rebin_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return slit(spark).select("x", F.round("slit", 9).alias("slit"))
+    return ops.slit_factors(_measured(spark, sf_dir), TEMPERATURE, WIDTH, MODE).select("x", F.round("slit", 9).alias("slit"))
 
 
-@register("join_rebin", f"WITH {SLIT_SQL} SELECT greatest(ceil((position - {_SHIFT!r}::DOUBLE - 0.5e0) / 2) - 1, 0)::INTEGER AS x, count(*) AS n FROM profile WHERE position - {_SHIFT!r}::DOUBLE > 0.5e0 GROUP BY 1")
+@register("join_rebin", f"WITH {_MEASURED_SQL} SELECT greatest(ceil((position - {_SHIFT!r}::DOUBLE - 0.5e0) / 2) - 1, 0)::INTEGER AS x, count(*) AS n FROM profile WHERE position - {_SHIFT!r}::DOUBLE > 0.5e0 GROUP BY 1")
 def join_rebin(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("position") - _SHIFT
-    return slit_profile(spark).filter(p > 0.5).groupBy(F.greatest(F.ceil((p - 0.5) / 2) - 1, F.lit(0)).cast("int").alias("x")).agg(F.count("*").alias("n"))
+    return _measured(spark, sf_dir).filter(p > 0.5).groupBy(F.greatest(F.ceil((p - 0.5) / 2) - 1, F.lit(0)).cast("int").alias("x")).agg(F.count("*").alias("n"))
 
 
 @register("join_slit_profile", f"WITH {_LAG_SQL} SELECT band, round(sum(v), 6) AS total FROM px GROUP BY band")

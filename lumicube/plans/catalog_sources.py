@@ -45,22 +45,37 @@ def distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.parse_gps(_gps_lines(spark, sf_dir)).agg(F.count("*").alias("n"))
 
 
-_FILES = ("CHRIS_13350_13354_PROBA1_GPS_Data", "CHRIS_22260_22264_PROBA1_GPS_Data", "Pass2049.Town_13350_CHRIS_center_times_20030512_65534", "Pass5180.Town_22260_CHRIS_center_times_20050709_65534", "notes.txt")
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File names of the orders: centre times of two targets, and telemetry of every second reference number."""
+    k, day = F.col("o_orderkey"), F.date_format(F.trunc("o_orderdate", "month"), "yyyyMMdd")
+    ict = F.concat(F.lit("Pass"), (k % 90).cast("string"), F.lit("."), F.when(k % 3 == 0, "Town").otherwise("Field"), F.lit("_"), k.cast("string"), F.lit("_CHRIS_center_times_"), day, F.lit("_65534"))
+    gps = F.concat(F.lit("CHRIS_"), k.cast("string"), F.lit("_"), (k + 4).cast("string"), F.lit("_PROBA1_GPS_Data"))
+    return table(spark, sf_dir, "orders").select(F.explode(F.array(ict, F.when(k % 2 == 0, gps).otherwise("notes.txt"))).alias("name"))
 
 
-def _files(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(f,) for f in _FILES], "name string")
+#: A month of the tables' range, whose first day stands in the names, and its pairs.
+_DAY = "1997-05-01"
+_PAIRS_SQL = f"""pairs AS (SELECT 'Pass' || o_orderkey % 90 || '.Town_' || o_orderkey || '_CHRIS_center_times_' || strftime(date_trunc('month', o_orderdate), '%Y%m%d') || '_65534' AS ict,
+  'CHRIS_' || o_orderkey || '_' || (o_orderkey + 4) || '_PROBA1_GPS_Data' AS gps FROM orders WHERE o_orderkey % 6 = 0 AND strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') = '{_DAY}')"""
 
 
-for _name in ("find_telemetry", "join_telemetry_files"):
-    register(_name, f"SELECT '{_FILES[2]}' AS ict, '{_FILES[0]}' AS gps")(lambda s, d: ops.match_telemetry(_files(s), "Town", "2003-05-12"))
+@register("find_telemetry", f"WITH {_PAIRS_SQL} SELECT ict, gps FROM pairs ORDER BY ict, gps LIMIT 1")
+def find_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.match_telemetry(_files(spark, sf_dir), "Town", _DAY)
 
 
-@register("scan_leap_seconds", "SELECT count(*) AS n, min(jd - 2400000.5e0) AS first, max(s)::DOUBLE AS last FROM (VALUES " + ", ".join(f"({jd}e0, {s}e0)" for jd, s in time_tables.LEAP_SECONDS) + ") v(jd, s)")
+@register("join_telemetry_files", f"WITH {_PAIRS_SQL} SELECT ict, gps FROM pairs")
+def join_telemetry_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.telemetry_pairs(_files(spark, sf_dir), "Town", _DAY)
+
+
+@register("scan_leap_seconds", "SELECT (event_id + 41317.0e0) AS mjd, (10 + event_id % 30)::DOUBLE AS tai_utc FROM events WHERE event_id % 5 <> 0")
 def scan_leap_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = [f" 1999 JAN  1 =JD {jd}  TAI-UTC=  {s}       S + (MJD - 41317.) X 0.0      S" for jd, s in time_tables.LEAP_SECONDS]
-    rows = time_tables.parse_leap_seconds(spark.createDataFrame([(x,) for x in [*lines, "no table line", ""]], "value string"))
-    return rows.agg(F.count("*").alias("n"), F.min("mjd").alias("first"), F.max("tai_utc").alias("last"))
+    """Lines of the file's form for every event, a fifth of them broken."""
+    n = F.col("event_id")
+    line = F.format_string(" 1999 JAN  1 =JD %.1f  TAI-UTC=  %.7f       S + (MJD - 41317.) X 0.0      S", n + 2441317.5, (10 + n % 30).cast("double"))
+    broken = F.when(n % 10 == 0, "no table line").otherwise(F.replace(line, F.lit("TAI-UTC="), F.lit("TAI-UTC")))
+    return time_tables.parse_leap_seconds(table(spark, sf_dir, "events").select(F.when(n % 5 == 0, broken).otherwise(line).alias("value")))
 
 
 @register("scan_ut1", "SELECT 48000.0e0 + event_id AS mjd, round((event_id % 100) / 1000.0e0, 7) AS ut1_utc FROM events WHERE event_id % 9 <> 0")
@@ -71,58 +86,87 @@ def scan_ut1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return time_tables.parse_ut1(table(spark, sf_dir, "events").select(line.alias("value")))
 
 
-@register("scan_endmember_table", "SELECT 400.0e0 + i AS wavelength, round(i / 1000.0e0, 6) AS vegetation, round(i / 2000.0e0, 6) AS soil FROM range(811) t(i)")
+@register("scan_endmember_table", "SELECT 400.0e0 + event_id % 700 AS wavelength, round(event_id % 1000 / 1000.0e0, 6) AS vegetation, round(event_id / 200000.0e0, 6) AS soil FROM events WHERE event_id % 13 <> 0")
 def scan_endmember_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("id")
-    line = F.format_string("  %.3f   %.6f %.6f ", (400 + i) / 1000.0, i / 1000.0, i / 2000.0)
-    out = ops.parse_endmembers(spark.range(811).select(line.alias("value")))
+    """A line for every event; some have no third column."""
+    i = F.col("event_id")
+    line = F.format_string("  %.3f   %.6f %s ", (400 + i % 700) / 1000.0, (i % 1000) / 1000.0, F.when(i % 13 == 0, "").otherwise(F.format_string("%.6f", i / 200000.0)))
+    out = ops.parse_endmembers(table(spark, sf_dir, "events").select(line.alias("value")))
     return out.select(F.round("wavelength", 6).alias("wavelength"), "vegetation", "soil")
 
 
-@register("scan_envi_band", "SELECT '384' AS samples, '64' AS lines, '3' AS kind, '1' AS byte_order, 410.5::DOUBLE AS wavelength")
+@register("scan_envi_band", "SELECT vec_id::VARCHAR AS path, (vec_id % 384 + 1)::VARCHAR AS samples, (vec_id % 64 + 1)::VARCHAR AS lines, (label % 3 + 1)::VARCHAR AS kind, (vec_id % 2)::VARCHAR AS byte_order, round(400 + vec_id % 650 + 0.5e0, 1) AS wavelength FROM embeddings")
 def scan_envi_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = "ENVI\ndescription = {radiance}\nsamples = 384\nlines = 64\nbands = 1\ndata type = 3\ninterleave = bsq\nbyte order = 1\nwavelength = {410.5}\n"
-    f = ops.parse_envi_header(spark.createDataFrame([("h", text)], "path string, value string"))
+    """A header for every vector."""
+    i = F.col("vec_id")
+    text = F.format_string(
+        "ENVI\ndescription = {radiance of %d}\nsamples = %d\nlines = %d\nbands = 1\ndata type = %d\ninterleave = bsq\nbyte order = %d\nwavelength = {%.1f}\n",
+        i, i % 384 + 1, i % 64 + 1, F.col("label") % 3 + 1, i % 2, 400 + i % 650 + 0.5,
+    )
+    f = ops.parse_envi_header(table(spark, sf_dir, "embeddings").select(i.cast("string").alias("path"), text.alias("value")))
     at = lambda k: F.element_at("fields", k)
-    return f.select(at("samples").alias("samples"), at("lines").alias("lines"), at("data type").alias("kind"), at("byte order").alias("byte_order"), F.regexp_extract(at("wavelength"), r"([0-9.]+)", 1).cast("double").alias("wavelength"))
+    return f.select("path", at("samples").alias("samples"), at("lines").alias("lines"), at("data type").alias("kind"), at("byte order").alias("byte_order"), F.regexp_extract(at("wavelength"), r"([0-9.]+)", 1).cast("double").alias("wavelength"))
 
 
-@register("scan_gcps", "SELECT * FROM (VALUES ('GCP01', 205.4::DOUBLE, 197.6::DOUBLE, 0.75::DOUBLE), ('GCP02', 10.0, 20.0, 0.7), ('GCP03', 30.0, 40.0, 2.5)) v(name, x, y, alt)")
+@register(
+    "scan_gcps",
+    "SELECT 'GCP' || event_id AS name, (event_id % 372 + 0.5e0) AS x, (event_id % 374 + 0.25e0) AS y, CASE event_id % 3 WHEN 0 THEN 0.7 WHEN 1 THEN (event_id % 900 + 11) / 1000.0e0 ELSE (event_id % 10)::DOUBLE END AS alt FROM events WHERE event_id % 7 <> 0",
+)
 def scan_gcps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mark = "<Placemark name=\"{}\"><LATITUDE>{}</LATITUDE><LONGITUDE>{}</LONGITUDE><PIXEL_X>{}</PIXEL_X><PIXEL_Y>{}</PIXEL_Y><DESCRIPTION>{}</DESCRIPTION></Placemark>"
-    rows = [("GCP01", 39.05, -2.07, 205.4, 197.6, "Town (alt[m] = 750)"), ("GCP02", 39.1, -2.0, 10.0, 20.0, "no height"), ("GCP03", 39.2, -2.1, 30.0, 40.0, "(alt = 2.5)"), ("GCP04", 39.2, "", 1.0, 1.0, "")]
-    text = spark.createDataFrame([("<Placemarks>" + "\n".join(mark.format(*r) for r in rows) + "</Placemarks>",)], "value string")
-    return ops.control_points(ops.parse_placemarks(text), 0.7).select("name", "x", "y", "alt")
+    """A text of placemarks for every user, one an event: heights in metres, in kilometres or not told, some without a place."""
+    n = F.col("event_id")
+    note = F.when(n % 3 == 0, "no height").when(n % 3 == 1, F.format_string("Town (alt[m] = %d)", n % 900 + 11)).otherwise(F.format_string("(alt = %d)", n % 10))
+    mark = F.format_string(
+        '<Placemark name="GCP%d"><LATITUDE>%s</LATITUDE><LONGITUDE>%.4f</LONGITUDE><PIXEL_X>%.2f</PIXEL_X><PIXEL_Y>%.2f</PIXEL_Y><DESCRIPTION>%s</DESCRIPTION></Placemark>',
+        n, F.when(n % 7 == 0, "").otherwise(F.format_string("%.4f", 39 + n / 1e6)), -2 + n / 1e6, n % 372 + 0.5, n % 374 + 0.25, note,
+    )
+    texts = table(spark, sf_dir, "events").groupBy("user_id").agg(F.concat(F.lit("<Placemarks>"), F.array_join(F.collect_list(mark), "\n"), F.lit("</Placemarks>")).alias("value"))
+    return ops.control_points(ops.parse_placemarks(texts), 0.7).select("name", "x", "y", "alt")
 
 
 # Product sets and metadata ----------------------------------------------------------------------------------
 
-_NAMES = ("CHRIS_BR_123456_A_21", "CHRIS_BR_123456_B_21", "CHRIS_BR_123456_B_21", "CHRIS_BR_123457_A_21", "CHRIS_BR_123456_C_41", "OTHER")
+#: Products of the orders: five-part names, some twice, of two types.
+_PRODUCT_SQL = """product AS (SELECT 'CHRIS_BR_' || o_custkey % 50 || '_' || chr((65 + o_orderkey % 7)::INTEGER) || '_21' AS name, CASE WHEN o_orderkey % 11 = 0 THEN 'CHRIS_M1' ELSE 'CHRIS_M2' END AS type, o_custkey FROM orders)"""
 
 
-def _products(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(n, "CHRIS_M2" if k != 3 else "CHRIS_M1") for k, n in enumerate(_NAMES)], "name string, type string")
+def _products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    name = F.concat(F.lit("CHRIS_BR_"), (c % 50).cast("string"), F.lit("_"), F.char(65 + k % 7), F.lit("_21"))
+    return table(spark, sf_dir, "orders").select(name.alias("name"), F.when(k % 11 == 0, "CHRIS_M1").otherwise("CHRIS_M2").alias("type"), "o_custkey")
 
 
-for _name in ("scan_acquisition_set", "sort_products_by_name"):
-    register(_name, "SELECT 'CHRIS_BR_123456_A_21' AS name, 1 AS place UNION ALL SELECT 'CHRIS_BR_123456_B_21', 2")(
-        lambda s, d: ops.acquisition_set(_products(s), _NAMES[0], "CHRIS_M2").select("name", F.row_number().over(Window.orderBy("name")).alias("place"))
-    )
+@register("scan_acquisition_set", f"WITH {_PRODUCT_SQL} SELECT DISTINCT name FROM product WHERE type = 'CHRIS_M2' AND starts_with(name, 'CHRIS_BR_7_')")
+def scan_acquisition_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.acquisition_set(_products(spark, sf_dir), "CHRIS_BR_7_A_21", "CHRIS_M2").select("name")
+
 
+@register("sort_products_by_name", f"WITH {_PRODUCT_SQL} SELECT name, row_number() OVER (PARTITION BY split_part(name, '_', 3) ORDER BY name)::INTEGER AS place FROM (SELECT DISTINCT name FROM product)")
+def sort_products_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every product in its set."""
+    names = _products(spark, sf_dir).select("name").distinct()
+    return names.select("name", F.row_number().over(Window.partitionBy(F.split_part("name", F.lit("_"), F.lit(3))).orderBy("name")).alias("place"))
 
-@register("acquisition_set_validation", "SELECT * FROM (VALUES ('good', true), ('twice', false), ('six', false), ('other set', false), ('wrong type', false)) v(name, valid)")
+
+@register(
+    "acquisition_set_validation",
+    f"WITH {_PRODUCT_SQL} SELECT o_custkey, count(*) AS n, count(*) <= 5 AND count(DISTINCT name) = count(*) AND count(DISTINCT type) = 1 AS valid FROM product GROUP BY o_custkey",
+)
 def acquisition_set_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good = [f"CHRIS_BR_1_{c}_21" for c in "ABC"]
-    cases = {"good": (good, "CHRIS_M2"), "twice": ([*good, good[0]], "CHRIS_M2"), "six": ([f"CHRIS_BR_1_{c}_21" for c in "ABCDEF"], "CHRIS_M2"), "other set": ([*good, "CHRIS_BR_2_A_21"], "CHRIS_M2"), "wrong type": (good, "CHRIS_M2_NR")}
+    """Whether the products of each customer can be processed as a set."""
 
-    def valid(names: list[str], kind: str) -> bool:
+    @F.udf("boolean")
+    def valid(names: list[str], kinds: list[str]) -> bool:
         try:
-            ops.validate_set(names, [kind] * len(names))
+            ops.validate_set(names, kinds)
         except ValueError:
             return False
         return True
 
-    return spark.createDataFrame([(n, valid(*c)) for n, c in cases.items()], "name string, valid boolean")
+    # Six products tell that there are too many.
+    each = _products(spark, sf_dir).withColumn("at", F.row_number().over(Window.partitionBy("o_custkey").orderBy("name", "type")))
+    n = each.groupBy("o_custkey").agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("at") <= 6, F.col("name"))).alias("names"), F.collect_list(F.when(F.col("at") <= 6, F.col("type"))).alias("kinds"))
+    return n.select("o_custkey", "n", valid("names", "kinds").alias("valid"))
 
 
 @register("per_product_selection", "SELECT 'p1' AS product_id, count(*) AS n FROM embeddings WHERE vec_id // 25 >= 10")
@@ -178,13 +222,25 @@ def altitude_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", ops.parse_altitude(text, F.lit(0.7)).alias("alt"))
 
 
-@register("metadata_display", "SELECT 'mode' AS name, '1' AS value UNION ALL SELECT 'solar_zenith', '35.0' UNION ALL SELECT 'view_zenith', '20.0' UNION ALL SELECT 'temperature', '5.0' UNION ALL SELECT 'day_of_year', '162'")
+@register(
+    "metadata_display",
+    "SELECT o_orderkey, unnest(['bad', 'image', 'price', 'status']) AS name, unnest(['n/a', (o_orderkey % 5 + 1)::VARCHAR || ' of 5', o_totalprice::VARCHAR, o_orderstatus]) AS value FROM orders",
+)
 def metadata_display(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..sources.testdata import ATTRS
-
-    return spark.createDataFrame(list(ATTRS.items()), "name string, value string")
+    """The annotations of every order as rows, trimmed."""
+    rows = _attrs(spark, sf_dir).select("o_orderkey", F.explode("attrs").alias("name", "value"))
+    return rows.select("o_orderkey", "name", F.trim("value").alias("value"))
 
 
-@register("name_split_and_date", "SELECT DISTINCT split_part(url, '/', 3) AS host, replace('2003-05-12', '-', '') AS day FROM pages")
+@register(
+    "name_split_and_date",
+    "SELECT DISTINCT o_custkey % 50 AS target, chr((65 + o_orderkey % 7)::INTEGER) AS image, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders",
+)
 def name_split_and_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select(F.split_part("url", F.lit("/"), F.lit(3)).alias("host"), F.replace(F.lit("2003-05-12"), F.lit("-"), F.lit("")).alias("day")).distinct()
+    """Target, image and date of five-part product names, the date in its text form."""
+    k = F.col("o_orderkey")
+    name = F.concat_ws("_", F.lit("CHRIS"), (F.col("o_custkey") % 50).cast("string"), F.char(65 + k % 7), F.date_format("o_orderdate", "yyMMdd"), F.lit("21"))
+    part = lambda n: F.split_part(name, F.lit("_"), F.lit(n))
+    century = F.when(F.substring(part(4), 1, 1) >= "7", "19").otherwise("20")
+    day = F.concat_ws("-", F.concat(century, F.substring(part(4), 1, 2)), F.substring(part(4), 3, 2), F.substring(part(4), 5, 2))
+    return table(spark, sf_dir, "orders").select(part(2).cast("long").alias("target"), part(3).alias("image"), day.alias("day")).distinct()

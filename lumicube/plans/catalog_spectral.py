@@ -12,7 +12,7 @@ from ..operators import reflectance as ops
 from ..operators.bands import bands_frame, categorized, valid_pixels
 from ..operators.smoothing import tricube
 from ..registry import register
-from ..sources.testdata import BANDS, BANDS_SQL, CUBE_SQL, LONG_SQL, cube, table
+from ..sources.testdata import BANDS, BANDS_SQL, CUBE_SQL, LONG_SQL, PRODUCT_BANDS_SQL, cube, product_bands, table
 
 #: The features need bands narrow enough to stand strictly inside the intervals.
 FEATURE_BANDS = tuple(dataclasses.replace(b, bandwidth=8.0) for b in BANDS)
@@ -23,6 +23,8 @@ solar AS (SELECT i + 200.0::DOUBLE AS x, 8.6e18 / power(i + 200.0::DOUBLE, 5) /
 near AS (SELECT band, y, 1 / power(1 + abs(2 * (x - wl) / bw), 4) AS w FROM solar JOIN bands ON x - wl > -bw AND x - wl <= bw),
 irradiance AS (SELECT band, sum(w * y) / sum(w) AS average FROM near GROUP BY band),
 factors AS (SELECT band, {_PI} / (cos(radians(35e0)) * 1000 * average * {_DAY}) AS factor FROM irradiance)"""
+#: The same for the bands of all products.
+_MANY_SQL = _FACTORS_SQL.replace(BANDS_SQL, PRODUCT_BANDS_SQL)
 _TOA_SQL = f"{LONG_SQL}, {_FACTORS_SQL}, toa AS (SELECT x, y, band, mask, trunc(value * factor / 1e-4 + 0.5e0)::INTEGER AS refl FROM long JOIN factors USING (band))"
 
 
@@ -45,32 +47,32 @@ def solar_irradiance_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", F.round(r.solar_irradiance_correction(F.dayofyear("o_orderdate")), 9).alias("factor"))
 
 
-@register("toa_factor", f"WITH {_FACTORS_SQL} SELECT band, round(factor * 1e6, 6) AS factor FROM factors")
+@register("toa_factor", f"WITH {_MANY_SQL} SELECT band, round(factor * 1e6, 6) AS factor FROM factors")
 def toa_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    averages = ops.band_averages(ops.solar_stand_in(spark), bands_frame(spark, BANDS))
+    averages = ops.band_averages(ops.solar_stand_in(spark), product_bands(spark, sf_dir))
     return ops.toa_factors(averages, 35.0, 162).select("band", F.round(F.col("factor") * 1e6, 6).alias("factor"))
 
 
-@register("weighted_band_average", f"WITH {_FACTORS_SQL} SELECT band, round(average, 6) AS average FROM irradiance")
+@register("weighted_band_average", f"WITH {_MANY_SQL} SELECT band, round(average, 6) AS average FROM irradiance")
 def weighted_band_average(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.band_averages(ops.solar_stand_in(spark), bands_frame(spark, BANDS)).select("band", F.round("average", 6).alias("average"))
+    return ops.band_averages(ops.solar_stand_in(spark), product_bands(spark, sf_dir)).select("band", F.round("average", 6).alias("average"))
 
 
-@register("bell_weight", f"WITH {_FACTORS_SQL} SELECT band, count(*) AS n, round(sum(w), 9) AS total FROM near GROUP BY band")
+@register("bell_weight", f"WITH {_MANY_SQL} SELECT band, count(*) AS n, round(sum(w), 9) AS total FROM near GROUP BY band")
 def bell_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     delta = F.col("x") - F.col("wavelength")
-    near = ops.solar_stand_in(spark).join(F.broadcast(bands_frame(spark, BANDS)), (delta > -F.col("bandwidth")) & (delta <= F.col("bandwidth")))
+    near = ops.solar_stand_in(spark).join(F.broadcast(product_bands(spark, sf_dir)), (delta > -F.col("bandwidth")) & (delta <= F.col("bandwidth")))
     return near.groupBy("band").agg(F.count("*").alias("n"), F.round(F.sum(r.bell_weight(delta, F.col("bandwidth"))), 9).alias("total"))
 
 
-_RESAMPLE_SQL = f"""{BANDS_SQL}, shaped AS (SELECT *, 6.0e0 - 4.0e0 * (band - 1) / 63 AS e FROM bands),
+_RESAMPLE_SQL = f"""{PRODUCT_BANDS_SQL}, shaped AS (SELECT *, 6.0e0 - 4.0e0 * (band % 1000 - 1) / 63 AS e FROM bands),
 solar AS (SELECT i + 200.0::DOUBLE AS x, 8.6e18 / power(i + 200.0::DOUBLE, 5) / (exp(2492.7e0 / (i + 200.0::DOUBLE)) - 1) AS y FROM range(2201) t(i)),
 weights AS (SELECT band, x, y, exp(-power(abs(x - wl) / (bw * power(1 / (power(2e0, e) * ln(2e0)), 1 / e)), e)) AS w FROM solar JOIN shaped ON abs(x - wl) <= 2 * bw),
 normed AS (SELECT band, x, y, w / sum(w) OVER (PARTITION BY band) AS w FROM weights)"""
 
 
-def _resampled(spark: SparkSession) -> DataFrame:
-    bands = bands_frame(spark, BANDS).withColumn("e", 6.0 - 4.0 * (F.col("band") - 1) / 63)
+def _resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bands = product_bands(spark, sf_dir).drop("n").withColumn("e", 6.0 - 4.0 * (F.col("band") % 1000 - 1) / 63)
     delta = F.abs(F.col("x") - F.col("wavelength"))
     near = ops.solar_stand_in(spark).join(F.broadcast(bands), delta <= 2 * F.col("bandwidth"))
     from pyspark.sql import Window
@@ -81,12 +83,12 @@ def _resampled(spark: SparkSession) -> DataFrame:
 
 @register("resample_weight", f"WITH {_RESAMPLE_SQL} SELECT band, x, round(w, 9) AS weight FROM normed")
 def resample_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _resampled(spark).select("band", "x", F.round("w", 9).alias("weight"))
+    return _resampled(spark, sf_dir).select("band", "x", F.round("w", 9).alias("weight"))
 
 
 @register("join_resample", f"WITH {_RESAMPLE_SQL} SELECT band, count(*) AS n, round(sum(w * y), 6) AS value FROM normed GROUP BY band")
 def join_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _resampled(spark).groupBy("band").agg(F.count("*").alias("n"), F.round(F.sum(F.col("w") * F.col("y")), 6).alias("value"))
+    return _resampled(spark, sf_dir).groupBy("band").agg(F.count("*").alias("n"), F.round(F.sum(F.col("w") * F.col("y")), 6).alias("value"))
 
 
 # Features ---------------------------------------------------------------------------------------------------
@@ -241,10 +243,12 @@ for _name, (_digits, _sqls) in _scalar_sql().items():
     _register_scalar(_name, _digits, _sqls)
 
 
-@register("tricube_weight", "SELECT i::INTEGER AS i, j::INTEGER AS j, round(power(1 - power(abs(i - j)::DOUBLE / greatest(i, 26 - i), 3), 1.5e0), 9) AS w FROM range(27) a(i), range(27) b(j)")
+@register("tricube_weight", "SELECT event_id, round(power(1 - power(abs(i - j)::DOUBLE / greatest(i, 26 - i), 3), 1.5e0), 9) AS w FROM (SELECT event_id, event_id % 27 AS i, event_id // 27 % 27 AS j FROM events)")
 def tricube_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(i, j, float(w)) for i in range(27) for j, w in enumerate(tricube(27, i))]
-    return spark.createDataFrame(rows, "i int, j int, w double").withColumn("w", F.round("w", 9))
+    """Weight of each event's place in the window about another place."""
+    weights = F.array(*[F.array(*[F.lit(float(w)) for w in tricube(27, i)]) for i in range(27)])
+    n = F.col("event_id")
+    return table(spark, sf_dir, "events").select("event_id", F.round(F.get(F.get(weights, (n % 27).cast("int")), (F.floor(n / 27) % 27).cast("int")), 9).alias("w"))
 
 
 _RESIDUAL_SQL = "SELECT user_id, event_id, abs(value - avg(value) OVER (PARTITION BY user_id)) AS a FROM events"

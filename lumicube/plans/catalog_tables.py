@@ -52,8 +52,20 @@ def rtc_stand_in() -> binary_tables.RtcTable:
     return binary_tables.RtcTable(axes, blocks)
 
 
-def _rtc_file(spark: SparkSession) -> DataFrame:
-    return spark.range(1, numPartitions=1).select(F.lit("table").alias("name"), F.lit(bytearray(binary_tables.encode_rtc(rtc_stand_in()))).alias("content"))
+def _rtc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table for each label of the vectors: the stand-in's stored values, plus the number of the label's vectors."""
+    t = rtc_stand_in()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for n in batch.column(1).to_pylist():
+                blocks = {k: b + n * np.where(np.arange(b.shape[-1]) < (1 if k == "A" else 2), binary_tables.SCALE, 1.0) for k, b in t.blocks.items()}
+                made.append(binary_tables.encode_rtc(binary_tables.RtcTable(t.axes, blocks)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["name", "content"])
+
+    counts = table(spark, sf_dir, "embeddings").groupBy(F.col("label").cast("string").alias("name")).agg((F.count("*") % 1000).alias("n"))
+    return counts.mapInArrow(run, "name string, content binary")
 
 
 def _rtc_sql(block: str, values: int) -> str:
@@ -64,18 +76,18 @@ def _rtc_sql(block: str, values: int) -> str:
         place = f"({place} * {len(_AXES[n])} + i{k})"
     scaled = 1 if block == "A" else 2
     return (
-        f"SELECT '{block}' AS block, v0 AS vza, v1 AS sza, v2 AS alt, v3 AS aot, v4 AS last, v5 AS wavelength, p::INTEGER AS value_index, "
-        f"({place} * {values} + p) / 1024.0e0 * CASE WHEN p < {scaled} THEN 10000 ELSE 1 END AS value FROM {axes}, range({values}) q(p)"
+        f"SELECT name, '{block}' AS block, v0 AS vza, v1 AS sza, v2 AS alt, v3 AS aot, v4 AS last, v5 AS wavelength, p::INTEGER AS value_index, "
+        f"(({place} * {values} + p) / 1024.0e0 + n) * CASE WHEN p < {scaled} THEN 10000 ELSE 1 END AS value FROM {axes}, range({values}) q(p), (SELECT label::VARCHAR AS name, count(*) % 1000 AS n FROM embeddings GROUP BY 1)"
     )
 
 
 @register("scan_rtc_lut", f"{_rtc_sql('A', 1)} UNION ALL {_rtc_sql('B', 4)}")
 def scan_rtc_lut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every value of a table with its place on the seven axes."""
-    rows = binary_tables.rtc_rows(_rtc_file(spark)).select("block", "vza", "sza", "alt", "aot", "last", F.posexplode("values").alias("pos", "value"))
+    """Every value of the tables with its place on the seven axes."""
+    rows = binary_tables.rtc_rows(_rtc_files(spark, sf_dir)).select("name", "block", "vza", "sza", "alt", "aot", "last", F.posexplode("values").alias("pos", "value"))
     n = F.when(F.col("block") == "A", 1).otherwise(4)
     wavelength = F.get(F.array(*[F.lit(w) for w in _AXES["wavelength"]]), F.floor(F.col("pos") / n).cast("int"))
-    return rows.select("block", "vza", "sza", "alt", "aot", "last", wavelength.alias("wavelength"), (F.col("pos") % n).cast("int").alias("value_index"), "value")
+    return rows.select("name", "block", "vza", "sza", "alt", "aot", "last", wavelength.alias("wavelength"), (F.col("pos") % n).cast("int").alias("value_index"), "value")
 
 
 _FILES_SQL = "files AS (SELECT event_type AS name, CASE WHEN event_id % 3 = 0 AND event_type <> (SELECT min(event_type) FROM events) THEN 'user' ELSE 'bundled' END AS origin, event_id::VARCHAR AS path, ts AS modified FROM events), now AS (SELECT max(ts) AS t FROM events)"

@@ -131,11 +131,11 @@ def encode_rtc(table: RtcTable) -> bytes:
 
 
 def rtc_rows(files: DataFrame) -> DataFrame:
-    """block, vza, sza, alt, aot, last (ada in block A, cwv in block B) and the values by wavelength, value fastest."""
+    """name, block, vza, sza, alt, aot, last (ada in block A, cwv in block B) and the values by wavelength, value fastest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for raw in batch.column(0):
+            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 table = decode_rtc(raw.as_py())
                 for k, names in BLOCK_AXES.items():
                     grid = [g.ravel() for g in np.meshgrid(*[table.axes[n] for n in names], indexing="ij")]
@@ -143,10 +143,10 @@ def rtc_rows(files: DataFrame) -> DataFrame:
                     for lo in range(0, len(values), 1000):
                         part = values[lo : lo + 1000]
                         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * part.shape[1]), pa.array(part.ravel()))
-                        cols = [pa.array([k] * len(part)), *[pa.array(g[lo : lo + 1000]) for g in grid], lists]
-                        yield pa.RecordBatch.from_arrays(cols, names=["block", "vza", "sza", "alt", "aot", "last", "values"])
+                        cols = [pa.array([name] * len(part), pa.string()), pa.array([k] * len(part)), *[pa.array(g[lo : lo + 1000]) for g in grid], lists]
+                        yield pa.RecordBatch.from_arrays(cols, names=["name", "block", "vza", "sza", "alt", "aot", "last", "values"])
 
-    return files.select("content").mapInArrow(run, "block string, vza double, sza double, alt double, aot double, last double, values array<double>")
+    return files.select("name", "content").mapInArrow(run, "name string, block string, vza double, sza double, alt double, aot double, last double, values array<double>")
 
 
 def read_rtc(spark: SparkSession, path: str) -> DataFrame:

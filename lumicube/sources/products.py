@@ -65,12 +65,17 @@ def telemetry_patterns(target: str, date: str) -> str:
     return rf"Pass\d+\.{re.escape(target)}_(\d+)_CHRIS_center_times_{date.replace('-', '')}_\d+"
 
 
-def match_telemetry(files: DataFrame, target: str, date: str) -> DataFrame:
-    """ict, gps: file names (name) that belong together by the reference number; the first pair by name."""
+def telemetry_pairs(files: DataFrame, target: str, date: str) -> DataFrame:
+    """ict, gps: file names (name) that belong together by the reference number."""
     ref = F.regexp_extract("name", telemetry_patterns(target, date), 1)
     ict = files.select(F.col("name").alias("ict"), ref.alias("ref")).filter("ref <> ''")
     gps = files.select(F.col("name").alias("gps"), F.regexp_extract("name", r"CHRIS_(\d+)_\d+_PROBA1_GPS_Data", 1).alias("ref")).filter("ref <> ''")
-    return ict.join(gps, "ref").orderBy("ict", "gps").limit(1).select("ict", "gps")
+    return ict.join(gps, "ref").select("ict", "gps")
+
+
+def match_telemetry(files: DataFrame, target: str, date: str) -> DataFrame:
+    """The first pair by name."""
+    return telemetry_pairs(files, target, date).orderBy("ict", "gps").limit(1)
 
 
 def find_telemetry(spark: SparkSession, folder: str, target: str, date: str) -> DataFrame:

@@ -41,6 +41,19 @@ def cube_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_long(cube(spark, sf_dir).pixels.select("product_id", "y", "x", "radiance", "mask"))
 
 
+def product_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Band descriptors of the products that the labels of the embeddings stand for, with wavelengths of each one's own.
+
+    ``band`` counts from 1000 times the label; ``n`` is the number of the product's spectra that have the band.
+    """
+    e = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("at", "v"))
+    b = e.groupBy("label", "at").agg(F.count("*").alias("n"))
+    return b.select(
+        (F.col("label") * 1000 + F.col("at") + 1).cast("int").alias("band"), F.concat(F.lit("radiance_"), (F.col("at") + 1).cast("string")).alias("name"),
+        (400.0 + 10.0 * F.col("at") + F.col("label") * 0.5).alias("wavelength"), F.lit(10.0).alias("bandwidth"), F.lit(1.0).alias("scale"), F.lit("").alias("unit"), "n",
+    )
+
+
 def large_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raster of the line items: 128 columns, 7 bands, int values; the largest projection."""
     rows = table(spark, sf_dir, "lineitem")
@@ -72,6 +85,10 @@ LARGE_SQL = """large AS (
 BANDS_SQL = """bands AS (
   SELECT b::INTEGER AS band, 400.0::DOUBLE + 10 * (b - 1) AS wl, 10.0::DOUBLE AS bw, 'radiance_' || b AS name FROM range(1, 65) t(b)
 )"""
+PRODUCT_BANDS_SQL = """bands AS (
+  SELECT (label * 1000 + b)::INTEGER AS band, 400.0e0 + 10 * (b - 1) + label * 0.5e0 AS wl, 10.0::DOUBLE AS bw, 'radiance_' || b AS name, count(*) AS n
+  FROM (SELECT label, unnest(range(1, len(embedding) + 1)) AS b FROM embeddings) GROUP BY label, b
+)"""
 TELEMETRY_SQL = """telemetry AS (
   SELECT user_id, epoch(date_trunc('second', ts))::DOUBLE AS t, event_id, value AS signal FROM events
 )"""
