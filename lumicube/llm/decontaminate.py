@@ -1,10 +1,12 @@
 """Benchmark decontamination by spaced seeds.
 
 A seed is a fixed mask over consecutive words; the words under its zeros are ignored, so that a hit survives
-substitutions there.  The seeds of the benchmark are hashed into a table; every document's seeds are joined with
-it by equality, after a fixed bit table has dropped nearly all that have no partner.  Around each hit the words of
-document and item are aligned, and the best run with a match score is the overlap: a match counts one, a
-substitution costs three.  A document is contaminated if an overlap has enough matching words.
+substitutions there.  Masks for items of LONG words or more are two runs of three words at every distance up to REACH:
+a stretch in which four of five words are equal, and enough of them, has two such runs.  The seeds of the benchmark are
+hashed into a table; every document's seeds are joined with it by equality, after a fixed bit table has dropped nearly
+all that have no partner.  Around each hit the words of document and item are aligned.  An overlap is a stretch of the
+alignment with enough equal words and at least four of five equal; one run of up to GAP words that were inserted or left
+out may stand in it, each counting as an unequal word.
 
 The benchmark is a query set: it is read in blocks of a bounded number of words, and each block is held against
 all documents.  Documents are never shuffled.
@@ -22,22 +24,24 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import _bytes as B
 
-#: Masks of weight eight; no shift of one covers another.
-MASKS = ("1110110010111", "1101010110011", "11100100100111")
-#: Shorter items may miss one word (up to nine words) or two: each word is left out in turn, or two of four groups are.
-_LONGEST = max(map(len, MASKS))
-MISMATCH = 3
-#: An overlap counts from so many matching words, for shorter items from this share of their words.
-MIN_WORDS, MIN_SHARE = 13, 0.8
+#: Items of so many words have the masks of two runs; distance of the runs' starts at most.
+LONG, RUN, REACH = 15, 3, 17
+#: Words that may be inserted or left out in one place.
+GAP = 3
+#: An overlap counts from so many equal words, for shorter items from this share of their words; and with this share (four
+#: of five, in whole numbers) of its stretch.
+MIN_WORDS, MIN_SHARE, OF, EQUAL = 13, 0.8, 5, 4
 #: Words of one benchmark block.
 BLOCK_WORDS = 200_000
-_BITS = 22
+_BITS = 23
 _COEF = np.random.default_rng(11).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
 def _masks_for(length: int) -> list[np.ndarray]:
-    if length >= _LONGEST:
-        return [np.flatnonzero(np.frombuffer(m.encode(), np.uint8) == 0x31) for m in MASKS]
+    """Offsets of the masks for items of a length; shorter items may miss one word (up to nine words) or two, so that each
+    word is left out in turn, or two of four groups are."""
+    if length >= LONG:
+        return [np.concatenate((np.arange(RUN), d + np.arange(RUN))) for d in range(RUN, REACH + 1)]
     if length < 5:
         return [np.arange(length)]
     if length - needed(length) < 2:
@@ -81,7 +85,7 @@ def build_index(ids: list[int], texts: list[str]) -> Index:
     counts = np.bincount(owner, minlength=len(ids)) if len(owner) else np.zeros(len(ids), np.int64)
     first = np.concatenate(([0], np.cumsum(counts)))
     bits, seeds = np.zeros(1 << _BITS, dtype=bool), []
-    spans = sorted({min(int(c), _LONGEST) for c in counts if c})
+    spans = sorted({min(int(c), LONG) for c in counts if c})
     for span in spans:
         for kind, mask in enumerate(_masks_for(span)):
             lead = int(mask[0])  # a seed begins at its first word, which need not be the item's
@@ -90,7 +94,7 @@ def build_index(ids: list[int], texts: list[str]) -> Index:
             h = _seed_hashes(words, mask, width, kind)
             at = np.arange(len(h))
             whole = owner[at] == owner[at + width - 1]
-            right = counts[owner[at]] >= _LONGEST if span == _LONGEST else (counts[owner[at]] == span) & (at - first[owner[at]] == lead)
+            right = counts[owner[at]] >= LONG if span == LONG else (counts[owner[at]] == span) & (at - first[owner[at]] == lead)
             keep = np.flatnonzero(whole & right)
             order = keep[np.argsort(h[keep], kind="stable")]
             seeds.append((width, kind, mask, h[order], owner[order], order - first[owner[order]]))
@@ -98,25 +102,26 @@ def build_index(ids: list[int], texts: list[str]) -> Index:
     return Index(np.asarray(ids, dtype=np.int64), first, words, seeds, bits)
 
 
-def _best_runs(same: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, end) by row of the run with the largest score of matches less substitutions; the first of equals.
-    Places that are not ``inside`` the document score nothing."""
-    score = np.where(inside, np.where(same, 1, -MISMATCH), 0)
-    up = np.zeros((len(score), score.shape[1] + 1), np.int64)
-    np.cumsum(score, axis=1, out=up[:, 1:])
-    low = np.minimum.accumulate(up, axis=1)
-    end = np.argmax(up - low, axis=1)
-    rows = np.arange(len(up))
-    start = np.argmax(up == low[rows, end][:, None], axis=1)
-    return np.maximum(start, np.argmax(inside, axis=1)), end
-
-
-def _best_run(same: np.ndarray) -> tuple[int, int]:
-    """The same for one alignment that lies within its document."""
-    if not len(same):
-        return 0, 0
-    start, end = _best_runs(same[None], np.ones((1, len(same)), bool))
-    return int(start[0]), int(end[0])
+def _stretches(same: np.ndarray, cost: np.ndarray, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(equal words, start, end) by row of the stretch with the most equal words among those with the share, the first of
+    equals, without unequal words at its ends.  ``cost`` has what each place takes from the share's balance.
+    """
+    n, size = same.shape
+    equal, balance = np.zeros((n, size + 1), np.int64), np.zeros((n, size + 1), np.int64)
+    np.cumsum(same, axis=1, out=equal[:, 1:])
+    np.cumsum(OF * same - cost, axis=1, out=balance[:, 1:])
+    most, start, end = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for s in range(size):
+        own = np.flatnonzero(same[:, s] & (equal[:, -1] - equal[:, s] > most))
+        if not len(own):
+            continue
+        fits = (balance[own, s + 1 :] >= balance[own, s, None]) & same[own, s:]
+        e = size - np.argmax(fits[:, ::-1], axis=1)
+        m = np.where(fits.any(axis=1), equal[own, e] - equal[own, s], 0)
+        better = m > most[own]
+        own, m, e = own[better], m[better], e[better]
+        most[own], start[own], end[own] = m, s, e
+    return most, start, end
 
 
 #: Words that are aligned at a time.
@@ -165,19 +170,47 @@ def find_overlaps(index: Index, words: np.ndarray, docs: np.ndarray, n_docs: int
     edges = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
     for lo, hi in zip(edges, np.append(edges[1:], len(i)), strict=True):
         item = index.words[index.first[i[lo]] : index.first[i[lo] + 1]]
-        step = max(1, ALIGNED // len(item))
-        for at in range(lo, hi, step):
-            own, by = d[at : min(at + step, hi)], shift[at : min(at + step, hi)]
+        need, size = needed(len(item)), len(item)
+
+        def aligned(own: np.ndarray, by: np.ndarray, item=item) -> np.ndarray:
             place = by[:, None] + np.arange(len(item))
             inside = (place >= 0) & (place < counts[own][:, None])
-            same = inside & (words[np.where(inside, first[own][:, None] + place, 0)] == item)
-            start, end = _best_runs(same, inside)
-            sums = np.zeros((len(own), len(item) + 1), np.int64)
-            np.cumsum(same, axis=1, out=sums[:, 1:])
-            rows = np.arange(len(own))
-            match = sums[rows, end] - sums[rows, start]
-            good = np.flatnonzero(match >= needed(len(item)))
-            parts.append(np.stack((own[good], i[at : at + len(own)][good], match[good], by[good] + start[good], by[good] + end[good], np.full(len(good), len(item)))))
+            return inside & (words[np.where(inside, first[own][:, None] + place, 0)] == item)
+
+        def keep(own: np.ndarray, by: np.ndarray, after: np.ndarray, found: tuple, cut: np.ndarray, need=need, size=size, item_no=i[lo]) -> np.ndarray:
+            match, start, end = found
+            good = np.flatnonzero(match >= need)
+            begin = np.where(start >= cut, after, by)[good] + start[good]
+            stop = np.where(end > cut, after, by)[good] + end[good]
+            parts.append(np.stack((own[good], np.full(len(good), item_no), match[good], begin, stop, np.full(len(good), size))))
+            return match >= need
+
+        step = max(1, ALIGNED // (size * (2 * GAP + 1)))
+        for at in range(lo, hi, step):
+            own, by = d[at : min(at + step, hi)], shift[at : min(at + step, hi)]
+            same = aligned(own, by)
+            done = keep(own, by, by, _stretches(same, np.full(size, EQUAL)), np.full(len(own), size))
+            # A document that has no overlap with the item without a gap may have one with a gap.
+            whole = np.unique(own[done])
+            left = np.flatnonzero(~done & ~np.isin(own, whole) & (same.sum(axis=1) >= 2 * RUN))
+            if size < 2 * RUN or not len(left):
+                continue
+            for gap in [g for g in range(-GAP, GAP + 1) if g]:
+                for first_part, second in ((0, gap), (gap, 0)):
+                    head, tail = (aligned(own[left], by[left] + g) if g else same[left] for g in (first_part, second))
+                    up = np.zeros((len(left), size + 1), np.int64)
+                    down = up.copy()
+                    np.cumsum(head, axis=1, out=up[:, 1:])
+                    down[:, :-1] = np.cumsum(tail[:, ::-1], axis=1)[:, ::-1]
+                    # Words left out of the document are words of the item: the tail then stands that much further left.
+                    away = second - first_part
+                    skip = max(0, -away)
+                    sums = up[:, : size + 1 - skip] + down[:, skip:]
+                    cut = np.argmax(sums, axis=1)
+                    place = np.arange(size)
+                    both = np.where(place < cut[:, None], head, tail & (place >= cut[:, None] + skip))
+                    cost = np.full((len(left), size), EQUAL) + (place == cut[:, None]) * EQUAL * max(0, away)
+                    keep(own[left], by[left] + first_part, by[left] + second, _stretches(both, cost), cut)
     if not parts:
         return []
     # The best alignment of each document and item; the first place of equals.
