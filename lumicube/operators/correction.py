@@ -21,6 +21,7 @@ from . import atmosphere as a
 from .bands import nearest_index, valid_pixels, water_mask
 from .lookups import bracket
 from .statistics import box_mean, extremes, max_aot, smallest
+from .tables import cut
 
 KEYS = ("product_id", "y", "x")
 #: Visible range of the dark pixels (nm), their number a band, steps of the optical thickness, scale of
@@ -173,7 +174,8 @@ def surface_reflectances(
     none, mean = F.array_repeat(F.lit(0.0), len(bands)), 0.0
     if mode in ("1", "3", "5"):
         marked = rows.select(*KEYS, "radiance", (usable & ~F.col("water")).alias("land"), (usable & F.col("water")).alias("water"))
-        solved = _with_vapour(marked, scale, bands, [table(w) for w in lut.cwv], lut.cwv, initial)
+        # Read by the mean, by both sides of the adjacency join and by the gains: solved once, and written.
+        solved = cut(_with_vapour(marked, scale, bands, [table(w) for w in lut.cwv], lut.cwv, initial))
         mean = solved.agg(F.avg("water_vapour")).first()[0] or 0.0
         rt = table(mean)
         out = solved.select(

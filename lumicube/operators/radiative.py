@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
 from ..sources.binary_tables import AXES, RtcTable
+from .atmosphere import Lut
 
 #: Nodes of the stand-in table.
 STAND_IN = {
@@ -44,6 +45,17 @@ def stand_in_table(lo: float = 390.0, hi: float = 1050.0, step: float = 5.0) ->
     return RtcTable(axes, {"A": lpw[..., None], "B": np.stack((direct, diffuse, sab, rat), axis=-1)})
 
 
+def lut_at(table: RtcTable, vza: float, ada: float, alt: float, sza: float) -> Lut:
+    """The table of one scene, over thickness and water vapour, at its angles and altitude: what the correction reads."""
+    aot, cwv = table.axes["aot"], table.axes["cwv"]
+    a, v = (g.ravel() for g in np.meshgrid(aot, cwv, indexing="ij"))
+    point = {"vza": vza, "sza": sza, "ada": ada, "alt": alt}
+    at = table.parts({n: np.full(len(a), x) for n, x in point.items()} | {"aot": a, "cwv": v})
+    shape = (len(aot), len(cwv), -1)
+    path = table.many({n: np.full(len(aot), x) for n, x in point.items()} | {"aot": aot, "cwv": np.full(len(aot), cwv[0])}).lpw
+    return Lut(table.axes["wavelength"], tuple(map(float, aot)), tuple(map(float, cwv)), path, np.stack([p.reshape(shape) for p in at]))
+
+
 def with_table(rows: DataFrame, table: RtcTable, at: dict[str, Column]) -> DataFrame:
     """``rows`` with lpw, egl, sab and rat (arrays over the table's wavelengths or bands) at each row's own place.
 

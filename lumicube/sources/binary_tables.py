@@ -67,6 +67,11 @@ class RtcTable:
         sun = np.cos(np.radians(np.asarray(points["sza"], dtype=np.float64)))[:, None]
         return Rtc(a[..., 0], b[..., 0] * sun + b[..., 1], b[..., 2], b[..., 3])
 
+    def parts(self, points: dict[str, np.ndarray]) -> np.ndarray:
+        """(value, points, wavelengths) of block B: direct and diffuse flux, albedo and ratio, as stored."""
+        b = _corners(self.blocks["B"], [_between(self.axes[n], np.asarray(points[n], dtype=np.float64)) for n in BLOCK_AXES["B"]])
+        return np.moveaxis(b, 2, 0)
+
     def in_bands(self, weights: np.ndarray) -> RtcTable:
         """The table with its wavelengths averaged to bands, by the rows of ``weights``."""
         blocks = {k: np.einsum("bw,...wv->...bv", weights, v) for k, v in self.blocks.items()}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lumicube import registry
 from lumicube.model import Scene
 from lumicube.operators import atmosphere as a
-from lumicube.operators import correction
+from lumicube.operators import correction, radiative
 from lumicube.params import AtmosphereParams
 from lumicube.plans.catalog_atmosphere import _endmembers
 from lumicube.sources.testdata import ATTRS, BANDS
@@ -111,3 +111,32 @@ def test_registered_query_gives_every_pixel_and_band(spark, data):
     rows = registry.queries()["correct_atmosphere"](spark, data).collect()
     assert len(rows) == spark.read.parquet(f"{data}/embeddings.parquet").count()
     assert all(len(r["reflectance"]) == 64 and None not in r["reflectance"] for r in rows)
+
+
+TABLE = radiative.lut_at(radiative.stand_in_table(), 20.0, 60.0, 0.5, 35.0)
+
+
+@pytest.mark.parametrize("mode", ["1", "3", "5"])
+def test_whole_chain_with_the_table_at_the_scenes_angles(spark, truth, mode):
+    """A scene simulated from the table in all its axes, off its nodes; modes with and without a smile."""
+    full = radiative.stand_in_table()
+    weights = a.resampling_weights(full.axes["wavelength"], BANDS)
+    t = full.at(20.0, 35.0, 0.5, AOT, 60.0, CWV).resampled(weights)
+    radiance = (t.lpw + truth * t.egl / (np.pi * (1 - t.sab * truth))) / SCALE
+    rows = [("s", k // WIDTH, k % WIDTH, [int(round(v)) for v in radiance[k]], [0] * len(BANDS)) for k in range(len(truth))]
+    scene = Scene(spark.createDataFrame(rows, "product_id string, y int, x int, radiance array<int>, mask array<smallint>"), BANDS, dict(ATTRS) | {"mode": mode})
+    made = correction.surface_reflectances(scene, SCALE, TABLE, AtmosphereParams(water_vapour_map=True), _endmembers())
+    rho = np.array([r["reflectance"] for r in made.pixels.orderBy("y", "x").collect()])
+    assert made.aot == pytest.approx(AOT, abs=0.006) and (mode == "3") == (made.smile_shift == 0.0)
+    land = truth[:, 20] > 0.05
+    away = np.array([abs(b.wavelength - 940) > 60 and abs(b.wavelength - 760) > 15 for b in BANDS])
+    assert np.abs(rho - truth)[land][:, away].max() < 0.02
+
+
+def test_table_of_a_scene_is_the_table():
+    full = radiative.stand_in_table(step=50.0)
+    own = radiative.lut_at(full, 10.0, 30.0, 0.25, 50.0)
+    for aot, cwv in ((0.05, 0.3), (0.4, 1.5), (1.0, 5.0)):
+        got, want = own.at(aot, cwv, 50.0), full.at(10.0, 50.0, 0.25, aot, 30.0, cwv)
+        for n in ("lpw", "egl", "sab", "rat"):
+            np.testing.assert_allclose(getattr(got, n), getattr(want, n), rtol=1e-12)
