@@ -41,8 +41,16 @@ MARKS = frozenset(
     breadcrumb breadcrumbs sidebar aside footer masthead banner cookie cookies consent gdpr notice notices notification
     alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended
     recommendations comment comments commentlist disqus respond reply replies pagination pager widget toolbar search
-    contentinfo complementary copyright skip disclaimer paywall header topbar""".split()
+    contentinfo complementary copyright skip disclaimer paywall header topbar teaser teasers feedback trending upsell
+    outbrain taboola""".split()
 )
+#: Marks of what readers wrote: they hold for whole articles and for elements with articles in them, too.
+READERS = frozenset("comment comments commentlist disqus respond reply replies feedback".split())
+#: Words of class values that say nothing of the content; an element inside an article goes for its class words only where
+#: all the others are marks, or most of its words are links.
+GENERIC = frozenset("area list section box container wrapper wrap block buttons button links link bar inner outer item items group row col title form the".split())
+#: Running text, which no class word takes out of an article.
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li ol ul dl dt dd table thead tbody tr td th figure figcaption".split())
 CONTENT_MARKS = frozenset("article post entry content main body story text".split())
 INLINE = frozenset(
     """a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp
@@ -63,6 +71,11 @@ ARTICLE_SHARE = 0.3
 OUTSIDE, OUTSIDE_MOST = -0.5, -2.0
 
 
+def name_parts(attrs: str) -> set[str]:
+    """The distinct words of class, id and label values, in lower case."""
+    return {p.lower() for m in _ATTR.finditer(attrs) if m[1].lower() != "role" for p in _NAME_PART.findall(m[2] or m[3] or m[4] or "")}
+
+
 @dataclass
 class Weights:
     """Score of a word by its innermost block element, of a tag by its name, and of a class word."""
@@ -81,7 +94,7 @@ class Weights:
         """Sum of the scores of the distinct words of class, id and label values."""
         if not attrs:
             return 0.0
-        parts = {p.lower() for m in _ATTR.finditer(attrs) if m[1].lower() != "role" for p in _NAME_PART.findall(m[2] or m[3] or m[4] or "")}
+        parts = name_parts(attrs)
         return sum(self.classes.get(p, MARK if p in MARKS else -MARK if p in CONTENT_MARKS else 0.0) for p in parts)
 
 
@@ -99,7 +112,8 @@ class Token:
     closing: bool = False
     end: int = 0  # of a start tag: first token behind the element's content
     closed: bool = True
-    article: bool = False  # within an article
+    article: bool = False  # within an article, or the main element of a page without one
+    inner: bool = False  # within an article element
 
 
 def parse(page: str) -> list[Token]:
@@ -107,18 +121,19 @@ def parse(page: str) -> list[Token]:
     out: list[Token] = []
     stack: list[int] = []
     opened: dict[str, int] = {}
-    at = articles = 0
+    at = articles = inner = 0
 
     def pop(k: int, closed: bool) -> None:
-        nonlocal articles
+        nonlocal articles, inner
         token = out[stack.pop()]
         token.end, token.closed = k, closed
         opened[token.name] -= 1
         articles -= token.name in _CONTENT
+        inner -= token.name == "article"
 
     for m in TOKEN.finditer(page):
         if m.start() > at:
-            out.append(Token("", page[at : m.start()], article=articles > 0))
+            out.append(Token("", page[at : m.start()], article=articles > 0, inner=inner > 0))
         at = m.end()
         name = (m["name"] or "").lower()
         if not name:
@@ -128,20 +143,28 @@ def parse(page: str) -> list[Token]:
                 while out[stack[-1]].name != name:
                     pop(len(out), False)
                 pop(len(out), True)
-            out.append(Token(name, closing=True, article=articles > 0))
+            out.append(Token(name, closing=True, article=articles > 0, inner=inner > 0))
             continue
         if name in _ENDS_P and stack and out[stack[-1]].name == "p" or name == "li" and stack and out[stack[-1]].name == "li":
             pop(len(out), True)
-        token = Token(name, attrs=m["attrs"], end=len(out) + 1, article=articles > 0)
+        token = Token(name, attrs=m["attrs"], end=len(out) + 1, article=articles > 0, inner=inner > 0)
         out.append(token)
         if name not in VOID and not m["attrs"].endswith("/"):
             stack.append(len(out) - 1)
             opened[name] = opened.get(name, 0) + 1
             articles += name in _CONTENT
+            inner += name == "article"
     if at < len(page):
-        out.append(Token("", page[at:], article=articles > 0))
+        out.append(Token("", page[at:], article=articles > 0, inner=inner > 0))
     while stack:
         pop(len(out), False)
+    # Where the main element holds an article that readers didn't write, what stands beside it is not the article.
+    if any(t.name == "article" and not t.closing and t.article and not name_parts(t.attrs) & READERS for t in out):
+        head = 0
+        for k, t in enumerate(out):
+            if t.name == "h1" and not t.closing:
+                head = t.end
+            t.article = t.inner or t.article and (k < head or t.name in _CONTENT)
     return out
 
 
@@ -179,30 +202,52 @@ def visible(page: str) -> list[Token]:
     return out
 
 
+def _linked(tokens: list[Token], start: int, end: int) -> bool:
+    """Whether more than half of the words from ``start`` to ``end`` are links; true without words."""
+    links = linked = words = 0
+    for t in tokens[start:end]:
+        if t.name == "a":
+            links = max(0, links + (-1 if t.closing else 1))
+        elif not t.name:
+            n = len(t.text.split())
+            words, linked = words + n, linked + (n if links else 0)
+    return 2 * linked >= words
+
+
 def _marked(tokens: list[Token], weights: Weights) -> dict[int, float]:
     """Scores of the elements whose class words sum below zero, by start tag.
 
-    An element that holds an article, a main element or a first-level heading is layout and has no score; neither has
-    an article, unless another article without such words stands on the page.
+    An element that holds an article, a main element or a first-level heading is layout and has no score, unless its class
+    words tell that readers wrote it and it has no such heading; neither has an article, unless they tell so or another
+    article without such words stands on the page.  Inside an article, running text has no score, and other elements have
+    one only if all their telling class words are marks or most of their words are links.
     """
     if not any(t.attrs for t in tokens):
         return {}
-    heads = [0]
+    heads, titles = [0], [0]
     for t in tokens:
         heads.append(heads[-1] + (not t.closing and (t.name in _CONTENT or t.name == "h1")))
+        titles.append(titles[-1] + (not t.closing and t.name in ("main", "h1")))
     found: dict[int, float] = {}
-    plain = False
+    plain, readers = False, set()
     for k, t in enumerate(tokens):
         if t.closing or not t.name or t.name in ("body", "html", "main") or t.end <= k + 1:
             continue
         score = weights.of_attrs(t.attrs)
+        told = score < 0 and bool(name_parts(t.attrs) & READERS) and titles[t.end] == titles[k + 1]
         if t.name == "article":
             plain |= score >= 0
             if score < 0:
                 found[k] = score
-        elif score < 0 and heads[t.end] == heads[k + 1]:
+                if told:
+                    readers.add(k)
+        elif score < 0 and (told or heads[t.end] == heads[k + 1]):
+            if t.inner:
+                telling = name_parts(t.attrs) - GENERIC
+                if t.name in RUNNING or not (all(weights.classes.get(p, MARK if p in MARKS else 0.0) < 0 for p in telling) or _linked(tokens, k + 1, t.end)):
+                    continue
             found[k] = score
-    return found if plain else {k: v for k, v in found.items() if tokens[k].name != "article"}
+    return found if plain else {k: v for k, v in found.items() if tokens[k].name != "article" or k in readers}
 
 
 def items(page: str, weights: Weights, marks: bool = True) -> list[Item]:

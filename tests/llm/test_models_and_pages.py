@@ -307,6 +307,15 @@ SHAPES = [
     ('<header class="page"><h1>Site</h1></header><article class=post><header><h1>Real</h1></header><p>x y</p></article><article class="comment"><p>bad bad bad bad bad</p></article>', "Real x y"),
     ("<ul><li>one<li>two</ul><p>un<b>closed<p>next", "one two unclosed next"),
     ("<p>" * 30_000 + "deep", "deep"),
+    ('<div class="entry-content"><p>a b c d e f g h</p></div><div class="comments"><article class="comment"><p>one reader says a lot more than that here</p></article><article class="comment"><p>and another</p></article></div>', "a b c d e f g h"),
+    ("<main><article><p>the text of it all stands here</p></article><section class='feedback'><p>what readers wrote about all of it and more</p></section></main>", "the text of it all stands here"),
+    ("<main><article><h1>T</h1><p>the text of it all stands here</p></article><article class='teaser'><p>another story to read now, only here</p></article></main>", "T the text of it all stands here"),
+    ("<article><h1>T</h1><p>one two three</p><p class='search'>four five</p><section class='social-history'><p>six seven</p></section><div class='share-buttons'>Share this now</div></article>", "T one two three four five six seven"),
+    ("<article><p>one two three</p><div class='related-stories'><a href=1>more of it</a> <a href=2>and more</a></div><p>four</p></article>", "one two three four"),
+    ("<main><h1>Title</h1><article><p>one two three four</p></article><div><p>short</p></div></main>", "Title one two three four"),
+    ("<article><div id='comments'><p>said a reader</p></div><p>one two three</p></article>", "one two three"),
+    ("<article class='comment'><p>a page of one comment alone</p></article>", "a page of one comment alone"),
+    ("<article class='sidebar-layout'><p>one two three</p></article><ul><li>menu</li></ul>", "one two three"),
 ]
 
 
