@@ -22,6 +22,8 @@ from .tables import cut, delete_cut
 
 #: Pixels of a block; rows of the table of states up to which it is broadcast (some 2 kB each), instead of a shuffle of blocks.
 BLOCK, MAX_BROADCAST_STATES = 4096, 20_000
+#: Blocks that a task reads in a round, about.
+BLOCKS_A_TASK = 64
 STATE = "scene string, rounds int, done boolean, lost boolean, means array<double>, variances array<double>, priors array<double>"
 _NAMES = ["scene", "rounds", "done", "lost", "means", "variances", "priors"]
 
@@ -153,7 +155,8 @@ def _round(blocks: DataFrame, states: DataFrame, n_states: int, clusters: int, s
         yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols[:4], kinds, strict=True)), *(pa.array([np.ravel(v).tolist() for v in c], pa.list_(pa.float64())) for c in cols[4:])], names=_NAMES)
 
     sums = joined.mapInArrow(add, "scene string, sums array<double>, rounds int, means array<double>, variances array<double>, priors array<double>")
-    return sums.repartition("scene").mapInArrow(step, STATE)
+    tasks = max(blocks.sparkSession.sparkContext.defaultParallelism, n_states // 1000)
+    return sums.repartition("scene").mapInArrow(step, STATE).coalesce(tasks)  # few and short rows
 
 
 def find_clusters(pixels: DataFrame, features: Sequence[str], states: DataFrame, iterations: int, tolerance: float = 0.0) -> DataFrame:
@@ -164,7 +167,9 @@ def find_clusters(pixels: DataFrame, features: Sequence[str], states: DataFrame,
     variance in a step keeps the state before it and is ``lost``.  Pixels without a scene or with a feature that isn't
     finite are left out; scenes without a state or without pixels give no rows.
     """
-    blocks = cut(pack(pixels, features))
+    packed = cut(pack(pixels, features))
+    # Every round reads the blocks: some of them a task, however many partitions the pixels had.
+    blocks = packed.coalesce(max(packed.sparkSession.sparkContext.defaultParallelism, packed.count() // BLOCKS_A_TASK))
     at, done = cut(states), []
     clusters = None
     for _ in range(iterations):
@@ -176,7 +181,7 @@ def find_clusters(pixels: DataFrame, features: Sequence[str], states: DataFrame,
         delete_cut(at)
         done.append(after.filter("done"))
         at = after.filter("NOT done")
-    delete_cut(blocks)
+    delete_cut(packed)
     final = reduce(DataFrame.unionByName, [*done, at])
     size = len(features)
     part = lambda c: F.slice(c, F.col("i") * size + 1, F.lit(size))
