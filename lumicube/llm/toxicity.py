@@ -138,7 +138,8 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 5) -> Model:
     n = len(texts)
     r = np.random.default_rng(seed)
     # A word's log-odds between toxic and clean documents pick the vocabulary and the first windows.
-    pair = np.unique(np.stack((words.docs, words.place)), axis=1) if len(words.place) else np.zeros((2, 0), np.int64)
+    size = max(1, len(words.hashes))
+    pair = np.divmod(np.unique(words.docs.astype(np.int64) * size + words.place), size)  # (document, word), each once
     bad = np.bincount(pair[1], weights=y[pair[0]], minlength=len(words.hashes))
     good = np.bincount(pair[1], minlength=len(words.hashes)) - bad
     odds = np.log((bad + 0.2) / (y.sum() + 1)) - np.log((good + 0.2) / (n - y.sum() + 1))
