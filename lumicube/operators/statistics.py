@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def smallest(rows: DataFrame, keys: Sequence[str], value: str, n: int, ties: Sequence[str]) -> DataFrame:
@@ -32,18 +32,44 @@ def extremes(rows: DataFrame, value: str, n: int, ties: Sequence[str], keys: Seq
     return both.join(many, list(keys), "left_semi")
 
 
-def box_mean(rows: DataFrame, value: str, kernel: int, keys: Sequence[str] = ("product_id", "band")) -> DataFrame:
-    """``rows`` (keys, y, x, value) with box_mean: mean of the non-zero values in [-k/2, k/2) about the pixel, cut to an
-    integer; 0 where the pixel's own value is 0.
+def with_gaps(rows: DataFrame, keys: Sequence[str], before: int, after: int, columns: int | None = None) -> DataFrame:
+    """``rows`` (keys, y, x, ...) and, flagged by _gap, the places without a pixel in their row that lie at most ``before``
+    left or ``after`` right of one of its pixels; other columns are null there.
 
-    Two passes of running frames, along x and then along y, over a full grid.
+    An image whose last row is short has no pixel there to carry the row's sums on to the rows above.  No places are made
+    left of 0 or, if ``columns`` is given, from that column on, where no pixels may stand.
+    """
+    w, x = Window.partitionBy(*keys, "y").orderBy("x"), F.col("x")
+    rows = rows.withColumns({"_last": F.lag("x").over(w), "_next": F.lead("x").over(w)})
+    # The gap before a pixel belongs to it, but for what the pixel before reaches.
+    low = F.greatest(x - before, F.lit(0), F.coalesce(F.col("_last") + after + 1, F.lit(0)))
+    high = F.least(x + after, F.coalesce(F.col("_next") - 1, F.lit((1 << 30) if columns is None else columns - 1)))
+    own = F.array(F.struct(x.cast("int").alias("x"), F.lit(False).alias("gap")))
+    span = lambda a, b: F.when(a <= b, F.transform(F.sequence(a.cast("int"), b.cast("int")), lambda v: F.struct(v.alias("x"), F.lit(True).alias("gap")))).otherwise(F.array().cast("array<struct<x:int,gap:boolean>>"))
+    filled = F.when((low < x) | (high > x), F.concat(own, span(low, x - 1), span(x + 1, high))).otherwise(own)
+    places = rows.withColumn("_place", F.explode(filled)).drop("_last", "_next")
+    gap, kept = F.col("_place.gap"), {*keys, "y", "x", "_place"}
+    values = [c if c in kept else F.when(~gap, F.col(c)).alias(c) for c in places.columns if c not in ("x", "_place")]
+    return places.select(*values, F.col("_place.x").cast(dict(rows.dtypes)["x"]).alias("x"), gap.alias("_gap"))
+
+
+def window_sums(rows: DataFrame, sums: dict[str, Column], before: int, after: int, keys: Sequence[str] = ("product_id", "band"), columns: int | None = None) -> DataFrame:
+    """``rows`` (keys, y, x, ...) with the sums of expressions over the pixels that stand from ``before`` left and above to
+    ``after`` right and below: two passes of running frames, along x and then along y, over images with or without gaps."""
+    row = Window.partitionBy(*keys, "y").orderBy("x").rangeBetween(-before, after)
+    column = Window.partitionBy(*keys, "x").orderBy("y").rangeBetween(-before, after)
+    # A place sees ``before`` to its left: a pixel reaches as far to its right.
+    out = with_gaps(rows, keys, after, before, columns)
+    out = out.withColumns({n: F.sum(c).over(row) for n, c in sums.items()})
+    return out.withColumns({n: F.sum(n).over(column) for n in sums}).filter(~F.col("_gap")).drop("_gap")
+
+
+def box_mean(rows: DataFrame, value: str, kernel: int, keys: Sequence[str] = ("product_id", "band"), columns: int | None = None) -> DataFrame:
+    """``rows`` (keys, y, x, value) with box_mean: mean of the non-zero values in [-k/2, k/2) about the pixel, cut to an
+    integer; 0 where the pixel's own value is 0.  ``columns``: as for ``with_gaps``.
     """
-    half = kernel // 2
-    row = Window.partitionBy(*keys, "y").orderBy("x").rangeBetween(-half, half - 1)
-    column = Window.partitionBy(*keys, "x").orderBy("y").rangeBetween(-half, half - 1)
-    v = F.col(value).cast("long")
-    out = rows.withColumns({"_s": F.sum(v).over(row), "_n": F.count_if(v != 0).over(row)})
-    out = out.withColumns({"_s": F.sum("_s").over(column), "_n": F.sum("_n").over(column)})
+    half, v = kernel // 2, F.col(value).cast("long")
+    out = window_sums(rows, {"_s": v, "_n": (v != 0).cast("long")}, half, half - 1, keys, columns)
     mean = F.when(v == 0, 0).otherwise(F.coalesce(F.try_divide(F.col("_s"), F.col("_n")), F.lit(0.0)).cast("int"))
     return out.withColumn("box_mean", mean).drop("_s", "_n")
 

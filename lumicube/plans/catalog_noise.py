@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions.radiometry import round_half_up_int, slit_temperature
 from ..operators import noise as ops
 from ..operators.smoothing import with_lowess
+from ..operators.statistics import window_sums
 from ..params import DestripingParams, DropoutParams
 from ..registry import register
 from ..sources.testdata import CUBE_SQL, LARGE_SQL, LONG_SQL, WIDTH, cube, cube_long, large_raster, table
@@ -272,10 +273,9 @@ register("correct_dropouts_n8", _dropout_sql("N8", 5))(_dropouts("N8"))
 )
 def join_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number and sum of the eight neighbours of every pixel and band, by running frames along both axes."""
-    row, column = (Window.partitionBy("product_id", "band", a).orderBy(b).rangeBetween(-1, 1) for a, b in (("y", "x"), ("x", "y")))
     v = F.col("value").cast("long")
-    rows = cube_long(spark, sf_dir).withColumns({"s": F.sum(v).over(row), "n": F.count("*").over(row)})
-    rows = rows.withColumns({"s": F.sum("s").over(column) - v, "n": F.sum("n").over(column) - 1})
+    rows = window_sums(cube_long(spark, sf_dir), {"s": v, "n": (~F.col("_gap")).cast("long")}, 1, 1, columns=WIDTH)
+    rows = rows.withColumns({"s": F.col("s") - F.coalesce(v, F.lit(0)), "n": F.col("n") - 1})
     return rows.filter("n > 0").select("x", "y", "band", "n", F.col("s").alias("total"))
 
 

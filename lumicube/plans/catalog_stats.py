@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.finite import linear_regression, statistics
 from ..operators import statistics as ops
 from ..operators.correction import kernel_of
 from ..registry import register
-from ..sources.testdata import ATTRS, CUBE_SQL, LARGE_SQL, LONG_SQL, TELEMETRY_SQL, cube, cube_long, large_raster, table, telemetry
+from ..sources.testdata import ATTRS, CUBE_SQL, LARGE_SQL, LONG_SQL, TELEMETRY_SQL, WIDTH, cube, cube_long, large_raster, table, telemetry
 from .sql import det
 
 _ODD_SQL = "odd AS (SELECT event_type, CASE WHEN event_id % 7 = 0 THEN 'nan'::DOUBLE WHEN event_id % 11 = 0 THEN 'inf'::DOUBLE ELSE value END AS v FROM events), ok AS (SELECT * FROM odd WHERE isfinite(v))"
@@ -94,15 +94,13 @@ box AS (SELECT a.x, a.y, a.band, any_value(a.value) AS own, sum(b.value) AS s, c
 
 @register("box_mean", f"{_BOX_SQL} SELECT x, y, band, CASE WHEN own = 0 OR n = 0 THEN 0 ELSE trunc(s::DOUBLE / n)::INTEGER END AS mean FROM box")
 def box_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.box_mean(_masked(spark, sf_dir), "value", KERNEL).select("x", "y", "band", F.col("box_mean").alias("mean"))
+    return ops.box_mean(_masked(spark, sf_dir), "value", KERNEL, columns=WIDTH).select("x", "y", "band", F.col("box_mean").alias("mean"))
 
 
 @register("box_window", f"{_BOX_SQL} SELECT band, sum(n)::BIGINT AS reads FROM box GROUP BY band")
 def box_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, half = _masked(spark, sf_dir), KERNEL // 2
-    row = Window.partitionBy("band", "y").orderBy("x").rangeBetween(-half, half - 1)
-    column = Window.partitionBy("band", "x").orderBy("y").rangeBetween(-half, half - 1)
-    rows = rows.withColumn("n", F.count_if(F.col("value") != 0).over(row)).withColumn("n", F.sum("n").over(column))
+    half = KERNEL // 2
+    rows = ops.window_sums(_masked(spark, sf_dir), {"n": (F.col("value") != 0).cast("long")}, half, half - 1, columns=WIDTH)
     return rows.groupBy("band").agg(F.sum("n").alias("reads"))
 
 
@@ -110,7 +108,7 @@ def box_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 def adjacency_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.radiometry import adjacency_term
 
-    rows = ops.box_mean(_masked(spark, sf_dir), "value", KERNEL)
+    rows = ops.box_mean(_masked(spark, sf_dir), "value", KERNEL, columns=WIDTH)
     rho, mean = F.col("value") * 1e-4, F.col("box_mean") * 1e-4
     return rows.select("x", "y", "band", F.round(rho + adjacency_term(rho, mean, 0.1 + 0.01 * F.col("band")), 8).alias("reflectance"))
 
