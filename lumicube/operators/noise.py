@@ -110,11 +110,13 @@ def edge_angles(pixels: DataFrame) -> DataFrame:
     return rows.select("acq_set_id", "product_id", "y", "x", F.coalesce(spectral_angle(F.col("product"), F.col("left_norm"), F.col("norm")), F.lit(0.0)).alias("sad"))
 
 
-def column_order_statistics(angles: DataFrame, heights: DataFrame) -> DataFrame:
-    """Per set and column the values at places trunc(0.6 H) and trunc(0.8 H), counted from 0, of the stacked rows."""
-    rank = F.row_number().over(Window.partitionBy("acq_set_id", "x").orderBy("sad")) - 1
-    total = heights.groupBy("acq_set_id").agg(F.sum("height").alias("h"))
-    rows = angles.filter("x > 0").withColumn("rank", rank).join(F.broadcast(total), "acq_set_id")
+def column_order_statistics(angles: DataFrame) -> DataFrame:
+    """Per set and column the values at places trunc(0.6 H) and trunc(0.8 H), counted from 0, of the stacked rows.
+
+    H is the number of rows that have the column: where the last row is short, columns differ by one.
+    """
+    column = Window.partitionBy("acq_set_id", "x")
+    rows = angles.filter("x > 0").withColumns({"rank": F.row_number().over(column.orderBy("sad")) - 1, "h": F.count("*").over(column)})
     at = lambda p: F.max(F.when(F.col("rank") == F.floor(F.col("h") * p), F.col("sad")))
     return rows.groupBy("acq_set_id", "x").agg(at(0.60).alias("t60"), at(0.80).alias("t80"))
 
@@ -155,7 +157,7 @@ def integrated_profile(profile: DataFrame) -> DataFrame:
     return profile.withColumn("c", F.sum("p").over(w))
 
 
-def destriping_factors(pixels: DataFrame, heights: DataFrame, mode: str, params: DestripingParams, slit: DataFrame | None = None) -> DataFrame:
+def destriping_factors(pixels: DataFrame, mode: str, params: DestripingParams, slit: DataFrame | None = None) -> DataFrame:
     """acq_set_id, band, x, factor of stacked products.
 
     ``pixels`` has acq_set_id, product_id, y, x, radiance, mask; ``slit`` has x and slit.  Scenes are as wide as a
@@ -171,7 +173,7 @@ def destriping_factors(pixels: DataFrame, heights: DataFrame, mode: str, params:
     pixels = pixels.withColumn("divisor", divisor).withColumn("spectrum", F.transform("radiance", lambda r: r / F.col("divisor")))
     shifted = spectral_norms(across_track(pixels)).withColumn("left_mask", F.lag("mask").over(Window.partitionBy("product_id", "y").orderBy("x")))
     shifted = shifted.withColumn("sad", F.coalesce(spectral_angle(F.col("product"), F.col("left_norm"), F.col("norm")), F.lit(0.0)))
-    threshold = adaptive_threshold(column_order_statistics(shifted.select("acq_set_id", "x", "sad"), heights), mode)
+    threshold = adaptive_threshold(column_order_statistics(shifted.select("acq_set_id", "x", "sad")), mode)
     flagged = edge_mask(shifted, threshold).filter("x = 0 OR NOT edge")
     zipped = F.arrays_zip(F.col("spectrum").alias("value"), F.coalesce("left", "spectrum").alias("left_value"), F.col("mask").alias("mask"), F.coalesce("left_mask", "mask").alias("left_mask"))
     rows = flagged.select("acq_set_id", "x", "edge", F.posexplode(zipped).alias("pos", "s")).select("acq_set_id", "x", "edge", (F.col("pos") + 1).alias("band"), "s.*")

@@ -129,7 +129,7 @@ def spectral_angle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("column_order_statistics", f"WITH {_THRESHOLD_SQL} SELECT x, round(t60, 8) AS t60, round(t80, 8) AS t80 FROM stats")
 def column_order_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = ops.column_order_statistics(angles(spark, sf_dir), heights(spark, sf_dir))
+    out = ops.column_order_statistics(angles(spark, sf_dir))
     return out.select("x", F.round("t60", 8).alias("t60"), F.round("t80", 8).alias("t80"))
 
 
@@ -143,20 +143,20 @@ def nth_element(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("adaptive_threshold", f"WITH {_THRESHOLD_SQL} SELECT round(threshold, 8) AS threshold FROM threshold")
 def adaptive_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = ops.column_order_statistics(angles(spark, sf_dir), heights(spark, sf_dir))
+    stats = ops.column_order_statistics(angles(spark, sf_dir))
     return ops.adaptive_threshold(stats, MODE).select(F.round("threshold", 8).alias("threshold"))
 
 
 @register("edge_mask", f"WITH {_EDGE_SQL} SELECT x, y, edge FROM edge")
 def edge_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = angles(spark, sf_dir)
-    threshold = ops.adaptive_threshold(ops.column_order_statistics(a, heights(spark, sf_dir)), MODE)
+    threshold = ops.adaptive_threshold(ops.column_order_statistics(a), MODE)
     return ops.edge_mask(a, threshold).select("x", "y", "edge")
 
 
 def _means(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = angles(spark, sf_dir)
-    threshold = ops.adaptive_threshold(ops.column_order_statistics(a, heights(spark, sf_dir)), MODE)
+    threshold = ops.adaptive_threshold(ops.column_order_statistics(a), MODE)
     edges = ops.edge_mask(a, threshold).select("product_id", "y", "x", "edge")
     rows = corrected(spark, sf_dir).join(edges, ["product_id", "y", "x"])
     rows = rows.select("acq_set_id", "product_id", "y", "x", "edge", F.posexplode(F.arrays_zip("spectrum", "mask")).alias("pos", "s"))
@@ -204,7 +204,7 @@ def mean_noise_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.destriping_factors(products(spark, sf_dir), heights(spark, sf_dir), MODE, DestripingParams(ORDER), slit(spark))
+    return ops.destriping_factors(products(spark, sf_dir), MODE, DestripingParams(ORDER), slit(spark))
 
 
 @register("compute_destriping_factors", f"WITH {_FACTORS_SQL} SELECT band, x, round(factor, 7) AS factor FROM factors")
