@@ -1,8 +1,8 @@
 """Mixture clustering of many scenes at once, with the state of each scene's iteration in a table.
 
 Pixels are packed once into blocks of at most BLOCK pixels of a scene.  A round joins the blocks with the states of the
-scenes that still move, turns each block into the sums of weights and of first and second moments about the scene's
-means, adds these by scene and writes the new states; the number of scenes that still move is all that the driver sees.
+scenes that still move, turns each block into each cluster's weight, mean and squared deviations, merges these by
+scene and writes the new states; the number of scenes that still move is all that the driver sees.
 A scene of any size is many blocks, and scenes that have come to rest, or lost a cluster, take no further part.
 """
 
@@ -90,20 +90,42 @@ def pack(pixels: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def _sums(x: np.ndarray, means: np.ndarray, variances: np.ndarray, priors: np.ndarray) -> np.ndarray:
-    """Number of pixels, then each cluster's weight, first and second moments about its mean."""
-    with np.errstate(divide="ignore"):
+    """Number of pixels, then each cluster's weight, mean and squared deviations from that mean."""
+    with np.errstate(all="ignore"):
         norm = np.log(priors) - 0.5 * (means.shape[1] * math.log(2 * math.pi) + np.log(variances).sum(axis=1))
-    d = x[:, None, :] - means
-    log = norm - 0.5 * (d * d / variances).sum(axis=2)
-    e = np.exp(log - log.max(axis=1, keepdims=True))
-    p = e / e.sum(axis=1, keepdims=True)
-    return np.concatenate(([len(x)], p.sum(axis=0), np.einsum("ik,ikj->kj", p, d).ravel(), np.einsum("ik,ikj->kj", p, d * d).ravel()))
-
-
-def _round(blocks: DataFrame, states: DataFrame, n_states: int, clusters: int, size: int, tolerance: float) -> DataFrame:
+        d = x[:, None, :] - means
+        log = norm - 0.5 * (d * d / variances).sum(axis=2)
+        e = np.exp(log - log.max(axis=1, keepdims=True))
+        p = e / e.sum(axis=1, keepdims=True)
+        weight = p.sum(axis=0)
+        own = np.einsum("ik,ij->kj", p, x) / weight[:, None]
+        d = x[:, None, :] - own
+        return np.concatenate(([len(x)], weight, own.ravel(), np.einsum("ik,ikj->kj", p, d * d).ravel()))
+
+
+def _merged(a: np.ndarray, b: np.ndarray, clusters: int, size: int) -> np.ndarray:
+    """The sums of two sets of pixels.  Deviations add without differences of large numbers, so that a cluster that
+    closes in on one pixel keeps its small variance."""
+    (wa, ma, da), (wb, mb, db) = (_parted(v, clusters, size) for v in (a, b))
+    with np.errstate(all="ignore"):
+        w = wa + wb
+        share = (wb / w)[:, None]
+        # A cluster without weight in one of the sets has no mean there.
+        ma, mb = np.where(wa[:, None] == 0, mb, ma), np.where(wb[:, None] == 0, ma, mb)
+        da, db = np.where(wa[:, None] == 0, 0.0, da), np.where(wb[:, None] == 0, 0.0, db)
+        between = mb - ma
+        return np.concatenate(([a[0] + b[0]], w, (ma + between * share).ravel(), (da + db + between * between * wa[:, None] * share).ravel()))
+
+
+def _parted(sums: np.ndarray, clusters: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights, means and squared deviations by cluster."""
+    both = sums[1 + clusters :].reshape(2, clusters, size)
+    return sums[1 : 1 + clusters], both[0], both[1]
+
+
+def _round(blocks: DataFrame, states: DataFrame, n_states: int, clusters: int, size: int, tolerance: float, keep: bool) -> DataFrame:
     """The states after one step of expectation and maximisation."""
     joined = blocks.join(F.broadcast(states) if n_states <= MAX_BROADCAST_STATES else states, "scene")
-    numbers = 1 + clusters * (1 + 2 * size)
 
     def arrays(batch: pa.RecordBatch, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         m, v, p = (np.asarray(batch.column(n)[r].values) for n in ("means", "variances", "priors"))
@@ -115,7 +137,7 @@ def _round(blocks: DataFrame, states: DataFrame, n_states: int, clusters: int, s
             for r, scene in enumerate(batch.column("scene").to_pylist()):
                 state = arrays(batch, r)
                 made = _sums(np.asarray(batch.column("values")[r].values).reshape(-1, size), *state)
-                held[scene] = (held[scene][0] + made, held[scene][1]) if scene in held else (made, (batch.column("rounds")[r].as_py(), *state))
+                held[scene] = (_merged(held[scene][0], made, clusters, size), held[scene][1]) if scene in held else (made, (batch.column("rounds")[r].as_py(), *state))
             if len(held) > 1000:
                 yield flat(held)
                 held = {}
@@ -134,22 +156,20 @@ def _round(blocks: DataFrame, states: DataFrame, n_states: int, clusters: int, s
         for batch in batches:
             for r, scene in enumerate(batch.column("scene").to_pylist()):
                 own = np.asarray(batch.column("sums")[r].values)
-                total[scene] = total.get(scene, np.zeros(numbers)) + own
+                total[scene] = _merged(total[scene], own, clusters, size) if scene in total else own
                 state.setdefault(scene, (batch.column("rounds")[r].as_py(), *arrays(batch, r)))
         out = []
         for scene, s in total.items():
             rounds, means, variances, priors = state[scene]
-            weight = s[1 : 1 + clusters]
-            if not (weight > 0).all() or not np.isfinite(s).all():
-                out.append((scene, rounds, True, True, means, variances, priors))
-                continue
-            first, second = (s[1 + clusters + k * clusters * size :][: clusters * size].reshape(clusters, size) / weight[:, None] for k in (0, 1))
-            new = means + first, second - first * first, weight / s[0]
-            if not (new[1] > 0).all():
+            weight, mean, squares = _parted(s, clusters, size)
+            with np.errstate(all="ignore"):
+                new = mean, squares / weight[:, None], weight / s[0]
+            lost = not ((weight > 0).all() and np.isfinite(s).all() and (new[1] > 0).all())
+            if lost and keep:
                 out.append((scene, rounds, True, True, means, variances, priors))
                 continue
             rest = all(np.abs(a - b).max() <= tolerance for a, b in zip(new, (means, variances, priors), strict=True))
-            out.append((scene, rounds + 1, rest, False, *new))
+            out.append((scene, rounds + 1, rest, lost, *new))
         cols = list(zip(*out, strict=True)) or [()] * 7
         kinds = (pa.string(), pa.int32(), pa.bool_(), pa.bool_())
         yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols[:4], kinds, strict=True)), *(pa.array([np.ravel(v).tolist() for v in c], pa.list_(pa.float64())) for c in cols[4:])], names=_NAMES)
@@ -159,12 +179,13 @@ def _round(blocks: DataFrame, states: DataFrame, n_states: int, clusters: int, s
     return sums.repartition("scene").mapInArrow(step, STATE).coalesce(tasks)  # few and short rows
 
 
-def find_clusters(pixels: DataFrame, features: Sequence[str], states: DataFrame, iterations: int, tolerance: float = 0.0) -> DataFrame:
+def find_clusters(pixels: DataFrame, features: Sequence[str], states: DataFrame, iterations: int, tolerance: float = 0.0, keep: bool = True) -> DataFrame:
     """scene, k, mean, variance, prior, rounds, lost: the clusters of every scene, the largest prior first (k from 0).
 
     ``pixels`` have scene and the features, ``states`` are as from ``initial_states``.  A scene takes so many steps, or
     fewer if no number changes by more than ``tolerance`` in one; a scene of which a cluster loses all pixels or all
-    variance in a step keeps the state before it and is ``lost``.  Pixels without a scene or with a feature that isn't
+    variance in a step keeps the state before it and is ``lost``.  Without ``keep`` such a scene goes on with the
+    numbers of the step: one without variance has no density, so that all numbers of the next step are NaN.  Pixels without a scene or with a feature that isn't
     finite are left out; scenes without a state or without pixels give no rows.
     """
     packed = cut(pack(pixels, features))
@@ -177,7 +198,7 @@ def find_clusters(pixels: DataFrame, features: Sequence[str], states: DataFrame,
         if not moving["n"]:
             break
         clusters = moving["k"]
-        after = cut(_round(blocks, at, moving["n"], clusters, len(features), tolerance))
+        after = cut(_round(blocks, at, moving["n"], clusters, len(features), tolerance, keep))
         delete_cut(at)
         done.append(after.filter("done"))
         at = after.filter("NOT done")

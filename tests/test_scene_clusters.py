@@ -54,3 +54,28 @@ def test_scenes_stop_on_their_own(spark):
 
 def test_registered_query(spark, data, same_as_oracle):
     assert same_as_oracle(registry.queries()["find_clusters_scenes"](spark, data), registry.oracle_sql()["find_clusters_scenes"]) == 28
+
+
+def test_scenes_that_lose_a_cluster_follow_the_sql(spark, data, tmp_path):
+    """The second scene has six pixels, fewer than clusters."""
+    import duckdb
+
+    from tests.conftest import rows_of
+
+    spark.read.parquet(f"{data}/embeddings.parquet").filter("vec_id < 256").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(registry.oracle_sql()["find_clusters_scenes"])
+    names = [c[0] for c in want.description]
+    want = [dict(zip(names, r, strict=True)) for r in want.fetchall()]
+    got = registry.queries()["find_clusters_scenes"](spark, str(tmp_path)).collect()
+    assert rows_of(got, names) == rows_of(want, names) and any(r["m0"] != r["m0"] for r in got)
+
+
+def test_a_small_variance_survives_blocks(spark, monkeypatch):
+    """Two clusters a thousand apart which have variances of 2.5e-15, in blocks of three pixels."""
+    monkeypatch.setattr(many, "BLOCK", 3)
+    df = spark.createDataFrame([("a", i, 1000.0 * (i % 2) + 1e-7 * (i % 4 // 2)) for i in range(40)], "scene string, index long, f double")
+    states = spark.createDataFrame([("a", 0, False, False, [1.0, 999.0], [1.0, 1.0], [0.5, 0.5])], many.STATE)
+    rows = many.find_clusters(df, ["f"], states, 1).collect()
+    np.testing.assert_allclose([r["variance"][0] for r in rows], 2.5e-15, rtol=0.01)
