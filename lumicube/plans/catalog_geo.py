@@ -264,22 +264,26 @@ def join_nearest_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("name").agg(F.min_by("line", F.struct(d, "line")).alias("line"))
 
 
-#: The spline through the events' mean values of each 20th of the identifiers: knots, second derivatives by elimination down
-#: (c, d) and substitution up (m), and the segments.
-_SPLINE_SQL = """knots AS (SELECT event_id % 20 AS k, (event_id % 20) * 6.0e0 AS x, avg(value) AS y FROM events GROUP BY 1, 2),
+def _spline_sql(knots: int) -> str:
+    """The spline through the events' mean values of each part of the identifiers, 6 apart: knots, second derivatives by
+    elimination down (c, d) and substitution up (m), and the segments."""
+    return f"""knots AS (SELECT event_id % {knots} AS k, (event_id % {knots}) * 6.0e0 AS x, avg(value) AS y FROM events GROUP BY 1, 2),
 rows AS (SELECT k, x, y, lead(y) OVER w AS y1, lag(y) OVER w AS y0 FROM knots WINDOW w AS (ORDER BY k)),
 down AS (SELECT 1::BIGINT AS k, 0.25e0 AS c, (6 * (y1 - 2 * y + y0) / 36) / 4 AS d FROM rows WHERE k = 1
-  UNION ALL SELECT r.k, 1 / (4 - s.c), (6 * (r.y1 - 2 * r.y + r.y0) / 36 - s.d) / (4 - s.c) FROM down s JOIN rows r ON r.k = s.k + 1 WHERE r.k < 19),
-up AS (SELECT 18::BIGINT AS k, d AS m FROM down WHERE k = 18 UNION ALL SELECT s.k, s.d - s.c * u.m FROM up u JOIN down s ON s.k = u.k - 1),
+  UNION ALL SELECT r.k, 1 / (4 - s.c), (6 * (r.y1 - 2 * r.y + r.y0) / 36 - s.d) / (4 - s.c) FROM down s JOIN rows r ON r.k = s.k + 1 WHERE r.k < {knots - 1}),
+up AS (SELECT {knots - 2}::BIGINT AS k, d AS m FROM down WHERE k = {knots - 2} UNION ALL SELECT s.k, s.d - s.c * u.m FROM up u JOIN down s ON s.k = u.k - 1),
 bent AS (SELECT k, x, y, coalesce(m, 0) AS m FROM knots LEFT JOIN up USING (k)),
 seg AS (SELECT x AS knot, y AS a, (y1 - y) / 6 - 6 * (2 * m + m1) / 6 AS b, m / 2 AS c, (m1 - m) / 36 AS d FROM (SELECT *, lead(y) OVER (ORDER BY k) AS y1, lead(m) OVER (ORDER BY k) AS m1 FROM bent) WHERE y1 IS NOT NULL)"""
+
+
+_SPLINE_SQL = _spline_sql(20)
 _LAST_KNOT = 114.0
 
 
-def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _segments(spark: SparkSession, sf_dir: str, knots: int = 20) -> DataFrame:
     from ..sources.testdata import table
 
-    means = table(spark, sf_dir, "events").groupBy((F.col("event_id") % 20).alias("k")).agg(F.avg("value").alias("y")).orderBy("k").collect()  # twenty rows
+    means = table(spark, sf_dir, "events").groupBy((F.col("event_id") % knots).alias("k")).agg(F.avg("value").alias("y")).orderBy("k").collect()  # a row a knot
     made = lookups.natural_spline([6.0 * r["k"] for r in means], [r["y"] for r in means])
     return spark.createDataFrame(made, "knot double, a double, b double, c double, d double")
 
@@ -292,13 +296,22 @@ def natural_spline(spark: SparkSession, sf_dir: str) -> DataFrame:
 _AT_SPLINE = f"WITH RECURSIVE {TELEMETRY_SQL}, {_SPLINE_SQL}, at AS (SELECT event_id, signal, s.*, q - knot AS h FROM (SELECT event_id, signal, signal % 120 AS q FROM telemetry) ASOF JOIN seg s ON q >= knot WHERE q <= {_LAST_KNOT!r})"
 
 
-@register("join_spline_segment", f"{_AT_SPLINE} SELECT event_id, knot, round(h, 9) AS h FROM at".replace(" at AS", " met AS").replace("FROM at", "FROM met"))
+#: Knots of the spline that covers all of the signals' range, 0 to 120.
+_KNOTS = 21
+
+
+@register(
+    "join_spline_segment",
+    f"WITH RECURSIVE {TELEMETRY_SQL}, {_spline_sql(_KNOTS)}, met AS (SELECT event_id, s.*, q - knot AS h FROM (SELECT event_id, (signal % 120 + 120) % 120 AS q FROM telemetry) ASOF JOIN seg s ON q >= knot) "
+    "SELECT event_id, knot, round(h, 9) AS h, round(a + h * (b + h * (c + h * d)), 6) AS v FROM met",
+)
 def join_spline_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The segment that each event's signal falls into, and its distance from the knot."""
-    segments = _segments(spark, sf_dir).select("knot")
-    rows = telemetry(spark, sf_dir).withColumn("q", F.pmod(F.col("signal"), F.lit(120.0))).filter(F.col("q") <= _LAST_KNOT)
-    met = lookups.as_of(rows, F.col("q"), segments.withColumn("own", F.col("knot")), "knot", "own").filter(F.col("own") < _LAST_KNOT)
-    return met.select("event_id", F.col("own").alias("knot"), F.round(F.col("q") - F.col("own"), 9).alias("h"))
+    """The segment that each event's signal falls into, its distance from the knot, and the spline's value there."""
+    segments = _segments(spark, sf_dir, _KNOTS).select("knot", F.struct("knot", *"abcd").alias("s"))
+    rows = telemetry(spark, sf_dir).withColumn("q", F.pmod(F.col("signal"), F.lit(120.0)))
+    met = lookups.as_of(rows, F.col("q"), segments, "knot", "s").withColumn("h", F.col("q") - F.col("s.knot"))
+    v = F.col("s.a") + F.col("h") * (F.col("s.b") + F.col("h") * (F.col("s.c") + F.col("h") * F.col("s.d")))
+    return met.select("event_id", F.col("s.knot").alias("knot"), F.round("h", 9).alias("h"), F.round(v, 6).alias("v"))
 
 
 @register("trajectory_interpolation", f"{_AT_SPLINE} SELECT event_id, round(a + h * (b + h * (c + h * d)), 6) AS v FROM at".replace(" at AS", " met AS").replace("FROM at", "FROM met"))
