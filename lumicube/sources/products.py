@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 GPS_COLUMNS = {"x": 3, "y": 5, "z": 7, "week": 9, "seconds": 11, "vx": 13, "vy": 15, "vz": 17}
 ICT_COLUMNS = {"ict1": 5, "ict2": 7, "ict3": 9, "ict4": 11, "ict5": 13}
 ICT_PACKET = "+G:29494"
+#: Lines that are put in order in one group.
+BLOCK_LINES = 1 << 16
 #: ENVI type codes.
 ENVI_TYPES = {"1": "u1", "2": "i2", "3": "i4", "4": "f4", "5": "f8", "12": "u2"}
 
@@ -32,10 +34,14 @@ def telemetry_fields(lines: DataFrame, order: str) -> DataFrame:
 
 def parse_gps(lines: DataFrame, order: str = "line") -> DataFrame:
     """line, x, y, z (m), week, seconds, vx, vy, vz (m/s); a record whose seconds repeat those before it is dropped."""
-    rows = telemetry_fields(lines, order)
     at = lambda i: F.get("fields", F.lit(i))
-    rows = rows.withColumn("_before", F.lag(at(GPS_COLUMNS["seconds"])).over(Window.orderBy(order)))
-    rows = rows.filter(~F.col("_before").eqNullSafe(at(GPS_COLUMNS["seconds"])))
+    rows = telemetry_fields(lines, order).withColumn("_block", F.floor(F.col(order) / BLOCK_LINES))
+    seconds = F.struct(at(GPS_COLUMNS["seconds"]).alias("s"))
+    # Within a block the record before, and for a block's first the last one of the block before: a row a block.
+    ends = rows.groupBy("_block").agg(F.max_by(seconds, order).alias("_end"))
+    ends = ends.select("_block", F.lag("_end").over(Window.orderBy("_block")).alias("_end"))
+    rows = rows.withColumn("_own", F.lag(seconds).over(Window.partitionBy("_block").orderBy(order))).join(F.broadcast(ends), "_block")
+    rows = rows.filter(~F.coalesce("_own", "_end")["s"].eqNullSafe(at(GPS_COLUMNS["seconds"])))
     return rows.select(order, *[at(i).try_cast("int" if n == "week" else "double").alias(n) for n, i in GPS_COLUMNS.items()])
 
 
