@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import timegeo as g
 from ..model import Mode, mode_of
-from .lookups import natural_spline
+from .lookups import spline_coefficients
 from .smoothing import lowess
 
 #: The scan follows the target this many times slower than the satellite moves.
@@ -80,6 +80,8 @@ class Lines:
     roll: np.ndarray
     pitch_fit: np.ndarray
     roll_fit: np.ndarray
+    nominal: np.ndarray  # inertial positions of the followed target, without control points
+    unshifted: np.ndarray  # times without control points
 
 
 def sidereal(jd: np.ndarray) -> np.ndarray:
@@ -115,13 +117,6 @@ def earth_fixed(lon: float, lat: float, alt: float) -> np.ndarray:
     return np.array(((n + alt) * math.cos(v) * math.cos(u), (n + alt) * math.cos(v) * math.sin(u), ((1 - g.WGS84_E2) * n + alt) * math.sin(v)))
 
 
-def _spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-    seg = np.array(natural_spline(x, y))
-    i = np.clip(np.searchsorted(seg[:, 0], at, side="right") - 1, 0, len(seg) - 1)
-    h = at - seg[i, 0]
-    return seg[i, 1] + h * (seg[i, 2] + h * (seg[i, 3] + h * seg[i, 4]))
-
-
 class Orbit:
     """Splines through the records' inertial positions and velocities, but for the last two records.
 
@@ -134,17 +129,27 @@ class Orbit:
         vel = vel + g.EARTH_RATE * np.stack((-pos[:, 1], pos[:, 0], 0 * pos[:, 0]), axis=1)
         n = len(gps.jd) - 2
         self.zero = gps.jd[0]
-        self.t, self.state = gps.jd[:n] - self.zero, np.concatenate((pos, vel), axis=1)[:n]
+        self.t, state = gps.jd[:n] - self.zero, np.concatenate((pos, vel), axis=1)[:n]
         nxt = np.concatenate((pos[1:], pos[:1]))
         gap = np.concatenate((np.diff(gps.seconds), [gps.seconds[-1] - gps.seconds[0]]))
-        self.rate = lowess((angle(pos, nxt) / gap)[:n], 0, 5, 0)
+        rate = lowess((angle(pos, nxt) / gap)[:n], 0, 5, 0)
+        if n < 3 or (np.diff(self.t) <= 0).any():
+            raise ValueError("a spline needs three or more strictly increasing knots")
+        self.segments = spline_coefficients(self.t, np.concatenate((state, rate[:, None]), axis=1))
+
+    def _values(self, days: np.ndarray) -> np.ndarray:
+        """Positions, velocities and angular rate (times, 7)."""
+        i = np.clip(np.searchsorted(self.t[:-1], days, side="right") - 1, 0, len(self.t) - 2)
+        h = (days - self.t[i])[:, None]
+        a, b, c, d = (v[i] for v in self.segments)
+        return a + h * (b + h * (c + h * d))
 
     def at(self, days: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        s = np.stack([_spline(self.t, c, days) for c in self.state.T], axis=1)
-        return s[:, :3], s[:, 3:]
+        s = self._values(days)
+        return s[:, :3], s[:, 3:6]
 
     def angular_rate(self, days: float) -> float:
-        return float(_spline(self.t, self.rate, np.array([days]))[0])
+        return float(self._values(np.array([days]))[0, 6])
 
     def sidereal(self, days: np.ndarray) -> np.ndarray:
         return sidereal(self.zero + np.asarray(days))
@@ -195,21 +200,20 @@ def nearest_gcp(gcps: Sequence[Gcp], x: float, y: float) -> int:
     return min(range(len(gcps)), key=lambda k: ((gcps[k].x - x) ** 2 + (gcps[k].y - y) ** 2, k)) if gcps else -1
 
 
-def line_geometry(gps: Gps, centres: Sequence[float], info: Acquisition, gcps: Sequence[Gcp] = ()) -> Lines:
-    """Everything that depends on the line.  ``centres`` are the five images' centre times (Julian dates, UT1)."""
-    m, orbit = info.constants, Orbit(gps)
+def line_geometry(gps: Gps, centres: Sequence[float], info: Acquisition, gcps: Sequence[Gcp] = (), orbit: Orbit | None = None) -> Lines:
+    """Everything that depends on the line.  ``centres`` are the five images' centre times (Julian dates, UT1),
+    ``orbit`` the records' orbit, if it is fitted already."""
+    m, orbit = info.constants, orbit or Orbit(gps)
     setup, middle = centres[0] - orbit.zero - SETUP_SECONDS / DAY, centres[info.image] - orbit.zero
-    days = line_times(m, middle)
+    days = unshifted = line_times(m, middle)
     best = nearest_gcp(gcps, m.rows / 2, m.rows / 2)
     ifov = math.radians(m.instantaneous_field_of_view)
-    if best < 0:
-        target = _followed(orbit, setup, days, earth_fixed(info.lon, info.lat, info.alt), middle, info.image)
-        extra = 0.0
-    else:
+    nominal = target = _followed(orbit, setup, days, earth_fixed(info.lon, info.lat, info.alt), middle, info.image)
+    extra = 0.0
+    if best >= 0:
         # The time of closest approach to the control point shifts all times.
         c = gcps[best]
         place = earth_fixed(c.lon, c.lat, c.alt)
-        nominal = _followed(orbit, setup, days, earth_fixed(info.lon, info.lat, info.alt), middle, info.image)
         near = int(np.argmin(np.linalg.norm(turned(nominal, -orbit.sidereal(days)) - place, axis=1)))
         middle = days[near]
         line = (near + 1) % m.rows
@@ -230,14 +234,7 @@ def line_geometry(gps: Gps, centres: Sequence[float], info: Acquisition, gcps: S
         terms = np.stack(quadratic_terms(np.array([c.x for c in gcps]), np.array([c.y for c in gcps])), axis=1)
         wrong = np.stack((p - pitch[row], r - roll[row] - column_offsets(info.mode)[column]), axis=1)
         fits = np.linalg.lstsq(terms, wrong, rcond=None)[0].T
-    return Lines(orbit.zero, days, satellite, pitch_axis, np.cross(pitch_axis, yaw_axis), yaw_axis, pitch, roll, fits[0], fits[1])
-
-
-def scene_target(gps: Gps, centres: Sequence[float], info: Acquisition) -> np.ndarray:
-    """Inertial positions (lines, 3) of the target as the slowed scan of an image follows it, without control points."""
-    orbit = Orbit(gps)
-    setup, middle = centres[0] - orbit.zero - SETUP_SECONDS / DAY, centres[info.image] - orbit.zero
-    return _followed(orbit, setup, line_times(info.constants, middle), earth_fixed(info.lon, info.lat, info.alt), middle, info.image)
+    return Lines(orbit.zero, days, satellite, pitch_axis, np.cross(pitch_axis, yaw_axis), yaw_axis, pitch, roll, fits[0], fits[1], nominal, unshifted)
 
 
 def lines_frame(spark: SparkSession, lines: Lines) -> DataFrame:

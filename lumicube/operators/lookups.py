@@ -57,16 +57,21 @@ def natural_spline(x: Sequence[float], y: Sequence[float]) -> list[tuple[float,
     x, y = np.asarray(x, dtype=np.float64), np.asarray(y, dtype=np.float64)
     if len(x) < 3 or (np.diff(x) <= 0).any():
         raise ValueError("a spline needs three or more strictly increasing knots")
+    a, b, c, d = spline_coefficients(x, y[:, None])
+    return [tuple(map(float, r)) for r in zip(x[:-1], a[:, 0], b[:, 0], c[:, 0], d[:, 0], strict=True)]
+
+
+def spline_coefficients(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """a, b, c, d (segments, series) of the natural cubic splines through the series ``y`` (knots, series), by one solution."""
     n, h = len(x) - 1, np.diff(x)
-    m = np.eye(n + 1)
-    rhs = np.zeros(n + 1)
-    for i in range(1, n):
-        m[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
-        rhs[i] = 3 * ((y[i + 1] - y[i]) / h[i] - (y[i] - y[i - 1]) / h[i - 1])
+    m, rhs = np.eye(n + 1), np.zeros_like(y)
+    i = np.arange(1, n)
+    m[i, i - 1], m[i, i], m[i, i + 1] = h[:-1], 2 * (h[:-1] + h[1:]), h[1:]
+    slope = np.diff(y, axis=0) / h[:, None]
+    rhs[1:n] = 3 * np.diff(slope, axis=0)
     c = np.linalg.solve(m, rhs)
-    b = np.diff(y) / h - h * (2 * c[:-1] + c[1:]) / 3
-    d = np.diff(c) / (3 * h)
-    return [tuple(map(float, r)) for r in zip(x[:-1], y[:-1], b, c[:-1], d, strict=True)]
+    h = h[:, None]
+    return y[:-1], slope - h * (2 * c[:-1] + c[1:]) / 3, c[:-1], np.diff(c, axis=0) / (3 * h)
 
 
 def spline_values(rows: DataFrame, at: Column, segments: DataFrame, last: float, out: str) -> DataFrame:

@@ -24,11 +24,15 @@ from . import geometry as geo
 AXES = [f"{n}{k}" for n in ("s", "p", "r", "w", "t") for k in range(3)]
 FITS = [f"{n}{k}" for n in ("fp", "fr") for k in range(6)]
 VALUES = ["days", "gst", "pitch0", "roll0", *AXES, *FITS]
+#: Another value of a line: its time if there were no control points.
+UNSHIFTED = "days0"
+#: Tasks that passes are dealt over, at least, for every core.
+TASKS_A_CORE = 4
 
 
-def line_table(telemetry: DataFrame, scenes: DataFrame, gcps: DataFrame | None = None) -> DataFrame:
+def line_table(telemetry: DataFrame, scenes: DataFrame, gcps: DataFrame | None = None, values: Sequence[str] = VALUES) -> DataFrame:
     """scene_id, mode, alt, y, and by line: days since the pass's first record, sidereal time, centre angles, satellite,
-    axes, the followed target, and the quadratic corrections.
+    axes, the followed target, and the quadratic corrections; of these only ``values``, if given.
 
     Times and the target are shifted to the control point nearest to the scene's middle, if there is one; corrections need
     three points.  Scenes whose pass has fewer than five records are left out, as are passes without a scene; records of
@@ -42,30 +46,43 @@ def line_table(telemetry: DataFrame, scenes: DataFrame, gcps: DataFrame | None =
         scenes = scenes.join(own, "scene_id", "left").withColumn("gcps", F.coalesce("gcps", points))
     else:
         scenes = scenes.withColumn("gcps", points)
-    records = telemetry.select("pass_id", *[F.col(c).cast("double").alias(c) for c in ("jd", "seconds", "x", "y", "z", "vx", "vy", "vz")]).dropDuplicates(["pass_id", "jd"])
+    records = telemetry.select("pass_id", *[F.col(c).cast("double").alias(c) for c in ("jd", "seconds", "x", "y", "z", "vx", "vy", "vz")])
 
     def lines(own: pa.Table, rows: pa.Table) -> pa.Table:
         t = own.sort_by("jd")
+        jd = t.column("jd").to_numpy()
+        t = t.filter(pa.array(np.diff(jd, prepend=-np.inf) > 0))
         column = lambda *n: np.stack([np.asarray(t.column(c)) for c in n], axis=1)
-        made: list[list] = [[] for _ in range(4 + len(VALUES))]
-        if t.num_rows >= 5:
+        made: list[list[np.ndarray]] = [[] for _ in range(1 + len(values))]
+        ids, modes, heights, counts = [], [], [], []
+        if t.num_rows >= 5 and rows.num_rows:
             gps = geo.Gps(np.asarray(t.column("jd")), np.asarray(t.column("seconds")), column("x", "y", "z"), column("vx", "vy", "vz"))
+            orbit = geo.Orbit(gps)
             for r in rows.to_pylist():
                 info = geo.Acquisition(r["mode"], r["lon"], r["lat"], r["alt"], r["image"])
-                marks = [geo.Gcp(**p) for p in r["gcps"]]
-                found = geo.line_geometry(gps, r["centres"], info, marks)
+                found = geo.line_geometry(gps, r["centres"], info, [geo.Gcp(**p) for p in r["gcps"]], orbit)
                 n = len(found.days)
-                target = geo.scene_target(gps, r["centres"], info)
-                values = [found.days, geo.sidereal(found.zero + found.days), found.pitch, found.roll]
-                values += [a[:, k] for a in (found.satellite, found.pitch_axis, found.roll_axis, found.yaw_axis, target) for k in range(3)]
-                values += [np.full(n, v) for v in (*found.pitch_fit, *found.roll_fit)]
-                for k, v in enumerate(([r["scene_id"]] * n, [r["mode"]] * n, [r["alt"]] * n, list(range(n)), *values)):
-                    made[k].extend(v)
-        types = [rows.schema.field("scene_id").type, pa.string(), pa.float64(), pa.int32(), *[pa.float64()] * len(VALUES)]
-        return pa.table({n: pa.array(v, k) for n, v, k in zip(("scene_id", "mode", "alt", "y", *VALUES), made, types, strict=True)})
+                ids.append(r["scene_id"])
+                modes.append(r["mode"])
+                heights.append(r["alt"])
+                counts.append(n)
+                own = {"days": found.days, UNSHIFTED: found.unshifted, "gst": geo.sidereal(found.zero + found.days), "pitch0": found.pitch, "roll0": found.roll}
+                vectors = (found.satellite, found.pitch_axis, found.roll_axis, found.yaw_axis, found.nominal)
+                own |= {name: vectors[k // 3][:, k % 3] for k, name in enumerate(AXES)}
+                own |= {name: np.full(n, v) for name, v in zip(FITS, (*found.pitch_fit, *found.roll_fit), strict=True)}
+                for k, v in enumerate((np.arange(n, dtype=np.int32), *(own[v] for v in values))):
+                    made[k].append(v)
+        each = pa.array(np.repeat(np.arange(len(counts)), counts))
+        first = [pa.array(v, k).take(each) for v, k in ((ids, rows.schema.field("scene_id").type), (modes, pa.string()), (heights, pa.float64()))]
+        rest = [pa.array(np.concatenate(v) if v else [], k) for v, k in zip(made, (pa.int32(), *[pa.float64()] * len(values)), strict=True)]
+        return pa.table([*first, *rest], names=["scene_id", "mode", "alt", "y", *values])
 
     scenes = scenes.select(*[F.col(c).alias(c) for c in scenes.columns])  # may share a plan with the telemetry
-    schema = f"scene_id {kinds['scene_id']}, mode string, alt double, y int, " + ", ".join(f"{v} double" for v in VALUES)
+    schema = f"scene_id {kinds['scene_id']}, mode string, alt double, y int" + "".join(f", {v} double" for v in values)
+    # Records are few bytes and much work: a number of partitions of its own keeps them from being put together by size.
+    session = telemetry.sparkSession
+    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), TASKS_A_CORE * session.sparkContext.defaultParallelism)
+    records, scenes = records.repartition(parts, "pass_id"), scenes.repartition(parts, "pass_id")
     return records.groupBy("pass_id").cogroup(scenes.groupBy("pass_id")).applyInArrow(lines, schema)
 
 

@@ -91,11 +91,11 @@ def _gcps(scenes: DataFrame, marks: Sequence[ops.Gcp] = ()) -> DataFrame:
     return scenes.select("scene_id", F.explode(points).alias("c")).select("scene_id", "c.*")
 
 
-def _pass_lines(spark: SparkSession, sf_dir: str, marks: Sequence[ops.Gcp] | None = None) -> DataFrame:
-    """The lines of a scene of every pass; pass_id, line and the columns of the line table."""
+def _pass_lines(spark: SparkSession, sf_dir: str, marks: Sequence[ops.Gcp] | None = None, *, values: Sequence[str]) -> DataFrame:
+    """The lines of a scene of every pass; pass_id, line and ``values`` of the line table."""
     records = telemetry(spark, sf_dir)
     scenes = _scenes(records.select("pass_id").distinct().select(F.col("pass_id").alias("scene_id"), "pass_id"))
-    lines = passes.line_table(records, scenes, None if marks is None else _gcps(scenes, marks))
+    lines = passes.line_table(records, scenes, None if marks is None else _gcps(scenes, marks), values)
     return lines.withColumnsRenamed({"scene_id": "pass_id", "y": "line"})
 
 
@@ -139,7 +139,7 @@ def pitch_roll_pixel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("pitch_roll_center")
 def pitch_roll_center(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pass_lines(spark, sf_dir).select("pass_id", "line", F.col("pitch0").alias("pitch"), F.col("roll0").alias("roll"))
+    return _pass_lines(spark, sf_dir, values=("pitch0", "roll0")).select("pass_id", "line", F.col("pitch0").alias("pitch"), F.col("roll0").alias("roll"))
 
 
 def _sidereal_sql(days: str) -> str:
@@ -178,12 +178,12 @@ def _rounded(df: DataFrame, digits: int, **values: Column) -> DataFrame:
 
 @register("orbital_plane", f"WITH {_LINES_SQL} SELECT p AS pass_id, line, round(sin(node), 9) AS n0, round(-cos(node), 9) AS n1, 0.0::DOUBLE AS n2 FROM turn")
 def orbital_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_pass_lines(spark, sf_dir), 9, n0=F.col("p0"), n1=F.col("p1"), n2=F.col("p2"))
+    return _rounded(_pass_lines(spark, sf_dir, values=("p0", "p1", "p2")), 9, n0=F.col("p0"), n1=F.col("p1"), n2=F.col("p2"))
 
 
 @register("target_scan_rotation", f"WITH {_LINES_SQL} SELECT p AS pass_id, line, round(t0, 6) AS t0, round(t1, 6) AS t1, round(t2, 6) AS t2 FROM followed")
 def target_scan_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_pass_lines(spark, sf_dir), 6, t0=F.col("t0"), t1=F.col("t1"), t2=F.col("t2"))
+    return _rounded(_pass_lines(spark, sf_dir, values=("t0", "t1", "t2")), 6, t0=F.col("t0"), t1=F.col("t1"), t2=F.col("t2"))
 
 
 _NEAREST_SQL = f"""{_LINES_SQL}, mark AS (SELECT {_place_sql(f"{GCPS[0].lon!r}::DOUBLE", f"{GCPS[0].lat!r}::DOUBLE", f"{GCPS[0].alt}e0")}),
@@ -192,15 +192,14 @@ near AS (SELECT p, arg_min(line, power(cos(gst) * t0 + sin(gst) * t1 - px, 2) +
 
 @register("gcp_time_shift", f"WITH {_NEAREST_SQL} SELECT t.p AS pass_id, t.line, round(((near.line + 1) % {_M.rows} - {GCPS[0].y + 0.5!r}::DOUBLE) * {_M.time_per_line!r}::DOUBLE, 9) AS shift_seconds FROM turn t JOIN near USING (p)")
 def gcp_time_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shifted = _pass_lines(spark, sf_dir, GCPS[:1]).select("pass_id", "line", F.col("days").alias("after"))
-    rows = _pass_lines(spark, sf_dir).select("pass_id", "line", "days").join(shifted, ["pass_id", "line"])
-    return _rounded(rows, 9, shift_seconds=(F.col("after") - F.col("days")) * ops.DAY)
+    rows = _pass_lines(spark, sf_dir, GCPS[:1], values=("days", passes.UNSHIFTED))
+    return _rounded(rows, 9, shift_seconds=(F.col("days") - F.col(passes.UNSHIFTED)) * ops.DAY)
 
 
 @register("gcp_quadratic_fit")
 def gcp_quadratic_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The six coefficients (line counts them from 0) of pitch and roll of every pass."""
-    first = _pass_lines(spark, sf_dir, GCPS).filter("line = 0")
+    first = _pass_lines(spark, sf_dir, GCPS, values=passes.FITS).filter("line = 0")
     both = F.arrays_zip(F.array(*[f"fp{k}" for k in range(6)]).alias("pitch"), F.array(*[f"fr{k}" for k in range(6)]).alias("roll"))
     return first.select("pass_id", F.posexplode(both).alias("line", "c")).select("pass_id", "line", "c.pitch", "c.roll")
 

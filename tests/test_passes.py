@@ -66,3 +66,10 @@ def test_no_tables(spark, orbit):
 @pytest.mark.parametrize("name", ["orbital_plane", "target_scan_rotation", "gcp_time_shift", "pitch_roll_pixel"])
 def test_oracle(spark, data, same_as_oracle, name):
     assert same_as_oracle(registry.queries()[name](spark, data), registry.oracle_sql()[name]) > 370
+
+
+def test_passes_are_dealt_over_tasks(spark, data):
+    """Small records are not put together into one task, and a line table has only what is asked for."""
+    lines = c._pass_lines(spark, data, c.GCPS[:1], values=("days", passes.UNSHIFTED))
+    assert lines.columns == ["pass_id", "mode", "alt", "line", "days", passes.UNSHIFTED]
+    assert lines.select(F.spark_partition_id().alias("task")).distinct().count() > 1
